@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The source system is a full-refresh batch ETL with no streaming, windows
+over event time, or incremental loads, so there is nothing to re-express
+with Structured Streaming here. The batch build (``plans.warehouse``)
+already reads its input through Spark's file sources, so it can run on a
+schedule over new landing files.
+"""
