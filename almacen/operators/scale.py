@@ -33,9 +33,15 @@ def _order_cols(order: list) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def _ranged(df: DataFrame, order: list, num_partitions: int | None, name: str) -> DataFrame:
+def _ranged(df: DataFrame, order: list, num_partitions: int | None, name: str,
+            materialize_input: bool = True) -> DataFrame:
     spark = df.sparkSession
     n = num_partitions or parallelism(spark)
+    if materialize_input:
+        # Range partitioning samples its input, then shuffles it: two passes.
+        # Over an aggregate of a large table, write the aggregate first so
+        # the second pass reads it instead of re-aggregating the table.
+        df = write_table(df, scratch_path(spark, f"input-{name}"))
     cols = _order_cols(order)
     tagged = (df.repartitionByRange(n, *cols)
               .sortWithinPartitions(*cols)
@@ -52,9 +58,14 @@ def _prefix(per_part: DataFrame, value: str, out: str) -> DataFrame:
 
 
 def with_row_number(df: DataFrame, order: list, name: str = "rn",
-                    num_partitions: int | None = None) -> DataFrame:
-    """Add a gapless 1..n ``name`` following ``order`` (must be a total order)."""
-    staged = _ranged(df, order, num_partitions, name)
+                    num_partitions: int | None = None,
+                    materialize_input: bool = True) -> DataFrame:
+    """Add a gapless 1..n ``name`` following ``order`` (must be a total order).
+
+    Pass ``materialize_input=False`` when ``df`` is a cheap scan of a written
+    table (re-reading it for the range sample costs less than a copy).
+    """
+    staged = _ranged(df, order, num_partitions, name, materialize_input)
     counts = staged.groupBy(_PID).agg(F.count(F.lit(1)).alias("__cnt"))
     offsets = _prefix(counts, "__cnt", _OFF)
     return (staged.join(F.broadcast(offsets), _PID)
