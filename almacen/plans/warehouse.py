@@ -87,6 +87,10 @@ def build(spark: SparkSession, sf_dir: str, base: str | None = None,
           raw: DataFrame | None = None, timings: dict[str, float] | None = None) -> Star:
     """Run the whole ETL once and write the star below ``base``.
 
+    S2 full refresh: every table is written in overwrite mode, dimensions
+    first (the fact's key lookups read them), the fact last, and a manifest
+    after everything.
+
     ``timings``, when given, receives the wall time of each stage.
     """
     base = base or star_dir(spark, sf_dir)
@@ -108,7 +112,7 @@ def build(spark: SparkSession, sf_dir: str, base: str | None = None,
     for name, builder in [("dim_fecha", dim_ops.dim_fecha), ("dim_cliente", dim_ops.dim_cliente),
                           ("dim_producto", dim_ops.dim_producto),
                           ("dim_geografia", dim_ops.dim_geografia)]:
-        tables[name] = write_table(sinks.conform(builder(clean), name), p[name])
+        tables[name] = sinks.write_dim(builder(clean), name, p[name])
         clock(name)
     rows = {t: df.count() for t, df in tables.items()}
 
