@@ -34,13 +34,14 @@ def _order_cols(order: list) -> list[Column]:
 
 
 def _ranged(df: DataFrame, order: list, num_partitions: int | None, name: str,
-            materialize_input: bool = True) -> DataFrame:
+            materialize_input: bool = False) -> DataFrame:
     spark = df.sparkSession
     n = num_partitions or parallelism(spark)
     if materialize_input:
         # Range partitioning samples its input, then shuffles it: two passes.
-        # Over an aggregate of a large table, write the aggregate first so
-        # the second pass reads it instead of re-aggregating the table.
+        # With AQE an aggregate below is already its own materialized query
+        # stage, so both passes read its shuffle output; writing the input
+        # first only pays off for an expensive plan without such a boundary.
         df = write_table(df, scratch_path(spark, f"input-{name}"))
     cols = _order_cols(order)
     tagged = (df.repartitionByRange(n, *cols)
@@ -59,12 +60,8 @@ def _prefix(per_part: DataFrame, value: str, out: str) -> DataFrame:
 
 def with_row_number(df: DataFrame, order: list, name: str = "rn",
                     num_partitions: int | None = None,
-                    materialize_input: bool = True) -> DataFrame:
-    """Add a gapless 1..n ``name`` following ``order`` (must be a total order).
-
-    Pass ``materialize_input=False`` when ``df`` is a cheap scan of a written
-    table (re-reading it for the range sample costs less than a copy).
-    """
+                    materialize_input: bool = False) -> DataFrame:
+    """Add a gapless 1..n ``name`` following ``order`` (must be a total order)."""
     staged = _ranged(df, order, num_partitions, name, materialize_input)
     counts = staged.groupBy(_PID).agg(F.count(F.lit(1)).alias("__cnt"))
     offsets = _prefix(counts, "__cnt", _OFF)
@@ -134,6 +131,25 @@ def max_broadcast_rows(spark, row_bytes: int) -> int:
     return max(threshold, 0) // max(row_bytes, 1)
 
 
+HOT_SAMPLE_FRACTION = 0.01
+HOT_SAMPLE_SEED = 17
+
+
+def hot_keys(facts: DataFrame, key: str, parts: int) -> DataFrame:
+    """Keys holding at least 1/(4*parts) of the rows, found on a 1% sample.
+
+    At most 4*parts keys can pass, so the result is a bounded broadcast.
+    Which keys count as hot only steers the join strategy, never its
+    result, so an approximate (sampled) answer is safe.
+    """
+    sample = facts.select(F.col(key).alias("__hk")).sample(
+        fraction=HOT_SAMPLE_FRACTION, seed=HOT_SAMPLE_SEED)
+    counts = sample.groupBy("__hk").agg(F.count(F.lit(1)).alias("__n"))
+    total = sample.agg(F.count(F.lit(1))).scalar()
+    return counts.filter(F.col("__n") * (4 * parts) >= F.greatest(total, F.lit(4 * parts))) \
+        .select("__hk")
+
+
 def lookup_join(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
                 dim_rows: int, row_bytes: int, null_safe: bool = False,
                 how: str = "left") -> DataFrame:
@@ -141,31 +157,37 @@ def lookup_join(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
 
     * dimension small enough (checked row count x row width against the
       broadcast threshold): broadcast hash join, no shuffle of the facts;
-    * otherwise: split off the hot keys. Keys holding more than 1/(4n) of
-      the fact rows (at most 4n of them, n = shuffle partitions, so their
-      dimension rows are a bounded broadcast) join by broadcast; all other
-      rows take a shuffle join, where no single key can dominate a task.
+    * otherwise a shuffle join, salted for hot keys: fact rows of a hot key
+      get a salt in [0, S) from a hash of the row, the dimension row of a
+      hot key is repeated S times, and the join runs on (key, salt). A key
+      holding a third of the facts is spread over S tasks; the facts are
+      read once.
     """
     spark = facts.sparkSession
 
-    def _cond(left: DataFrame, right: DataFrame):
-        return (left[fact_key].eqNullSafe(right[dim_key]) if null_safe
-                else left[fact_key] == right[dim_key])
+    def _eq(a, b):
+        return a.eqNullSafe(b) if null_safe else a == b
 
     if dim_rows <= max_broadcast_rows(spark, row_bytes):
         d = F.broadcast(dim)
-        return facts.join(d, _cond(facts, d), how)
+        return facts.join(d, _eq(facts[fact_key], d[dim_key]), how)
 
     n = parallelism(spark)
-    total = facts.count()
-    hot_min = max(total // (4 * n), 1)
-    hot_keys = (facts.groupBy(F.col(fact_key).alias("__hk")).agg(F.count(F.lit(1)).alias("__hn"))
-                .filter(F.col("__hn") >= hot_min).select("__hk"))
-    hot_keys = write_table(hot_keys, scratch_path(spark, "hot-keys"))
-    hot_dim = dim.join(F.broadcast(hot_keys), dim[dim_key].eqNullSafe(hot_keys["__hk"]), "left_semi")
-    flagged = facts.join(F.broadcast(hot_keys.withColumn("__hot", F.lit(True))),
-                         facts[fact_key].eqNullSafe(F.col("__hk")), "left").drop("__hk")
-    hot = flagged.filter(F.col("__hot")).drop("__hot")
-    cold = flagged.filter(F.col("__hot").isNull()).drop("__hot")
-    hd = F.broadcast(hot_dim)
-    return hot.join(hd, _cond(hot, hd), how).unionByName(cold.join(dim, _cond(cold, dim), how))
+    hot = write_table(hot_keys(facts, fact_key, n).withColumn("__salts", F.lit(n)),
+                      scratch_path(spark, "hot-keys"))
+    hot_b = F.broadcast(hot)                       # at most 4n rows
+    salted_facts = (facts.join(hot_b, facts[fact_key].eqNullSafe(hot_b["__hk"]), "left")
+                    .withColumn("__salt", F.when(F.col("__salts").isNotNull(),
+                                                 F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]),
+                                                        F.col("__salts")))
+                                .otherwise(F.lit(0)).cast("int"))
+                    .drop("__hk", "__salts"))
+    hot_d = F.broadcast(hot)
+    salted_dim = (dim.join(hot_d, dim[dim_key].eqNullSafe(hot_d["__hk"]), "left")
+                  .withColumn("__dsalt", F.explode(
+                      F.when(F.col("__salts").isNotNull(), F.sequence(F.lit(0), F.col("__salts") - 1))
+                      .otherwise(F.array(F.lit(0)))))
+                  .drop("__hk", "__salts"))
+    cond = _eq(salted_facts[fact_key], salted_dim[dim_key]) & (
+        salted_facts["__salt"] == salted_dim["__dsalt"])
+    return salted_facts.join(salted_dim, cond, how).drop("__salt", "__dsalt")

@@ -60,3 +60,10 @@ def test_lookup_join_skew_path_equals_broadcast(spark):
     b = slow.select("id", "k", "v")
     assert a.count() == b.count() == 30000
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_hot_key_detected_on_sample(spark):
+    from almacen.operators.scale import hot_keys
+    facts = (spark.range(0, 300000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 5000).alias("k")))
+    assert [r["__hk"] for r in hot_keys(facts, "k", 8).collect()] == [7]
