@@ -60,11 +60,19 @@ def _prefix(per_part: DataFrame, value: str, out: str) -> DataFrame:
 
 def with_row_number(df: DataFrame, order: list, name: str = "rn",
                     num_partitions: int | None = None,
-                    materialize_input: bool = False) -> DataFrame:
-    """Add a gapless 1..n ``name`` following ``order`` (must be a total order)."""
+                    materialize_input: bool = False,
+                    total_name: str | None = None) -> DataFrame:
+    """Add a gapless 1..n ``name`` following ``order`` (must be a total order).
+
+    ``total_name`` also adds the row count n (taken from the per-partition
+    counts, so it costs no extra pass).
+    """
     staged = _ranged(df, order, num_partitions, name, materialize_input)
     counts = staged.groupBy(_PID).agg(F.count(F.lit(1)).alias("__cnt"))
     offsets = _prefix(counts, "__cnt", _OFF)
+    if total_name:
+        offsets = offsets.join(counts.select(_PID, F.sum("__cnt").over(Window.partitionBy())
+                                             .alias(total_name)), _PID)
     return (staged.join(F.broadcast(offsets), _PID)
             .withColumn(name, (F.col(_OFF) + F.col(_POS) + 1).cast("long"))
             .drop(_PID, _POS, _OFF))
@@ -103,9 +111,9 @@ def ntile_of(rn: Column, n: Column, buckets: int) -> Column:
 
 def with_ntile(df: DataFrame, order: list, buckets: int, name: str) -> DataFrame:
     """Add NTILE(buckets) over ``order`` (a total order), computed in parallel."""
-    numbered = with_row_number(df, order, "__rn")
-    total = numbered.agg(F.count(F.lit(1))).scalar()
-    return numbered.withColumn(name, ntile_of(F.col("__rn"), total, buckets)).drop("__rn")
+    numbered = with_row_number(df, order, "__rn", total_name="__n")
+    return (numbered.withColumn(name, ntile_of(F.col("__rn"), F.col("__n"), buckets))
+            .drop("__rn", "__n"))
 
 
 def with_rank(df: DataFrame, value: str, name: str, descending: bool = True,

@@ -303,14 +303,18 @@ def q16_price_vs_ref(star: Star) -> DataFrame:
 # --- Group 5: geography and trends --------------------------------------------
 
 def q17_geo_share(star: Star) -> DataFrame:
-    """Revenue per country: share of the total and share within its region."""
+    """Revenue per country: share of the total and share within its region.
+
+    The total is a scalar subquery (one value), so country rows are never
+    gathered into one task; the regional total is a window per region.
+    """
     c = star.fact.filter(_nonc()).groupBy("geografia_id").agg(F.sum("total_linea").alias("rev"))
+    total = c.agg(F.sum("rev")).scalar()
     c = _join_dim(star, c, "dim_geografia", "geografia_id", "country", "region")
-    total = Window.partitionBy()                                 # one row per country
     region = Window.partitionBy("region")
     return c.select(
         "country", "region", money(F.col("rev")).alias("revenue"),
-        pct(F.col("rev"), F.sum("rev").over(total)).alias("share_total_pct"),
+        pct(F.col("rev"), total).alias("share_total_pct"),
         pct(F.col("rev"), F.sum("rev").over(region)).alias("share_region_pct"))
 
 
