@@ -57,6 +57,19 @@ class Star:
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
 
+    def register_views(self, spark: SparkSession, prefix: str = "") -> list[str]:
+        """Expose the five star tables as temporary views for ``spark.sql``.
+
+        Analysts can then run their own SQL over the warehouse, e.g.
+        ``SELECT d.anio, sum(f.total_linea) FROM fact_ventas f JOIN dim_fecha d
+        USING (fecha_id) WHERE f.is_cancelled = 0 GROUP BY d.anio``.
+        """
+        names = []
+        for name, df in self.tables.items():
+            df.createOrReplaceTempView(prefix + name)
+            names.append(prefix + name)
+        return names
+
 
 def _code_version() -> str:
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

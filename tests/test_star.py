@@ -45,3 +45,12 @@ def test_pareto_crosses_eighty_percent(star):
     p = queries.q15_pareto(star).orderBy("rank").collect()
     assert p[-1]["cumulative_pct"] >= 80 and (len(p) == 1 or p[-2]["cumulative_pct"] < 80)
     assert [r["rank"] for r in p] == list(range(1, len(p) + 1))
+
+
+def test_sql_views_agree_with_dataframe_plans(spark, star):
+    star.register_views(spark, prefix="t_")
+    by_sql = {r["anio"]: r["revenue"] for r in spark.sql(
+        "SELECT d.anio, CAST(sum(f.total_linea) AS DOUBLE) AS revenue FROM t_fact_ventas f "
+        "JOIN t_dim_fecha d USING (fecha_id) WHERE f.is_cancelled = 0 GROUP BY d.anio").collect()}
+    by_df = {r["anio"]: r["revenue"] for r in queries.q02_yoy(star).collect()}
+    assert by_sql == by_df
