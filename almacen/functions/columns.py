@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 
 from . import fixed
 
-# Leading/trailing whitespace as Python's str.strip() sees it: Unicode
-# White_Space plus the four ASCII separators U+001C..U+001F.
-_STRIP_PATTERN = r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+$"
+# The characters Python's str.strip() removes (those with str.isspace()):
+# derived by rule, 29 code points including NBSP and U+001C..U+001F.
+WHITESPACE = "".join(chr(cp) for cp in range(0x110000) if chr(cp).isspace())
 
 
 def strip_ws(c: Column) -> Column:
-    """Remove leading and trailing whitespace of any kind (not just spaces)."""
-    return F.regexp_replace(c, _STRIP_PATTERN, "")
+    """Remove leading and trailing whitespace of any kind (not just spaces).
+
+    ``trim`` with an explicit character set is code-generated and needs no
+    regular expression.
+    """
+    return F.trim(c, F.lit(WHITESPACE))
 
 
 def not_true(cond: Column) -> Column:

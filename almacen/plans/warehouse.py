@@ -173,6 +173,18 @@ class _Clock:
 _OPEN: dict[tuple[str, str], Star] = {}
 
 
+def pin(spark: SparkSession, sf_dir: str, built: Star | None) -> Star | None:
+    """Make ``built`` the star that queries over ``sf_dir`` use in this session.
+
+    Returns the previously pinned star; ``None`` unpins.
+    """
+    key = (spark.sparkContext.applicationId, star_dir(spark, sf_dir))
+    old = _OPEN.pop(key, None)
+    if built is not None:
+        _OPEN[key] = built
+    return old
+
+
 def star(spark: SparkSession, sf_dir: str) -> Star:
     """The star for ``sf_dir``: reuse a completed build, else build it once."""
     base = star_dir(spark, sf_dir)

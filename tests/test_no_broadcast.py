@@ -28,17 +28,12 @@ def big_dims_star(spark):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_matches_oracle_without_broadcast(spark, big_dims_star, name):
-    key = (spark.sparkContext.applicationId, warehouse.star_dir(spark, SF))
-    saved = warehouse._OPEN.get(key)
-    warehouse._OPEN[key] = big_dims_star
+    saved = warehouse.pin(spark, SF, big_dims_star)
     try:
         df = catalog.registry()[name](spark, SF)
         s_cols, s_rows = df.columns, [tuple(r) for r in df.collect()]
     finally:
-        if saved is not None:
-            warehouse._OPEN[key] = saved
-        else:
-            warehouse._OPEN.pop(key)
+        warehouse.pin(spark, SF, saved)
     cur = duck(SF).execute(entry.oracle_sql()[name])
     d_cols = [c[0] for c in cur.description]
     assert _rows(s_cols, s_rows) == _rows(d_cols, cur.fetchall())
