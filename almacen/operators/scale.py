@@ -4,8 +4,8 @@ A window with ``orderBy`` but no ``partitionBy`` moves every row into one
 partition. That is fine over months or hours, but not over customers,
 products or fact lines. These helpers compute the same values in parallel:
 
-1. range-partition the rows on the ordering (Spark samples the bounds) and
-   sort inside each partition;
+1. range-partition the rows on the ordering (Spark samples the bounds; AQE
+   sizes the partitions) and sort inside each partition;
 2. tag every row with its partition id and its position inside the
    partition (``monotonically_increasing_id`` is ``pid << 33 | position``);
 3. write that tagged table to shared storage, so the ids are fixed facts
@@ -36,7 +36,6 @@ def _order_cols(order: list) -> list[Column]:
 def _ranged(df: DataFrame, order: list, num_partitions: int | None, name: str,
             materialize_input: bool = False) -> DataFrame:
     spark = df.sparkSession
-    n = num_partitions or parallelism(spark)
     if materialize_input:
         # Range partitioning samples its input, then shuffles it: two passes.
         # With AQE an aggregate below is already its own materialized query
@@ -44,7 +43,12 @@ def _ranged(df: DataFrame, order: list, num_partitions: int | None, name: str,
         # first only pays off for an expensive plan without such a boundary.
         df = write_table(df, scratch_path(spark, f"input-{name}"))
     cols = _order_cols(order)
-    tagged = (df.repartitionByRange(n, *cols)
+    # Without an explicit count, AQE coalesces adjacent ranges to its
+    # advisory partition size; coalesced partitions stay contiguous and in
+    # order, so partition ids still follow the global order.
+    ranged = (df.repartitionByRange(num_partitions, *cols) if num_partitions
+              else df.repartitionByRange(*cols))
+    tagged = (ranged
               .sortWithinPartitions(*cols)
               .withColumn(_PID, F.spark_partition_id())
               .withColumn(_POS, F.monotonically_increasing_id()

@@ -56,6 +56,9 @@ def _etl(s: Star) -> dict[str, Callable[[], DataFrame]]:
             "fecha_completa", F.date_format("fecha_completa", "yyyy-MM-dd")),
         "dim_cliente": lambda: t["dim_cliente"],
         "dim_cliente_documented": lambda: dim_ops.dim_cliente_documented(t["dim_cliente"]),
+        "modal_description": lambda: dim_ops.modal_description(s.clean),
+        "median_price": lambda: dim_ops.median_price(s.clean).select(
+            "stock_code", F.col("precio_mediano").cast("double").alias("precio_mediano")),
         "dim_producto": lambda: t["dim_producto"].withColumn(
             "precio_referencia", F.col("precio_referencia").cast("double")),
         "dim_geografia": lambda: t["dim_geografia"],
@@ -78,7 +81,7 @@ ETL_NAMES = [
     "csv_scan", "null_profile", "dup_count", "cancel_count", "neg_qty_count", "zero_price_count",
     "irregular_codes", "country_counts", "multi_country_customers", "staged_lines",
     "clean_lines", "cleaning_ledger", "dim_fecha", "dim_cliente", "dim_cliente_documented",
-    "dim_producto", "dim_geografia", "dim_distribution", "fact_ventas", "warehouse_summary",
+    "modal_description", "median_price", "dim_producto", "dim_geografia", "dim_distribution", "fact_ventas", "warehouse_summary",
     "audit_pk", "audit_notnull", "audit_fk", "audit_bounds",
 ]
 

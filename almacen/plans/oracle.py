@@ -271,6 +271,8 @@ BODIES: dict[str, str] = {
         "WHEN num_facturas <= 1 THEN 'NUEVO' WHEN num_facturas <= 5 THEN 'REGULAR' "
         "WHEN num_facturas <= 15 THEN 'FRECUENTE' ELSE 'VIP' END AS segmento, num_facturas "
         "FROM dim_cliente"),
+    "modal_description": "SELECT stock_code, descripcion FROM modal",
+    "median_price": "SELECT stock_code, CAST(precio_mediano AS DOUBLE) AS precio_mediano FROM med",
     "dim_producto": "SELECT producto_id, stock_code, descripcion, "
                     "CAST(precio_referencia AS DOUBLE) AS precio_referencia FROM dim_producto",
     "dim_geografia": "SELECT * FROM dim_geografia",
