@@ -96,8 +96,20 @@ def _paths(base: str) -> dict[str, str]:
     return p
 
 
-def build(spark: SparkSession, sf_dir: str, base: str | None = None,
-          raw: DataFrame | None = None, timings: dict[str, float] | None = None) -> Star:
+def build_from_csv(spark: SparkSession, csv_path: str, base: str,
+                   timings: dict[str, float] | None = None) -> Star:
+    """Build the star from raw CSV files already on storage (no landing copy).
+
+    ``csv_path`` is a file, directory or glob of the raw feed (header row,
+    columns Invoice, StockCode, Description, Quantity, InvoiceDate, Price,
+    Customer ID, Country).
+    """
+    return build(spark, None, base=base, landing_path=csv_path, timings=timings)
+
+
+def build(spark: SparkSession, sf_dir: str | None, base: str | None = None,
+          raw: DataFrame | None = None, timings: dict[str, float] | None = None,
+          landing_path: str | None = None) -> Star:
     """Run the whole ETL once and write the star below ``base``.
 
     S2 full refresh: every table is written in overwrite mode, dimensions
@@ -108,10 +120,14 @@ def build(spark: SparkSession, sf_dir: str, base: str | None = None,
     """
     base = base or star_dir(spark, sf_dir)
     p = _paths(base)
+    if landing_path:
+        p["landing"] = landing_path
     clock = _Clock(timings)
 
-    # E: land the raw feed as CSV and read it back the way the source does.
-    write_csv(raw if raw is not None else derived_feed(spark, sf_dir), p["landing"])
+    # E: the raw feed as CSV. The driver tables are landed as CSV first (the
+    # source system's input format); existing CSV files are read in place.
+    if not landing_path:
+        write_csv(raw if raw is not None else derived_feed(spark, sf_dir), p["landing"])
     landing = csv_scan(spark, p["landing"])
     clock("land_csv")
 
@@ -139,7 +155,7 @@ def build(spark: SparkSession, sf_dir: str, base: str | None = None,
     clock("fact_ventas")
 
     # Manifest last: its presence marks a complete build.
-    sinks.write_manifest(spark, rows, p["manifest"])
+    sinks.write_manifest(spark, rows, p["manifest"], landing=p["landing"])
     return Star(base=base, landing=landing, tagged=tagged, tables=tables,
                 quarantine=quarantine, rows=rows)
 
@@ -152,9 +168,10 @@ def load(spark: SparkSession, base: str) -> Star | None:
     except Exception:  # noqa: BLE001 - missing or incomplete build
         return None
     rows = {r["table_name"]: int(r["row_count"]) for r in manifest}
+    landing = next((r["landing"] for r in manifest if r["landing"]), p["landing"])
     tables = {t: spark.read.parquet(p[t]) for t in TABLES}
     tables["fact_ventas"] = tables["fact_ventas"].select(*fact_ops.FACT_COLUMNS, "anio")
-    return Star(base=base, landing=csv_scan(spark, p["landing"]),
+    return Star(base=base, landing=csv_scan(spark, landing),
                 tagged=spark.read.parquet(p["tagged"]), tables=tables,
                 quarantine=spark.read.parquet(p["quarantine"]), rows=rows)
 

@@ -118,3 +118,15 @@ def test_csv_keeps_whitespace_and_nulls(tagged):
     assert r["500014"]["Description"] is None and r["500015"]["Customer ID"] is None
     assert r["500017"]["Customer ID"] == "13087.0 "
     assert raw.filter(F.col("StockCode").isNull()).count() == 1
+
+
+def test_build_from_existing_csv(spark, scratch, tagged):
+    """The whole build reads raw CSV files in place (no landing copy)."""
+    from almacen.plans import warehouse
+    raw, _, _ = tagged
+    src = raw.inputFiles()[0].rsplit("/", 1)[0]
+    s = warehouse.build_from_csv(spark, src, base=scratch("csv-star"))
+    assert s.rows["fact_ventas"] + s.rows["quarantine"] == len(ROWS) - 1 - len(EXPECT_RULE)
+    assert s.rows["quarantine"] == 2                      # E07 NULL price, E08 NULL quantity
+    again = warehouse.load(spark, s.base)
+    assert again.landing.count() == len(ROWS) and again.rows == s.rows
