@@ -125,12 +125,17 @@ def with_rank(df: DataFrame, value: str, name: str, descending: bool = True,
     """SQL RANK() over ``value`` (ties share the lowest row number), in parallel.
 
     Row numbers come from :func:`with_row_number`; the rank of a value is the
-    smallest row number carrying it (a pre-aggregated ``groupBy`` on value).
+    smallest row number carrying it (a partial ``groupBy`` on value, written
+    once). Joining it back goes through :func:`lookup_join`, so a value shared
+    by a third of the rows is salted rather than sent to one task.
     """
+    spark = df.sparkSession
     key = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_first()
     numbered = with_row_number(df, [key] + list(tiebreak or []), "__rn")
-    first = numbered.groupBy(value).agg(F.min("__rn").alias(name))
-    return numbered.join(first, numbered[value].eqNullSafe(first[value])).drop(first[value]).drop("__rn")
+    first = write_table(numbered.groupBy(F.col(value).alias("__v")).agg(F.min("__rn").alias(name)),
+                        scratch_path(spark, f"rank-{name}"))
+    return lookup_join(numbered, first, value, "__v", first.count(), 32, null_safe=True,
+                       how="inner").drop("__v", "__rn")
 
 
 # --- joins -------------------------------------------------------------------
