@@ -5,8 +5,8 @@ Conventions (shared with the DuckDB oracle):
   shown as DOUBLE; orders = distinct non-cancelled invoices;
 * ratios and percentages: DOUBLE arithmetic, rounded by ``round2``;
 * "known" customers exclude the anonymous UNKNOWN member (compared by its
-  surrogate key through a scalar subquery, so the fact is never joined to
-  the customer dimension just to filter);
+  surrogate key, read once per build, so the fact is never joined to the
+  customer dimension just to filter);
 * ties are broken by the natural key (customer id, stock code), which is
   the surrogate-key order, so plans sort on the integer key.
 
@@ -41,14 +41,13 @@ def _invoice_nonc() -> Column:
     return F.when(_nonc(), F.col("invoice_number"))
 
 
-def unknown_key(star: Star) -> Column:
-    """Scalar subquery: surrogate key of the anonymous customer (or NULL)."""
-    return (star["dim_cliente"].filter(F.col("customer_id") == fixed.UNKNOWN_CUSTOMER)
-            .agg(F.max("cliente_id")).scalar())
-
-
 def known(star: Star) -> Column:
-    return ~F.col("cliente_id").eqNullSafe(unknown_key(star))
+    """Lines of identified customers: every key but the anonymous member's.
+
+    The anonymous key is one scalar per build, so the predicate is a literal
+    comparison that Parquet can evaluate at the scan.
+    """
+    return ~F.col("cliente_id").eqNullSafe(F.lit(star.unknown_key).cast("int"))
 
 
 def _dim(star: Star, name: str, *cols: str) -> DataFrame:

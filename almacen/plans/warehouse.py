@@ -20,12 +20,15 @@ import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fixed
 
 from ..operators import clean as clean_ops
 from ..operators import dims as dim_ops
 from ..operators import fact as fact_ops
 from ..operators.stage import stage
-from ..session import shared_dir, write_table
+from ..session import app_id, shared_dir, write_table
 from ..sources import sinks
 from ..sources.csv import csv_scan, write_csv
 from ..sources.feed import derived_feed
@@ -41,6 +44,7 @@ class Star:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     quarantine: DataFrame | None = None
     rows: dict[str, int] = field(default_factory=dict)
+    _cache: dict = field(default_factory=dict, repr=False)
 
     @property
     def staged(self) -> DataFrame:
@@ -54,6 +58,15 @@ class Star:
     def fact(self) -> DataFrame:
         return self.tables["fact_ventas"]
 
+    @property
+    def unknown_key(self) -> int | None:
+        """Surrogate key of the anonymous (UNKNOWN) customer, read once per build."""
+        if "unknown" not in self._cache:
+            row = (self.tables["dim_cliente"].filter(F.col("customer_id") == fixed.UNKNOWN_CUSTOMER)
+                   .agg(F.max("cliente_id")).first())
+            self._cache["unknown"] = row[0]
+        return self._cache["unknown"]
+
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
 
@@ -195,7 +208,7 @@ def pin(spark: SparkSession, sf_dir: str, built: Star | None) -> Star | None:
 
     Returns the previously pinned star; ``None`` unpins.
     """
-    key = (spark.sparkContext.applicationId, star_dir(spark, sf_dir))
+    key = (app_id(spark), star_dir(spark, sf_dir))
     old = _OPEN.pop(key, None)
     if built is not None:
         _OPEN[key] = built
@@ -205,7 +218,7 @@ def pin(spark: SparkSession, sf_dir: str, built: Star | None) -> Star | None:
 def star(spark: SparkSession, sf_dir: str) -> Star:
     """The star for ``sf_dir``: reuse a completed build, else build it once."""
     base = star_dir(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, base)
+    key = (app_id(spark), base)
     if key not in _OPEN:
         _OPEN[key] = load(spark, base) or build(spark, sf_dir, base)
     return _OPEN[key]

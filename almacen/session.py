@@ -34,19 +34,32 @@ def build_session(master: str = "local[8]", app: str = "almacen", shuffle_partit
     return spark
 
 
+def app_id(spark: SparkSession) -> str:
+    """Identifier of the running application (classic or Spark Connect)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - no SparkContext under Spark Connect
+        return spark.conf.get("spark.app.id", "connect")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Base directory for written intermediate tables and checkpoints."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None)
+    """Base directory for written intermediate tables and checkpoints.
+
+    The cluster's ``spark.checkpoint.dir`` (shared storage); only when it is
+    unset, as in local tests, a private temporary folder is created.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        try:
+            base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        except Exception:  # noqa: BLE001 - Spark Connect: the session conf is all there is
+            base = None
     if not base:
-        key = spark.sparkContext.applicationId
+        key = app_id(spark)
         base = _LOCAL_FALLBACK.get(key)
         if base is None:
-            # No shared folder configured (local tests only): make our own.
             base = tempfile.mkdtemp(prefix="almacen-ckpt-")
             _LOCAL_FALLBACK[key] = base
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
