@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import os
 import time
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,10 +99,27 @@ def _code_version() -> str:
 
 
 def star_dir(spark: SparkSession, sf_dir: str) -> str:
+    """Content address of the builds of ``sf_dir`` with this code.
+
+    Each build writes its own sub-directory (``<star_dir>/<id>``), so two
+    processes building at once never overwrite each other's files; any
+    completed one (it has a manifest) can be reused.
+    """
     key = hashlib.sha1(os.path.realpath(sf_dir).encode()).hexdigest()[:10]
     return f"{shared_dir(spark)}/almacen-star/{key}-{_code_version()}"
 
 
+def find_completed(spark: SparkSession, prefix: str) -> str | None:
+    """A completed build below ``prefix`` (the first by name), or None."""
+    try:
+        found = (spark.read.parquet(f"{prefix}/*/manifest")
+                 .select(F.regexp_extract(F.input_file_name(), r"^(.*)/manifest/[^/]+$", 1).alias("b"))
+                 .distinct().orderBy("b").first())
+    except Exception:  # noqa: BLE001 - nothing built yet
+        return None
+    return found["b"] if found else None
+
+
 def _paths(base: str) -> dict[str, str]:
     p = {t: f"{base}/{t}" for t in TABLES}
     p.update(landing=f"{base}/landing_csv", tagged=f"{base}/staged_lines",
@@ -217,8 +235,10 @@ def pin(spark: SparkSession, sf_dir: str, built: Star | None) -> Star | None:
 
 def star(spark: SparkSession, sf_dir: str) -> Star:
     """The star for ``sf_dir``: reuse a completed build, else build it once."""
-    base = star_dir(spark, sf_dir)
-    key = (app_id(spark), base)
+    prefix = star_dir(spark, sf_dir)
+    key = (app_id(spark), prefix)
     if key not in _OPEN:
-        _OPEN[key] = load(spark, base) or build(spark, sf_dir, base)
+        done = find_completed(spark, prefix)
+        opened = load(spark, done) if done else None
+        _OPEN[key] = opened or build(spark, sf_dir, f"{prefix}/{uuid.uuid4().hex[:12]}")
     return _OPEN[key]
