@@ -19,6 +19,8 @@ products or fact lines. These helpers compute the same values in parallel:
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,10 +143,20 @@ def with_rank(df: DataFrame, value: str, name: str, descending: bool = True,
 # --- joins -------------------------------------------------------------------
 
 
+_UNITS = {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+
+def _bytes(text: str) -> int:
+    """Spark size string ('10485760b', '10MB', '1g', '-1') -> bytes (-1: disabled)."""
+    m = re.fullmatch(r"\s*(-?\d+)\s*([kmgt]?)(?:i?b)?\s*", str(text).lower())
+    if not m:
+        raise ValueError(f"not a size: {text!r}")
+    return int(m.group(1)) * _UNITS[m.group(2)]
+
+
 def max_broadcast_rows(spark, row_bytes: int) -> int:
     """How many rows of ``row_bytes`` fit the session's broadcast threshold."""
-    raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    threshold = int(str(raw).lower().rstrip("b").replace("k", "000").replace("m", "000000"))
+    threshold = _bytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760b"))
     return max(threshold, 0) // max(row_bytes, 1)
 
 
@@ -155,16 +167,19 @@ HOT_SAMPLE_SEED = 17
 def hot_keys(facts: DataFrame, key: str, parts: int) -> DataFrame:
     """Keys holding at least 1/(4*parts) of the rows, found on a 1% sample.
 
-    At most 4*parts keys can pass, so the result is a bounded broadcast.
-    Which keys count as hot only steers the join strategy, never its
-    result, so an approximate (sampled) answer is safe.
+    Returns ``__hk`` and ``__salts`` = ceil(share * parts): a key with a third
+    of the rows is spread over a third of the partitions. At most 4*parts
+    keys pass and the salts sum to at most 5*parts, so the result and the
+    dimension rows it replicates are a bounded broadcast. Which keys count as
+    hot only steers the join strategy, never its result, so a sampled answer
+    is safe.
     """
     sample = facts.select(F.col(key).alias("__hk")).sample(
         fraction=HOT_SAMPLE_FRACTION, seed=HOT_SAMPLE_SEED)
     counts = sample.groupBy("__hk").agg(F.count(F.lit(1)).alias("__n"))
-    total = sample.agg(F.count(F.lit(1))).scalar()
-    return counts.filter(F.col("__n") * (4 * parts) >= F.greatest(total, F.lit(4 * parts))) \
-        .select("__hk")
+    total = F.greatest(sample.agg(F.count(F.lit(1))).scalar(), F.lit(4 * parts))
+    return (counts.filter(F.col("__n") * (4 * parts) >= total)
+            .select("__hk", F.ceil(F.col("__n") * parts / total).cast("int").alias("__salts")))
 
 
 def lookup_join(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
@@ -175,10 +190,10 @@ def lookup_join(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
     * dimension small enough (checked row count x row width against the
       broadcast threshold): broadcast hash join, no shuffle of the facts;
     * otherwise a shuffle join, salted for hot keys: fact rows of a hot key
-      get a salt in [0, S) from a hash of the row, the dimension row of a
-      hot key is repeated S times, and the join runs on (key, salt). A key
-      holding a third of the facts is spread over S tasks; the facts are
-      read once.
+      get a salt in [0, S) from a hash of the row (S proportional to the
+      key's share), the dimension row of a hot key is repeated S times, and
+      the join runs on (key, salt). A key holding a third of the facts is
+      spread over a third of the tasks; the facts are read once.
     """
     spark = facts.sparkSession
 
@@ -189,9 +204,7 @@ def lookup_join(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
         d = F.broadcast(dim)
         return facts.join(d, _eq(facts[fact_key], d[dim_key]), how)
 
-    n = parallelism(spark)
-    hot = write_table(hot_keys(facts, fact_key, n).withColumn("__salts", F.lit(n)),
-                      scratch_path(spark, "hot-keys"))
+    hot = write_table(hot_keys(facts, fact_key, parallelism(spark)), scratch_path(spark, "hot-keys"))
     hot_b = F.broadcast(hot)                       # at most 4n rows
     salted_facts = (facts.join(hot_b, facts[fact_key].eqNullSafe(hot_b["__hk"]), "left")
                     .withColumn("__salt", F.when(F.col("__salts").isNotNull(),
