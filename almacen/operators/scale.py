@@ -164,7 +164,18 @@ HOT_SAMPLE_FRACTION = 0.01
 HOT_SAMPLE_SEED = 17
 
 
-def hot_keys(facts: DataFrame, key: str, parts: int) -> DataFrame:
+def key_sample(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """A written 1% sample of the join-key columns of ``facts``.
+
+    Taken once before a chain of joins, it lets every join find its hot keys
+    without re-running the joins before it.
+    """
+    spark = facts.sparkSession
+    sample = facts.select(*keys).sample(fraction=HOT_SAMPLE_FRACTION, seed=HOT_SAMPLE_SEED)
+    return write_table(sample, scratch_path(spark, "key-sample"))
+
+
+def hot_keys(facts: DataFrame, key: str, parts: int, sampled: bool = False) -> DataFrame:
     """Keys holding at least 1/(4*parts) of the rows, found on a 1% sample.
 
     Returns ``__hk`` and ``__salts`` = ceil(share * parts): a key with a third
@@ -174,8 +185,9 @@ def hot_keys(facts: DataFrame, key: str, parts: int) -> DataFrame:
     hot only steers the join strategy, never its result, so a sampled answer
     is safe.
     """
-    sample = facts.select(F.col(key).alias("__hk")).sample(
-        fraction=HOT_SAMPLE_FRACTION, seed=HOT_SAMPLE_SEED)
+    sample = facts.select(F.col(key).alias("__hk"))
+    if not sampled:
+        sample = sample.sample(fraction=HOT_SAMPLE_FRACTION, seed=HOT_SAMPLE_SEED)
     counts = sample.groupBy("__hk").agg(F.count(F.lit(1)).alias("__n"))
     total = F.greatest(sample.agg(F.count(F.lit(1))).scalar(), F.lit(4 * parts))
     return (counts.filter(F.col("__n") * (4 * parts) >= total)
@@ -184,7 +196,7 @@ def hot_keys(facts: DataFrame, key: str, parts: int) -> DataFrame:
 
 def lookup_join(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
                 dim_rows: int, row_bytes: int, null_safe: bool = False,
-                how: str = "left") -> DataFrame:
+                how: str = "left", sample: DataFrame | None = None) -> DataFrame:
     """Join facts to a dimension whose key is unique.
 
     * dimension small enough (checked row count x row width against the
@@ -194,6 +206,9 @@ def lookup_join(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
       key's share), the dimension row of a hot key is repeated S times, and
       the join runs on (key, salt). A key holding a third of the facts is
       spread over a third of the tasks; the facts are read once.
+
+    ``sample`` (from :func:`key_sample`) supplies the key sample when
+    ``facts`` is itself the output of earlier joins.
     """
     spark = facts.sparkSession
 
@@ -204,7 +219,9 @@ def lookup_join(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
         d = F.broadcast(dim)
         return facts.join(d, _eq(facts[fact_key], d[dim_key]), how)
 
-    hot = write_table(hot_keys(facts, fact_key, parallelism(spark)), scratch_path(spark, "hot-keys"))
+    hot = (hot_keys(sample, fact_key, parallelism(spark), sampled=True) if sample is not None
+           else hot_keys(facts, fact_key, parallelism(spark)))
+    hot = write_table(hot, scratch_path(spark, "hot-keys"))
     hot_b = F.broadcast(hot)                       # at most 4n rows
     salted_facts = (facts.join(hot_b, facts[fact_key].eqNullSafe(hot_b["__hk"]), "left")
                     .withColumn("__salt", F.when(F.col("__salts").isNotNull(),
