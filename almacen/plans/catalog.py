@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import audit, profile
 from ..operators import clean as clean_ops
 from ..operators import dims as dim_ops
+from ..operators import fact as fact_ops
 from ..plans import queries
 from ..plans.warehouse import Star, star
 
@@ -67,6 +68,10 @@ def _etl(s: Star) -> dict[str, Callable[[], DataFrame]]:
         "fact_ventas": lambda: s.fact.drop("anio").withColumn(
             "precio_unitario", F.col("precio_unitario").cast("double")).withColumn(
             "total_linea", F.col("total_linea").cast("double")),
+        "net_revenue": lambda: fact_ops.net_revenue(s.fact).select(
+            F.col("revenue").cast("double").alias("revenue")),
+        "layout": lambda: s.fact.groupBy(F.col("anio").cast("int").alias("anio")).agg(
+            F.count(F.lit(1)).alias("lines")),
         "warehouse_summary": lambda: profile.warehouse_summary(
             {k: (v.drop("anio") if k == "fact_ventas" else v) for k, v in t.items()}),
         # audits
@@ -78,10 +83,17 @@ def _etl(s: Star) -> dict[str, Callable[[], DataFrame]]:
 
 
 ETL_NAMES = [
+    # sources and raw-feed profile
     "csv_scan", "null_profile", "dup_count", "cancel_count", "neg_qty_count", "zero_price_count",
-    "irregular_codes", "country_counts", "multi_country_customers", "staged_lines",
-    "clean_lines", "cleaning_ledger", "dim_fecha", "dim_cliente", "dim_cliente_documented",
-    "modal_description", "median_price", "dim_producto", "dim_geografia", "dim_distribution", "fact_ventas", "warehouse_summary",
+    "irregular_codes", "country_counts", "multi_country_customers",
+    # standardise and clean
+    "staged_lines", "clean_lines", "cleaning_ledger",
+    # dimensions
+    "dim_fecha", "dim_cliente", "dim_cliente_documented", "modal_description", "median_price",
+    "dim_producto", "dim_geografia", "dim_distribution",
+    # fact, load and layout
+    "fact_ventas", "net_revenue", "layout", "warehouse_summary",
+    # audits
     "audit_pk", "audit_notnull", "audit_fk", "audit_bounds",
 ]
 

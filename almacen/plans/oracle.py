@@ -283,6 +283,10 @@ BODIES: dict[str, str] = {
     "fact_ventas": "SELECT ventas_id, invoice_number, fecha_id, hora_venta, cliente_id, producto_id, "
                    "geografia_id, cantidad, CAST(precio_unitario AS DOUBLE) AS precio_unitario, "
                    "CAST(total_linea AS DOUBLE) AS total_linea, is_cancelled FROM fact_ventas",
+    "net_revenue": f"SELECT CAST(sum(CASE WHEN {NONC} THEN total_linea END) AS DOUBLE) AS revenue "
+                   "FROM fact_ventas",
+    "layout": "SELECT CAST(year(fecha_completa) AS INTEGER) AS anio, count(*) AS lines "
+              "FROM fact_ventas JOIN dim_fecha USING (fecha_id) GROUP BY 1",
     "warehouse_summary": " UNION ALL ".join(
         f"SELECT {_q(t)} AS metric, CAST(count(*) AS DOUBLE) AS value FROM {t}"
         for t in ["dim_fecha", "dim_cliente", "dim_producto", "dim_geografia", "fact_ventas"])

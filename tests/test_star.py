@@ -54,3 +54,11 @@ def test_sql_views_agree_with_dataframe_plans(spark, star):
         "JOIN t_dim_fecha d USING (fecha_id) WHERE f.is_cancelled = 0 GROUP BY d.anio").collect()}
     by_df = {r["anio"]: r["revenue"] for r in queries.q02_yoy(star).collect()}
     assert by_sql == by_df
+
+
+def test_written_tables_have_declared_schemas(star):
+    from almacen.sources.sinks import SCHEMAS
+    for name, schema in SCHEMAS.items():
+        df = star[name].drop("anio") if name == "fact_ventas" else star[name]
+        got = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+        assert got == [(f.name, f.dataType.simpleString()) for f in schema.fields], name
