@@ -1,7 +1,9 @@
 """The batch build: raw feed -> landing CSV -> staged lines -> star schema.
 
 Every stage boundary is a table written to shared storage (below
-``spark.checkpoint.dir``): the landing CSV, the tagged de-duplicated lines,
+``spark.checkpoint.dir``): the landing CSV, the raw feed as parsed from it
+(Parquet, so the CSV is parsed once and profiles read only the columns they
+need), the tagged de-duplicated lines,
 each dimension and the fact. Builders that read a table several times (the
 four dimensions and the fact all read the clean lines) read files instead of
 recomputing the de-duplication, and a lost executor only costs the tasks of
@@ -41,7 +43,7 @@ TABLES = ["dim_fecha", "dim_cliente", "dim_producto", "dim_geografia", "fact_ven
 @dataclass
 class Star:
     base: str
-    landing: DataFrame                 # raw feed as read from CSV (8 strings)
+    landing: DataFrame                 # raw feed as parsed from CSV (8 strings, Parquet copy)
     tagged: DataFrame                  # de-duplicated staged lines + removal rule
     tables: dict[str, DataFrame] = field(default_factory=dict)
     quarantine: DataFrame | None = None
@@ -123,7 +125,7 @@ def find_completed(spark: SparkSession, prefix: str) -> str | None:
 
 def _paths(base: str) -> dict[str, str]:
     p = {t: f"{base}/{t}" for t in TABLES}
-    p.update(landing=f"{base}/landing_csv", tagged=f"{base}/staged_lines",
+    p.update(landing=f"{base}/landing_csv", raw=f"{base}/raw_lines", tagged=f"{base}/staged_lines",
              quarantine=f"{base}/fact_ventas_quarantine", manifest=f"{base}/manifest")
     return p
 
@@ -160,7 +162,8 @@ def build(spark: SparkSession, sf_dir: str | None, base: str | None = None,
     # source system's input format); existing CSV files are read in place.
     if not landing_path:
         write_csv(raw if raw is not None else derived_feed(spark, sf_dir), p["landing"])
-    landing = csv_scan(spark, p["landing"])
+    # Parse the CSV once; staging and every profile read the columnar copy.
+    landing = write_table(csv_scan(spark, p["landing"]), p["raw"])
     clock("land_csv")
 
     # T1-T12: stage, de-duplicate and tag each line with its removal rule.
@@ -206,10 +209,9 @@ def load(spark: SparkSession, base: str) -> Star | None:
     except Exception:  # noqa: BLE001 - missing or incomplete build
         return None
     rows = {r["table_name"]: int(r["row_count"]) for r in manifest}
-    landing = next((r["landing"] for r in manifest if r["landing"]), p["landing"])
     tables = {t: spark.read.parquet(p[t]) for t in TABLES}
     tables["fact_ventas"] = tables["fact_ventas"].select(*fact_ops.FACT_COLUMNS, "anio")
-    return Star(base=base, landing=csv_scan(spark, landing),
+    return Star(base=base, landing=spark.read.parquet(p["raw"]),
                 tagged=spark.read.parquet(p["tagged"]), tables=tables,
                 quarantine=spark.read.parquet(p["quarantine"]), rows=rows)
 
