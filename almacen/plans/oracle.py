@@ -230,6 +230,15 @@ _NN = {
 _FK = [("fecha_id", "dim_fecha"), ("cliente_id", "dim_cliente"), ("producto_id", "dim_producto"),
        ("geografia_id", "dim_geografia")]
 
+def _typed_as_read(c: str) -> str:
+    """Raw column as the source's reader types it: numeric if every value parses."""
+    if c not in ("Quantity", "Price"):
+        return f'"{c}"'
+    all_num = (f'(SELECT count(*) FILTER (WHERE "{c}" IS NOT NULL AND TRY_CAST("{c}" AS DOUBLE) IS NULL) '
+               f'= 0 FROM raw)')
+    return f'CASE WHEN {all_num} THEN CAST(TRY_CAST("{c}" AS DOUBLE) AS VARCHAR) ELSE "{c}" END'
+
+
 _RFM_CASE = "CASE " + " ".join(f"WHEN s >= {t} THEN {_q(n)}" for t, n in fixed.RFM_LABELS) + \
     f" ELSE {_q(fixed.RFM_LABEL_REST)} END"
 
@@ -238,8 +247,8 @@ BODIES: dict[str, str] = {
     "csv_scan": "SELECT * FROM raw",
     "null_profile": _null_profile(),
     "dup_count": "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates FROM "
-                 "(SELECT count(*) AS n FROM raw GROUP BY ALL)".replace(
-                     "GROUP BY ALL", "GROUP BY " + ", ".join(f'"{c}"' for c in _RAW_COLS)),
+                 "(SELECT count(*) AS n FROM raw GROUP BY " + ", ".join(
+                     _typed_as_read(c) for c in _RAW_COLS) + ")",
     "cancel_count": "SELECT CAST(count(*) FILTER (WHERE starts_with(\"Invoice\", 'C')) AS BIGINT) "
                     "AS cancelled_lines FROM raw",
     "neg_qty_count": "SELECT CAST(count(*) FILTER (WHERE TRY_CAST(\"Quantity\" AS DOUBLE) < 0) AS BIGINT) "

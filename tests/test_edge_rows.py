@@ -130,3 +130,14 @@ def test_build_from_existing_csv(spark, scratch, tagged):
     assert s.rows["quarantine"] == 2                      # E07 NULL price, E08 NULL quantity
     again = warehouse.load(spark, s.base)
     assert again.landing.count() == len(ROWS) and again.rows == s.rows
+
+
+def test_duplicates_compare_inferred_columns_as_read(spark):
+    from almacen.operators.profile import duplicate_count
+    schema = ", ".join(f"`{c}` string" for c in fixed.RAW_COLUMNS)
+    a = row("500001", price="6.95")
+    b = row("500001", price="6.950")            # same number, other text
+    numeric = spark.createDataFrame([a, b], schema)
+    assert duplicate_count(numeric).first()["duplicates"] == 1
+    mixed = spark.createDataFrame([a, b, row("500002", price="abc")], schema)
+    assert duplicate_count(mixed).first()["duplicates"] == 0   # Price stays text
