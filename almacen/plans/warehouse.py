@@ -172,28 +172,33 @@ def build(spark: SparkSession, sf_dir: str | None, base: str | None = None,
     clock("stage_dedup_tag")
 
     # Dimensions: four independent jobs, submitted concurrently so their
-    # (small) stages share the executors instead of running one by one.
+    # (small) stages share the executors instead of running one by one. The
+    # fact's line numbering needs no dimension and runs alongside them.
     builders = [("dim_fecha", dim_ops.dim_fecha), ("dim_cliente", dim_ops.dim_cliente),
                 ("dim_producto", dim_ops.dim_producto), ("dim_geografia", dim_ops.dim_geografia)]
+    loadable, bad = fact_ops.split_loadable(clean)
+
     def _build_one(name, builder):
         # Builders run jobs themselves (surrogate-key numbering), so the
         # whole builder runs in the worker thread, not just the final write.
         return sinks.write_dim(builder(clean), name, p[name])
 
-    with ThreadPoolExecutor(max_workers=len(builders)) as pool:
+    with ThreadPoolExecutor(max_workers=len(builders) + 1) as pool:
+        numbering = pool.submit(fact_ops.number_lines, loadable)
         futures = {name: pool.submit(_build_one, name, builder) for name, builder in builders}
         tables: dict[str, DataFrame] = {name: f.result() for name, f in futures.items()}
-    clock("dimensions")
+        numbered = numbering.result()
+    clock("dims_and_fact_numbering")
     rows = {t: df.count() for t, df in tables.items()}
 
     # Fact: conform, route NOT NULL violators to quarantine, lay out by year.
-    loadable, bad = fact_ops.split_loadable(clean)
-    fact = sinks.conform(fact_ops.fact_ventas(loadable, tables, rows), "fact_ventas", keep=("anio",))
+    fact = sinks.conform(fact_ops.fact_ventas(loadable, tables, rows, numbered=numbered),
+                         "fact_ventas", keep=("anio",))
     tables["fact_ventas"] = sinks.write_fact(fact, p["fact_ventas"])
     quarantine = write_table(bad, p["quarantine"])
     rows["fact_ventas"] = tables["fact_ventas"].count()
     rows["quarantine"] = quarantine.count()
-    clock("fact_ventas")
+    clock("fact_keys_and_write")
 
     # Manifest last: its presence marks a complete build.
     sinks.write_manifest(spark, rows, p["manifest"], landing=p["landing"])
