@@ -25,15 +25,6 @@ def strip_ws(c: Column) -> Column:
     return F.trim(c, F.lit(WHITESPACE))
 
 
-def not_true(cond: Column) -> Column:
-    """Negation that keeps rows whose condition is NULL.
-
-    ``~cond`` drops NULL rows in SQL; the source's filters keep them
-    (a comparison with NaN is False there), so negate ``coalesce(cond, False)``.
-    """
-    return ~F.coalesce(cond, F.lit(False))
-
-
 def null_tokens(c: Column) -> Column:
     """Map CSV missing-value tokens to NULL."""
     return F.when(c.isin(fixed.CSV_NULL_TOKENS), F.lit(None)).otherwise(c)
@@ -107,7 +98,3 @@ def money(c: Column) -> Column:
     """Exact DECIMAL amount presented as DOUBLE."""
     return c.cast("double")
 
-
-def revenue_of(total: Column, cancelled: Column) -> Column:
-    """Line revenue that counts towards net sales (non-cancelled lines)."""
-    return F.when(cancelled == 0, total)
