@@ -141,3 +141,28 @@ def test_duplicates_compare_inferred_columns_as_read(spark):
     assert duplicate_count(numeric).first()["duplicates"] == 1
     mixed = spark.createDataFrame([a, b, row("500002", price="abc")], schema)
     assert duplicate_count(mixed).first()["duplicates"] == 0   # Price stays text
+
+
+def test_null_and_unmapped_keys_in_the_star(spark, scratch):
+    """E16 (NULL stock code) and E17 (unmapped country) through the whole build."""
+    import csv
+    import os
+
+    from almacen.operators import audit
+    from almacen.plans import warehouse
+    path = scratch("edge-csv-2")
+    os.makedirs(path, exist_ok=True)
+    with open(os.path.join(path, "part-0.csv"), "w", newline="", encoding="utf-8") as fh:
+        w = csv.writer(fh)
+        w.writerow(fixed.RAW_COLUMNS)
+        w.writerows(r for r in ROWS if r[0] not in ("500007", "500008"))   # no quarantine rows
+    s = warehouse.build_from_csv(spark, path, base=scratch("edge-star"))
+    geo = {r["country"]: r["region"] for r in s["dim_geografia"].collect()}
+    assert geo["Atlantis"] == "Otros" and geo["United Kingdom"] == "Europa Occidental"
+    null_code = s["dim_producto"].filter(F.col("stock_code").isNull()).collect()
+    assert len(null_code) == 1
+    assert null_code[0]["descripcion"] == "SIN DESCRIPCION" and float(null_code[0]["precio_referencia"]) == 0
+    assert s.fact.filter(F.col("producto_id") == null_code[0]["producto_id"]).count() == 1
+    nn = {r["table_name"]: r["violations"] for r in audit.audit_notnull(s.tables).collect()}
+    assert nn["dim_producto"] == 1 and nn["fact_ventas"] == 0
+    assert audit.audit_fk(s.tables).agg(F.sum("violations")).first()[0] == 0
