@@ -38,6 +38,23 @@ def _rows(cols, rows, digits=None):
     return Counter(tuple(_norm(r[i], digits) for i in order) for r in rows)
 
 
+_SPARK_TYPES = {"tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64",
+                "double": "float64", "float": "float32", "string": "text", "boolean": "bool",
+                "date": "date", "timestamp": "timestamp", "timestamp_ntz": "timestamp"}
+_DUCK_TYPES = {"TINYINT": "int8", "SMALLINT": "int16", "INTEGER": "int32", "BIGINT": "int64",
+               "DOUBLE": "float64", "FLOAT": "float32", "VARCHAR": "text", "BOOLEAN": "bool",
+               "DATE": "date", "TIMESTAMP": "timestamp"}
+
+
+def spark_types(df):
+    return {f.name: _SPARK_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
+            for f in df.schema.fields}
+
+
+def duck_types(cur):
+    return {c[0]: _DUCK_TYPES.get(str(c[1]), str(c[1])) for c in cur.description}
+
+
 def duck(sf_dir):
     import duckdb
     con = duckdb.connect()
@@ -70,11 +87,15 @@ def main(argv):
         d_cols = [c[0] for c in cur.description]
         d_rows = cur.fetchall()
         same_cols = sorted(s_cols) == sorted(d_cols)
+        st, dtp = spark_types(df), duck_types(cur)
+        type_diff = {c: (st[c], dtp.get(c)) for c in st if st[c] != dtp.get(c)}
         exact = same_cols and _rows(s_cols, s_rows) == _rows(d_cols, d_rows)
         loose = same_cols and _rows(s_cols, s_rows, 6) == _rows(d_cols, d_rows, 6)
         status = "OK" if exact else ("~OK(float)" if loose else "MISMATCH")
         print(f"{name:26s} rows={len(s_rows):6d}/{len(d_rows):6d} cols={'ok' if same_cols else 'DIFF'} "
-              f"{status} {t1 - t0:.1f}s", flush=True)
+              f"types={'ok' if not type_diff else type_diff} {status} {t1 - t0:.1f}s", flush=True)
+        if type_diff:
+            bad.append(name + ":types")
         if not exact:
             bad.append(name)
             if not same_cols:

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from oracle_check import _rows, duck
+from oracle_check import _rows, duck, duck_types, spark_types
 
 SF = "/root/testdata/sf0.001"
 NAMES = sorted(entry.queries())
@@ -31,5 +31,6 @@ def test_query_matches_oracle(spark, con, name):
     d_cols = [c[0] for c in cur.description]
     d_rows = cur.fetchall()
     assert sorted(s_cols) == sorted(d_cols)
+    assert spark_types(df) == duck_types(cur)
     assert len(s_rows) == len(d_rows)
     assert _rows(s_cols, s_rows) == _rows(d_cols, d_rows)
