@@ -1,7 +1,9 @@
-"""Command line: build the warehouse from raw CSV and print its summary.
+"""Command line: build the warehouse, then ask it questions.
 
     python -m almacen build --csv /data/online_retail.csv --out /warehouse/retail
     python -m almacen build --tables /root/testdata/sf0.01 --out /tmp/wh
+    python -m almacen query --star /tmp/wh q01_kpis
+    python -m almacen query --star /tmp/wh --sql "SELECT segmento, count(*) AS n FROM dim_cliente GROUP BY 1"
 
 ``--csv`` reads existing raw CSV files; ``--tables`` derives the raw feed
 from the TPC-H-style driver tables first. Runs on whatever master
@@ -27,7 +29,16 @@ def main(argv: list[str] | None = None) -> int:
     src.add_argument("--tables", help="directory of driver tables (*.parquet)")
     b.add_argument("--out", required=True, help="output directory for the star")
     b.add_argument("--master", default="local[*]")
+    q = sub.add_parser("query", help="run a named question or SQL over a built star")
+    q.add_argument("--star", required=True, help="directory written by `build`")
+    q.add_argument("--sql", help="SQL over the views dim_fecha, dim_cliente, dim_producto, "
+                                 "dim_geografia, fact_ventas")
+    q.add_argument("name", nargs="?", help="question name, e.g. q01_kpis (see plans.queries)")
+    q.add_argument("--rows", type=int, default=50, help="rows to show")
+    q.add_argument("--master", default="local[*]")
     args = ap.parse_args(argv)
+    if args.cmd == "query":
+        return _query(args)
 
     spark = build_session(master=args.master, app="almacen-build")
     steps: dict[str, float] = {}
@@ -42,5 +53,23 @@ def main(argv: list[str] | None = None) -> int:
     return 0
 
 
+def _query(args) -> int:
+    from .plans import queries
+    spark = build_session(master=args.master, app="almacen-query")
+    star = warehouse.load(spark, args.star)
+    if star is None:
+        raise SystemExit(f"no completed build at {args.star}")
+    if args.sql:
+        star.register_views(spark)
+        df = spark.sql(args.sql)
+    elif args.name in queries.ANALYTIC:
+        df = queries.ANALYTIC[args.name](star)
+    else:
+        raise SystemExit(f"unknown question {args.name!r}; one of: {', '.join(queries.ANALYTIC)}")
+    df.show(args.rows, truncate=False)
+    spark.stop()
+    return 0
+
+
 if __name__ == "__main__":
     raise SystemExit(main())
