@@ -20,12 +20,15 @@ parallel helpers in :mod:`operators.scale`.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import money, pct, ratio, round2
 from ..operators.scale import lookup_join, with_ntile, with_rank, with_running_sum
+from ..session import scratch_path, write_table
 from .warehouse import Star
 
 def _nonc() -> Column:
@@ -354,20 +357,41 @@ def q20_rfm(star: Star) -> DataFrame:
 
     Recency = days from the customer's last order to the last order date
     overall, plus one. R tiles by recency descending (most recent -> 5),
-    F and M ascending; ties broken by customer id. The three NTILEs run
-    in parallel over customers (see ``with_ntile``).
+    F and M ascending; ties broken by customer id.
+
+    The per-customer measures are written once; each NTILE then runs over a
+    narrow (customer, measure) projection with the parallel ``with_ntile``,
+    the three concurrently, and the scores are attached by size-checked
+    lookups on the customer key.
     """
+    spark = star.fact.sparkSession
     per = (star.fact.filter(_nonc() & known(star)).groupBy("cliente_id").agg(
         F.max("fecha_id").alias("last_fid"),
         F.count_distinct("invoice_number").alias("frequency"),
         F.sum("total_linea").alias("monetary")))
     per = _with_dates(star, per.withColumnRenamed("last_fid", "fecha_id"), "fecha_completa")
     ref = per.agg(F.max("fecha_completa")).scalar()
-    per = per.withColumn("recency_days", (F.datediff(ref, F.col("fecha_completa")) + 1).cast("bigint"))
+    per = per.select("cliente_id", "frequency", "monetary", (
+        F.datediff(ref, F.col("fecha_completa")) + 1).cast("bigint").alias("recency_days"))
+    per = write_table(per, scratch_path(spark, "rfm-measures"))
+    customers = per.count()
+
     n = fixed.RFM_BUCKETS
-    per = with_ntile(per, [F.col("recency_days").desc(), F.col("cliente_id")], n, "r_score")
-    per = with_ntile(per, [F.col("frequency"), F.col("cliente_id")], n, "f_score")
-    per = with_ntile(per, [F.col("monetary"), F.col("cliente_id")], n, "m_score")
+    specs = [("r_score", "recency_days", F.col("recency_days").desc()),
+             ("f_score", "frequency", F.col("frequency")),
+             ("m_score", "monetary", F.col("monetary"))]
+
+    def tile(spec):
+        name, measure, order = spec
+        return with_ntile(per.select("cliente_id", measure), [order, F.col("cliente_id")], n, name) \
+            .select(F.col("cliente_id").alias(f"__c_{name}"), name)
+
+    with ThreadPoolExecutor(max_workers=len(specs)) as pool:
+        scores = list(pool.map(tile, specs))
+    for (name, _, _), sc in zip(specs, scores):
+        per = lookup_join(per, sc, "cliente_id", f"__c_{name}", customers, 16, how="inner") \
+            .drop(f"__c_{name}")
+
     score = F.col("r_score") + F.col("f_score") + F.col("m_score")
     label = F.lit(fixed.RFM_LABEL_REST)
     for threshold, name in reversed(fixed.RFM_LABELS):
