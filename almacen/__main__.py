@@ -1,6 +1,6 @@
 """Command line: build the warehouse, then ask it questions.
 
-    python -m almacen build --csv /data/online_retail.csv --out /warehouse/retail
+    python -m almacen build --csv /data/invoice_lines.csv --out /warehouse/retail
     python -m almacen build --tables /root/testdata/sf0.01 --out /tmp/wh
     python -m almacen query --star /tmp/wh q01_kpis
     python -m almacen query --star /tmp/wh --sql "SELECT segmento, count(*) AS n FROM dim_cliente GROUP BY 1"
