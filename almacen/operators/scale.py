@@ -36,14 +36,14 @@ def _order_cols(order: list) -> list[Column]:
 
 
 def _ranged(df: DataFrame, order: list, num_partitions: int | None, name: str,
-            materialize_input: bool = False) -> DataFrame:
+            materialize_input: bool = False, workdir: str | None = None) -> DataFrame:
     spark = df.sparkSession
     if materialize_input:
         # Range partitioning samples its input, then shuffles it: two passes.
         # With AQE an aggregate below is already its own materialized query
         # stage, so both passes read its shuffle output; writing the input
         # first only pays off for an expensive plan without such a boundary.
-        df = write_table(df, scratch_path(spark, f"input-{name}"))
+        df = write_table(df, scratch_path(spark, f"input-{name}", workdir))
     cols = _order_cols(order)
     # Without an explicit count, AQE coalesces adjacent ranges to its
     # advisory partition size; coalesced partitions stay contiguous and in
@@ -55,7 +55,7 @@ def _ranged(df: DataFrame, order: list, num_partitions: int | None, name: str,
               .withColumn(_PID, F.spark_partition_id())
               .withColumn(_POS, F.monotonically_increasing_id()
                           - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-    return write_table(tagged, scratch_path(spark, f"ranked-{name}"))
+    return write_table(tagged, scratch_path(spark, f"ranked-{name}", workdir))
 
 
 def _prefix(per_part: DataFrame, value: str, out: str) -> DataFrame:
@@ -67,13 +67,14 @@ def _prefix(per_part: DataFrame, value: str, out: str) -> DataFrame:
 def with_row_number(df: DataFrame, order: list, name: str = "rn",
                     num_partitions: int | None = None,
                     materialize_input: bool = False,
-                    total_name: str | None = None) -> DataFrame:
+                    total_name: str | None = None,
+                    workdir: str | None = None) -> DataFrame:
     """Add a gapless 1..n ``name`` following ``order`` (must be a total order).
 
     ``total_name`` also adds the row count n (taken from the per-partition
     counts, so it costs no extra pass).
     """
-    staged = _ranged(df, order, num_partitions, name, materialize_input)
+    staged = _ranged(df, order, num_partitions, name, materialize_input, workdir)
     counts = staged.groupBy(_PID).agg(F.count(F.lit(1)).alias("__cnt"))
     offsets = _prefix(counts, "__cnt", _OFF)
     if total_name:
@@ -86,13 +87,14 @@ def with_row_number(df: DataFrame, order: list, name: str = "rn",
 
 def with_running_sum(df: DataFrame, order: list, value: str, name: str,
                      rn_name: str | None = None,
-                     num_partitions: int | None = None) -> DataFrame:
+                     num_partitions: int | None = None,
+                     workdir: str | None = None) -> DataFrame:
     """Add the inclusive running sum of ``value`` along ``order`` (a total order).
 
     The in-partition cumulative sum is a window partitioned by the range
     partition id, so it runs in parallel, one range per task.
     """
-    staged = _ranged(df, order, num_partitions, name)
+    staged = _ranged(df, order, num_partitions, name, workdir=workdir)
     sums = staged.groupBy(_PID).agg(F.sum(value).alias("__sum"), F.count(F.lit(1)).alias("__cnt"))
     offsets = _prefix(sums, "__sum", _OFF).join(_prefix(sums, "__cnt", "__offn"), _PID)
     local = Window.partitionBy(_PID).orderBy(_POS).rowsBetween(Window.unboundedPreceding, 0)
@@ -115,15 +117,16 @@ def ntile_of(rn: Column, n: Column, buckets: int) -> Column:
         m + F.ceil((rn - big) / q)).cast("long")
 
 
-def with_ntile(df: DataFrame, order: list, buckets: int, name: str) -> DataFrame:
+def with_ntile(df: DataFrame, order: list, buckets: int, name: str,
+               workdir: str | None = None) -> DataFrame:
     """Add NTILE(buckets) over ``order`` (a total order), computed in parallel."""
-    numbered = with_row_number(df, order, "__rn", total_name="__n")
+    numbered = with_row_number(df, order, "__rn", total_name="__n", workdir=workdir)
     return (numbered.withColumn(name, ntile_of(F.col("__rn"), F.col("__n"), buckets))
             .drop("__rn", "__n"))
 
 
 def with_rank(df: DataFrame, value: str, name: str, descending: bool = True,
-              tiebreak: list | None = None) -> DataFrame:
+              tiebreak: list | None = None, workdir: str | None = None) -> DataFrame:
     """SQL RANK() over ``value`` (ties share the lowest row number), in parallel.
 
     Row numbers come from :func:`with_row_number`; the rank of a value is the
@@ -133,11 +136,11 @@ def with_rank(df: DataFrame, value: str, name: str, descending: bool = True,
     """
     spark = df.sparkSession
     key = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_first()
-    numbered = with_row_number(df, [key] + list(tiebreak or []), "__rn")
+    numbered = with_row_number(df, [key] + list(tiebreak or []), "__rn", workdir=workdir)
     first = write_table(numbered.groupBy(F.col(value).alias("__v")).agg(F.min("__rn").alias(name)),
-                        scratch_path(spark, f"rank-{name}"))
+                        scratch_path(spark, f"rank-{name}", workdir))
     return lookup_join(numbered, first, value, "__v", first.count(), 32, null_safe=True,
-                       how="inner").drop("__v", "__rn")
+                       how="inner", workdir=workdir).drop("__v", "__rn")
 
 
 # --- joins -------------------------------------------------------------------
@@ -164,7 +167,7 @@ HOT_SAMPLE_FRACTION = 0.01
 HOT_SAMPLE_SEED = 17
 
 
-def key_sample(facts: DataFrame, keys: list[str]) -> DataFrame:
+def key_sample(facts: DataFrame, keys: list[str], workdir: str | None = None) -> DataFrame:
     """A written 1% sample of the join-key columns of ``facts``.
 
     Taken once before a chain of joins, it lets every join find its hot keys
@@ -172,7 +175,7 @@ def key_sample(facts: DataFrame, keys: list[str]) -> DataFrame:
     """
     spark = facts.sparkSession
     sample = facts.select(*keys).sample(fraction=HOT_SAMPLE_FRACTION, seed=HOT_SAMPLE_SEED)
-    return write_table(sample, scratch_path(spark, "key-sample"))
+    return write_table(sample, scratch_path(spark, "key-sample", workdir))
 
 
 def hot_keys(facts: DataFrame, key: str, parts: int, sampled: bool = False) -> DataFrame:
@@ -196,7 +199,8 @@ def hot_keys(facts: DataFrame, key: str, parts: int, sampled: bool = False) -> D
 
 def lookup_join(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
                 dim_rows: int, row_bytes: int, null_safe: bool = False,
-                how: str = "left", sample: DataFrame | None = None) -> DataFrame:
+                how: str = "left", sample: DataFrame | None = None,
+                workdir: str | None = None) -> DataFrame:
     """Join facts to a dimension whose key is unique.
 
     * dimension small enough (checked row count x row width against the
@@ -221,7 +225,7 @@ def lookup_join(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
 
     hot = (hot_keys(sample, fact_key, parallelism(spark), sampled=True) if sample is not None
            else hot_keys(facts, fact_key, parallelism(spark)))
-    hot = write_table(hot, scratch_path(spark, "hot-keys"))
+    hot = write_table(hot, scratch_path(spark, "hot-keys", workdir))
     hot_b = F.broadcast(hot)                       # at most 4n rows
     salted_facts = (facts.join(hot_b, facts[fact_key].eqNullSafe(hot_b["__hk"]), "left")
                     .withColumn("__salt", F.when(F.col("__salts").isNotNull(),

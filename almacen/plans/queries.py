@@ -62,12 +62,13 @@ def _with_dates(star: Star, df: DataFrame, *cols: str) -> DataFrame:
     d = _dim(star, "dim_fecha", "fecha_id", *cols)
     df = df.drop(*[c for c in cols if c in df.columns])
     return lookup_join(df, d.withColumnRenamed("fecha_id", "__fid"), "fecha_id", "__fid",
-                       star.rows["dim_fecha"], 96, how="inner").drop("__fid")
+                       star.rows["dim_fecha"], 96, how="inner", workdir=star.scratch).drop("__fid")
 
 
 def _join_dim(star: Star, df: DataFrame, name: str, key: str, *cols: str) -> DataFrame:
     d = _dim(star, name, key, *cols).withColumnRenamed(key, "__k")
-    return lookup_join(df, d, key, "__k", star.rows[name], 160, how="inner").drop("__k")
+    return lookup_join(df, d, key, "__k", star.rows[name], 160, how="inner",
+                       workdir=star.scratch).drop("__k")
 
 
 # --- Group 1: global KPIs ----------------------------------------------------
@@ -244,7 +245,8 @@ def _product_sales(star: Star) -> DataFrame:
 
 def q13_top_products(star: Star) -> DataFrame:
     """Top 10 products by revenue, with their rank by units as well (double RANK)."""
-    ranked = with_rank(_product_sales(star), "units", "units_rank")   # over all products
+    ranked = with_rank(_product_sales(star), "units", "units_rank",   # over all products
+                       workdir=star.scratch)
     w = Window.orderBy(F.col("rev").desc())
     top = ranked.withColumn("revenue_rank", F.rank().over(w)).filter(F.col("revenue_rank") <= 10)
     top = _join_dim(star, top, "dim_producto", "producto_id", "stock_code", "descripcion")
@@ -279,7 +281,7 @@ def q15_pareto(star: Star) -> DataFrame:
     sales = _product_sales(star).select("producto_id", "rev")
     total = sales.agg(F.sum("rev")).scalar()
     cum = with_running_sum(sales, [F.col("rev").desc(), F.col("producto_id")], "rev", "cum",
-                           rn_name="rank")
+                           rn_name="rank", workdir=star.scratch)
     kept = cum.filter((F.col("cum") - F.col("rev")) * 5 < total * 4)
     kept = _join_dim(star, kept, "dim_producto", "producto_id", "stock_code")
     return kept.select(
@@ -373,7 +375,7 @@ def q20_rfm(star: Star) -> DataFrame:
     ref = per.agg(F.max("fecha_completa")).scalar()
     per = per.select("cliente_id", "frequency", "monetary", (
         F.datediff(ref, F.col("fecha_completa")) + 1).cast("bigint").alias("recency_days"))
-    per = write_table(per, scratch_path(spark, "rfm-measures"))
+    per = write_table(per, scratch_path(spark, "rfm-measures", star.scratch))
     customers = per.count()
 
     n = fixed.RFM_BUCKETS
@@ -383,13 +385,15 @@ def q20_rfm(star: Star) -> DataFrame:
 
     def tile(spec):
         name, measure, order = spec
-        return with_ntile(per.select("cliente_id", measure), [order, F.col("cliente_id")], n, name) \
+        return with_ntile(per.select("cliente_id", measure), [order, F.col("cliente_id")], n, name,
+                          workdir=star.scratch) \
             .select(F.col("cliente_id").alias(f"__c_{name}"), name)
 
     with ThreadPoolExecutor(max_workers=len(specs)) as pool:
         scores = list(pool.map(tile, specs))
     for (name, _, _), sc in zip(specs, scores):
-        per = lookup_join(per, sc, "cliente_id", f"__c_{name}", customers, 16, how="inner") \
+        per = lookup_join(per, sc, "cliente_id", f"__c_{name}", customers, 16, how="inner",
+                          workdir=star.scratch) \
             .drop(f"__c_{name}")
 
     score = F.col("r_score") + F.col("f_score") + F.col("m_score")

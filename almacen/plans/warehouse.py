@@ -62,6 +62,11 @@ class Star:
     def fact(self) -> DataFrame:
         return self.tables["fact_ventas"]
 
+    @property
+    def scratch(self) -> str:
+        """Folder for intermediates of queries on this build (inside the build)."""
+        return f"{self.base}/_scratch"
+
     @property
     def unknown_key(self) -> int | None:
         """Surrogate key of the anonymous (UNKNOWN) customer, read once per build."""
@@ -126,6 +131,7 @@ def find_completed(spark: SparkSession, prefix: str) -> str | None:
 def _paths(base: str) -> dict[str, str]:
     p = {t: f"{base}/{t}" for t in TABLES}
     p.update(landing=f"{base}/landing_csv", raw=f"{base}/raw_lines", tagged=f"{base}/staged_lines",
+             work=f"{base}/_work",
              quarantine=f"{base}/fact_ventas_quarantine", manifest=f"{base}/manifest")
     return p
 
@@ -181,10 +187,10 @@ def build(spark: SparkSession, sf_dir: str | None, base: str | None = None,
     def _build_one(name, builder):
         # Builders run jobs themselves (surrogate-key numbering), so the
         # whole builder runs in the worker thread, not just the final write.
-        return sinks.write_dim(builder(clean), name, p[name])
+        return sinks.write_dim(builder(clean, workdir=p["work"]), name, p[name])
 
     with ThreadPoolExecutor(max_workers=len(builders) + 1) as pool:
-        numbering = pool.submit(fact_ops.number_lines, loadable)
+        numbering = pool.submit(fact_ops.number_lines, loadable, p["work"])
         futures = {name: pool.submit(_build_one, name, builder) for name, builder in builders}
         tables: dict[str, DataFrame] = {name: f.result() for name, f in futures.items()}
         numbered = numbering.result()
@@ -192,7 +198,8 @@ def build(spark: SparkSession, sf_dir: str | None, base: str | None = None,
     rows = {t: df.count() for t, df in tables.items()}
 
     # Fact: conform, route NOT NULL violators to quarantine, lay out by year.
-    fact = sinks.conform(fact_ops.fact_ventas(loadable, tables, rows, numbered=numbered),
+    fact = sinks.conform(fact_ops.fact_ventas(loadable, tables, rows, numbered=numbered,
+                                              workdir=p["work"]),
                          "fact_ventas", keep=("anio",))
     tables["fact_ventas"] = sinks.write_fact(fact, p["fact_ventas"])
     quarantine = write_table(bad, p["quarantine"])

@@ -63,9 +63,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path for one written intermediate table."""
-    return f"{shared_dir(spark)}/almacen-tmp/{name}-{uuid.uuid4().hex[:12]}"
+def scratch_path(spark: SparkSession, name: str, workdir: str | None = None) -> str:
+    """A fresh, unique path for one written intermediate table.
+
+    ``workdir`` (e.g. a build's own folder) keeps intermediates together
+    with what they were made for, so removing that folder removes them too;
+    without it they go below the shared folder.
+    """
+    root = workdir.rstrip("/") if workdir else f"{shared_dir(spark)}/almacen-tmp"
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
