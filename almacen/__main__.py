@@ -28,19 +28,19 @@ def main(argv: list[str] | None = None) -> int:
     src.add_argument("--csv", help="raw feed CSV file, directory or glob")
     src.add_argument("--tables", help="directory of driver tables (*.parquet)")
     b.add_argument("--out", required=True, help="output directory for the star")
-    b.add_argument("--master", default="local[*]")
+    b.add_argument("--master", default=None, help="default: spark-submit's, else local[*]")
     q = sub.add_parser("query", help="run a named question or SQL over a built star")
     q.add_argument("--star", required=True, help="directory written by `build`")
     q.add_argument("--sql", help="SQL over the views dim_fecha, dim_cliente, dim_producto, "
                                  "dim_geografia, fact_ventas")
     q.add_argument("name", nargs="?", help="question name, e.g. q01_kpis (see plans.queries)")
     q.add_argument("--rows", type=int, default=50, help="rows to show")
-    q.add_argument("--master", default="local[*]")
+    q.add_argument("--master", default=None, help="default: spark-submit's, else local[*]")
     args = ap.parse_args(argv)
     if args.cmd == "query":
         return _query(args)
 
-    spark = build_session(master=args.master, app="almacen-build")
+    spark = build_session(master=args.master, app="almacen-build", shuffle_partitions=None)
     steps: dict[str, float] = {}
     if args.csv:
         star = warehouse.build_from_csv(spark, args.csv, base=args.out, timings=steps)
@@ -55,7 +55,7 @@ def main(argv: list[str] | None = None) -> int:
 
 def _query(args) -> int:
     from .plans import queries
-    spark = build_session(master=args.master, app="almacen-query")
+    spark = build_session(master=args.master, app="almacen-query", shuffle_partitions=None)
     star = warehouse.load(spark, args.star)
     if star is None:
         raise SystemExit(f"no completed build at {args.star}")

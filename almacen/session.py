@@ -15,12 +15,20 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_FALLBACK: dict[str, str] = {}
 
 
-def build_session(master: str = "local[8]", app: str = "almacen", shuffle_partitions: int = 8,
+def build_session(master: str | None = "local[8]", app: str = "almacen",
+                  shuffle_partitions: int | None = 8,
                   extra: dict[str, str] | None = None) -> SparkSession:
+    """Session for local runs and tests; ``master=None`` keeps the master and
+    ``shuffle_partitions=None`` the partition count that spark-submit or the
+    cluster's defaults provide."""
+    builder = SparkSession.builder.appName(app)
+    if master:
+        builder = builder.master(master)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = (
-        SparkSession.builder.master(master).appName(app)
+        builder
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
