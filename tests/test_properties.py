@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from almacen.operators.scale import with_ntile, with_rank, with_row_number, with_running_sum
 
 rows = st.lists(st.tuples(st.integers(0, 6), st.integers(-50, 50)), min_size=1, max_size=120)
-SETTINGS = settings(max_examples=8, deadline=None,
+SETTINGS = settings(max_examples=5, deadline=None,
                     suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
