@@ -1,0 +1,54 @@
+import hashlib
+from array import array
+
+from samples import SF, ODD_TEXTS
+from tokenizers import Tokenizer
+
+from almacen.llm import bpe, queries
+from almacen.llm.common import table
+
+PATH = queries.tokenizer("byte_bpe_50k.json")
+
+
+def _want(lib, rows):
+    out = []
+    for i, t in rows:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        text = lib.decode(ids, skip_special_tokens=False)
+        out.append((i, len(ids), hashlib.sha256(array("I", ids).tobytes()).hexdigest(),
+                    hashlib.sha256(text.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_odd_rows(odd):
+    docs = [tuple(r) for r in odd.select("doc_id", "text").collect()]
+    got = sorted((tuple(r) for r in bpe.encode_digests(odd, PATH).collect()), key=repr)
+    assert got == _want(Tokenizer.from_file(PATH), docs)
+
+
+def test_empty(empty):
+    assert bpe.encode_digests(empty, PATH).count() == 0 and bpe.encode(empty, PATH).count() == 0
+
+
+def test_table(spark):
+    docs = [tuple(r) for r in table(spark, SF, "documents").select("doc_id", "text").collect()]
+    got = sorted((tuple(r) for r in queries.op4_bpe(spark, SF).collect()), key=repr)
+    assert got == _want(Tokenizer.from_file(PATH), docs)
+
+
+def test_every_token_and_character():
+    lib, own = Tokenizer.from_file(PATH), bpe.PrefixBPE(PATH)
+    chars = [chr(c) for c in range(1, 0x3400) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"ab{c}Cd {c} {c}{c}" for c in chars[i:i + 7]) for i in range(0, len(chars), 7)]
+    texts += [t for i in range(0, 50256, 5) if "�" not in (t := lib.decode([i, i + 1], skip_special_tokens=False))]
+    for t in texts:
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert list(memoryview(own.encode(t)).cast("I")) == ids, repr(t)
+        assert own.decode(array("I", ids).tobytes()) == t
+
+
+def test_encode_returns_ids(spark):
+    lib = Tokenizer.from_file(PATH)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(t for _, t in ODD_TEXTS[:7])], "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(docs, PATH).collect()}
+    assert got == {i: lib.encode(t or "", add_special_tokens=False).ids for i, (_, t) in enumerate(ODD_TEXTS[:7])}
