@@ -1,8 +1,9 @@
 """Session and shared-storage helpers.
 
 Intermediate tables are written below the directory the cluster names in
-``spark.checkpoint.dir`` (shared storage that survives executor loss). Only
-when that setting is absent, as in local tests, do we create our own.
+``spark.checkpoint.dir`` (shared storage that survives executor loss). Only a
+local session without that setting, as in tests, gets a folder of its own; on
+a cluster a missing setting is an error.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FALLBACK: dict[str, str] = {}
+_SCRATCH: dict[str, list[str]] = {}
+LOCAL_DRIVER_MEMORY = "8g"
 
 
 def build_session(master: str | None = "local[8]", app: str = "almacen",
@@ -24,6 +27,8 @@ def build_session(master: str | None = "local[8]", app: str = "almacen",
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+        if master.startswith("local["):         # elsewhere the launcher has sized the driver already
+            builder = builder.config("spark.driver.memory", LOCAL_DRIVER_MEMORY)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = (
@@ -33,7 +38,6 @@ def build_session(master: str | None = "local[8]", app: str = "almacen",
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
@@ -43,43 +47,77 @@ def build_session(master: str | None = "local[8]", app: str = "almacen",
 
 
 def app_id(spark: SparkSession) -> str:
-    """Identifier of the running application (classic or Spark Connect)."""
-    try:
-        return spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - no SparkContext under Spark Connect
-        return spark.conf.get("spark.app.id", "connect")
+    """Identifier of the running application."""
+    return spark.conf.get("spark.app.id", "connect")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Base directory for written intermediate tables and checkpoints.
 
-    The cluster's ``spark.checkpoint.dir`` (shared storage); only when it is
-    unset, as in local tests, a private temporary folder is created.
+    The cluster's ``spark.checkpoint.dir`` (shared storage); only where that
+    is unset in a local session, a private temporary folder is created.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        try:
-            base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        except Exception:  # noqa: BLE001 - Spark Connect: the session conf is all there is
-            base = None
-    if not base:
-        key = app_id(spark)
-        base = _LOCAL_FALLBACK.get(key)
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder under master {master!r}")
+        base = _LOCAL_FALLBACK.get(app_id(spark))
         if base is None:
-            base = tempfile.mkdtemp(prefix="almacen-ckpt-")
-            _LOCAL_FALLBACK[key] = base
+            base = _LOCAL_FALLBACK[app_id(spark)] = tempfile.mkdtemp(prefix="almacen-ckpt-")
     return base.rstrip("/")
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever storage holds it (nothing if it does not exist)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def file_stamps(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """``(path, bytes, modification time)`` of every data file at or below ``path``,
+    read through the storage's own file system, so it works on any of them."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out, todo = [], [top]
+    while todo:
+        for st in fs.globStatus(todo.pop()) or []:
+            if st.isDirectory():
+                todo += [x.getPath() for x in fs.listStatus(st.getPath())]
+            elif not st.getPath().getName().startswith(("_", ".")):
+                out.append((st.getPath().toString(), st.getLen(), st.getModificationTime()))
+    return sorted(out)
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables that queries of this application have written.
+
+    Results that are still lazy read them, so call it after the last action.
+    """
+    for path in _SCRATCH.pop(app_id(spark), []):
+        remove_path(spark, path)
+
+
 def scratch_path(spark: SparkSession, name: str, workdir: str | None = None) -> str:
     """A fresh, unique path for one written intermediate table.
 
     ``workdir`` (e.g. a build's own folder) keeps intermediates together
     with what they were made for, so removing that folder removes them too;
-    without it they go below the shared folder.
+    without it they go below the shared folder until :func:`release_scratch`.
     """
-    root = workdir.rstrip("/") if workdir else f"{shared_dir(spark)}/almacen-tmp"
-    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    if workdir:
+        return f"{workdir.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/almacen-tmp/{app_id(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.setdefault(app_id(spark), []).append(path)
+    return path
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
