@@ -69,10 +69,11 @@ def segment_documented(customer_id: Column, n: Column) -> Column:
 
 # --- numbers -----------------------------------------------------------------
 #
-# Money is summed exactly as DECIMAL and converted to DOUBLE only at the end.
-# Ratios are computed in DOUBLE and rounded with floor(x*100 + 0.5)/100, which
-# is plain IEEE arithmetic and therefore gives the same digits in any engine
-# (``round(double)`` implementations differ on binary ties).
+# Money is summed and shown as exact DECIMAL. Ratios are computed in DOUBLE and
+# rounded half away from zero, as SQL databases round: the magnitude goes
+# through floor(x*100 + 0.5)/100, which is plain IEEE arithmetic and gives the
+# same digits in any engine (``round(double)`` differs on binary ties), and the
+# sign is put back.
 
 
 def as_double(c: Column) -> Column:
@@ -80,8 +81,9 @@ def as_double(c: Column) -> Column:
 
 
 def round2(c: Column) -> Column:
-    """Round a DOUBLE half-up to 2 decimals, engine-independently."""
-    return F.floor(c * F.lit(100.0) + F.lit(0.5)) / F.lit(100.0)
+    """Round a DOUBLE half away from zero to 2 decimals, engine-independently."""
+    up = F.floor(F.abs(c) * F.lit(100.0) + F.lit(0.5)) / F.lit(100.0)
+    return F.when(c < 0, -up).otherwise(up)
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -95,6 +97,6 @@ def pct(num: Column, den: Column) -> Column:
 
 
 def money(c: Column) -> Column:
-    """Exact DECIMAL amount presented as DOUBLE."""
-    return c.cast("double")
+    """Exact amount in the warehouse's widest money type."""
+    return c.cast("decimal(38,2)")
 

@@ -23,8 +23,10 @@ RULE_QUANTITY = "quantity"
 RULE_DATE = "date"
 RULES = [RULE_SPECIAL, RULE_PRICE, RULE_QUANTITY, RULE_DATE]
 STEP_DEDUP = "duplicates"
+STEP_QUARANTINE = "quarantine"
 
 LINE_TOTAL_TYPE = "decimal(18,2)"
+FACTOR_TYPE = "decimal(18,6)"
 
 
 def dedup(staged: DataFrame) -> DataFrame:
@@ -55,10 +57,13 @@ def tag(staged: DataFrame) -> DataFrame:
 
 
 def line_total(df: DataFrame) -> DataFrame:
-    """T13: round(quantity * price, 2), negative for cancellations."""
-    return df.withColumn(
-        "total_line",
-        F.round(F.col("quantity") * F.col("price"), 2).try_cast(LINE_TOTAL_TYPE))
+    """T13: round(quantity * price, 2), negative for cancellations.
+
+    The product of the two numbers as they were written is exact; a total
+    that no DECIMAL holds is NULL and sends its line to quarantine.
+    """
+    exact = F.col("quantity").try_cast(FACTOR_TYPE) * F.col("price").try_cast(FACTOR_TYPE)
+    return df.withColumn("total_line", F.round(exact, 2).try_cast(LINE_TOTAL_TYPE))
 
 
 def clean_from_tagged(tagged: DataFrame) -> DataFrame:
@@ -70,17 +75,19 @@ def clean(staged: DataFrame) -> DataFrame:
     return clean_from_tagged(tag(staged))
 
 
-def ledger(raw_rows: DataFrame, tagged: DataFrame) -> DataFrame:
+def ledger(raw_rows: DataFrame, tagged: DataFrame, quarantine: DataFrame) -> DataFrame:
     """D9: rows removed per step, in step order, with the running row count.
 
-    ``raw_rows`` is the staged (pre-dedup) frame; only its count is used.
+    ``raw_rows`` is the staged (pre-dedup) frame; only its count is used. The
+    last step counts the lines that no rule removes but that do not fit the
+    warehouse's types, so what remains after it is the fact.
     """
     spark = tagged.sparkSession
     raw_n = raw_rows.agg(F.count(F.lit(1)).alias("n"))
-    per_rule = tagged.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
-    steps = spark.createDataFrame(
-        [(0, STEP_DEDUP)] + [(i + 1, r) for i, r in enumerate(RULES)],
-        "step_no int, step string")
+    held = quarantine.agg(F.lit(STEP_QUARANTINE).alias("rule"), F.count(F.lit(1)).alias("n"))
+    per_rule = tagged.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).unionByName(held)
+    names = [STEP_DEDUP, *RULES, STEP_QUARANTINE]
+    steps = spark.createDataFrame(list(enumerate(names)), "step_no int, step string")
     dedup_n = tagged.agg(F.count(F.lit(1)).alias("n"))
     removed_dup = raw_n.scalar() - dedup_n.scalar()
     removed = (steps.join(per_rule, steps.step == per_rule.rule, "left")
@@ -89,6 +96,6 @@ def ledger(raw_rows: DataFrame, tagged: DataFrame) -> DataFrame:
                         .otherwise(F.coalesce(F.col("n"), F.lit(0))).cast("bigint")
                         .alias("rows_removed")))
     w = Window.orderBy("step_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # Five rows: a single-partition window is the right tool here.
+    # Six rows: a single-partition window is the right tool here.
     return removed.withColumn(
         "rows_after", (raw_n.scalar() - F.sum("rows_removed").over(w)).cast("bigint"))
