@@ -16,8 +16,9 @@ import argparse
 import json
 
 from .operators import profile
+from .functions import fixed
 from .plans import warehouse
-from .session import build_session
+from .session import build_session, release_scratch
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -29,6 +30,9 @@ def main(argv: list[str] | None = None) -> int:
     src.add_argument("--tables", help="directory of driver tables (*.parquet)")
     b.add_argument("--out", required=True, help="output directory for the star")
     b.add_argument("--master", default=None, help="default: spark-submit's, else local[*]")
+    b.add_argument("--ts-format", default=fixed.INVOICE_TS_FORMAT, help="layout of InvoiceDate")
+    b.add_argument("--multi-line", action="store_true", help="values may hold line breaks (one task per file)")
+    b.add_argument("--keep", type=int, default=2, help="published builds to keep in --out")
     q = sub.add_parser("query", help="run a named question or SQL over a built star")
     q.add_argument("--star", required=True, help="directory written by `build`")
     q.add_argument("--sql", help="SQL over the views dim_fecha, dim_cliente, dim_producto, "
@@ -43,9 +47,11 @@ def main(argv: list[str] | None = None) -> int:
     spark = build_session(master=args.master, app="almacen-build", shuffle_partitions=None)
     steps: dict[str, float] = {}
     if args.csv:
-        star = warehouse.build_from_csv(spark, args.csv, base=args.out, timings=steps)
+        star = warehouse.build_from_csv(spark, args.csv, base=args.out, timings=steps,
+                                        ts_format=args.ts_format, multi_line=args.multi_line)
     else:
         star = warehouse.build(spark, args.tables, base=args.out, timings=steps)
+    warehouse.retire(spark, args.out, args.keep)
     summary = {r["metric"]: r["value"] for r in profile.warehouse_summary(
         {k: (v.drop("anio") if k == "fact_ventas" else v) for k, v in star.tables.items()}).collect()}
     print(json.dumps({"out": args.out, "rows": star.rows, "summary": summary, "steps_sec": steps}))
@@ -67,6 +73,7 @@ def _query(args) -> int:
     else:
         raise SystemExit(f"unknown question {args.name!r}; one of: {', '.join(queries.ANALYTIC)}")
     df.show(args.rows, truncate=False)
+    release_scratch(spark)
     spark.stop()
     return 0
 

@@ -14,7 +14,7 @@ products or fact lines. These helpers compute the same values in parallel:
    those into prefix offsets with a window over at most ``n`` rows;
 5. broadcast the offsets (size bound: the partition count) and add them.
 
-``row_number``, running sums and ``ntile`` all follow from this.
+``row_number``, running sums and ``ntile`` cuts all follow from this.
 """
 
 from __future__ import annotations
@@ -86,17 +86,22 @@ def with_row_number(df: DataFrame, order: list, name: str = "rn",
 
 
 def with_running_sum(df: DataFrame, order: list, value: str, name: str,
-                     rn_name: str | None = None,
+                     rn_name: str | None = None, total_name: str | None = None,
                      num_partitions: int | None = None,
                      workdir: str | None = None) -> DataFrame:
     """Add the inclusive running sum of ``value`` along ``order`` (a total order).
 
+    ``total_name`` also adds the sum over all rows, from the same per-range sums.
+
     The in-partition cumulative sum is a window partitioned by the range
     partition id, so it runs in parallel, one range per task.
     """
     staged = _ranged(df, order, num_partitions, name, workdir=workdir)
     sums = staged.groupBy(_PID).agg(F.sum(value).alias("__sum"), F.count(F.lit(1)).alias("__cnt"))
     offsets = _prefix(sums, "__sum", _OFF).join(_prefix(sums, "__cnt", "__offn"), _PID)
+    if total_name:
+        offsets = offsets.join(sums.select(_PID, F.sum("__sum").over(Window.partitionBy())
+                                           .alias(total_name)), _PID)
     local = Window.partitionBy(_PID).orderBy(_POS).rowsBetween(Window.unboundedPreceding, 0)
     out = (staged.join(F.broadcast(offsets), _PID)
            .withColumn(name, F.col(_OFF) + F.sum(value).over(local)))
@@ -117,30 +122,13 @@ def ntile_of(rn: Column, n: Column, buckets: int) -> Column:
         m + F.ceil((rn - big) / q)).cast("long")
 
 
-def with_ntile(df: DataFrame, order: list, buckets: int, name: str,
-               workdir: str | None = None) -> DataFrame:
-    """Add NTILE(buckets) over ``order`` (a total order), computed in parallel."""
+def ntile_cuts(df: DataFrame, order: list, buckets: int, workdir: str | None = None) -> list:
+    """The first row of each NTILE(buckets) but the first over ``order`` (a total
+    order): ``buckets - 1`` rows at most reach the driver, fewer if tiles are empty."""
     numbered = with_row_number(df, order, "__rn", total_name="__n", workdir=workdir)
-    return (numbered.withColumn(name, ntile_of(F.col("__rn"), F.col("__n"), buckets))
-            .drop("__rn", "__n"))
-
-
-def with_rank(df: DataFrame, value: str, name: str, descending: bool = True,
-              tiebreak: list | None = None, workdir: str | None = None) -> DataFrame:
-    """SQL RANK() over ``value`` (ties share the lowest row number), in parallel.
-
-    Row numbers come from :func:`with_row_number`; the rank of a value is the
-    smallest row number carrying it (a partial ``groupBy`` on value, written
-    once). Joining it back goes through :func:`lookup_join`, so a value shared
-    by a third of the rows is salted rather than sent to one task.
-    """
-    spark = df.sparkSession
-    key = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_first()
-    numbered = with_row_number(df, [key] + list(tiebreak or []), "__rn", workdir=workdir)
-    first = write_table(numbered.groupBy(F.col(value).alias("__v")).agg(F.min("__rn").alias(name)),
-                        scratch_path(spark, f"rank-{name}", workdir))
-    return lookup_join(numbered, first, value, "__v", first.count(), 32, null_safe=True,
-                       how="inner", workdir=workdir).drop("__v", "__rn")
+    before = ntile_of(F.col("__rn") - 1, F.col("__n"), buckets)
+    first = numbered.filter((F.col("__rn") > 1) & (ntile_of(F.col("__rn"), F.col("__n"), buckets) != before))
+    return first.orderBy("__rn").drop("__rn", "__n").collect()
 
 
 # --- joins -------------------------------------------------------------------
@@ -157,10 +145,18 @@ def _bytes(text: str) -> int:
     return int(m.group(1)) * _UNITS[m.group(2)]
 
 
-def max_broadcast_rows(spark, row_bytes: int) -> int:
-    """How many rows of ``row_bytes`` fit the session's broadcast threshold."""
-    threshold = _bytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760b"))
-    return max(threshold, 0) // max(row_bytes, 1)
+def max_broadcast_bytes(spark) -> int:
+    """The session's broadcast threshold; -1 where broadcasting is off."""
+    return _bytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760b"))
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """In-memory size of all rows: their text as it is, 16 bytes per value and row beside it."""
+    text = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t == "string"]
+    row = F.lit(16 * (len(df.columns) + 1))
+    for t in text:
+        row = row + t
+    return int(df.agg(F.sum(row.cast("long"))).first()[0] or 0)
 
 
 HOT_SAMPLE_FRACTION = 0.01
@@ -197,14 +193,13 @@ def hot_keys(facts: DataFrame, key: str, parts: int, sampled: bool = False) -> D
             .select("__hk", F.ceil(F.col("__n") * parts / total).cast("int").alias("__salts")))
 
 
-def lookup_join(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
-                dim_rows: int, row_bytes: int, null_safe: bool = False,
-                how: str = "left", sample: DataFrame | None = None,
+def lookup_join(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, dim_bytes: int,
+                null_safe: bool = False, how: str = "left", sample: DataFrame | None = None,
                 workdir: str | None = None) -> DataFrame:
     """Join facts to a dimension whose key is unique.
 
-    * dimension small enough (checked row count x row width against the
-      broadcast threshold): broadcast hash join, no shuffle of the facts;
+    * dimension small enough (its measured size against the broadcast
+      threshold): broadcast hash join, no shuffle of the facts;
     * otherwise a shuffle join, salted for hot keys: fact rows of a hot key
       get a salt in [0, S) from a hash of the row (S proportional to the
       key's share), the dimension row of a hot key is repeated S times, and
@@ -219,7 +214,7 @@ def lookup_join(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
     def _eq(a, b):
         return a.eqNullSafe(b) if null_safe else a == b
 
-    if dim_rows <= max_broadcast_rows(spark, row_bytes):
+    if dim_bytes <= max_broadcast_bytes(spark):
         d = F.broadcast(dim)
         return facts.join(d, _eq(facts[fact_key], d[dim_key]), how)
 

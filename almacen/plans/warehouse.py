@@ -3,56 +3,69 @@
 Every stage boundary is a table written to shared storage (below
 ``spark.checkpoint.dir``): the landing CSV, the raw feed as parsed from it
 (Parquet, so the CSV is parsed once and profiles read only the columns they
-need), the tagged de-duplicated lines,
-each dimension and the fact. Builders that read a table several times (the
-four dimensions and the fact all read the clean lines) read files instead of
-recomputing the de-duplication, and a lost executor only costs the tasks of
-the stage it was running.
-
-Builds are content-addressed: the directory name hashes the input directory
-and this package's source, so all registered queries over one input share a
-single build, and any code change builds afresh.
+need), the tagged de-duplicated lines, each dimension and the fact. Builders
+that read a table several times read files instead of recomputing the
+de-duplication, and a lost executor only costs the tasks of the stage it was
+running.
+
+A build writes a folder of its own, ``<out>/builds/<id>``, and is published
+last, by one row appended to ``<out>/published``. Readers follow the newest
+row, so a refresh is all or nothing: one that stops half-way leaves the star
+that was there, and never a mixture.
+
+The registered queries share one build per input: its address is a hash of the
+names, sizes and modification times of the input files and of the version of
+the build's code, so a changed input is built anew.
 """
 
 from __future__ import annotations
 
 import hashlib
-from concurrent.futures import ThreadPoolExecutor
-import os
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-
 from ..operators import clean as clean_ops
 from ..operators import dims as dim_ops
 from ..operators import fact as fact_ops
-from ..operators.stage import stage
-from ..session import app_id, shared_dir, write_table
+from ..operators.scale import measured_bytes
+from ..operators.stage import stage, unparsed_dates
+from ..session import app_id, file_stamps, path_exists, remove_path, shared_dir, write_table
 from ..sources import sinks
-from ..sources.csv import csv_scan, write_csv
-from ..sources.feed import derived_feed
+from ..sources.csv import parsed, read_lines, rejected, write_csv
+from ..sources.feed import SOURCE_TABLES, derived_feed
 
+#: Raise it with every change of what a build writes: older builds are then not reused.
+BUILD_VERSION = "2"
+MAX_UNPARSED_DATES = 0.05
 TABLES = ["dim_fecha", "dim_cliente", "dim_producto", "dim_geografia", "fact_ventas"]
 
 
+DIMENSIONS = TABLES[:4]
+
+
 @dataclass
 class Star:
-    base: str
+    base: str                          # folder of this build
     landing: DataFrame                 # raw feed as parsed from CSV (8 strings, Parquet copy)
     tagged: DataFrame                  # de-duplicated staged lines + removal rule
+    landing_path: str                  # the CSV it was read from
+    ts_format: str = fixed.INVOICE_TS_FORMAT
+    multi_line: bool = False
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    rejected: dict[str, DataFrame] = field(default_factory=dict)   # members and CSV lines held back
     quarantine: DataFrame | None = None
     rows: dict[str, int] = field(default_factory=dict)
     _cache: dict = field(default_factory=dict, repr=False)
 
     @property
     def staged(self) -> DataFrame:
-        return stage(self.landing)
+        return stage(self.landing, self.ts_format)
 
     @property
     def clean(self) -> DataFrame:
@@ -62,11 +75,6 @@ class Star:
     def fact(self) -> DataFrame:
         return self.tables["fact_ventas"]
 
-    @property
-    def scratch(self) -> str:
-        """Folder for intermediates of queries on this build (inside the build)."""
-        return f"{self.base}/_scratch"
-
     @property
     def unknown_key(self) -> int | None:
         """Surrogate key of the anonymous (UNKNOWN) customer, read once per build."""
@@ -93,43 +101,16 @@ class Star:
         return names
 
 
-def _code_version() -> str:
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    h = hashlib.sha1()
-    for dirpath, _, files in sorted(os.walk(root)):
-        for f in sorted(files):
-            if f.endswith(".py"):
-                p = os.path.join(dirpath, f)
-                h.update(p[len(root):].encode())
-                with open(p, "rb") as fh:
-                    h.update(fh.read())
-    return h.hexdigest()[:12]
-
-
 def star_dir(spark: SparkSession, sf_dir: str) -> str:
-    """Content address of the builds of ``sf_dir`` with this code.
-
-    Each build writes its own sub-directory (``<star_dir>/<id>``), so two
-    processes building at once never overwrite each other's files; any
-    completed one (it has a manifest) can be reused.
-    """
-    key = hashlib.sha1(os.path.realpath(sf_dir).encode()).hexdigest()[:10]
-    return f"{shared_dir(spark)}/almacen-star/{key}-{_code_version()}"
-
-
-def find_completed(spark: SparkSession, prefix: str) -> str | None:
-    """A completed build below ``prefix`` (the first by name), or None."""
-    try:
-        found = (spark.read.parquet(f"{prefix}/*/manifest")
-                 .select(F.regexp_extract(F.input_file_name(), r"^(.*)/manifest/[^/]+$", 1).alias("b"))
-                 .distinct().orderBy("b").first())
-    except Exception:  # noqa: BLE001 - nothing built yet
-        return None
-    return found["b"] if found else None
+    """Content address of the builds of ``sf_dir`` with this code."""
+    stamps = [x for t in SOURCE_TABLES for x in file_stamps(spark, f"{sf_dir.rstrip('/')}/{t}.parquet")]
+    key = hashlib.sha1(repr((BUILD_VERSION, stamps)).encode()).hexdigest()[:16]
+    return f"{shared_dir(spark)}/almacen-star/{key}"
 
 
 def _paths(base: str) -> dict[str, str]:
     p = {t: f"{base}/{t}" for t in TABLES}
+    p.update({f"rejected_{t}": f"{base}/rejected/{t}" for t in [*DIMENSIONS, "lines"]})
     p.update(landing=f"{base}/landing_csv", raw=f"{base}/raw_lines", tagged=f"{base}/staged_lines",
              work=f"{base}/_work",
              quarantine=f"{base}/fact_ventas_quarantine", manifest=f"{base}/manifest")
@@ -137,29 +118,33 @@ def _paths(base: str) -> dict[str, str]:
 
 
 def build_from_csv(spark: SparkSession, csv_path: str, base: str,
-                   timings: dict[str, float] | None = None) -> Star:
+                   timings: dict[str, float] | None = None, **options) -> Star:
     """Build the star from raw CSV files already on storage (no landing copy).
 
     ``csv_path`` is a file, directory or glob of the raw feed (header row,
     columns Invoice, StockCode, Description, Quantity, InvoiceDate, Price,
-    Customer ID, Country).
+    Customer ID, Country). ``options`` are those of :func:`build`.
     """
-    return build(spark, None, base=base, landing_path=csv_path, timings=timings)
+    return build(spark, None, base=base, landing_path=csv_path, timings=timings, **options)
 
 
 def build(spark: SparkSession, sf_dir: str | None, base: str | None = None,
           raw: DataFrame | None = None, timings: dict[str, float] | None = None,
-          landing_path: str | None = None) -> Star:
-    """Run the whole ETL once and write the star below ``base``.
+          landing_path: str | None = None, ts_format: str = fixed.INVOICE_TS_FORMAT,
+          multi_line: bool = False, max_unparsed_dates: float = MAX_UNPARSED_DATES) -> Star:
+    """Run the whole ETL once, write the star to a new folder below ``base``, and publish it.
 
-    S2 full refresh: every table is written in overwrite mode, dimensions
-    first (the fact's key lookups read them), the fact last, and a manifest
-    after everything.
+    S2 full refresh: dimensions first (the fact's key lookups read them), then
+    the fact, a manifest with every row count, and the pointer to the build last.
 
+    ``ts_format`` is the layout of InvoiceDate; a build where it fails on more
+    than ``max_unparsed_dates`` of the written dates raises instead of dropping
+    those lines. ``multi_line`` reads line breaks inside quoted values.
     ``timings``, when given, receives the wall time of each stage.
     """
     base = base or star_dir(spark, sf_dir)
-    p = _paths(base)
+    build_id = uuid.uuid4().hex[:12]
+    p = _paths(f"{base}/builds/{build_id}")
     if landing_path:
         p["landing"] = landing_path
     clock = _Clock(timings)
@@ -169,65 +154,101 @@ def build(spark: SparkSession, sf_dir: str | None, base: str | None = None,
     if not landing_path:
         write_csv(raw if raw is not None else derived_feed(spark, sf_dir), p["landing"])
     # Parse the CSV once; staging and every profile read the columnar copy.
-    landing = write_table(csv_scan(spark, p["landing"]), p["raw"])
+    lines = write_table(read_lines(spark, p["landing"], multi_line), p["raw"])
+    landing = parsed(lines)
+    held_lines = write_table(rejected(lines), p["rejected_lines"])
+    dates, unparsed = unparsed_dates(landing, ts_format).first()
+    if unparsed > max_unparsed_dates * dates:
+        raise ValueError(f"{unparsed} of {dates} dates are not written as {ts_format!r}")
     clock("land_csv")
 
     # T1-T12: stage, de-duplicate and tag each line with its removal rule.
-    tagged = write_table(clean_ops.tag(stage(landing)), p["tagged"])
+    tagged = write_table(clean_ops.tag(stage(landing, ts_format)), p["tagged"])
     clean = clean_ops.clean_from_tagged(tagged)
     clock("stage_dedup_tag")
 
     # Dimensions: four independent jobs, submitted concurrently so their
-    # (small) stages share the executors instead of running one by one. The
-    # fact's line numbering needs no dimension and runs alongside them.
+    # (small) stages share the executors instead of running one by one.
     builders = [("dim_fecha", dim_ops.dim_fecha), ("dim_cliente", dim_ops.dim_cliente),
                 ("dim_producto", dim_ops.dim_producto), ("dim_geografia", dim_ops.dim_geografia)]
-    loadable, bad = fact_ops.split_loadable(clean)
 
     def _build_one(name, builder):
         # Builders run jobs themselves (surrogate-key numbering), so the
         # whole builder runs in the worker thread, not just the final write.
-        return sinks.write_dim(builder(clean, workdir=p["work"]), name, p[name])
+        return sinks.write_dim(builder(clean, workdir=p["work"]), name, p[name], p[f"rejected_{name}"],
+                               f"{p['work']}/{name}")
 
-    with ThreadPoolExecutor(max_workers=len(builders) + 1) as pool:
-        numbering = pool.submit(fact_ops.number_lines, loadable, p["work"])
+    with ThreadPoolExecutor(max_workers=len(builders)) as pool:
         futures = {name: pool.submit(_build_one, name, builder) for name, builder in builders}
         tables: dict[str, DataFrame] = {name: f.result() for name, f in futures.items()}
-        numbered = numbering.result()
-    clock("dims_and_fact_numbering")
-    rows = {t: df.count() for t, df in tables.items()}
+    clock("dims")
 
-    # Fact: conform, route NOT NULL violators to quarantine, lay out by year.
-    fact = sinks.conform(fact_ops.fact_ventas(loadable, tables, rows, numbered=numbered,
-                                              workdir=p["work"]),
-                         "fact_ventas", keep=("anio",))
-    tables["fact_ventas"] = sinks.write_fact(fact, p["fact_ventas"])
+    # Fact: resolve the keys, hold back what cannot be loaded, number, lay out by year.
+    dim_bytes = {t: measured_bytes(df) for t, df in tables.items()}
+    keyed = write_table(fact_ops.resolve_keys(clean, tables, dim_bytes, workdir=p["work"]),
+                        f"{p['work']}/keyed")
+    loadable, bad = fact_ops.split_loadable(keyed)
     quarantine = write_table(bad, p["quarantine"])
-    rows["fact_ventas"] = tables["fact_ventas"].count()
-    rows["quarantine"] = quarantine.count()
-    clock("fact_keys_and_write")
+    clock("fact_keys")
+    fact = sinks.conform(fact_ops.fact_ventas(loadable, workdir=p["work"]), "fact_ventas", keep=("anio",))
+    tables["fact_ventas"] = sinks.write_fact(fact, p["fact_ventas"])
+    clock("fact_number_and_write")
 
-    # Manifest last: its presence marks a complete build.
-    sinks.write_manifest(spark, rows, p["manifest"], landing=p["landing"])
-    return Star(base=base, landing=landing, tagged=tagged, tables=tables,
-                quarantine=quarantine, rows=rows)
+    rows = {t: df.count() for t, df in tables.items()}
+    rows |= {"quarantine": quarantine.count(), "rejected_lines": held_lines.count()}
+    sinks.write_manifest(spark, rows, p["manifest"], landing=p["landing"], ts_format=ts_format,
+                         multi_line=multi_line)
+    publish(spark, base, build_id)
+    remove_path(spark, p["work"])
+    return _open(spark, base, build_id)
 
 
-def load(spark: SparkSession, base: str) -> Star | None:
-    """Open a completed build, or None when there is none at ``base``."""
-    p = _paths(base)
-    try:
-        manifest = spark.read.parquet(p["manifest"]).collect()   # one row per table
-    except Exception:  # noqa: BLE001 - missing or incomplete build
-        return None
+def publish(spark: SparkSession, base: str, build_id: str) -> None:
+    """Make a complete build the one that readers of ``base`` see: one appended row."""
+    (spark.createDataFrame([(build_id, time.time_ns())], "build string, published long")
+     .coalesce(1).write.mode("append").parquet(f"{base}/published"))
+
+
+def published(spark: SparkSession, base: str) -> list[str]:
+    """Builds of ``base`` that were published, the newest first."""
+    if not path_exists(spark, f"{base}/published"):
+        return []
+    rows = spark.read.parquet(f"{base}/published").orderBy(F.desc("published"), "build")
+    return [r["build"] for r in rows.collect()]              # one row per refresh
+
+
+def retire(spark: SparkSession, base: str, keep: int = 2) -> list[str]:
+    """Delete all but the ``keep`` newest published builds; readers of those are not disturbed."""
+    old = [b for b in published(spark, base)[keep:] if path_exists(spark, f"{base}/builds/{b}")]
+    for b in old:
+        remove_path(spark, f"{base}/builds/{b}")
+    return old
+
+
+def _open(spark: SparkSession, base: str, build_id: str) -> Star:
+    root = f"{base}/builds/{build_id}"
+    p = _paths(root)
+    manifest = spark.read.parquet(p["manifest"]).collect()       # one row per table
     rows = {r["table_name"]: int(r["row_count"]) for r in manifest}
     tables = {t: spark.read.parquet(p[t]) for t in TABLES}
     tables["fact_ventas"] = tables["fact_ventas"].select(*fact_ops.FACT_COLUMNS, "anio")
-    return Star(base=base, landing=spark.read.parquet(p["raw"]),
-                tagged=spark.read.parquet(p["tagged"]), tables=tables,
+    wrong = {t: n for t, n in rows.items() if t in tables and tables[t].count() != n}
+    if wrong:
+        raise ValueError(f"build {root} is damaged: the rows of {', '.join(wrong)} differ from its manifest")
+    first = manifest[0]
+    return Star(base=root, landing=parsed(spark.read.parquet(p["raw"])), tagged=spark.read.parquet(p["tagged"]),
+                landing_path=first["landing"], ts_format=first["ts_format"], multi_line=first["multi_line"],
+                tables=tables,
+                rejected={t: spark.read.parquet(p[f"rejected_{t}"]) for t in [*DIMENSIONS, "lines"]},
                 quarantine=spark.read.parquet(p["quarantine"]), rows=rows)
 
 
+def load(spark: SparkSession, base: str) -> Star | None:
+    """Open the newest published build of ``base``, or None when there is none."""
+    newest = published(spark, base)[:1]
+    return _open(spark, base, newest[0]) if newest else None
+
+
 class _Clock:
     def __init__(self, sink: dict[str, float] | None):
         self.sink, self.t = sink, time.perf_counter()
@@ -255,11 +276,9 @@ def pin(spark: SparkSession, sf_dir: str, built: Star | None) -> Star | None:
 
 
 def star(spark: SparkSession, sf_dir: str) -> Star:
-    """The star for ``sf_dir``: reuse a completed build, else build it once."""
-    prefix = star_dir(spark, sf_dir)
-    key = (app_id(spark), prefix)
+    """The star for the present content of ``sf_dir``: reuse a published build, else build it once."""
+    base = star_dir(spark, sf_dir)
+    key = (app_id(spark), base)
     if key not in _OPEN:
-        done = find_completed(spark, prefix)
-        opened = load(spark, done) if done else None
-        _OPEN[key] = opened or build(spark, sf_dir, f"{prefix}/{uuid.uuid4().hex[:12]}")
+        _OPEN[key] = load(spark, base) or build(spark, sf_dir, base)
     return _OPEN[key]
