@@ -20,14 +20,12 @@ from ..operators import dims as dim_ops
 from ..operators import fact as fact_ops
 from ..plans import queries
 from ..plans.warehouse import Star, star
-
-TS_TEXT = "yyyy-MM-dd HH:mm:ss"
+from ..sources.csv import csv_scan
 
 
 def _staged_view(df: DataFrame, with_total: bool = False) -> DataFrame:
     cols = ["invoice", "stock_code", "description", "quantity",
-            F.date_format("invoice_date", TS_TEXT).alias("invoice_date"),
-            F.col("price").cast("double").alias("price"),
+            F.col("invoice_date").cast("string").alias("invoice_date"), "price",
             "customer_id", "country", "is_cancelled"]
     if with_total:
         cols.append(F.col("total_line").cast("double").alias("total_line"))
@@ -38,7 +36,7 @@ def _etl(s: Star) -> dict[str, Callable[[], DataFrame]]:
     t = s.tables
     return {
         # sources
-        "csv_scan": lambda: s.landing,
+        "csv_scan": lambda: csv_scan(s.landing.sparkSession, s.landing_path, s.multi_line),
         # profile of the raw feed
         "null_profile": lambda: profile.null_profile(s.landing),
         "dup_count": lambda: profile.duplicate_count(s.landing),
@@ -51,7 +49,7 @@ def _etl(s: Star) -> dict[str, Callable[[], DataFrame]]:
         # standardise and clean
         "staged_lines": lambda: _staged_view(s.staged),
         "clean_lines": lambda: _staged_view(s.clean, with_total=True),
-        "cleaning_ledger": lambda: clean_ops.ledger(s.staged, s.tagged),
+        "cleaning_ledger": lambda: clean_ops.ledger(s.staged, s.tagged, s.quarantine),
         # dimensions
         "dim_fecha": lambda: t["dim_fecha"].withColumn(
             "fecha_completa", F.date_format("fecha_completa", "yyyy-MM-dd")),
@@ -76,9 +74,9 @@ def _etl(s: Star) -> dict[str, Callable[[], DataFrame]]:
             {k: (v.drop("anio") if k == "fact_ventas" else v) for k, v in t.items()}),
         # audits
         "audit_pk": lambda: audit.audit_pk(t),
-        "audit_notnull": lambda: audit.audit_notnull(t),
+        "audit_notnull": lambda: audit.audit_notnull(t, audit.held_back(s.rejected, s.quarantine)),
         "audit_fk": lambda: audit.audit_fk(t),
-        "audit_bounds": lambda: audit.audit_bounds(t),
+        "audit_bounds": lambda: audit.audit_bounds(t, audit.held_back(s.rejected, s.quarantine)),
     }
 
 
@@ -109,7 +107,9 @@ def _analytic_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     fn = queries.ANALYTIC[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(star(spark, sf_dir))
+        df = fn(star(spark, sf_dir))
+        return df.select(*[F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c)
+                           for c, t in df.dtypes])
     run.__name__ = name
     return run
 

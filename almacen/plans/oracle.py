@@ -23,7 +23,7 @@ def dbl(x: str) -> str:
 
 
 def r2(x: str) -> str:
-    return f"(floor(({x}) * 100.0 + 0.5) / 100.0)"
+    return f"(sign({x}) * floor(abs({x}) * 100.0 + 0.5) / 100.0)"
 
 
 def ratio(a: str, b: str) -> str:
@@ -79,9 +79,9 @@ raw AS (
 staged AS (
   SELECT "Invoice" AS invoice, "StockCode" AS stock_code,
     upper(regexp_replace(coalesce("Description", {_q(fixed.NO_DESCRIPTION)}), {_STRIP}, '', 'g')) AS description,
-    TRY_CAST("Quantity" AS INTEGER) AS quantity,
+    TRY_CAST("Quantity" AS DOUBLE) AS quantity,
     TRY_STRPTIME("InvoiceDate", '%Y-%m-%d %H:%M:%S') AS invoice_date,
-    TRY_CAST("Price" AS DECIMAL(18,4)) AS price,
+    TRY_CAST("Price" AS DOUBLE) AS price,
     regexp_replace(regexp_replace(coalesce("Customer ID", {_q(fixed.UNKNOWN_CUSTOMER)}), '\\.0$', ''),
                    {_STRIP}, '', 'g') AS customer_id,
     "Country" AS country,
@@ -96,7 +96,8 @@ tagged AS (
   FROM dedup),
 clean AS (
   SELECT invoice, stock_code, description, quantity, invoice_date, price, customer_id, country,
-         is_cancelled, CAST(round(quantity * price, 2) AS DECIMAL(18,2)) AS total_line
+         is_cancelled, CAST(round(CAST(quantity AS DECIMAL(18,6)) * CAST(price AS DECIMAL(18,6)), 2)
+                            AS DECIMAL(18,2)) AS total_line
   FROM tagged WHERE rule IS NULL),
 dim_fecha AS (
   SELECT CAST(row_number() OVER (ORDER BY d) AS INTEGER) AS fecha_id, d AS fecha_completa,
@@ -108,7 +109,7 @@ dim_fecha AS (
   FROM (SELECT DISTINCT CAST(invoice_date AS DATE) AS d FROM clean)),
 cust AS (
   SELECT customer_id,
-    first(country ORDER BY invoice_date, invoice, stock_code, country) AS country,
+    first(country ORDER BY invoice_date, invoice, country) AS country,
     CAST(count(DISTINCT CASE WHEN is_cancelled = 0 THEN invoice END) AS INTEGER) AS num_facturas
   FROM clean GROUP BY customer_id),
 dim_cliente AS (
@@ -125,20 +126,9 @@ modal AS (
     FROM (SELECT stock_code, description, count(*) AS n FROM clean
           WHERE description <> {_q(fixed.NO_DESCRIPTION)} AND stock_code IS NOT NULL
           GROUP BY stock_code, description)) WHERE rk = 1),
-pc AS (
-  SELECT stock_code, price, count(*) AS c FROM clean
-  WHERE is_cancelled = 0 AND price IS NOT NULL AND stock_code IS NOT NULL
-  GROUP BY stock_code, price),
-pcum AS (
-  SELECT stock_code, price,
-    sum(c) OVER (PARTITION BY stock_code ORDER BY price ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
-    sum(c) OVER (PARTITION BY stock_code) AS n
-  FROM pc),
 med AS (
-  SELECT stock_code,
-    (min(CASE WHEN cum >= ceil(n / 2) THEN price END)
-     + min(CASE WHEN cum >= floor(n / 2) + 1 THEN price END)) * 0.5 AS precio_mediano
-  FROM pcum GROUP BY stock_code),
+  SELECT stock_code, quantile_cont(CAST(price AS DECIMAL(28,6)), 0.5) AS precio_mediano FROM clean
+  WHERE is_cancelled = 0 AND price IS NOT NULL AND stock_code IS NOT NULL GROUP BY stock_code),
 dim_producto AS (
   SELECT CAST(row_number() OVER (ORDER BY c.stock_code ASC NULLS FIRST) AS INTEGER) AS producto_id,
     c.stock_code, coalesce(m.descripcion, {_q(fixed.NO_DESCRIPTION)}) AS descripcion,
@@ -157,7 +147,7 @@ fact_ventas AS (
            l.price NULLS FIRST, l.customer_id NULLS FIRST, l.country NULLS FIRST) AS BIGINT) AS ventas_id,
     l.invoice AS invoice_number, f.fecha_id, CAST(hour(l.invoice_date) AS INTEGER) AS hora_venta,
     coalesce(c.cliente_id, 0) AS cliente_id, p.producto_id, g.geografia_id,
-    l.quantity AS cantidad, CAST(l.price AS DECIMAL(10,2)) AS precio_unitario,
+    CAST(l.quantity AS INTEGER) AS cantidad, CAST(l.price AS DECIMAL(10,2)) AS precio_unitario,
     CAST(l.total_line AS DECIMAL(10,2)) AS total_linea, l.is_cancelled
   FROM clean l
   JOIN dim_fecha f ON CAST(l.invoice_date AS DATE) = f.fecha_completa
@@ -174,7 +164,7 @@ sales AS (
 _RAW_COLS = fixed.RAW_COLUMNS
 _TS = "strftime(invoice_date, '%Y-%m-%d %H:%M:%S')"
 _STAGED_VIEW = (f"invoice, stock_code, description, quantity, {_TS} AS invoice_date, "
-                f"CAST(price AS DOUBLE) AS price, customer_id, country, is_cancelled")
+                f"price, customer_id, country, is_cancelled")
 NONC = "is_cancelled = 0"
 KNOWN = f"customer_id <> {_q(fixed.UNKNOWN_CUSTOMER)}"
 
@@ -190,6 +180,7 @@ def _ledger() -> str:
     steps = [(0, "duplicates", "(SELECT count(*) FROM staged) - (SELECT count(*) FROM tagged)")]
     for i, r in enumerate(["special_code", "price", "quantity", "date"]):
         steps.append((i + 1, r, f"(SELECT count(*) FROM tagged WHERE rule = {_q(r)})"))
+    steps.append((5, "quarantine", "(SELECT count(*) FROM clean) - (SELECT count(*) FROM fact_ventas)"))
     body = " UNION ALL ".join(f"SELECT {i} AS step_no, {_q(s)} AS step, CAST({e} AS BIGINT) AS rows_removed"
                               for i, s, e in steps)
     return ("SELECT CAST(step_no AS INTEGER) AS step_no, step, rows_removed, "
@@ -344,6 +335,10 @@ BODIES: dict[str, str] = {
         "SELECT CAST(mes AS INTEGER) AS mes, CAST(rev AS DOUBLE) AS revenue, "
         "CAST(rank() OVER (ORDER BY rev DESC NULLS LAST) AS BIGINT) AS revenue_rank FROM ("
         f"SELECT mes, sum(CASE WHEN {NONC} THEN total_linea END) AS rev FROM sales GROUP BY mes)"),
+    "q05_month_rank_by_year": (
+        "SELECT CAST(anio AS INTEGER) AS anio, CAST(mes AS INTEGER) AS mes, CAST(rev AS DOUBLE) AS revenue, "
+        "CAST(rank() OVER (PARTITION BY anio ORDER BY rev DESC NULLS LAST) AS BIGINT) AS revenue_rank FROM ("
+        f"SELECT anio, mes, sum(CASE WHEN {NONC} THEN total_linea END) AS rev FROM sales GROUP BY anio, mes)"),
     "q06_ticket_quarter": (
         "SELECT CAST(anio AS INTEGER) AS anio, CAST(trimestre AS INTEGER) AS trimestre, "
         "CAST(count(*) AS BIGINT) AS orders, " + r2(ratio("sum(ticket)", "count(*)")) + " AS avg_ticket FROM ("

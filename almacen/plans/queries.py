@@ -1,8 +1,8 @@
 """Q01-Q20 and K1-K4: the business questions, as DataFrame plans on the star.
 
 Conventions (shared with the DuckDB oracle):
-* revenue = exact DECIMAL sum of ``total_linea`` over non-cancelled lines,
-  shown as DOUBLE; orders = distinct non-cancelled invoices;
+* revenue = exact DECIMAL sum of ``total_linea`` over non-cancelled lines;
+  orders = distinct non-cancelled invoices;
 * ratios and percentages: DOUBLE arithmetic, rounded by ``round2``;
 * "known" customers exclude the anonymous UNKNOWN member (compared by its
   surrogate key, read once per build, so the fact is never joined to the
@@ -15,19 +15,19 @@ before the shuffle), then join the much smaller aggregate to a dimension.
 Windows without ``partitionBy`` appear only over bounded row sets (years,
 months, hours, segments, regions, countries, or a top-k after a
 ``WindowGroupLimit``); orderings over customers or products use the
-parallel helpers in :mod:`operators.scale`.
+parallel helpers in :mod:`operators.scale`, whose written tables lie below the
+shared scratch folder (``session.release_scratch`` removes them), never in the
+warehouse, which queries only read.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import money, pct, ratio, round2
-from ..operators.scale import lookup_join, with_ntile, with_rank, with_running_sum
+from ..operators.scale import ntile_cuts, with_running_sum
 from ..session import scratch_path, write_table
 from .warehouse import Star
 
@@ -58,31 +58,40 @@ def _dim(star: Star, name: str, *cols: str) -> DataFrame:
 
 
 def _with_dates(star: Star, df: DataFrame, *cols: str) -> DataFrame:
-    """Attach date attributes (the date dimension is one row per day: bounded)."""
-    d = _dim(star, "dim_fecha", "fecha_id", *cols)
+    """Attach date attributes to rows already aggregated by date (one row per day: bounded)."""
     df = df.drop(*[c for c in cols if c in df.columns])
-    return lookup_join(df, d.withColumnRenamed("fecha_id", "__fid"), "fecha_id", "__fid",
-                       star.rows["dim_fecha"], 96, how="inner", workdir=star.scratch).drop("__fid")
+    return df.join(_dim(star, "dim_fecha", "fecha_id", *cols), "fecha_id")
 
 
 def _join_dim(star: Star, df: DataFrame, name: str, key: str, *cols: str) -> DataFrame:
-    d = _dim(star, name, key, *cols).withColumnRenamed(key, "__k")
-    return lookup_join(df, d, key, "__k", star.rows[name], 160, how="inner",
-                       workdir=star.scratch).drop("__k")
+    """Attach attributes to rows already aggregated by ``key``: unique on both
+    sides, so no key is hot, and the planner broadcasts by the files' sizes."""
+    return df.join(_dim(star, name, key, *cols), key)
 
 
 # --- Group 1: global KPIs ----------------------------------------------------
 
+def _distinct(df: DataFrame, column: str) -> Column:
+    """Number of distinct non-NULL values, as a scalar over the pruned column (written as
+    a grouping, since the optimizer merges several ``count_distinct`` scalars into one)."""
+    return (df.select(column).filter(F.col(column).isNotNull()).groupBy(column).agg(F.lit(1).alias("one"))
+            .agg(F.count("one")).scalar())
+
+
 def q01_kpis(star: Star) -> DataFrame:
-    """Business state: revenue, orders, ticket, cancellation rate, reach."""
+    """Business state: revenue, orders, ticket, cancellation rate, reach.
+
+    Each distinct count is its own pruned scan: together in one aggregate
+    they would multiply every line.
+    """
     a = star.fact.agg(
         F.sum(_rev()).alias("rev"),
-        F.count_distinct(_invoice_nonc()).alias("orders"),
         F.sum("is_cancelled").alias("cancelled"),
-        F.count(F.lit(1)).alias("lines"),
-        F.count_distinct(F.when(known(star), F.col("cliente_id"))).alias("customers"),
-        F.count_distinct("producto_id").alias("products"),
-        F.count_distinct("geografia_id").alias("countries"))
+        F.count(F.lit(1)).alias("lines"))
+    a = a.select("*", _distinct(star.fact.filter(_nonc()), "invoice_number").alias("orders"),
+                 _distinct(star.fact.filter(known(star)), "cliente_id").alias("customers"),
+                 _distinct(star.fact, "producto_id").alias("products"),
+                 _distinct(star.fact, "geografia_id").alias("countries"))
     return a.select(
         money(F.col("rev")).alias("revenue"),
         F.col("orders").cast("bigint").alias("orders"),
@@ -109,10 +118,14 @@ def q02_yoy(star: Star) -> DataFrame:
         pct(F.col("rev") - F.col("prev"), F.col("prev")).alias("growth_pct"))
 
 
+def _daily(star: Star) -> DataFrame:
+    return star.fact.groupBy("fecha_id").agg(F.sum(_rev()).alias("rev"))
+
+
 def q03_running_month(star: Star) -> DataFrame:
     """Monthly revenue and its running total (SUM OVER)."""
-    m = (_with_dates(star, star.fact, "anio", "mes").groupBy("anio", "mes")
-         .agg(F.sum(_rev()).alias("rev")))
+    m = (_with_dates(star, _daily(star), "anio", "mes").groupBy("anio", "mes")
+         .agg(F.sum("rev").alias("rev")))
     w = Window.orderBy("anio", "mes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return m.select(
         F.col("anio").cast("int").alias("anio"), F.col("mes").cast("int").alias("mes"),
@@ -122,8 +135,9 @@ def q03_running_month(star: Star) -> DataFrame:
 
 def q04_weekend(star: Star) -> DataFrame:
     """Weekend versus weekday sales."""
-    g = (_with_dates(star, star.fact, "es_fin_semana").groupBy("es_fin_semana")
-         .agg(F.count_distinct(_invoice_nonc()).alias("orders"), F.sum(_rev()).alias("rev")))
+    per = star.fact.groupBy("fecha_id", _invoice_nonc().alias("invoice")).agg(F.sum(_rev()).alias("rev"))
+    g = (_with_dates(star, per, "es_fin_semana").groupBy("es_fin_semana")
+         .agg(F.count_distinct("invoice").alias("orders"), F.sum("rev").alias("rev")))
     return g.select(
         F.col("es_fin_semana").cast("int").alias("es_fin_semana"),
         F.col("orders").cast("bigint").alias("orders"),
@@ -135,18 +149,29 @@ def q04_weekend(star: Star) -> DataFrame:
 
 def q05_month_rank(star: Star) -> DataFrame:
     """Calendar months ranked by revenue across all years (RANK)."""
-    m = _with_dates(star, star.fact, "mes").groupBy("mes").agg(F.sum(_rev()).alias("rev"))
+    m = _with_dates(star, _daily(star), "mes").groupBy("mes").agg(F.sum("rev").alias("rev"))
     w = Window.orderBy(F.col("rev").desc_nulls_last())          # at most 12 rows
     return m.select(
         F.col("mes").cast("int").alias("mes"), money(F.col("rev")).alias("revenue"),
         F.rank().over(w).cast("bigint").alias("revenue_rank"))
 
 
+def q05_month_rank_by_year(star: Star) -> DataFrame:
+    """The months of each year ranked by revenue (RANK PARTITION BY year)."""
+    m = (_with_dates(star, _daily(star), "anio", "mes").groupBy("anio", "mes")
+         .agg(F.sum("rev").alias("rev")))
+    w = Window.partitionBy("anio").orderBy(F.col("rev").desc_nulls_last())
+    return m.select(
+        F.col("anio").cast("int").alias("anio"), F.col("mes").cast("int").alias("mes"),
+        money(F.col("rev")).alias("revenue"), F.rank().over(w).cast("bigint").alias("revenue_rank"))
+
+
 def q06_ticket_quarter(star: Star) -> DataFrame:
     """Average invoice value per (year, quarter): invoice totals, then average."""
-    inv = (_with_dates(star, star.fact.filter(_nonc()), "anio", "trimestre")
-           .groupBy("anio", "trimestre", "invoice_number")
-           .agg(F.sum("total_linea").alias("ticket")))
+    per = star.fact.filter(_nonc()).groupBy("fecha_id", "invoice_number").agg(
+        F.sum("total_linea").alias("ticket"))
+    inv = (_with_dates(star, per, "anio", "trimestre").groupBy("anio", "trimestre", "invoice_number")
+           .agg(F.sum("ticket").alias("ticket")))
     q = inv.groupBy("anio", "trimestre").agg(F.count(F.lit(1)).alias("orders"),
                                               F.sum("ticket").alias("tickets"))
     return q.select(
@@ -244,11 +269,21 @@ def _product_sales(star: Star) -> DataFrame:
 
 
 def q13_top_products(star: Star) -> DataFrame:
-    """Top 10 products by revenue, with their rank by units as well (double RANK)."""
-    ranked = with_rank(_product_sales(star), "units", "units_rank",   # over all products
-                       workdir=star.scratch)
+    """Top 10 products by revenue, with their rank by units as well (double RANK).
+
+    The top 10 come first. Their rank by units is one more than the number of
+    products with more units, from the counts per distinct number of units;
+    a number that half of the products share is one row there.
+    """
+    sales = _product_sales(star)
     w = Window.orderBy(F.col("rev").desc())
-    top = ranked.withColumn("revenue_rank", F.rank().over(w)).filter(F.col("revenue_rank") <= 10)
+    top = sales.withColumn("revenue_rank", F.rank().over(w)).filter(F.col("revenue_rank") <= 10)
+    counts = sales.groupBy(F.col("units").alias("u")).agg(F.count(F.lit(1)).alias("n"))
+    # NULL units rank last, behind every number.
+    above = (F.col("u") > F.col("units")) | (F.col("u").isNotNull() & F.col("units").isNull())
+    top = (top.join(counts, above, "left")
+           .groupBy("producto_id", "rev", "units", "revenue_rank")
+           .agg((F.coalesce(F.sum("n"), F.lit(0)) + 1).alias("units_rank")))
     top = _join_dim(star, top, "dim_producto", "producto_id", "stock_code", "descripcion")
     return top.select(
         "stock_code", "descripcion", money(F.col("rev")).alias("revenue"),
@@ -279,9 +314,9 @@ def q15_pareto(star: Star) -> DataFrame:
     exact: 5 * before < 4 * total in DECIMAL.
     """
     sales = _product_sales(star).select("producto_id", "rev")
-    total = sales.agg(F.sum("rev")).scalar()
+    total = F.col("total")
     cum = with_running_sum(sales, [F.col("rev").desc(), F.col("producto_id")], "rev", "cum",
-                           rn_name="rank", workdir=star.scratch)
+                           rn_name="rank", total_name="total")
     kept = cum.filter((F.col("cum") - F.col("rev")) * 5 < total * 4)
     kept = _join_dim(star, kept, "dim_producto", "producto_id", "stock_code")
     return kept.select(
@@ -341,9 +376,8 @@ def q18_top3_country(star: Star) -> DataFrame:
 
 def q19_region_yoy(star: Star) -> DataFrame:
     """Revenue per region and year, growth within each region (LAG PARTITION BY)."""
-    rg = star.fact.filter(_nonc()).groupBy("geografia_id", "fecha_id").agg(
-        F.sum("total_linea").alias("rev"))
-    rg = _with_dates(star, rg, "anio")
+    rg = star.fact.filter(_nonc()).groupBy("geografia_id", "anio").agg(
+        F.sum("total_linea").alias("rev"))          # ``anio`` is on the fact: no date join
     rg = _join_dim(star, rg, "dim_geografia", "geografia_id", "region")
     y = rg.groupBy("region", "anio").agg(F.sum("rev").alias("rev"))
     w = Window.partitionBy("region").orderBy("anio")
@@ -361,40 +395,34 @@ def q20_rfm(star: Star) -> DataFrame:
     overall, plus one. R tiles by recency descending (most recent -> 5),
     F and M ascending; ties broken by customer id.
 
-    The per-customer measures are written once; each NTILE then runs over a
-    narrow (customer, measure) projection with the parallel ``with_ntile``,
-    the three concurrently, and the scores are attached by size-checked
-    lookups on the customer key.
+    The per-customer measures are written once. Of each measure, the first
+    row of the tiles 2 to 5 is found; these 12 rows are all it takes to score
+    every customer in one projection, without joining anything back.
     """
     spark = star.fact.sparkSession
     per = (star.fact.filter(_nonc() & known(star)).groupBy("cliente_id").agg(
-        F.max("fecha_id").alias("last_fid"),
+        F.max("fecha_id").alias("fecha_id"),
         F.count_distinct("invoice_number").alias("frequency"),
         F.sum("total_linea").alias("monetary")))
-    per = _with_dates(star, per.withColumnRenamed("last_fid", "fecha_id"), "fecha_completa")
+    per = _with_dates(star, per, "fecha_completa")
     ref = per.agg(F.max("fecha_completa")).scalar()
     per = per.select("cliente_id", "frequency", "monetary", (
         F.datediff(ref, F.col("fecha_completa")) + 1).cast("bigint").alias("recency_days"))
-    per = write_table(per, scratch_path(spark, "rfm-measures", star.scratch))
-    customers = per.count()
-
-    n = fixed.RFM_BUCKETS
-    specs = [("r_score", "recency_days", F.col("recency_days").desc()),
-             ("f_score", "frequency", F.col("frequency")),
-             ("m_score", "monetary", F.col("monetary"))]
-
-    def tile(spec):
-        name, measure, order = spec
-        return with_ntile(per.select("cliente_id", measure), [order, F.col("cliente_id")], n, name,
-                          workdir=star.scratch) \
-            .select(F.col("cliente_id").alias(f"__c_{name}"), name)
-
-    with ThreadPoolExecutor(max_workers=len(specs)) as pool:
-        scores = list(pool.map(tile, specs))
-    for (name, _, _), sc in zip(specs, scores):
-        per = lookup_join(per, sc, "cliente_id", f"__c_{name}", customers, 16, how="inner",
-                          workdir=star.scratch) \
-            .drop(f"__c_{name}")
+    per = write_table(per, scratch_path(spark, "rfm-measures"))
+
+    def tile(name: str, measure: str, descending: bool) -> Column:
+        value, key = F.col(measure), F.col("cliente_id")
+        cuts = ntile_cuts(per.select("cliente_id", measure), [value.desc() if descending else value, key],
+                          fixed.RFM_BUCKETS)
+        score = F.lit(1)
+        for cut in cuts:
+            at = F.lit(cut[measure])
+            past = (value < at) if descending else (value > at)
+            score = score + (past | ((value == at) & (key >= cut["cliente_id"]))).cast("int")
+        return score.alias(name)
+
+    per = per.select("*", tile("r_score", "recency_days", True), tile("f_score", "frequency", False),
+                     tile("m_score", "monetary", False))
 
     score = F.col("r_score") + F.col("f_score") + F.col("m_score")
     label = F.lit(fixed.RFM_LABEL_REST)
@@ -462,9 +490,9 @@ def k4_business_hours(star: Star) -> DataFrame:
     """Share of orders placed during office hours (10:00-15:00)."""
     lo, hi = fixed.BUSINESS_HOURS
     in_hours = (F.col("hora_venta") >= lo) & (F.col("hora_venta") < hi)
-    a = star.fact.agg(
-        F.count_distinct(F.when(_nonc() & in_hours, F.col("invoice_number"))).alias("inside"),
-        F.count_distinct(_invoice_nonc()).alias("orders"))
+    invoices = star.fact.filter(_nonc() & F.col("invoice_number").isNotNull()).groupBy(
+        "invoice_number").agg(F.max(in_hours.cast("int")).alias("inside"))
+    a = invoices.agg(F.coalesce(F.sum("inside"), F.lit(0)).alias("inside"), F.count(F.lit(1)).alias("orders"))
     return a.select(F.col("inside").cast("bigint").alias("orders_in_hours"),
                     F.col("orders").cast("bigint").alias("orders"),
                     pct(F.col("inside"), F.col("orders")).alias("share_pct"))
