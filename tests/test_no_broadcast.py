@@ -38,3 +38,15 @@ def test_matches_oracle_without_broadcast(spark, big_dims_star, name):
     cur = duck(SF).execute(entry.oracle_sql()[name])
     d_cols = [c[0] for c in cur.description]
     assert _rows(s_cols, s_rows) == _rows(d_cols, cur.fetchall())
+
+
+def test_layout_does_not_depend_on_the_join_path(spark, big_dims_star):
+    """Files of a year hold disjoint ranges of dates and keys, and nothing of the work is left."""
+    from pyspark.sql import functions as F
+
+    from almacen.session import path_exists
+    files = (big_dims_star.fact.groupBy("anio", F.input_file_name().alias("f"))
+             .agg(F.min("ventas_id").alias("lo"), F.max("ventas_id").alias("hi")).orderBy("anio", "lo").collect())
+    for a, b in zip(files, files[1:]):
+        assert a["anio"] != b["anio"] or a["hi"] < b["lo"]
+    assert not path_exists(spark, f"{big_dims_star.base}/_work")

@@ -48,13 +48,42 @@ def test_year_filter_prunes_fact_partitions(star):
 def test_dimension_broadcast_only_behind_size_check(spark, star):
     fact = star.fact.select("producto_id", "total_linea")
     dim = star["dim_producto"].select(F.col("producto_id").alias("k"), "stock_code")
-    small = plan(lookup_join(fact, dim, "producto_id", "k", dim_rows=10, row_bytes=100))
-    big = plan(lookup_join(fact, dim, "producto_id", "k", dim_rows=10**9, row_bytes=100))
+    small = plan(lookup_join(fact, dim, "producto_id", "k", dim_bytes=1000))
+    big = plan(lookup_join(fact, dim, "producto_id", "k", dim_bytes=10**11))
     assert "BroadcastHashJoin" in small
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        big = plan(lookup_join(fact, dim, "producto_id", "k", dim_rows=10**9, row_bytes=100))
+        big = plan(lookup_join(fact, dim, "producto_id", "k", dim_bytes=10**11))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "SortMergeJoin" in big and "__salt" in big
+
+
+def test_kpis_do_not_multiply_lines(star):
+    assert "Expand" not in plan(queries.q01_kpis(star)) and "Expand" not in plan(queries.k4_business_hours(star))
+
+
+def test_region_years_need_no_dates(star):
+    assert "fecha" not in plan(queries.q19_region_yoy(star)).replace("fecha_id", "")
+
+
+def test_dates_are_joined_to_daily_sums(star):
+    for q in (queries.q03_running_month, queries.q05_month_rank, queries.q05_month_rank_by_year):
+        text = plan(q(star))
+        assert text.index("Join") < text.index("HashAggregate", text.index("Join")), q.__name__
+
+
+def test_customers_are_reduced_by_hash(star):
+    from almacen.operators.dims import _customer_stats
+    lines = [x for x in plan(_customer_stats(star.clean)).splitlines() if "Aggregate" in x and "+-" in x]
+    # Read from the scan upwards: the aggregates over the lines come last in the tree.
+    assert lines and "HashAggregate" in lines[-1] and "HashAggregate" in lines[-2]
+
+
+def test_queries_write_nothing_into_the_warehouse(spark, star):
+    from almacen.session import file_stamps
+    before = file_stamps(spark, star.base)
+    for q in (queries.q13_top_products, queries.q15_pareto, queries.q20_rfm):
+        q(star).collect()
+    assert file_stamps(spark, star.base) == before

@@ -3,8 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from almacen.operators.scale import (lookup_join, with_ntile, with_rank, with_row_number,
-                                     with_running_sum)
+from almacen.operators.scale import lookup_join, measured_bytes, ntile_cuts, with_row_number, with_running_sum
 
 SF = "/root/testdata/sf0.01"
 
@@ -36,17 +35,33 @@ def test_running_sum_matches(spark):
     assert j.filter((F.col("cum") != F.col("cum_ref")) | (F.col("rn") != F.col("rn_ref"))).count() == 0
 
 
-def test_ntile_and_rank_match(spark):
+def test_ntile_cuts_match(spark):
     df = _customers(spark)
     order = [F.col("bal").desc(), F.col("c_custkey")]
-    got = with_ntile(df, order, 5, "tile")
-    got = with_rank(got, "bal", "rk")
-    ref = (df.withColumn("tile_ref", F.ntile(5).over(Window.orderBy(*order)))
-           .withColumn("rk_ref", F.rank().over(Window.orderBy(F.col("bal").desc()))))
-    j = got.join(ref, "c_custkey")
-    assert j.count() == df.count()
-    assert j.filter(F.col("tile") != F.col("tile_ref")).count() == 0
-    assert j.filter(F.col("rk") != F.col("rk_ref")).count() == 0
+    cuts = [tuple(r) for r in ntile_cuts(df, order, 5)]
+    ref = df.withColumn("tile", F.ntile(5).over(Window.orderBy(*order))).withColumn(
+        "rn", F.row_number().over(Window.partitionBy("tile").orderBy(*order)))
+    want = [tuple(r)[:2] for r in ref.filter("rn = 1 and tile > 1").orderBy("tile").collect()]
+    assert cuts == want
+
+
+def test_running_sum_total(spark):
+    df = _customers(spark)
+    got = with_running_sum(df, [F.col("c_custkey")], "bal", "cum", total_name="total", num_partitions=4)
+    assert [r[0] for r in got.select("total").distinct().collect()] == [df.agg(F.sum("bal")).first()[0]]
+
+
+def test_one_value_in_half_the_rows_is_split(spark, scratch):
+    """The key breaks ties, so a measure that half of the rows share fills no partition alone."""
+    from almacen.operators.scale import _ranged
+    df = spark.range(0, 40000).select(F.col("id"), F.when(F.col("id") % 2 == 0, 5).otherwise(F.col("id")).alias("v"))
+    sizes = [r["count"] for r in _ranged(df, ["v", "id"], 8, "half").groupBy("__pid").count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
+def test_measured_bytes_follow_the_text(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, "é" * 100)], "k int, t string")
+    assert measured_bytes(df) == 3 * 48 + 3 + 200 and measured_bytes(df.limit(0)) == 0
 
 
 def test_lookup_join_skew_path_equals_broadcast(spark):
@@ -54,8 +69,8 @@ def test_lookup_join_skew_path_equals_broadcast(spark):
     facts = (spark.range(0, 30000).select(
         F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 500).alias("k")))
     dim = spark.range(0, 500).select(F.col("id").alias("dk"), (F.col("id") * 10).alias("v"))
-    fast = lookup_join(facts, dim, "k", "dk", dim_rows=500, row_bytes=16)
-    slow = lookup_join(facts, dim, "k", "dk", dim_rows=500, row_bytes=10 ** 9)
+    fast = lookup_join(facts, dim, "k", "dk", dim_bytes=8000)
+    slow = lookup_join(facts, dim, "k", "dk", dim_bytes=10 ** 12)
     a = fast.select("id", "k", "v")
     b = slow.select("id", "k", "v")
     assert a.count() == b.count() == 30000
