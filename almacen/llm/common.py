@@ -34,6 +34,41 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Bits of an id filter: at most 128 KB of bits (16,384 rows) are broadcast, whatever the input.
+FILTER_BITS = 1 << 20
+
+
+def id_filter(ids: DataFrame) -> DataFrame:
+    """A bitmap of the hashed ``doc_id`` as rows ``(w, b)`` of 64 bits, ``FILTER_BITS / 64`` at most."""
+    at = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("h"))
+    return (at.select(F.expr("h div 64").alias("w"), F.expr("shiftleft(1L, cast(h % 64 as int))").alias("b"))
+            .groupBy("w").agg(F.bit_or("b").alias("b")))
+
+
+def maybe_in(docs: DataFrame, bits: DataFrame) -> DataFrame:
+    """``docs`` with a flag ``maybe``: false means that the row's id is surely not in the filter."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    f = F.broadcast(bits.select(F.col("w").alias("__w"), F.col("b").alias("__b")))
+    return (docs.withColumn("__h", h).join(f, F.expr("__h div 64 = __w"), "left")
+            .select(*names, F.coalesce(F.expr("(__b & shiftleft(1L, cast(__h % 64 as int))) <> 0"),
+                                       F.lit(False)).alias("maybe")))
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose id is in ``dropped(doc_id)``.
+
+    Only rows that the filter of dropped ids may hold are joined; the others
+    pass where they lie, so a few dropped rows do not move all texts. With
+    very many dropped rows it becomes a plain anti join.
+    """
+    gone = staged(dropped.select("doc_id").distinct(), "dropped")
+    split = maybe_in(docs, id_filter(gone))
+    g = gone.withColumnRenamed("doc_id", "__gone")
+    doubtful = split.filter("maybe").join(g, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    return split.filter("not maybe").drop("maybe").unionByName(doubtful.drop("maybe"))
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an undirected graph as ``(node, comp)``, ``comp``
     being the smallest node; only nodes with an edge appear.
