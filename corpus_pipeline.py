@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from almacen.llm import exact_dedup, jaccard, language, packing, queries, secrets
-from almacen.llm.common import staged
+from almacen.llm.common import staged, without
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,15 +20,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the largest ``doc_id`` of equal texts."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id").distinct()
-    return _only(docs, kept)
+    return without(docs, exact_dedup.exact_dedup(docs).filter("not kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest ``doc_id`` of each group of linked texts."""
-    kept = (jaccard.jaccard_components(docs).filter("doc_id = component_id or doc_id is null")
-            .select("doc_id").distinct())
-    return _only(docs, kept)
+    """Keep the smallest ``doc_id`` of each group of texts linked by five-word shingles, 0.8 or more alike."""
+    found = jaccard.jaccard_components(docs, n=5, percent=80)
+    return without(docs, found.filter("doc_id <> component_id"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +38,6 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, queries.tokenizer("word_bpe_49k.json"))
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    k = kept.withColumnRenamed("doc_id", "k")
-    return docs.join(k, docs.doc_id.eqNullSafe(k.k), "left_semi")
-
-
 STAGES = [("language_id", language_id), ("exact_dedup", drop_exact_copies), ("near_dedup", drop_near_copies),
           ("secret_scan", redact_secrets), ("packing", pack)]
 

@@ -24,7 +24,7 @@ def test_stages_keep_columns_and_take_effect(spark):
         if name == "exact_dedup":
             assert set(after) == {i for i, _, _, kept, _ in brute.exact(list(before.items())) if kept}
         if name == "near_dedup":
-            assert set(after) == {i for i, (_, c) in brute.jaccard(list(before.items())).items() if i == c}
+            assert set(after) == {i for i, (_, c) in brute.jaccard(list(before.items()), 5, 80).items() if i == c}
         if name == "secret_scan":
             assert set(after) == set(before)
             assert not any(secrets.scan(t) for t in after.values())
