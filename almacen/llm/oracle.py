@@ -49,15 +49,18 @@ f AS MATERIALIZED (
            len(ls) AS n_lines, len(regexp_extract_all(t, '\\p{{Lu}}')) AS n_upper
     FROM w LEFT JOIN r USING (rn))),
 u AS ({unpivot}),
-good AS (SELECT u.lang, u.rule, u.stat FROM u JOIN labels l ON u.doc_id = l.doc_id WHERE l.quality = 1),
-x AS (SELECT lang, rule, step, cut, count(*) AS n, count(*) FILTER (stat > cut) AS x
-      FROM good, (VALUES {grid}) AS c(step, cut) GROUP BY ALL),
-tail AS (SELECT x.*, (SELECT sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+known AS (SELECT u.lang, u.rule, u.stat, l.quality FROM u JOIN labels l ON u.doc_id = l.doc_id
+          WHERE l.quality IN (0, 1)),
+x AS (SELECT lang, rule, step, cut, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 0) AS bad,
+             count(*) FILTER (quality = 1 AND stat > cut) AS x, count(*) FILTER (quality = 0 AND stat > cut) AS y
+      FROM known, (VALUES {grid}) AS c(step, cut) GROUP BY ALL),
+tail AS (SELECT x.*, y * n - x * bad AS gain,
+                (SELECT sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
                         + k * ln({p}) + (n - k) * ln(1 - {p}))) FROM range(x.x + 1) AS ks(k)) AS p,
-                (SELECT count(DISTINCT coalesce(lang, '~none')) FROM good) AS m FROM x),
-cuts AS (SELECT lang, rule, min(cut) AS cutoff FROM (
-  SELECT *, bool_and(p <= {level} / m) OVER (PARTITION BY lang, rule ORDER BY step) AS ok FROM tail)
-  WHERE ok GROUP BY ALL),
+                (SELECT count(DISTINCT coalesce(lang, '~none')) FROM known) AS m FROM x),
+cuts AS (SELECT lang, rule, cut AS cutoff FROM (
+  SELECT *, bool_and(n > 0 AND p <= {level} / m) OVER (PARTITION BY lang, rule ORDER BY step) AS ok FROM tail)
+  WHERE ok AND gain > 0 QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY gain DESC, cut DESC) = 1),
 wide AS (SELECT lang, {wide} FROM cuts GROUP BY lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT ({over}) AS kept

@@ -7,9 +7,13 @@ false rejections ``alpha / rules`` or more, seeing as few rejected good
 documents as it did would have a probability of at most ``delta / (strata *
 rules)`` (exact binomial tail, i.e. the Clopper-Pearson bound; Bonferroni over
 strata and rules). Testing stops at the first cutoff that fails, so the fixed
-order needs no correction over the grid. With probability ``1 - delta``, in
-every stratum at most ``alpha`` of good documents are rejected by the rules.
-A stratum with too few labels for a guarantee keeps all its documents.
+order needs no correction over the grid, and with probability ``1 - delta``
+every cutoff that passed is safe: in no stratum do the rules reject more than
+``alpha`` of the good documents. Of a rule's safe cutoffs, the one with the
+largest difference between the shares of bad and good documents rejected is
+taken (of equals the loosest); a rule for which no cutoff rejects bad documents
+more often than good ones is not used. A stratum with too few labels for a
+guarantee keeps all its documents.
 
 Defined cases: a null text has no words and fails the base rules; a null
 stratum is a stratum of its own; labels that are null, repeated or without a
@@ -139,25 +143,29 @@ def binomial_tail(x: Column, n: Column, p: float) -> Column:
 
 def cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA,
             grid: tuple = GRID) -> DataFrame:
-    """``stratum, rule, cutoff``: the strictest certified cutoff, where there is one."""
-    good = labels.filter("quality = 1").select(F.col("doc_id").alias("l_doc"))
+    """``stratum, rule, cutoff``: the most useful safe cutoff, where there is one."""
+    known = labels.filter("quality in (0, 1)").select(F.col("doc_id").alias("l_doc"), (F.col("quality") == 1).alias("good"))
     stats = F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("stat")) for k, v in statistics().items()])
-    at = F.array(*[F.lit(g) for g in grid])
-    counts = (feats.filter("not base_failed").join(good, F.col("doc_id") == F.col("l_doc"))
-              .select("stratum", F.explode(stats).alias("r"))
+
+    def number(cond) -> Column:
+        return F.sum(cond.cast("long"))
+    good, stat = F.col("good"), F.col("r.stat")
+    at = F.array(*[F.struct(F.lit(g).alias("cut"), F.col(f"x{g}").alias("x"), F.col(f"y{g}").alias("y")) for g in grid])
+    counts = (feats.filter("not base_failed").join(known, F.col("doc_id") == F.col("l_doc"))
+              .select("stratum", "good", F.explode(stats).alias("r"))
               .groupBy("stratum", F.col("r.rule").alias("rule"))
-              .agg(F.count(F.lit(1)).alias("n"),
-                   *[F.sum((F.col("r.stat") > g).cast("long")).alias(f"x{g}") for g in grid]))
+              .agg(number(good).alias("n"), number(~good).alias("bad"),
+                   *[number(good & (stat > g)).alias(f"x{g}") for g in grid],
+                   *[number(~good & (stat > g)).alias(f"y{g}") for g in grid]))
     strata = counts.select(F.count(F.lit(1)).over(Window.partitionBy("rule")).alias("m"), "*")
-    rows = strata.select("stratum", "rule", "n", "m",
-                         F.posexplode(F.arrays_zip(at.alias("cut"), F.array(*[F.col(f"x{g}") for g in grid])
-                                                   .alias("x"))).alias("step", "z"))
+    rows = strata.select("stratum", "rule", "n", "bad", "m", F.posexplode(at).alias("step", "z"))
     tested = rows.select("stratum", "rule", "step", F.col("z.cut").alias("cut"),
-                         (binomial_tail(F.col("z.x"), F.col("n"), alpha / len(RULES))
-                          <= F.lit(delta / len(RULES)) / F.col("m")).alias("ok"))
+                         (F.col("z.y") * F.col("n") - F.col("z.x") * F.col("bad")).alias("gain"),
+                         ((F.col("n") > 0) & (binomial_tail(F.col("z.x"), F.col("n"), alpha / len(RULES))
+                                              <= F.lit(delta / len(RULES)) / F.col("m"))).alias("ok"))
     upto = Window.partitionBy("stratum", "rule").orderBy("step")
-    return (tested.withColumn("all_ok", F.min("ok").over(upto)).filter("all_ok")
-            .groupBy("stratum", "rule").agg(F.min("cut").alias("cutoff")))
+    safe = tested.withColumn("safe", F.min("ok").over(upto)).filter("safe and gain > 0")
+    return safe.groupBy("stratum", "rule").agg(F.max_by("cut", F.struct("gain", "cut")).alias("cutoff"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA,

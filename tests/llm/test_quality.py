@@ -48,24 +48,29 @@ def test_binomial_tail_is_exact(spark):
         assert p == pytest.approx(_tail(x, n, 0.01), rel=1e-6)
 
 
-def test_cutoffs_are_the_strictest_certified(spark):
-    n = 4000
-    feats = spark.range(n).select(
-        F.col("id").alias("doc_id"), F.when(F.col("id") < 3900, "a").alias("stratum"), F.lit(100).cast("long").alias("n_words"),
-        F.lit(1000).cast("long").alias("word_chars"), F.when(F.col("id") % 200 == 0, 350).otherwise(5).cast("long").alias("n_symbols"),
-        F.lit(0).cast("long").alias("n_dup_lines"), F.lit(0).cast("long").alias("n_repeat_words"),
-        F.lit(10).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_upper"), F.lit(False).alias("base_failed"))
-    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+def test_cutoffs_are_the_most_useful_safe_ones(spark):
+    """3,900 good and 500 bad documents in one stratum, 100 good ones (too few) in another."""
+    i = F.col("id")
+    symbols = F.when(i >= 4000, 400).when(i % 200 == 0, 350).otherwise(5)
+    zero = F.lit(0).cast("long")
+    feats = spark.range(4500).select(
+        i.alias("doc_id"), F.when((i < 3900) | (i >= 4000), "a").alias("stratum"), F.lit(100).cast("long").alias("n_words"),
+        F.lit(1000).cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"),
+        zero.alias("n_dup_lines"), zero.alias("n_repeat_words"), F.lit(10).cast("long").alias("n_lines"),
+        zero.alias("n_upper"), F.lit(False).alias("base_failed"))
+    labels = spark.range(4500).select(i.alias("doc_id"), (i < 4000).cast("int").alias("quality"), F.lit(0).alias("toxic"))
     got = {(r["stratum"], r["rule"]): r["cutoff"] for r in quality.cutoffs(feats, labels).collect()}
-    bound, m, strata = 0.04 / 4, 3900, 2
-    for rule, x_at in (("symbols", lambda g: 20 if g < 350 else 0), ("upper", lambda g: 0)):
-        best = None
-        for g in quality.GRID:
-            if _tail(x_at(g), m, bound) > 0.05 / 4 / strata:
-                break
-            best = g
-        assert got.get(("a", rule)) == best
-    assert not any(s is None for s, _ in got)                        # 100 labels certify nothing
+    values = [5 if k % 200 else 350 for k in range(3900)]
+    best = None
+    for g in quality.GRID:
+        x, y = sum(v > g for v in values), 500 * (400 > g)
+        if _tail(x, 3900, 0.04 / 4) > 0.05 / 4 / 2:
+            break
+        gain = y * 3900 - x * 500
+        if gain > 0 and (best is None or gain > best[0]):
+            best = gain, g
+    assert got == {("a", "symbols"): best[1]} and best[1] == 300
+    assert quality.cutoffs(feats, labels.filter("quality = 1")).count() == 0        # nothing to gain
 
 
 def test_rejects_at_most_the_promised_share(spark):
