@@ -34,7 +34,7 @@ class PrefixBPE:
     PRETOKEN = regex.compile(
         r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
     GAP = re.compile(r"\s\s|\s\Z")
-    MEMO = 300_000
+    MEMO, PAIRS = 300_000, 1_000_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -67,7 +67,7 @@ class PrefixBPE:
         # the rank of the merge after which it does.
         self.right: dict[int, list] = {}
         self.left: dict[int, list] = {}
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         usable = []
         for t in sorted(vocab.values(), key=lambda i: len(self.bytes_of[i])):
             if t not in parts:
@@ -108,19 +108,26 @@ class PrefixBPE:
                 j += 1
 
     def _fits(self, x: int, y: int) -> bool:
-        known = self.compatible.get((x, y))
-        if known is None:
-            if len(self.compatible) >= 1_000_000:
-                self.compatible.clear()
-            known = self.compatible[x, y] = self._border(x, y) is None
-        return known
+        if len(self.compatible) >= self.PAIRS:
+            self.compatible.clear()
+        fits = self.compatible[x << 20 | y] = self._border(x, y) is None
+        return fits
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        last = [None] * (len(piece) + 1)
+        last = [-1] * (len(piece) + 1)
+        known = self.compatible.get
         for at, (token, length) in self.automaton.iter(piece.decode("latin-1")):
-            end, start = at + 1, at + 1 - length
-            if last[end] is None and (start == 0 or last[start] is not None and self._fits(last[start], token)):
-                last[end] = token
+            end = at + 1
+            if last[end] >= 0:
+                continue
+            if start := end - length:
+                before = last[start]
+                fits = known(before << 20 | token)
+                if fits is None:
+                    fits = self._fits(before, token)
+                if not fits:
+                    continue
+            last[end] = token
         ids, at = [], len(piece)
         while at:
             ids.append(last[at])
@@ -144,18 +151,17 @@ class PrefixBPE:
         if self.GAP.search(text):
             return self._span(text)
         # Single spaces only: no pretoken crosses one, so each word with the space before it is known by itself.
-        out, memo = [], self.chunks
-        for i, word in enumerate(text.split(" ")):
-            c = " " + word if i else word
-            ids = memo.get(c)
-            if ids is None:
-                ids = self._span(c)
-                if len(memo) >= self.MEMO:
-                    memo.clear()
-                if len(c) <= 64:
-                    memo[c] = ids
-            out.append(ids)
-        return b"".join(out)
+        first, *rest = text.split(" ")
+        known, new = self.chunks.get, self._chunk
+        return self._span(first) + b"".join([known(w) or new(w) for w in rest])
+
+    def _chunk(self, word: str) -> bytes:
+        ids = self._span(" " + word)
+        if len(self.chunks) >= self.MEMO:
+            self.chunks.clear()
+        if len(word) <= 64:
+            self.chunks[word] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
