@@ -9,6 +9,15 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from samples import ODD_TEXTS, SF01  # noqa: E402
 
 
+@pytest.fixture(autouse=True, scope="module")
+def few_partitions(spark):
+    """Small tables: two shuffle partitions spare most of the scheduling time."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
     """Odd documents with extra columns whose names clash with the operators' own."""
