@@ -24,9 +24,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest ``doc_id`` of each group of texts linked by five-word shingles, 0.8 or more alike."""
-    found = jaccard.jaccard_components(docs, n=5, percent=80)
-    return without(docs, found.filter("doc_id <> component_id"))
+    """Keep the smallest ``doc_id`` of each group of linked texts (the join's own three words and 0.9)."""
+    return without(docs, jaccard.jaccard_components(docs).filter("doc_id <> component_id"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
