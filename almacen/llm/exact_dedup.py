@@ -98,8 +98,9 @@ def identities(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs(doc_id, text)``."""
     ids = staged(identities(docs, block_chars), "identities")
-    groups = ids.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"),
-                                                 F.count(F.lit(1)).alias("group_size"))
+    # Written, so that the join reads plain rows on both sides and can split a large group of copies.
+    groups = staged(ids.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"),
+                                                        F.count(F.lit(1)).alias("group_size")), "groups")
     return (ids.join(groups, ["n_blocks", "name"])
             .select("doc_id", "keep_id", "group_size",
                     F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
