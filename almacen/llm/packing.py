@@ -50,6 +50,8 @@ class WordEncoder:
 
     SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
     PLAIN = re.compile("[!-~\u00c0-\u024f]+")
+    #: A word of letters that lower-case one by one, and punctuation: two pieces at most.
+    WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\\[-`{-~]*)")
     ODD = re.compile("[\x1c-\x1f]")
     MEMO = 300_000
 
@@ -66,33 +68,36 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _piece(self, p: str) -> bytes:
+        ids = self.pieces.get(p)
+        if ids is None:
+            if len(self.pieces) >= self.MEMO:
+                self.pieces.clear()
+            spelled = p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
+            ids = self.pieces[p] = array("I", [t.id for t in self.lib.model.tokenize(spelled)]).tobytes()
+        return ids
+
     def _chunk(self, chunk: str) -> bytes:
-        if not self.PLAIN.fullmatch(chunk):
-            return self._whole(chunk)
-        out = []
-        for p in self.SPLIT.findall(chunk.lower()):
-            ids = self.pieces.get(p)
-            if ids is None:
-                if len(self.pieces) >= self.MEMO:
-                    self.pieces.clear()
-                spelled = p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
-                ids = self.pieces[p] = array("I", [t.id for t in self.lib.model.tokenize(spelled)]).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        if m := self.WORD.fullmatch(chunk):
+            word, rest = m.groups()
+            ids = self._piece(word.lower())
+            if rest:
+                ids += self._piece(rest)
+        elif self.PLAIN.fullmatch(chunk):
+            ids = b"".join(map(self._piece, self.SPLIT.findall(chunk.lower())))
+        else:
+            ids = self._whole(chunk)
+        if len(self.chunks) >= self.MEMO:
+            self.chunks.clear()
+        self.chunks[chunk] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if any(s in text for s in self.special) or self.ODD.search(text):
             return self._whole(text)
-        memo, out = self.chunks, []
-        for c in text.split():
-            ids = memo.get(c)
-            if ids is None:
-                if len(memo) >= self.MEMO:
-                    memo.clear()
-                ids = memo[c] = self._chunk(c)
-            out.append(ids)
-        return b"".join(out)
+        known, new = self.chunks.get, self._chunk
+        return b"".join([known(c) or new(c) for c in text.split()])
 
 
 def _byte_letters() -> dict[int, str]:
