@@ -1,15 +1,18 @@
 """8. N-gram Jaccard join: links between texts whose shingle sets are nearly equal.
 
-Two sets of sizes a and b link when ``100 |A & B| >= 90 |A | B|``, which means
-``b <= a / 0.9`` and a symmetric difference of at most ``(a + b) / 19``.
+Two sets of sizes a <= b link when ``100 |A & B| >= percent |A | B|``. With
+``t = percent / 100`` that means ``b <= a / t`` and a symmetric difference of
+at most ``(1 - t) / (1 + t) (a + b)``.
 
 1. One pass turns every whole text into its set of 64-bit shingle hashes.
-   Texts with equal sets form a class; from here on only classes count.
+   Texts with equal sets form a class; from here on only classes count. A task
+   gives the signatures of step 2 once per class, so that a large group of
+   copies is reduced before anything moves.
 2. Sizes fall into bands such that linked sets lie in the same or the next
    band. A band and its successor are a family; with ``d`` the largest
    possible difference of a linked pair of the family, its sets are split
-   into ``d + 1`` buckets by hash, of which one at least must be equal in
-   both sets. Classes that agree in a bucket are candidates; their connected
+   into a few more than ``d`` buckets by hash, of which all but ``d`` must be
+   equal in both sets, and one of these is not empty. Classes that agree in a bucket are candidates; their connected
    components hold every link, so the pairs of other classes are never looked at.
 3. Within a component, size-banded tiles are compared pairwise: sorted
    sizes and a hashed bitmap per set bound the overlap from above (a differing
@@ -32,7 +35,7 @@ gives an empty result.
 from __future__ import annotations
 
 import bisect
-import re
+import math
 
 import numpy as np
 import pandas as pd
@@ -40,17 +43,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import UPPER, components, staged
+from .common import components, id_filter, maybe_in, staged
 
 N, PERCENT = 3, 90
+SEEN = 1 << 18
 TILE_DOCS, TILE_HASHES = 512, 1 << 20
 BITS = 1024
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans(UPPER, UPPER.lower())
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 MEMO = 400_000
-#: Size of the filter that spares most texts outside all candidate groups a second pass: at most 1 MB to broadcast.
-FILTER_BITS = 1 << 20
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -67,18 +67,19 @@ class Shingler:
         import xxhash
         self.n, self.memo, self.hash = n, {}, xxhash.xxh64_intdigest
 
-    def _word(self, w: str) -> int:
+    def _word(self, w: bytes) -> int:
         if len(self.memo) >= MEMO:
             self.memo.clear()
-        h = self.memo[w] = self.hash(w.encode("utf-8", "surrogatepass"))
+        h = self.memo[w] = self.hash(w)
         return h
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = WORDS.findall((text or "").translate(LOWER) if text and not text.isascii() else (text or "").lower())
+        # Bytes lower-case A-Z alone and split at the six white-space characters of the contract alone.
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not words:
             return np.empty(0, np.uint64)
-        memo, word = self.memo, self._word
-        h = np.fromiter((memo.get(w) or word(w) for w in words), np.uint64, len(words))
+        known, new = self.memo.get, self._word
+        h = np.array([known(w) or new(w) for w in words], np.uint64)
         n = min(self.n, len(words))
         out = np.full(len(h) - n + 1, n, np.uint64)
         for k in range(n):
@@ -86,30 +87,37 @@ class Shingler:
         return np.unique(out)
 
 
-def _bands(top: int) -> list[int]:
+def _bands(top: int, percent: int) -> list[int]:
     """Lower bounds of the size bands up to ``top`` and two more: sets linked to a
     set below ``bounds[i + 1]`` are smaller than ``bounds[i + 2]``."""
     bounds = [1, 2]
     while len(bounds) < 3 or bounds[-3] <= top:
-        bounds.append(max(bounds[-1] + 1, (bounds[-1] - 1) * 100 // PERCENT + 1))
+        bounds.append(max(bounds[-1] + 1, (bounds[-1] - 1) * 100 // percent + 1))
     return bounds
 
 
 class Signatures:
     """Hashes of the contents of a set's buckets, for both families of its band."""
 
-    def __init__(self):
-        self.bounds = _bands(1 << 20)
+    def __init__(self, percent: int = PERCENT):
+        self.percent = percent
+        self.bounds = _bands(1 << 20, percent)
 
     def band(self, size: int) -> int:
         if size >= self.bounds[-3]:
-            self.bounds = _bands(2 * size)
+            self.bounds = _bands(2 * size, self.percent)
         return bisect.bisect_right(self.bounds, size) - 1
 
     def difference(self, family: int) -> int:
         """Largest symmetric difference of linked sets of bands ``family`` and the next."""
         small, large = self.bounds[family + 1] - 1, self.bounds[family + 2] - 1
-        return (small + large) * (100 - PERCENT) // (100 + PERCENT)
+        return (small + large) * (100 - self.percent) // (100 + self.percent)
+
+    def buckets(self, family: int) -> int:
+        """More than the difference by one and by the empty buckets to expect of a family's smallest set."""
+        least = self.difference(family) + 1
+        empty = least * math.exp(-self.bounds[family] / least)
+        return least + 1 + int(empty + 3 * math.sqrt(empty))
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         out, band = [], self.band(len(hashes))
@@ -117,38 +125,45 @@ class Signatures:
         for family in (band - 1, band):
             if family < 0 or (d := self.difference(family)) == 0:
                 continue                    # only equal sets can link, and these are one class
-            bucket = (hashes % np.uint64(d + 1)).astype(np.int64)
-            total = np.zeros(d + 1, np.uint64)
+            n = self.buckets(family)
+            bucket = (hashes % np.uint64(n)).astype(np.int64)
+            total = np.zeros(n, np.uint64)
             np.add.at(total, bucket, spread)
-            out.append(_mix(total + _mix(np.arange(d + 1, dtype=np.uint64) + np.uint64(family << 24) + np.uint64(7))))
+            sigs = _mix(total + _mix(np.arange(n, dtype=np.uint64) + np.uint64(family << 24) + np.uint64(7)))
+            # Linked sets agree in n - d buckets or more. Only if both have so many empty ones can
+            # these be all they agree in; else an empty bucket says nothing and is not given.
+            full = np.bincount(bucket, minlength=n) > 0
+            out.append(sigs[full] if n - int(full.sum()) < n - d else sigs)
         return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
-def _profiles(batches):
-    shingles, signatures = Shingler(), Signatures()
+def _profiles(batches, n: int, percent: int):
+    shingles, signatures = Shingler(n), Signatures(percent)
+    none, seen = np.empty(0, np.int64), set()
     for b in batches:
         rows = []
         for text in b.column(1):
             h = shingles(text.as_py())
-            digest = (int(h.sum(dtype=np.uint64)), int(_mix(h ^ MIX2).sum(dtype=np.uint64))) if len(h) else (0, 0)
-            rows.append((len(h), *np.array(digest, np.uint64).view(np.int64).tolist(),
-                         signatures(h) if len(h) else np.empty(0, np.int64)))
-        n, k1, k2, sigs = zip(*rows) if rows else ([], [], [], [])
+            if not len(h):
+                rows.append((0, 0, 0, none))
+                continue
+            key = np.array([h.sum(dtype=np.uint64), _mix(h ^ MIX2).sum(dtype=np.uint64)], np.uint64).view(np.int64)
+            k1, k2 = key.tolist()
+            first = (len(h), k1, k2) not in seen
+            if first:
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add((len(h), k1, k2))
+            rows.append((len(h), k1, k2, signatures(h) if first else none))
+        size, k1, k2, sigs = zip(*rows) if rows else ([], [], [], [])
         yield pa.RecordBatch.from_arrays(
-            [b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-             pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "n", "k1", "k2", "sigs"])
-
-
-def _filter_words(ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """A bitmap of hashed ids as ``(w, b)``, ``bits / 64`` rows at most whatever the input."""
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    words = ids.select(h.alias("h")).select(F.expr("h div 64").alias("w"),
-                                            F.expr("shiftleft(1L, cast(h % 64 as int))").alias("b"))
-    return words.groupBy("w").agg(F.bit_or("b").alias("b"))
+            [b.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(k1, pa.int64()),
+             pa.array(k2, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))],
+            names=["doc_id", "n", "k1", "k2", "sigs"])
 
 
-def _sets(batches):
-    shingles = Shingler()
+def _sets(batches, n: int):
+    shingles = Shingler(n)
     for b in batches:
         yield pa.RecordBatch.from_arrays(
             [b.column(0).cast(pa.int64()),
@@ -162,7 +177,8 @@ def _bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.uint64)
 
 
-def spanning_links(ids: list[int], sets: list[np.ndarray], left: list[bool] | None = None) -> list[tuple[int, int]]:
+def spanning_links(ids: list[int], sets: list[np.ndarray], left: list[bool] | None = None,
+                   percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that connect all linked sets. With ``left``, only pairs of a left with a right set count."""
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
     sets = [sets[i] for i in order]
@@ -172,7 +188,7 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], left: list[bool] | No
     comp = np.arange(len(sets))
     links = []
     for i in range(len(sets)):
-        to = int(np.searchsorted(size, size[i] * 100 // PERCENT, side="right"))
+        to = int(np.searchsorted(size, size[i] * 100 // percent, side="right"))
         if to <= i + 1:
             continue
         js = np.arange(i + 1, to)
@@ -184,32 +200,32 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], left: list[bool] | No
         both = size[i] + size[js]
         apart = np.bitwise_count(maps[js] ^ maps[i]).sum(axis=1, dtype=np.int64)
         # |A & B| >= p/(100+p) (a+b)  <=>  |A ^ B| <= (100-p)/(100+p) (a+b)
-        ok = apart * (100 + PERCENT) <= (100 - PERCENT) * both
+        ok = apart * (100 + percent) <= (100 - percent) * both
         for j in js[ok][np.argsort(apart[ok], kind="stable")]:
             if comp[j] == comp[i]:
                 continue
             shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * shared >= PERCENT * (size[i] + size[j] - shared):
+            if 100 * shared >= percent * (size[i] + size[j] - shared):
                 comp[comp == comp[j]] = comp[i]
                 links.append((ids[order[i]], ids[order[j]]))
     return links
 
 
-def _tile_links(pdf: pd.DataFrame) -> pd.DataFrame:
+def _tile_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     ids = pdf["doc_id"].tolist()
     sets = [np.asarray(h, np.int64).view(np.uint64) for h in pdf["hashes"]]
     one = pdf["left"].all() or not pdf["left"].any()
-    links = spanning_links(ids, sets, None if one else pdf["left"].tolist())
+    links = spanning_links(ids, sets, None if one else pdf["left"].tolist(), percent)
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
-def _band_of(n: Column) -> Column:
+def _band_of(n: Column, percent: int) -> Column:
     """A band number per size; linked sets are in equal or adjacent ones (the
     bands are a little wider than need be, so rounding cannot part a pair)."""
-    return F.floor(F.log(n.cast("double")) / F.lit(1.0001 * float(np.log(100 / PERCENT)))).cast("int")
+    return F.floor(F.log(n.cast("double")) / F.lit(1.0001 * float(np.log(100 / percent)))).cast("int")
 
 
-def _tiled(members: DataFrame) -> DataFrame:
+def _tiled(members: DataFrame, percent: int) -> DataFrame:
     """``members(grp, doc_id, n, hashes)`` copied to each comparison of tiles they take part in.
 
     A component that fits a tile is one comparison. A larger one is cut by
@@ -218,7 +234,7 @@ def _tiled(members: DataFrame) -> DataFrame:
     """
     whole = members.groupBy("grp").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("hashes_all"))
     small = (F.col("docs") <= TILE_DOCS) & (F.col("hashes_all") <= 4 * TILE_HASHES)
-    m = members.withColumn("band", _band_of(F.col("n")))
+    m = members.withColumn("band", _band_of(F.col("n"), percent))
     cuts = staged(m.join(whole.filter(~small).select("grp"), "grp", "left_semi")
                   .groupBy("grp", "band").agg(F.greatest(
                       F.ceil(F.count(F.lit(1)) / F.lit(TILE_DOCS)),
@@ -245,36 +261,32 @@ def _tiled(members: DataFrame) -> DataFrame:
         "grp", "p.band", "p.i", "p.up", "p.j", "p.left", "doc_id", "hashes")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``."""
     docs = docs.select("doc_id", "text")
-    profile = staged(docs.mapInArrow(
-        _profiles, "doc_id long, n long, k1 long, k2 long, sigs array<long>"), "jaccard-profiles")
+    profile = staged(docs.mapInArrow(lambda bs: _profiles(bs, n, percent),
+                                     "doc_id long, n long, k1 long, k2 long, sigs array<long>"), "jaccard-profiles")
     key = ["n", "k1", "k2"]
-    nonempty = profile.filter("n > 0 and doc_id is not null")
-    classes = nonempty.groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    owners = nonempty.filter(F.size("sigs") > 0).groupBy(*key).agg(
-        F.min("doc_id").alias("rep"), F.first("sigs").alias("sigs"))
-    # One row per class and bucket, compared where it lands; equal texts have been reduced to one class.
+    classes = staged(profile.filter("n > 0 and doc_id is not null").groupBy(*key)
+                     .agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+    # One row per task, class and bucket, compared where it lands.
     same = Window.partitionBy("sig")
-    candidates = (owners.select("rep", F.explode("sigs").alias("sig")).repartition("sig")
-                  .withColumn("lead", F.min("rep").over(same)).filter("rep <> lead").select("rep", "lead"))
-    groups = components(candidates, "rep", "lead")
-    members = staged(groups.select(F.col("node").alias("doc_id"), F.col("comp").alias("grp")), "jaccard-members")
+    candidates = (profile.select("k1", F.explode("sigs").alias("sig")).repartition("sig")
+                  .withColumn("lead", F.min("k1").over(same)).filter("k1 <> lead").select("k1", "lead"))
+    groups = components(candidates, "k1", "lead")
+    members = staged(classes.join(groups.withColumnRenamed("node", "k1"), "k1")
+                     .select(F.col("rep").alias("doc_id"), F.col("comp").alias("grp")), "jaccard-members")
     # Few documents are members: a filter of bounded size keeps most of the others from being hashed and moved.
-    bits = _filter_words(members)
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    likely = (docs.withColumn("h", h).withColumn("w", F.expr("h div 64")).join(F.broadcast(bits), "w")
-              .filter(F.expr("(b & shiftleft(1L, cast(h % 64 as int))) <> 0")).select("doc_id", "text"))
-    sets = likely.mapInArrow(_sets, "doc_id long, hashes array<long>")
+    likely = maybe_in(docs, id_filter(members)).filter("maybe").select("doc_id", "text")
+    sets = likely.mapInArrow(lambda bs: _sets(bs, n), "doc_id long, hashes array<long>")
     located = staged(sets.join(members, "doc_id").dropDuplicates(["doc_id"])
                      .withColumn("n", F.size("hashes").cast("long")), "jaccard-sets")
-    links = (_tiled(located).groupBy("grp", "band", "i", "up", "j")
-             .applyInPandas(_tile_links, "a long, b long"))
+    links = (_tiled(located, percent).groupBy("grp", "band", "i", "up", "j")
+             .applyInPandas(lambda pdf: _tile_links(pdf, percent), "a long, b long"))
     linked = components(staged(links, "jaccard-links"), "a", "b")
     # Equal sets meet in their class, near ones through links between representatives.
-    reach = (classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-             .select(*key, F.coalesce("comp", "rep").alias("component_id")))
+    reach = staged(classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
+                   .select(*key, F.coalesce("comp", "rep").alias("component_id")), "jaccard-reach")
     return (profile.drop("sigs").join(reach, key, "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))

@@ -38,23 +38,19 @@ def quality(text):
             n < 10 or 100 * r > 20 * n)
 
 
-def shingles(text):
+def shingles(text, n=3):
     w = WORD.findall(low(text))
     if not w:
         return frozenset()
-    return frozenset(tuple(w[i:i + 3]) for i in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)])
+    return frozenset(tuple(w[i:i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)])
 
 
-def links(a, b):
-    return bool(a) and bool(b) and 100 * len(a & b) >= 90 * len(a | b)
-
-
-def jaccard(rows):
+def jaccard(rows, n=3, percent=90):
     """``{doc_id: (size, component)}`` by comparing all pairs of distinct sets."""
     by_set = defaultdict(list)
     for i, t in rows:
         if i is not None:
-            by_set[shingles(t)].append(i)
+            by_set[shingles(t, n)].append(i)
     sets = sorted((s for s in by_set if s), key=len)
     up = list(range(len(sets)))
 
@@ -64,9 +60,9 @@ def jaccard(rows):
         return x
     for i, a in enumerate(sets):
         for j in range(i + 1, len(sets)):
-            if 9 * len(sets[j]) > 10 * len(a):
+            if percent * len(sets[j]) > 100 * len(a):
                 break
-            if links(a, sets[j]):
+            if 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
                 up[find(j)] = find(i)
     least = defaultdict(lambda: 1 << 62)
     for i, s in enumerate(sets):

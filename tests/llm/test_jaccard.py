@@ -9,9 +9,9 @@ from almacen.llm import jaccard, queries
 from almacen.llm.common import table
 
 
-def _check(df, docs):
+def _check(df, docs, n=3, percent=90):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in df.collect() if r["doc_id"] is not None}
-    assert got == brute.jaccard(docs)
+    assert got == brute.jaccard(docs, n, percent)
 
 
 def test_odd_rows(odd):
@@ -44,9 +44,11 @@ def _edited(seed, families, copies, words):
     return rows
 
 
-def test_no_link_is_lost_near_the_threshold(spark):
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
+def test_no_link_is_lost_near_the_threshold(spark, n, percent):
     rows = _edited(3, 25, 12, (3, 260))
-    _check(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")), rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _check(jaccard.jaccard_components(docs, n, percent), rows, n, percent)
 
 
 def test_a_large_group_is_cut_into_tiles(spark, monkeypatch):
@@ -55,16 +57,17 @@ def test_a_large_group_is_cut_into_tiles(spark, monkeypatch):
     _check(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")), rows)
 
 
-def test_bands_and_buckets_cover_every_linked_pair():
-    sig = jaccard.Signatures()
+@pytest.mark.parametrize("percent", [90, 80])
+def test_bands_and_buckets_cover_every_linked_pair(percent):
+    sig = jaccard.Signatures(percent)
     rnd = np.random.default_rng(1)
     for size in (10, 19, 20, 57, 181, 900, 5000):
         for _ in range(40):
             a = np.unique(rnd.integers(0, 1 << 63, size, dtype=np.int64).astype(np.uint64))
-            most = (2 * size) // 19 + 2
+            most = 2 * size * (100 - percent) // (100 + percent) + 2
             d = int(rnd.integers(0, most + 1))
             drop = int(rnd.integers(0, d + 1))
             b = np.unique(np.concatenate([a[drop:], rnd.integers(0, 1 << 63, d - drop, dtype=np.int64).astype(np.uint64)]))
             shared = len(np.intersect1d(a, b))
-            if 100 * shared >= 90 * (len(a) + len(b) - shared) and len(a) + len(b) >= 19 and not np.array_equal(a, b):
+            if 100 * shared >= percent * (len(a) + len(b) - shared) and not np.array_equal(a, b):
                 assert len(np.intersect1d(sig(a), sig(b))), (size, d, drop)
