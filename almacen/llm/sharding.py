@@ -6,8 +6,9 @@ memory at any input size. Pass two puts each bucket into key order and
 permutes it with Spark's ``shuffle`` (a Fisher-Yates shuffle with a seed).
 The buckets in a row are then one uniformly shuffled sequence; record ``g``
 of it goes to shard ``g mod shards``, slot ``g div shards``, so shard sizes
-differ by one record at most. Buckets are dealt to a fixed number of
-partitions and sorted there, so the permutation depends on the seed alone.
+differ by one record at most. Buckets are dealt to as many partitions as
+their number asks for and sorted there, so that the permutation depends on the
+records and the seed, not on the session, and a task's share does not grow.
 
 Defined cases: a null text has no bytes; rows repeating a key stay apart as
 rows but share a bucket; a null key is a key; an empty table gives no row;
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import parallelism
 
-BUCKET_BYTES, BUCKET_ROWS, SUPER = 4 << 20, 20_000, 1024
+BUCKET_BYTES, BUCKET_ROWS, BUCKETS_A_TASK, SUPER = 4 << 20, 20_000, 4, 1024
 
 
 def _offsets(counts: DataFrame) -> DataFrame:
@@ -52,9 +53,8 @@ def external_shuffle(docs: DataFrame, shards: int = 16, seed: int = 20, key: str
             return (F.when(x.eqNullSafe(y), 0).when(x.isNull(), -1).when(y.isNull(), 1)
                     .when(x < y, -1).otherwise(1))
         return F.when(a["k"].eqNullSafe(b["k"]), cmp(a["t"], b["t"])).otherwise(cmp(a["k"], b["k"]))
-    parts = max(1, min(buckets, max(parallelism(docs.sparkSession), 1)))
     filled = (docs.select(bucket.alias("bucket"), record.alias("r"))
-              .repartition(parts, "bucket")
+              .repartition(math.ceil(buckets / BUCKETS_A_TASK), "bucket")
               .groupBy("bucket").agg(F.collect_list("r").alias("rs"))
               .sortWithinPartitions("bucket")
               .select("bucket", F.shuffle(F.array_sort("rs", by_key), F.lit(seed)).alias("rs")))
