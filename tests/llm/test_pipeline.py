@@ -43,3 +43,19 @@ def test_empty_and_odd_documents(spark, odd, empty):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SF)
         docs.count()
+
+
+def test_near_copies_are_linked_by_five_words_and_four_fifths(spark):
+    words = [f"w{i}" for i in range(200)]
+    edited = list(words)
+    for k in (20, 70, 120, 170):
+        edited[k] = "edited"
+    rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(words[::-1]))]
+    assert brute.jaccard(rows)[2][1] == 2 and brute.jaccard(rows, 5, 80)[2][1] == 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()} == {1, 3}
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, SF, "documents").collect()]
+    rows = [(i, t) for (i, t), (*_, kept, _) in zip(rows, brute.exact(rows)) if kept]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
+    assert got == {i for i, (_, c) in brute.jaccard(rows, 5, 80).items() if i == c}
