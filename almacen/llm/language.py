@@ -168,7 +168,11 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
 
 
 def reject_unknown(docs: DataFrame, min_score: float = 0.3, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """``docs`` without the rows whose language is ``und`` or less sure than ``min_score``."""
+    """``docs`` without the rows whose language is ``und`` or less sure than ``min_score``.
+
+    With no label to learn from nothing can be told about a language: then only
+    rows without a letter (or with a null text) go, and all others stay.
+    """
     model = train(docs.filter(~held_out()), per_language)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
@@ -178,7 +182,11 @@ def reject_unknown(docs: DataFrame, min_score: float = 0.3, per_language: int =
         for b in batches:
             ok = []
             for t in b.column(at):
-                lang, score = predict(shared.value, t.as_py())
+                text = t.as_py()
+                if shared.value is None:
+                    ok.append(bool(text and LETTER.search(text)))
+                    continue
+                lang, score = predict(shared.value, text)
                 ok.append(lang != "und" and score >= min_score)
             yield b.filter(pa.array(ok, pa.bool_()))
     return docs.mapInArrow(kept, docs.schema)

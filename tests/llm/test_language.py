@@ -47,3 +47,10 @@ def test_l1_leaves_most_weights_at_zero():
     texts = ["the cat and the dog " * 3, "le chat et le chien " * 3] * 20
     model = language.fit(["en", "fr"] * 20, [language.grams(t) for t in texts])
     assert (model["w"] != 0).mean() < 0.05 and language.predict(model, "the dog")[0] == "en"
+
+
+def test_rejecting_without_labels_keeps_every_text_with_a_letter(odd):
+    unlabelled = odd.select("doc_id", "text", F.lit(None).cast("string").alias("lang"))
+    kept = [tuple(r) for r in language.reject_unknown(unlabelled).select("doc_id", "text").collect()]
+    want = [tuple(r) for r in odd.select("doc_id", "text").collect() if any(c.isalpha() for c in r["text"] or "")]
+    assert sorted(kept, key=repr) == sorted(want, key=repr) and len(want) > 10
