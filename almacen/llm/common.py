@@ -55,17 +55,24 @@ def maybe_in(docs: DataFrame, bits: DataFrame) -> DataFrame:
                                        F.lit(False)).alias("maybe")))
 
 
+def text_digest(text: Column) -> Column:
+    """The digest of a normalised text (A-Z lower-cased, null as empty), as ``exact_dedup`` gives it."""
+    return F.sha2(ascii_lower(F.coalesce(text, F.lit(""))), 256)
+
+
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose id is in ``dropped(doc_id)``.
+    """``docs`` less the rows whose id and text are in ``dropped(doc_id, text_sha256)``.
 
+    A verdict belongs to an id and a text: other texts of a null or repeated id stay.
     Only rows that the filter of dropped ids may hold are joined; the others
     pass where they lie, so a few dropped rows do not move all texts. With
     very many dropped rows it becomes a plain anti join.
     """
-    gone = staged(dropped.select("doc_id").distinct(), "dropped")
+    gone = staged(dropped.select("doc_id", "text_sha256").distinct(), "dropped")
     split = maybe_in(docs, id_filter(gone))
-    g = gone.withColumnRenamed("doc_id", "__gone")
-    doubtful = split.filter("maybe").join(g, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    g = gone.select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__digest"))
+    doubtful = split.filter("maybe").join(g, F.col("doc_id").eqNullSafe(F.col("__gone"))
+                                          & (text_digest(F.col("text")) == F.col("__digest")), "left_anti")
     return split.filter("not maybe").drop("maybe").unionByName(doubtful.drop("maybe"))
 
 

@@ -26,10 +26,9 @@ most, whatever the component's size, and are dealt over tasks.
 
 Defined cases: a null or empty text, or one without words, has no shingle and
 links with nothing; fewer words than ``n`` count as one shingle; rows that
-repeat a ``doc_id`` are one node of that id (if their texts differ, the one
-set of them that Spark meets first represents it); rows with a null id take the
-component of the rows of equal sets, null if there are none; an empty table
-gives an empty result.
+repeat a ``doc_id`` with different texts are linked by each text on its own;
+rows with a null id take the component of the rows of equal sets, null if there
+are none; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -137,6 +136,12 @@ class Signatures:
         return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
+def _key(hashes: np.ndarray) -> list[int]:
+    """Two sums that tell a class of equal sets, together with their size."""
+    sums = [hashes.sum(dtype=np.uint64), _mix(hashes ^ MIX2).sum(dtype=np.uint64)]
+    return np.array(sums, np.uint64).view(np.int64).tolist()
+
+
 def _profiles(batches, n: int, percent: int):
     shingles, signatures = Shingler(n), Signatures(percent)
     none, seen = np.empty(0, np.int64), set()
@@ -147,8 +152,7 @@ def _profiles(batches, n: int, percent: int):
             if not len(h):
                 rows.append((0, 0, 0, none))
                 continue
-            key = np.array([h.sum(dtype=np.uint64), _mix(h ^ MIX2).sum(dtype=np.uint64)], np.uint64).view(np.int64)
-            k1, k2 = key.tolist()
+            k1, k2 = _key(h)
             first = (len(h), k1, k2) not in seen
             if first:
                 if len(seen) >= SEEN:
@@ -158,17 +162,19 @@ def _profiles(batches, n: int, percent: int):
         size, k1, k2, sigs = zip(*rows) if rows else ([], [], [], [])
         yield pa.RecordBatch.from_arrays(
             [b.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(k1, pa.int64()),
-             pa.array(k2, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))],
-            names=["doc_id", "n", "k1", "k2", "sigs"])
+             pa.array(k2, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), *b.columns[2:]],
+            names=["doc_id", "n", "k1", "k2", "sigs", *b.schema.names[2:]])
 
 
 def _sets(batches, n: int):
     shingles = Shingler(n)
     for b in batches:
+        sets = [shingles(t.as_py()) for t in b.column(1)]
+        k1, k2 = zip(*map(_key, sets)) if sets else ([], [])
         yield pa.RecordBatch.from_arrays(
-            [b.column(0).cast(pa.int64()),
-             pa.array([shingles(t.as_py()).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))],
-            names=["doc_id", "hashes"])
+            [b.column(0).cast(pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(k1, pa.int64()),
+             pa.array(k2, pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))],
+            names=["doc_id", "n", "k1", "k2", "hashes"])
 
 
 def _bitmap(hashes: np.ndarray) -> np.ndarray:
@@ -261,32 +267,41 @@ def _tiled(members: DataFrame, percent: int) -> DataFrame:
         "grp", "p.band", "p.i", "p.up", "p.j", "p.left", "doc_id", "hashes")
 
 
-def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``."""
+def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, carry: list[str] | None = None) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``, and its string columns ``carry``."""
+    carry = carry or []
+    schema = "doc_id long, n long, k1 long, k2 long, sigs array<long>" + "".join(f", {c} string" for c in carry)
+    profile = staged(docs.select("doc_id", "text", *carry)
+                     .mapInArrow(lambda bs: _profiles(bs, n, percent), schema), "jaccard-profiles")
     docs = docs.select("doc_id", "text")
-    profile = staged(docs.mapInArrow(lambda bs: _profiles(bs, n, percent),
-                                     "doc_id long, n long, k1 long, k2 long, sigs array<long>"), "jaccard-profiles")
     key = ["n", "k1", "k2"]
     classes = staged(profile.filter("n > 0 and doc_id is not null").groupBy(*key)
-                     .agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+                     .agg(F.min("doc_id").alias("rep"))
+                     .withColumn("class", F.monotonically_increasing_id()), "jaccard-classes")
     # One row per task, class and bucket, compared where it lands.
     same = Window.partitionBy("sig")
     candidates = (profile.select("k1", F.explode("sigs").alias("sig")).repartition("sig")
                   .withColumn("lead", F.min("k1").over(same)).filter("k1 <> lead").select("k1", "lead"))
     groups = components(candidates, "k1", "lead")
     members = staged(classes.join(groups.withColumnRenamed("node", "k1"), "k1")
-                     .select(F.col("rep").alias("doc_id"), F.col("comp").alias("grp")), "jaccard-members")
+                     .select(F.col("rep").alias("doc_id"), *key, "class", F.col("comp").alias("grp")), "jaccard-members")
     # Few documents are members: a filter of bounded size keeps most of the others from being hashed and moved.
     likely = maybe_in(docs, id_filter(members)).filter("maybe").select("doc_id", "text")
-    sets = likely.mapInArrow(lambda bs: _sets(bs, n), "doc_id long, hashes array<long>")
-    located = staged(sets.join(members, "doc_id").dropDuplicates(["doc_id"])
-                     .withColumn("n", F.size("hashes").cast("long")), "jaccard-sets")
+    sets = likely.mapInArrow(lambda bs: _sets(bs, n), "doc_id long, n long, k1 long, k2 long, hashes array<long>")
+    # An id that is repeated with other texts has other sets too: the key tells which one is meant. It is
+    # also what the join deals by, so that the sets move once for both.
+    located = staged(sets.join(members, ["doc_id", *key]).dropDuplicates(["doc_id", *key])
+                     .select("grp", F.col("class").alias("doc_id"), "n", "hashes"), "jaccard-sets")
     links = (_tiled(located, percent).groupBy("grp", "band", "i", "up", "j")
              .applyInPandas(lambda pdf: _tile_links(pdf, percent), "a long, b long"))
-    linked = components(staged(links, "jaccard-links"), "a", "b")
-    # Equal sets meet in their class, near ones through links between representatives.
-    reach = staged(classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-                   .select(*key, F.coalesce("comp", "rep").alias("component_id")), "jaccard-reach")
+    linked = (components(staged(links, "jaccard-links"), "a", "b").withColumnRenamed("node", "class")
+              .join(classes.select("class", "rep"), "class"))
+    least = linked.groupBy("comp").agg(F.min("rep").alias("least"))
+    linked = staged(linked.join(least, "comp").select("class", "least"), "jaccard-linked")
+    # Equal sets meet in their class, near ones through links between classes.
+    reach = staged(classes.join(linked, "class", "left")
+                   .select(*key, F.coalesce("least", "rep").alias("component_id")), "jaccard-reach")
     return (profile.drop("sigs").join(reach, key, "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+                    F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+                    *carry))

@@ -8,9 +8,10 @@ last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from almacen.llm import exact_dedup, jaccard, language, packing, queries, secrets
-from almacen.llm.common import staged, without
+from almacen.llm.common import staged, text_digest, without
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +26,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest ``doc_id`` of each group of texts linked by five-word shingles, 0.8 or more alike."""
-    found = jaccard.jaccard_components(docs, n=5, percent=80)
+    digests = docs.select("doc_id", "text", text_digest(F.col("text")).alias("text_sha256"))
+    found = jaccard.jaccard_components(digests, n=5, percent=80, carry=["text_sha256"])
     return without(docs, found.filter("doc_id <> component_id"))
 
 

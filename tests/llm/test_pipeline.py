@@ -59,3 +59,24 @@ def test_near_copies_are_linked_by_five_words_and_four_fifths(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
     assert got == {i for i, (_, c) in brute.jaccard(rows, 5, 80).items() if i == c}
+
+
+def test_a_verdict_holds_for_an_id_and_a_text(spark):
+    words = [f"w{i}" for i in range(120)]
+    near = " ".join(words[:60] + ["edited"] + words[61:])
+    alone = [" ".join(f"{c}{i}" for i in range(120)) for c in "abcd"]
+    rows = [(5, alone[0]), (None, alone[0]), (None, "a text of its own"), (1, alone[0]), (1, alone[1]),
+            (7, " ".join(words)), (8, near), (8, alone[2]), (8, alone[2]), (9, alone[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = corpus_pipeline.drop_exact_copies(spark, docs, SF)
+    assert {tuple(r) for r in docs.collect()} == set(rows) - {(None, alone[0]), (1, alone[0])}
+    docs = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert {tuple(r) for r in docs.collect()} == set(rows) - {(None, alone[0]), (1, alone[0]), (8, near)}
+
+
+def test_every_text_of_a_repeated_id_is_linked(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(120)) for c in "ab"]
+    near = [" ".join(t.split()[:-1]) for t in texts]
+    rows = [(1, texts[0]), (1, texts[1]), (2, near[0]), (3, near[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()} == set(rows[:2])
