@@ -3,6 +3,10 @@
 The text itself is the first layer. Each layer is scanned, and its URL
 escapes, Unicode escapes, base64 runs and compressed contents are unwrapped
 into new layers until nothing new appears; a digest per layer stops cycles.
+A base64 run is read at its four phases, so that what is written before the
+blob does not matter, and over line breaks; compressed contents are found at
+any place of the decoded bytes, member after member, and read up to a damage;
+bytes that are not UTF-8 are read one character each.
 Every character of a layer knows the span of the original text it comes
 from, so a secret found in any layer is reported by its place in the text.
 
@@ -33,7 +37,17 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})"
                     r"|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+SIMPLE = {"n": "\n", "r": "\r", "t": "\t", "a": "\a", "b": "\b", "f": "\f", "v": "\v", "0": "\0"}
+BACKSLASH = re.compile(ESCAPE.pattern + r"|\\([nrtabfv0\\'\"])")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# Lines of base64, broken by line ends or by their escapes, perhaps indented or quoted.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[ \t]*(?:\r\n|\n|\r|(?:\\r)?\\n)[ \t>]*[A-Za-z0-9+/_-]++)++={0,2}")
+BREAK = re.compile(r"\\r\\n|\\n|[\s>]+")
+# How gzip, zlib, bzip2, xz and zstd begin.
+MAGIC = r"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd"
+MAGIC, MAGIC_BYTES = re.compile(MAGIC), re.compile(MAGIC.encode("latin-1"))
+BYTES = re.compile(r"[\x00-\xff]+")
+CHUNK = 256
 MAX_LAYER_BYTES = 64 << 20
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
@@ -86,89 +100,153 @@ class Layer:
         return Layer("".join(pieces), starts, ends)
 
 
-def _percent(m: re.Match) -> str | None:
-    try:
-        return bytes.fromhex(m[0].replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def _percent(m: re.Match) -> str:
+    return _text(bytes.fromhex(m[0].replace("%", "")))
 
 
 def _escape(m: re.Match) -> str | None:
     g = next((i, x) for i, x in enumerate(m.groups()) if x is not None)
+    if g[0] == 6:
+        return SIMPLE.get(g[1], g[1])
     code = int(g[1], 10 if g[0] == 4 else 16)
     return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _inflate(data: bytes, limit: int) -> bytes | None:
-    """The content of a compressed ``data``; None if it is not compressed; OverflowError if too large."""
-    if data[:2] == b"\x1f\x8b":
-        tool = zlib.decompressobj(31)
-    elif data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-        tool = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        tool = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        tool = lzma.LZMADecompressor()
-    elif data[:4] == b"\x28\xb5\x2f\xfd":
-        import zstandard
-        try:
-            with zstandard.ZstdDecompressor().stream_reader(data) as r:
-                out = r.read(limit + 1)
-        except zstandard.ZstdError:
-            return None
-        if len(out) > limit:
-            raise OverflowError
-        return out
-    else:
-        return None
-    try:
-        out = tool.decompress(data, limit + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
-    if len(out) > limit:
-        raise OverflowError
-    return out
+def _byte(m: re.Match) -> str | None:
+    return "\0" if m[0].lower() in ("\\x00", "\\u0000", "&#0;") else _escape(m)
 
 
-def _printable(data: bytes) -> str | None:
+def _text(data: bytes) -> str:
     try:
-        text = data.decode("utf-8")
+        return data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    odd = sum(1 for c in text if ord(c) < 32 and c not in "\t\n\r" or c == "\x7f")
-    return text if text and odd * 20 <= len(text) else None
+        return data.decode("latin-1")
 
 
-def _unbase64(run: str) -> bytes | None:
-    body = run.rstrip("=")
-    if len(body) % 4 == 1:
-        return None
+def _tool(data):
+    if data[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def _inflate(data, limit: int) -> tuple[bytes, int]:
+    """The contents of the compressed members at the start of ``data``, up to its end or a damage,
+    and how many bytes they take; OverflowError if too large."""
+    import zstandard
+    data, out, size, at = memoryview(data), [], 0, 0
+    while at < len(data):
+        start, grown, room = at, size, True
+        if data[at:at + 4] == b"\x28\xb5\x2f\xfd":
+            tool, room = _bounded_zstd(data[at:], limit - size), False
+        elif not (tool := _tool(bytes(data[at:at + 8]))):
+            break
+        try:
+            while at < len(data) and not tool.eof:
+                part, at = data[at:at + CHUNK], min(at + CHUNK, len(data))
+                while True:
+                    piece = tool.decompress(part, limit + 1 - size) if room else tool.decompress(part)
+                    out.append(piece)
+                    size += len(piece)
+                    if size > limit:
+                        raise OverflowError
+                    part = getattr(tool, "unconsumed_tail", b"")
+                    if tool.eof or not (part or piece and not getattr(tool, "needs_input", True)):
+                        break
+        except (zlib.error, zstandard.ZstdError, OSError, lzma.LZMAError, EOFError, ValueError):
+            return b"".join(out), at if size > grown else start
+        if tool.eof:
+            at -= len(tool.unused_data)
+    return b"".join(out), at
+
+
+def _bounded_zstd(data, limit: int):
+    """An object for the frame at the start of ``data``, once it is known to stay below the limit: it has no bound itself."""
+    import zstandard
+    size = 0
     try:
-        return base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-    except ValueError:
-        return None
+        with zstandard.ZstdDecompressor().stream_reader(data) as r:
+            while piece := r.read(CHUNK << 8):
+                size += len(piece)
+                if size > limit:
+                    raise OverflowError
+    except zstandard.ZstdError:
+        pass
+    return zstandard.ZstdDecompressor().decompressobj()
+
+
+def _contents(data: bytes, limit: int):
+    """The text of ``data`` and of all that is compressed in it, at any place and depth; None for what is too large."""
+    work, seen = [data], set()
+    while work:
+        data = work.pop()
+        known = hashlib.sha256(data).digest()
+        if not data or known in seen:
+            continue
+        seen.add(known)
+        yield _text(data)
+        done, view = 0, memoryview(data)
+        for m in MAGIC_BYTES.finditer(data):
+            if m.start() < done:
+                continue
+            try:
+                inner, used = _inflate(view[m.start():], limit)
+            except OverflowError:
+                yield None
+                continue
+            if inner:
+                work.append(inner)
+                done = m.start() + used
+
+
+def _phases(run: str):
+    """The bytes of a base64 run, read from each of its first four characters."""
+    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    for phase in range(4):
+        part = body[phase:]
+        part = part[:-1] if len(part) % 4 == 1 else part
+        if part:
+            yield base64.b64decode(part + "=" * (-len(part) % 4))
 
 
 def unwrap(layer: Layer, limit: int):
     """The layers directly inside ``layer``; an int pair marks a blob too large to unwrap."""
     text = layer.text
+    spelled_bytes = []
     if "%" in text and (inner := layer.replaced(PERCENT, _percent)):
         yield inner
+        spelled_bytes.append(layer.replaced(PERCENT, lambda m: bytes.fromhex(m[0].replace("%", "")).decode("latin-1")))
     if ("\\" in text or "&#" in text) and (inner := layer.replaced(ESCAPE, _escape)):
         yield inner
-    for m in BASE64.finditer(text):
-        data = _unbase64(m[0])
-        if not data:
-            continue
-        s, e = layer.span(m.start(), m.end())
-        try:
-            while (inside := _inflate(data, limit)) is not None and inside != data:
-                data = inside
-        except OverflowError:
-            yield s, e
-            continue
-        if plain := _printable(data):
-            yield Layer(plain, [s] * len(plain), [e] * len(plain))
+        spelled_bytes.append(layer.replaced(BACKSLASH, _byte))
+    blobs = []
+    for raw in spelled_bytes:
+        done = 0
+        for m in MAGIC.finditer(raw.text):
+            if m.start() < done:
+                continue
+            data = BYTES.match(raw.text, m.start())[0].encode("latin-1")
+            try:
+                plain, used = _inflate(data, limit)
+            except OverflowError:
+                yield raw.span(m.start(), m.start() + len(data))
+                continue
+            if plain:
+                done = m.start() + used
+                blobs.append((*raw.span(m.start(), done), plain))
+    runs = [(m.span(), m[0]) for m in BASE64.finditer(text)]
+    if "\n" in text or "\r" in text or "\\n" in text:
+        runs += [(m.span(), run) for m in WRAPPED.finditer(text) if len(run := BREAK.sub("", m[0])) >= 16]
+    for at, run in runs:
+        blobs += [(*layer.span(*at), data) for data in _phases(run)]
+    for s, e, data in blobs:
+        for plain in _contents(data, limit):
+            yield (s, e) if plain is None else Layer(plain, [s] * len(plain), [e] * len(plain))
 
 
 def find_secrets(text: str, limit: int = MAX_LAYER_BYTES) -> tuple[list, list]:

@@ -81,3 +81,57 @@ def test_redact(spark):
     blob = B64(PLAIN)
     docs = spark.createDataFrame([(1, f"a {PLAIN} b {blob} c", 5), (2, None, 6)], "doc_id long, text string, n int")
     assert sorted(tuple(r) for r in secrets.redact(docs).collect()) == [(1, "a [secret] b [secret] c", 5), (2, None, 6)]
+
+
+def _covers(text, blob):
+    at = text.index(blob)
+    return any(k == 0 and s <= at and e >= at + len(blob.rstrip("=")) for s, k, e in _spans(text))
+
+
+def test_members_and_frames_after_the_first():
+    import zstandard
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress):
+        for first in (b"nothing here. ", b"password=s3c"):
+            blob = B64(pack(first) + pack(PLAIN.encode() if first[:1] == b"n" else b"r3tvalue9"))
+            assert _covers(f"see ({blob}) ok", blob), pack
+
+
+def test_a_prefix_of_any_length_does_not_hide_a_blob():
+    for inner in (PLAIN.encode(), gzip.compress(PLAIN.encode()), zlib.compress(PLAIN.encode())):
+        blob = B64(inner)
+        for prefix in ("k-", "ke-", "key-", "path/", "a/path/to_"):
+            assert _covers(f"x {prefix}{blob} y", blob), (prefix, inner)
+            assert _covers(f"x {prefix}{blob.rstrip('=')}/more y", blob.rstrip("=")), (prefix, inner)
+
+
+def test_wrapped_base64_is_one_run():
+    import random
+    filler = "".join(random.Random(1).choices("abcdefgh ", k=400))
+    for inner in (f"{filler[:45]}{PLAIN}{filler}".encode(), gzip.compress(f"{filler}{PLAIN}{filler}".encode())):
+        whole = B64(inner)
+        for end in ("\n", "\r\n", "\n  ", "\n> ", "\\n"):
+            blob = end.join(whole[i:i + 64] for i in range(0, len(whole), 64))
+            assert _covers(f"body:\n\n{blob}\n\nend", blob), end
+
+
+def test_layers_that_are_not_text_are_scanned():
+    for inner in (b"\xff\xfe " + PLAIN.encode(), b"\x01\x02\x03 " + PLAIN.encode(), b"\x00" * 9 + gzip.compress(PLAIN.encode())):
+        blob = B64(inner)
+        assert _covers(f"({blob})", blob)
+    quoted = "%FF" + "".join(f"%{ord(c):02X}" for c in PLAIN)
+    assert (0, 0, len(quoted)) in _spans(quoted)
+
+
+def test_spelled_compressed_bytes_are_inflated():
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        packed = pack(b"some words before " + PLAIN.encode())
+        for blob in (urllib.parse.quote(packed, safe=""), "".join(f"\\x{b:02x}" for b in packed), repr(packed)[2:-1],
+                     "".join(f"\\u{b:04x}" for b in packed), "".join(f"&#{b};" for b in packed)):
+            assert _covers(f"q {blob} z", blob), (pack, blob)
+
+
+def test_a_damaged_stream_is_read_up_to_the_damage():
+    import random
+    noise = bytes(random.Random(2).choices(range(256), k=60_000))
+    blob = B64(gzip.compress(PLAIN.encode() + noise)[:30_000] + b"\xff" * 50)
+    assert _covers(f"({blob})", blob)
