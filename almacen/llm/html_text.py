@@ -3,11 +3,12 @@
 A page is read into its text nodes, each with the path of tags from the root.
 Per path, the text length and punctuation per node are aggregated; the two
 ratios are smoothed over the nodes in page order and fused into one score per
-path; paths that reach a share of the page's deviation are content paths. The
-smallest element that holds nearly all content-path text (an article or main
-element around it, if there is one) is the article, and its blocks in page
-order are the text. Elements that name themselves as menus, headers, footers,
-sidebars, notices, adverts, forms or comments neither vote nor appear.
+path; paths that reach a share of the page's deviation are content paths. An
+article or main element around most of their text is the article, with any
+other that holds some; else all parts with content-path text are, from the
+smallest element around all of them, with the headings between. Their blocks
+in page order are the text. Elements that name themselves as menus, headers,
+footers, sidebars, notices, adverts, forms or comments neither vote nor appear.
 
 Defined cases: null or empty html and pages without a content path give an
 empty text; unclosed and stray tags are repaired as browsers do for blocks;
@@ -53,6 +54,7 @@ ASIDE_NAMES = re.compile(
     r"|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|pagination|pager"
     r"|copyright|legal|disclaimer|toolbar|skip)(?:$|[\s_-])", re.I)
 RADIUS, SHARE, HOLD = 2, 0.25, 0.7
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 
 
 class Node:
@@ -175,6 +177,12 @@ def content_paths(paths: list[str], lengths: np.ndarray, marks: np.ndarray) -> s
     return {p for p in score if score[p] >= limit}
 
 
+def _up(node: Node | None, tags) -> Node | None:
+    while node and node.tag not in tags:
+        node = node.parent
+    return node
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -192,22 +200,37 @@ def main_text(page: str | None) -> str:
             while n:
                 held.setdefault(id(n), [n, 0])[1] += size
                 n = n.parent
-    best = max((x for x in held.values() if x[1] >= HOLD * total), key=lambda x: (x[0].depth, x[1]))[0]
-    while best.parent and best.tag not in BLOCK:
-        best = best.parent
-    around = best
-    while around and around.tag not in ("article", "main"):
-        around = around.parent
-    if around:
-        best = around
-    elif best.tag in ("p", "li", "td", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote") and best.parent:
-        best = best.parent
+
+    def smallest(share: float) -> Node:
+        node = max((x for x in held.values() if x[1] >= share * total), key=lambda x: (x[0].depth, x[1]))[0]
+        while node.parent and node.tag not in BLOCK:
+            node = node.parent
+        return node
+    whole, most = smallest(1), smallest(HOLD)
+    marks = ("article", "main")
+    parts = set()
+    if around := _up(whole, marks):
+        parts.add(id(around))
+    elif _up(most, marks):
+        parts = {id(mark) for n, _ in held.values() if (mark := _up(n, marks))}
+    else:
+        if most.tag in ("p", "li", "td", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote") and most.parent:
+            most = most.parent
+        if most.depth <= whole.depth:
+            parts.add(id(most))
+        else:
+            parts.add(id(most))
+            for n, _, _ in nodes:
+                while n.parent and n.parent is not whole:
+                    n = n.parent
+                if n.parent is whole and (id(n) in held or n.tag in HEADINGS):
+                    parts.add(id(n))
     blocks: dict[int, list[str]] = {}
     for n, t, b in nodes:
-        up = n
-        while up is not None and up is not best:
+        own, up = n, n
+        while up is not None and id(up) not in parts:
             up = up.parent
-        if up is best:
+        if up is not None or own is whole and own.path in keep and not _up(own, marks) and not _up(most, marks):
             blocks.setdefault(b, []).append(t)
     clean = (SPACE.sub(" ", entities.unescape("".join(parts))).strip() for parts in blocks.values())
     return " ".join(c for c in clean if c)

@@ -49,3 +49,14 @@ def test_table_equals_the_article_element(spark):
         inner = re.search(r"<article>(.*?)</article>", pages[r["page_id"]], re.S)[1]
         text = " ".join(entities.unescape(re.sub(r"<[^>]*>", "\n", inner)).split())
         assert r["text"] == text and r["n_chars"] == len(text)
+
+
+def test_sibling_sections_are_all_read():
+    squeezed = " ".join(PARA.split())
+    menu = "<ul><li><a>m1</a></li><li><a>m2</a></li></ul>"
+    for tag in ("div", "section"):
+        page = f"<body>{menu}<div><{tag} class=intro><p>First, {PARA}</p></{tag}><h2>Part</h2>" \
+               f"<{tag} class=text>{f'<p>{PARA}</p>' * 3}</{tag}></div>"
+        assert html_text.main_text(page) == f"First, {squeezed} Part " + " ".join([squeezed] * 3)
+    page = f"<body>{menu}<article><p>First, {PARA}</p></article><article>{f'<p>{PARA}</p>' * 3}</article>"
+    assert html_text.main_text(page) == f"First, {squeezed} " + " ".join([squeezed] * 3)
