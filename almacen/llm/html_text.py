@@ -8,7 +8,9 @@ article or main element around most of their text is the article, with any
 other that holds some; else all parts with content-path text are, from the
 smallest element around all of them, with the headings between. Their blocks
 in page order are the text. Elements that name themselves as menus, headers,
-footers, sidebars, notices, adverts, forms or comments neither vote nor appear.
+footers, sidebars, notices, adverts, forms or comments neither vote nor appear;
+a class or id does not count where it only describes a layout, nor on an element
+around the only article or main elements or, without any, half of the text.
 
 Defined cases: null or empty html and pages without a content path give an
 empty text; unclosed and stray tags are repaired as browsers do for blocks;
@@ -53,15 +55,17 @@ ASIDE_NAMES = re.compile(
     r"|comments?|commentlist|disqus|replies|responses|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay"
     r"|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|pagination|pager"
     r"|copyright|legal|disclaimer|toolbar|skip)(?:$|[\s_-])", re.I)
+LAYOUT_NAMES = re.compile(r"(?:^|(?<=\s))(?:(?:has|have|with|without|no|not)[-_]\S*|\S*side-by-side\S*)", re.I)
 RADIUS, SHARE, HOLD = 2, 0.25, 0.7
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "aside", "block", "depth")
+    __slots__ = ("tag", "parent", "path", "aside", "named", "block", "depth")
 
-    def __init__(self, tag, parent, path, aside, block):
+    def __init__(self, tag, parent, path, aside, block, named=False):
         self.tag, self.parent, self.path, self.aside, self.block = tag, parent, path, aside, block
+        self.named = named
         self.depth = parent.depth + 1 if parent else 0
 
 
@@ -75,13 +79,19 @@ def _is_aside(tag: str, attrs: str, parent: Node) -> bool:
         name = name.lower()
         if hidden or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ASIDE_ROLES:
             return True
-        if name in ("class", "id") and ASIDE_NAMES.search(value):
-            return True
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
     return False
 
 
+def _is_named_aside(tag: str, attrs: str) -> bool:
+    """A class or id says so; unlike what ``_is_aside`` knows, this can be wrong."""
+    if tag in ("html", "body", "article", "main") or not attrs:
+        return False
+    return any(name.lower() in ("class", "id") and ASIDE_NAMES.search(LAYOUT_NAMES.sub(" ", (a or b or c).strip()))
+               for name, a, b, c, _ in ATTRS.findall(attrs))
+
+
 def _inside(node: Node | None, tags) -> bool:
     while node:
         if node.tag in tags:
@@ -128,7 +138,7 @@ def text_nodes(page: str) -> list[tuple[Node, str, int]]:
         aside = at.aside or _is_aside(tag, m[3], at)
         if m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
-        node = Node(tag, at, f"{at.path}/{tag}", aside, blocks)
+        node = Node(tag, at, f"{at.path}/{tag}", aside, blocks, _is_named_aside(tag, m[3]))
         if tag in RAW:
             end = re.compile(f"</{tag}[^>]*>", re.I).search(page, pos)
             pos = end.end() if end else len(page)
@@ -177,6 +187,44 @@ def content_paths(paths: list[str], lengths: np.ndarray, marks: np.ndarray) -> s
     return {p for p in score if score[p] >= limit}
 
 
+def _without_asides(nodes: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """The nodes outside asides. Names of elements around all article or main elements (or, if
+    the page has none, around half of its text) do not count, from the outermost on."""
+    nodes = [x for x in nodes if not x[0].aside]
+    memo: dict[int, tuple[list[Node], bool]] = {}
+
+    def around(n: Node | None) -> tuple[list[Node], bool]:
+        chain = []
+        while n is not None and id(n) not in memo:
+            chain.append(n)
+            n = n.parent
+        for x in reversed(chain):
+            named, inside = memo[id(x.parent)] if x.parent else ([], False)
+            memo[id(x)] = ([*named, x] if x.named else named, inside or x.tag in ("article", "main"))
+            n = x
+        return memo[id(n)]
+    found = [(*around(n), len(t.strip())) for n, t, _ in nodes]
+    marked = any(inside and size for _, inside, size in found)
+    votes = [(named, size) for named, inside, size in found if size and (inside or not marked)]
+    total, excused = sum(size for _, size in votes), set()
+    while votes:
+        held: dict[int, int] = defaultdict(int)
+        free = 0
+        for named, size in votes:
+            outer = next((id(x) for x in named if id(x) not in excused), None)
+            if outer is None:
+                free += size
+            else:
+                held[outer] += size
+        if not held or marked and free:
+            break
+        outer = max(held, key=held.get)
+        if not marked and 2 * held[outer] < total:
+            break
+        excused.add(outer)
+    return [x for x, (named, _, _) in zip(nodes, found) if all(id(n) in excused for n in named)]
+
+
 def _up(node: Node | None, tags) -> Node | None:
     while node and node.tag not in tags:
         node = node.parent
@@ -186,7 +234,7 @@ def _up(node: Node | None, tags) -> Node | None:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    nodes = [(n, t, b) for n, t, b in text_nodes(page) if not n.aside]
+    nodes = _without_asides(text_nodes(page))
     seen = [(n, len(s), len(PUNCTUATION.findall(s))) for n, t, _ in nodes if (s := t.strip())]
     if not seen:
         return ""

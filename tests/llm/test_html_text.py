@@ -60,3 +60,14 @@ def test_sibling_sections_are_all_read():
         assert html_text.main_text(page) == f"First, {squeezed} Part " + " ".join([squeezed] * 3)
     page = f"<body>{menu}<article><p>First, {PARA}</p></article><article>{f'<p>{PARA}</p>' * 3}</article>"
     assert html_text.main_text(page) == f"First, {squeezed} " + " ".join([squeezed] * 3)
+
+
+def test_layout_names_and_wrappers_do_not_remove_the_article():
+    squeezed = " ".join(PARA.split())
+    for attrs in ('class="container has-sidebar"', "class=no-comments", "class=side-by-side", "id='page-header-wrap'"):
+        for inner in ("article", "div"):
+            page = f"<body><div {attrs}><{inner}><p>{PARA}</p><p>Two, {PARA}</p></{inner}>" \
+                   f"<ol class=commentlist><li><article><p>Great read! {PARA}</p></article></li></ol></div></body>"
+            if inner == "div":
+                page = page.replace("<article>", "").replace("</article>", "")
+            assert html_text.main_text(page) == f"{squeezed} Two, {squeezed}", (attrs, inner)
