@@ -6,7 +6,7 @@ trees and decoded layers have no SQL form; tests hold those to brute force.
 
 from __future__ import annotations
 
-from . import preference, quality
+from . import preference, quality, vector_codes
 from .common import UPPER
 
 _LOW = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
@@ -121,6 +121,86 @@ FROM s LEFT JOIN (SELECT c.sh, min(reach.y) AS comp FROM c JOIN reach ON c.rep =
 """
 
 
+def _op11() -> str:
+    parts, entries = vector_codes.PARTS, vector_codes.ENTRIES
+
+    def assigned(book: str) -> str:
+        return f"""
+  SELECT x.rn, x.part, x.v, min(x.d) AS apart, arg_min(x.entry, x.d * {entries} + x.entry) AS entry FROM (
+    SELECT p.rn, p.part, p.v, b.entry,
+           list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - b.v[i]) * (p.v[i] - b.v[i])))::BIGINT AS d
+    FROM p JOIN {book} b ON p.part = b.part) x GROUP BY x.rn, x.part, x.v"""
+
+    def moved(book: str, near: str) -> str:
+        return f"""
+  SELECT b.part, b.entry, CASE WHEN m.v IS NULL THEN b.v ELSE m.v END AS v FROM {book} b LEFT JOIN (
+    SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (
+      SELECT part, entry, i, count(*) AS n, sum(x)::BIGINT AS s FROM (
+        SELECT part, entry, unnest(v) AS x, unnest(range(len(v))) AS i FROM {near})
+      GROUP BY part, entry, i) GROUP BY part, entry) m ON b.part = m.part AND b.entry = m.entry"""
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rn, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS MATERIALIZED (
+  SELECT rn, part, v[part * (len(v) // {parts}) + 1:(part + 1) * (len(v) // {parts})] AS v
+  FROM k, range({parts}) AS r(part)),
+b0 AS MATERIALIZED (SELECT part, rn - 1 AS entry, v FROM p WHERE rn <= {entries}),
+a0 AS MATERIALIZED ({assigned("b0")}),
+b1 AS MATERIALIZED ({moved("b0", "a0")}),
+a1 AS MATERIALIZED ({assigned("b1")}),
+b2 AS MATERIALIZED ({moved("b1", "a1")}),
+a2 AS MATERIALIZED ({assigned("b2")}),
+c AS (SELECT rn, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(apart)::BIGINT AS error
+      FROM a2 GROUP BY rn),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+SELECT k.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY k.label))::BIGINT AS label_error, h.codebooks_sha256
+FROM k JOIN c ON k.rn = c.rn, h
+"""
+
+
+OP12 = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  WHERE conv_id IS NOT NULL),
+o AS MATERIALIZED (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, left(text, 64),
+                       sha256(strlen(role) || ':' || role || ':' || text)) AS own FROM t GROUP BY conv_id),
+crc AS (SELECT n, list_reduce(list_prepend(n::BIGINT, range(8)::BIGINT[]),
+               lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) AS r(n)),
+tab AS (SELECT list(c ORDER BY n) AS c FROM crc),
+hs AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+                string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+              lambda a, x: xor(a >> 8, tab.c[(xor(a, x) & 255) + 1])), 4294967295) % 9 AS h FROM o, tab),
+path AS MATERIALIZED (
+  SELECT o.conv_id, list_concat(coalesce(b.own, [])[1:hs.h], o.own[hs.h + 1:]) AS p
+  FROM o JOIN hs USING (conv_id) LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 5),
+m AS MATERIALIZED (
+  SELECT conv_id, len(p) AS size, d, sha256(array_to_string(list_transform(p[1:d],
+           lambda x: sha256(strlen(x.role) || ':' || x.role || ':' || x.text)), ',')) AS node,
+         sha256(array_to_string(list_transform(p[1:d - 1],
+           lambda x: sha256(strlen(x.role) || ':' || x.role || ':' || x.text)), ',')) AS parent,
+         CASE WHEN d > 0 THEN strlen(p[d].text) ELSE 0 END AS bytes
+  FROM (SELECT conv_id, p, unnest(range(len(p) + 1)) AS d FROM path)),
+g AS MATERIALIZED (
+  SELECT d, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n, any_value(bytes) AS bytes,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = d), '') AS ends
+  FROM m GROUP BY d, node),
+kids AS (SELECT d - 1 AS d, parent AS node, count(*) AS k FROM g WHERE d > 0 GROUP BY ALL),
+f AS MATERIALIZED (SELECT g.*, coalesce(kids.k, 0) AS k FROM g LEFT JOIN kids ON g.d = kids.d AND g.node = kids.node),
+sub AS (
+  SELECT top.d, top.node, count(*) FILTER (below.k = 0) AS leaves, sum((below.n - 1) * below.bytes) AS saved
+  FROM f below JOIN m ON m.conv_id = below.conv_id AND m.d <= below.d JOIN f top ON top.d = m.d AND top.node = m.node
+  WHERE m.size >= below.d GROUP BY top.d, top.node)
+SELECT f.conv_id, f.d::BIGINT AS depth, up.conv_id AS parent_conv_id, f.n::BIGINT AS n_convs, f.k::BIGINT AS n_children,
+       sub.leaves::BIGINT AS n_leaves, sub.saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN sub ON sub.d = f.d AND sub.node = f.node
+LEFT JOIN f up ON f.d > 0 AND up.d = f.d - 1 AND up.node = f.parent
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_exact_dedup": OP1, "op3_quality_rules": _op3(), "op6_preference_format": _op6(),
-            "op8_jaccard_join": OP8}
+            "op8_jaccard_join": OP8, "op11_vector_codes": _op11(), "op12_prefix_trie": OP12}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, jaccard, language, packing, preference, quality, secrets, sharding
+from . import (bpe, exact_dedup, html_text, jaccard, language, packing, prefix_trie, preference, quality, secrets,
+               sharding, vantage, vector_codes)
 from .common import table
 
 
@@ -63,6 +64,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_vantage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % vantage.QUERY_STEP == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -70,5 +83,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (op1_exact_dedup, op2_packing, op3_quality_rules, op4_bpe, op5_secret_scan, op6_preference_format,
-             op7_sharding, op8_jaccard_join, op9_html_text, op10_language_id, pipeline)
+             op7_sharding, op8_jaccard_join, op9_html_text, op10_language_id, op11_vector_codes,
+             op12_prefix_trie, op13_vantage_search, pipeline)
     return {f.__name__: f for f in every}

@@ -34,6 +34,6 @@ def empty(odd):
 @pytest.fixture(scope="session")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "pages", "labels", "conversations"):
+    for t in ("documents", "pages", "labels", "conversations", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF01}/{t}.parquet')")
     return c

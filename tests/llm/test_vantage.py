@@ -1,0 +1,107 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from almacen.llm import queries, vantage
+from almacen.llm.common import table
+
+SF1 = "/root/testdata/sf0.1"
+SCHEMA = "vec_id long, embedding array<float>, cid int, leaf string"
+
+
+def _score(a, b):
+    a, b = np.asarray(a, np.float64), np.asarray(b, np.float64)
+    return float((a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())))
+
+
+def _plain(rows, asks, k=5):
+    kept = {}
+    for i, v in rows:
+        if i is not None and v and all(c is not None and math.isfinite(c) for c in v) and any(v):
+            kept[i] = min(kept.get(i, v), v)
+    out = set()
+    for q, v in kept.items():
+        if asks(q):
+            best = sorted((-_score(v, w), i) for i, w in kept.items() if i != q)[:k]
+            out |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
+    return out
+
+
+def _rows(n, dims=8, seed=2):
+    rnd = np.random.default_rng(seed)
+    vec = [[float(np.float32(c)) for c in rnd.normal(0, 1, dims)] for _ in range(n)]
+    rows = list(enumerate(vec))
+    rows += [(n + i, vec[3]) for i in range(n // 2)]                    # a third of all rows share a vector
+    rows += [(10 * n + i, [2 * c for c in vec[7]]) for i in range(4)]   # equal directions, other lengths
+    rows += [(4, vec[4]), (4, vec[5]), (None, vec[6])]
+    rows += [(20 * n, None), (20 * n + 1, []), (20 * n + 2, [0.0] * dims), (20 * n + 5, [1.0] * (dims - 1) + [float("nan")]),
+             (20 * n + 6, [1.0] * (dims - 1) + [None]), (20 * n + 7, [1.0] * (dims + 1)), (20 * n + 8, [float("inf")] * dims)]
+    return rows
+
+
+@pytest.mark.parametrize("shard_rows, block", [(8192, 8192), (60, 7)])
+def test_factor_one_is_exact(spark, monkeypatch, shard_rows, block):
+    monkeypatch.setattr(vantage, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(vantage, "QUERY_BLOCK", block)
+    monkeypatch.setattr(vantage, "LEAF", 8)
+    rows = _rows(300)
+    df = spark.createDataFrame([(*r, 1, "clash") for r in rows], SCHEMA)
+    out = vantage.nearest(df, F.col("vec_id") % 5 == 0, factor=1.0)
+    assert out.columns == ["query_id", "rank", "vec_id", "score"]
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == _plain([r for r in rows if r[1] is None or len(r[1]) in (0, 8)], lambda q: q % 5 == 0)
+
+
+def test_shards_of_one_leaf(spark, monkeypatch):
+    """A leaf with more rows than a shard takes is dealt to several, whatever lies in it."""
+    monkeypatch.setattr(vantage, "SHARD_ROWS", 20)
+    monkeypatch.setattr(vantage, "PER_LEAF", vantage.SAMPLE)
+    rows = _rows(150, seed=4)
+    df = spark.createDataFrame([(*r, 1, "clash") for r in rows], SCHEMA)
+    got = {tuple(r) for r in vantage.nearest(df, F.col("vec_id") % 7 == 0, factor=1.0).collect()}
+    assert got == _plain([r for r in rows if r[1] is None or len(r[1]) in (0, 8)], lambda q: q % 7 == 0)
+
+
+def test_few_or_no_candidates(spark):
+    rows = [(0, [1.0, 0.0]), (50, [0.0, 1.0]), (7, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [tuple(r)[:3] for r in vantage.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 7), (0, 2, 50), (50, 1, 7), (50, 2, 0)]
+    alone = spark.createDataFrame(rows[:1], "vec_id long, embedding array<float>")
+    assert vantage.nearest(alone, F.col("vec_id") % 50 == 0).count() == 0
+    assert vantage.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_factor_is_checked(spark):
+    df = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>")
+    for factor in (0, 1.5):
+        with pytest.raises(ValueError):
+            vantage.nearest(df, F.col("vec_id") == 0, factor=factor)
+
+
+def test_recall_and_pruning_of_the_query(spark):
+    rows = [(r["vec_id"], r["embedding"]) for r in table(spark, SF1, "embeddings").collect()]
+    true = _plain(rows, lambda q: q % vantage.QUERY_STEP == 0)
+    got = {tuple(r) for r in queries.op13_vantage_search(spark, SF1).collect()}
+    asked = {q for q, _ in rows if q % vantage.QUERY_STEP == 0}
+    assert {(q, r) for q, r, _, _ in got} == {(q, r) for q in asked for r in range(1, 6)}
+    near = {(q, i): s for q, _, i, s in true}
+    hits = [(q, i, s) for q, _, i, s in got if (q, i) in near]
+    assert len(hits) >= 0.9 * len(true)
+    assert all(near[q, i] == s for q, i, s in hits)
+
+
+def test_a_smaller_factor_looks_at_fewer_rows():
+    rnd = np.random.default_rng(3)
+    v = rnd.normal(0, 1, (4000, 6))
+    seen = []
+    for factor in (1.0, 0.3):
+        s = vantage.Search(np.arange(4000), v, 5, factor)
+        count, scan = [0], s._scan
+        s._scan = lambda leaf, qs: (count.__setitem__(0, count[0] + (leaf[1] - leaf[0]) * len(qs)), scan(leaf, qs))
+        s(v[:50], np.full(50, -np.inf))
+        seen.append(count[0])
+    assert seen[1] < seen[0] < 50 * 4000
