@@ -14,6 +14,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -174,8 +175,14 @@ class PrefixBPE:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> PrefixBPE:
+    """One encoder per worker process and file: later tasks of the process start with its tables and memos."""
+    return PrefixBPE(path)
+
+
 def _digests(batches, path: str):
-    bpe = PrefixBPE(path)
+    bpe = encoder(path)
     for b in batches:
         n, ids_sha, text_sha = [], [], []
         for text in b.column(1):
@@ -189,7 +196,7 @@ def _digests(batches, path: str):
 
 
 def _encoded(batches, path: str):
-    bpe = PrefixBPE(path)
+    bpe = encoder(path)
     for b in batches:
         ids = [memoryview(bpe.encode(t.as_py() or "")).cast("I").tolist() for t in b.column(1)]
         yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))],
