@@ -21,6 +21,7 @@ packed separately; an empty table gives no piece; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 import zlib
@@ -100,6 +101,12 @@ class WordEncoder:
         return b"".join([known(c) or new(c) for c in text.split()])
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder per worker process and file: later tasks of the process start with its memos."""
+    return WordEncoder(path)
+
+
 def _byte_letters() -> dict[int, str]:
     """The byte-level alphabet: printable Latin-1 stands for itself, the other
     bytes in order for the code points from 256 on."""
@@ -170,7 +177,7 @@ def pack(lengths: list[int], capacity: int = CAPACITY, slack: float = SLACK) ->
 
 
 def _packed(batches, path: str, capacity: int, end_id: int, buffer_docs: int):
-    encoder = WordEncoder(path)
+    encoder = encoder_of(path)
     sequence = TaskContext.get().partitionId() << 40
     end = array("I", [end_id]).tobytes()
     waiting: list[tuple] = []
