@@ -4,8 +4,9 @@ Two sets of sizes a <= b link when ``100 |A & B| >= percent |A | B|``. With
 ``t = percent / 100`` that means ``b <= a / t`` and a symmetric difference of
 at most ``(1 - t) / (1 + t) (a + b)``.
 
-1. One pass turns every whole text into its set of 64-bit shingle hashes.
-   Texts with equal sets form a class; from here on only classes count. A task
+1. One pass turns every whole text into its set of 64-bit shingle hashes, and
+   the set into a size, a key and a bitmap of two bits an element or more. Texts
+   with equal sets form a class; from here on only classes count. A task
    gives the signatures of step 2 once per class, so that a large group of
    copies is reduced before anything moves.
 2. Sizes fall into bands such that linked sets lie in the same or the next
@@ -14,12 +15,16 @@ at most ``(1 - t) / (1 + t) (a + b)``.
    into a few more than ``d`` buckets by hash, of which all but ``d`` must be
    equal in both sets, and one of these is not empty. Classes that agree in a bucket are candidates; their connected
    components hold every link, so the pairs of other classes are never looked at.
-3. Within a component, size-banded tiles are compared pairwise: sorted
-   sizes and a hashed bitmap per set bound the overlap from above (a differing
-   bit is an element of one set only), and what the bound admits is settled by
-   exact intersection of the sorted arrays. Pairs that earlier links of the same
+   Each batch of rows keeps one class per bucket and links the others to it, so
+   a bucket that many classes share sends one row a batch.
+3. Within a component, size-banded tiles are compared pairwise by bitmap: a
+   differing bit is an element of one set only, which bounds the overlap from
+   above. Sets, with 8 bytes an element, do not move here. A set that the bound
+   admits to no other is done.
+4. For the others the sorted arrays are made again from their texts and go to the comparisons that
+   admitted them, where exact intersection settles the pairs. Pairs that earlier links of the same
    comparison connect are skipped: links are needed only to span a component.
-4. The components of the links give the smallest reachable ``doc_id``.
+5. The components of the links give the smallest reachable ``doc_id``.
 
 The tiles of a component hold ``TILE_DOCS`` sets or ``TILE_HASHES`` hashes at
 most, whatever the component's size, and are dealt over tasks.
@@ -39,6 +44,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +53,8 @@ from .common import components, id_filter, maybe_in, staged
 N, PERCENT = 3, 90
 SEEN = 1 << 18
 TILE_DOCS, TILE_HASHES = 512, 1 << 20
-BITS = 1024
+#: The least bitmap has two to this power of bits.
+BITS = 10
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 MEMO = 400_000
 
@@ -150,7 +157,7 @@ def _profiles(batches, n: int, percent: int):
         for text in b.column(1):
             h = shingles(text.as_py())
             if not len(h):
-                rows.append((0, 0, 0, none))
+                rows.append((0, 0, 0, None, none))
                 continue
             k1, k2 = _key(h)
             first = (len(h), k1, k2) not in seen
@@ -158,12 +165,34 @@ def _profiles(batches, n: int, percent: int):
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add((len(h), k1, k2))
-            rows.append((len(h), k1, k2, signatures(h) if first else none))
-        size, k1, k2, sigs = zip(*rows) if rows else ([], [], [], [])
+            rows.append((len(h), k1, k2, _bitmap(h), signatures(h)) if first else (len(h), k1, k2, None, none))
+        size, k1, k2, bits, sigs = zip(*rows) if rows else ([], [], [], [], [])
         yield pa.RecordBatch.from_arrays(
             [b.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(k1, pa.int64()),
-             pa.array(k2, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), *b.columns[2:]],
-            names=["doc_id", "n", "k1", "k2", "sigs", *b.schema.names[2:]])
+             pa.array(k2, pa.int64()), pa.array(bits, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), *b.columns[2:]],
+            names=["doc_id", "n", "k1", "k2", "bits", "sigs", *b.schema.names[2:]])
+
+
+def _shared_buckets(batches):
+    """Rows ``(k1, sigs)`` as ``(sig, k1, lead)``: of a batch's rows with a signature the least ``k1``, and the
+    others linked to it (``sig`` null)."""
+    for b in batches:
+        k1 = b.column(0).to_numpy(zero_copy_only=False)
+        lists = b.column(1)
+        sig = lists.flatten().to_numpy(zero_copy_only=False)
+        own = np.repeat(k1, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        order = np.lexsort((own, sig))
+        sig, own = sig[order], own[order]
+        first = np.ones(len(sig), bool)
+        first[1:] = sig[1:] != sig[:-1]
+        lead = own[first][np.cumsum(first) - 1]
+        links = np.unique(np.stack([own, lead])[:, own != lead], axis=1)
+        keep = int(first.sum())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([sig[first], np.zeros(links.shape[1], np.int64)]),
+                      mask=np.arange(keep + links.shape[1]) >= keep),
+             pa.array(np.concatenate([own[first], links[0]])),
+             pa.array(np.concatenate([own[first], links[1]]))], names=["sig", "k1", "lead"])
 
 
 def _sets(batches, n: int):
@@ -177,37 +206,67 @@ def _sets(batches, n: int):
             names=["doc_id", "n", "k1", "k2", "hashes"])
 
 
-def _bitmap(hashes: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(hashes >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.uint64)
+def _bitmap(hashes: np.ndarray) -> bytes:
+    """A set's elements by their first bits, in two bits an element or more: a power of two of them."""
+    bits = 1 << max(BITS, (2 * len(hashes) - 1).bit_length())
+    map_ = np.zeros(bits, np.uint8)
+    map_[(hashes >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)] = 1
+    return np.packbits(map_).tobytes()
+
+
+def _halved(bits: bytes) -> bytes:
+    """The bitmap of the same set with half as many bits."""
+    return np.packbits(np.unpackbits(np.frombuffer(bits, np.uint8)).reshape(-1, 2).any(axis=1)).tobytes()
+
+
+class Tile:
+    """Sets in order of size, compared by bitmap."""
+
+    def __init__(self, ids: list[int], size: list[int], bits: list[bytes], left: list[bool] | None, percent: int):
+        self.order = sorted(range(len(ids)), key=lambda i: (size[i], ids[i]))
+        self.size = np.array([size[i] for i in self.order], np.int64)
+        self.side = np.array([left[i] for i in self.order]) if left is not None else None
+        self.percent = percent
+        maps = [bits[i] for i in self.order]
+        widths = np.array([len(m) for m in maps])
+        # Linked sets have equal bitmaps' widths, or the larger one twice that of the smaller: it is halved to compare.
+        self.maps, self.start = {}, {}
+        for width in np.unique(widths):
+            at = np.flatnonzero((widths == width) | (widths == 2 * width))
+            self.start[width] = at[0]
+            self.maps[width] = np.stack([np.frombuffer(maps[i] if widths[i] == width else _halved(maps[i]), np.uint64)
+                                         for i in at])
+        self.widths = widths
+
+    def admitted(self, i: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Sets after ``i`` whose overlap with it may be large enough, and the number of bits they differ in."""
+        to = int(np.searchsorted(self.size, self.size[i] * 100 // self.percent, side="right"))
+        js = np.arange(i + 1, to)
+        if self.side is not None:
+            js = js[self.side[js] != self.side[i]]
+        if skip is not None:
+            js = js[skip[js] != skip[i]]
+        if not len(js):
+            return js, js
+        width = self.widths[i]
+        maps, start = self.maps[width], self.start[width]
+        apart = np.bitwise_count(maps[js - start] ^ maps[i - start]).sum(axis=1, dtype=np.int64)
+        # |A & B| >= p/(100+p) (a+b)  <=>  |A ^ B| <= (100-p)/(100+p) (a+b)
+        ok = apart * (100 + self.percent) <= (100 - self.percent) * (self.size[i] + self.size[js])
+        return js[ok], apart[ok]
 
 
 def spanning_links(ids: list[int], sets: list[np.ndarray], left: list[bool] | None = None,
                    percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that connect all linked sets. With ``left``, only pairs of a left with a right set count."""
-    order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
+    tile = Tile(ids, [len(s) for s in sets], [_bitmap(s) for s in sets], left, percent)
+    order, size = tile.order, tile.size
     sets = [sets[i] for i in order]
-    side = np.array([left[i] for i in order]) if left is not None else None
-    size = np.array([len(s) for s in sets], np.int64)
-    maps = np.stack([_bitmap(s) for s in sets]) if sets else np.zeros((0, BITS // 64), np.uint64)
     comp = np.arange(len(sets))
     links = []
     for i in range(len(sets)):
-        to = int(np.searchsorted(size, size[i] * 100 // percent, side="right"))
-        if to <= i + 1:
-            continue
-        js = np.arange(i + 1, to)
-        js = js[comp[js] != comp[i]]
-        if side is not None:
-            js = js[side[js] != side[i]]
-        if not len(js):
-            continue
-        both = size[i] + size[js]
-        apart = np.bitwise_count(maps[js] ^ maps[i]).sum(axis=1, dtype=np.int64)
-        # |A & B| >= p/(100+p) (a+b)  <=>  |A ^ B| <= (100-p)/(100+p) (a+b)
-        ok = apart * (100 + percent) <= (100 - percent) * both
-        for j in js[ok][np.argsort(apart[ok], kind="stable")]:
+        js, apart = tile.admitted(i, comp)
+        for j in js[np.argsort(apart, kind="stable")]:
             if comp[j] == comp[i]:
                 continue
             shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -217,11 +276,30 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], left: list[bool] | No
     return links
 
 
+COMPARISON = ["grp", "band", "i", "up", "j"]
+
+
+def _side(left: list[bool]) -> list[bool] | None:
+    """The sides of a comparison of two tiles, None for a tile with itself."""
+    return None if all(left) or not any(left) else left
+
+
+def _tile_admitted(rows: pa.Table, percent: int) -> pa.Table:
+    """The rows of a comparison whose bitmap admits a pair."""
+    left = rows["left"].to_pylist()
+    tile = Tile(rows["class"].to_pylist(), rows["n"].to_pylist(), rows["bits"].to_pylist(), _side(left), percent)
+    found = np.zeros(len(rows), bool)
+    for i in range(len(rows)):
+        js, _ = tile.admitted(i)
+        if len(js):
+            found[i] = found[js] = True
+    at = pa.array(np.array(tile.order, np.int64)[found])
+    return rows.select([*COMPARISON, "left", "class"]).take(at)
+
+
 def _tile_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    ids = pdf["doc_id"].tolist()
     sets = [np.asarray(h, np.int64).view(np.uint64) for h in pdf["hashes"]]
-    one = pdf["left"].all() or not pdf["left"].any()
-    links = spanning_links(ids, sets, None if one else pdf["left"].tolist(), percent)
+    links = spanning_links(pdf["class"].tolist(), sets, _side(pdf["left"].tolist()), percent)
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
@@ -232,24 +310,25 @@ def _band_of(n: Column, percent: int) -> Column:
 
 
 def _tiled(members: DataFrame, percent: int) -> DataFrame:
-    """``members(grp, doc_id, n, hashes)`` copied to each comparison of tiles they take part in.
+    """``members(grp, class, n, bits)`` copied to each comparison of tiles they take part in.
 
     A component that fits a tile is one comparison. A larger one is cut by
-    size band, and each band by a hash of the id; a comparison is a tile with
+    size band, and each band by a hash of the class; a comparison is a tile with
     itself, with another of its band, or with one of the next band.
     """
-    whole = members.groupBy("grp").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("hashes_all"))
-    small = (F.col("docs") <= TILE_DOCS) & (F.col("hashes_all") <= 4 * TILE_HASHES)
     m = members.withColumn("band", _band_of(F.col("n"), percent))
-    cuts = staged(m.join(whole.filter(~small).select("grp"), "grp", "left_semi")
-                  .groupBy("grp", "band").agg(F.greatest(
-                      F.ceil(F.count(F.lit(1)) / F.lit(TILE_DOCS)),
-                      F.ceil(F.sum("n") / F.lit(TILE_HASHES))).cast("int").alias("tiles")), "tile-counts")
+    bands = m.groupBy("grp", "band").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("hashes_all"))
+    # Only sums per component and band are brought together by component.
+    whole = bands.groupBy("grp").agg(F.sum("docs").alias("grp_docs"), F.sum("hashes_all").alias("grp_hashes"))
+    large = whole.filter((F.col("grp_docs") > TILE_DOCS) | (F.col("grp_hashes") > 4 * TILE_HASHES)).select("grp")
+    cuts = staged(bands.join(large, "grp").select("grp", "band", F.greatest(
+        F.ceil(F.col("docs") / F.lit(TILE_DOCS)),
+        F.ceil(F.col("hashes_all") / F.lit(TILE_HASHES))).cast("int").alias("tiles")), "tile-counts")
     nxt = cuts.select("grp", (F.col("band") - 1).alias("band"), F.col("tiles").alias("above"))
     prev = cuts.select("grp", (F.col("band") + 1).alias("band"), F.col("tiles").alias("below"))
     shape = cuts.join(nxt, ["grp", "band"], "left").join(prev, ["grp", "band"], "left")
     m = m.join(shape, ["grp", "band"], "left").withColumn(
-        "tile", F.pmod(F.xxhash64("doc_id"), F.coalesce("tiles", F.lit(1))).cast("int"))
+        "tile", F.pmod(F.xxhash64("class"), F.coalesce("tiles", F.lit(1))).cast("int"))
 
     def pairs(count, make):
         none = F.array().cast("array<struct<band:int,i:int,up:int,j:int,left:boolean>>")
@@ -263,14 +342,15 @@ def _tiled(members: DataFrame, percent: int) -> DataFrame:
     down = pairs(F.col("below"), lambda j: place(b - 1, j, 1, t, F.lit(False)))
     alone = F.array(place(F.lit(0), F.lit(0), 0, F.lit(0), F.lit(True)))
     places = F.when(F.col("tiles").isNull(), alone).otherwise(F.concat(own, up, down))
-    return m.select("grp", "doc_id", "hashes", F.explode(places).alias("p")).select(
-        "grp", "p.band", "p.i", "p.up", "p.j", "p.left", "doc_id", "hashes")
+    return m.select("grp", "class", "n", "bits", F.explode(places).alias("p")).select(
+        "grp", "p.band", "p.i", "p.up", "p.j", "p.left", "class", "n", "bits")
 
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, carry: list[str] | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``, and its string columns ``carry``."""
     carry = carry or []
-    schema = "doc_id long, n long, k1 long, k2 long, sigs array<long>" + "".join(f", {c} string" for c in carry)
+    schema = ("doc_id long, n long, k1 long, k2 long, bits binary, sigs array<long>"
+              + "".join(f", {c} string" for c in carry))
     profile = staged(docs.select("doc_id", "text", *carry)
                      .mapInArrow(lambda bs: _profiles(bs, n, percent), schema), "jaccard-profiles")
     docs = docs.select("doc_id", "text")
@@ -278,21 +358,31 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, carr
     classes = staged(profile.filter("n > 0 and doc_id is not null").groupBy(*key)
                      .agg(F.min("doc_id").alias("rep"))
                      .withColumn("class", F.monotonically_increasing_id()), "jaccard-classes")
-    # One row per task, class and bucket, compared where it lands.
-    same = Window.partitionBy("sig")
-    candidates = (profile.select("k1", F.explode("sigs").alias("sig")).repartition("sig")
-                  .withColumn("lead", F.min("k1").over(same)).filter("k1 <> lead").select("k1", "lead"))
-    groups = components(candidates, "k1", "lead")
-    members = staged(classes.join(groups.withColumnRenamed("node", "k1"), "k1")
-                     .select(F.col("rep").alias("doc_id"), *key, "class", F.col("comp").alias("grp")), "jaccard-members")
-    # Few documents are members: a filter of bounded size keeps most of the others from being hashed and moved.
-    likely = maybe_in(docs, id_filter(members)).filter("maybe").select("doc_id", "text")
+    buckets = (profile.filter("size(sigs) > 0").select("k1", "sigs")
+               .mapInArrow(_shared_buckets, "sig long, k1 long, lead long"))
+    # One row per batch and bucket, compared where it lands, and the links found within batches, which need not move
+    # together: a random place stands in for the bucket they do not have.
+    same = Window.partitionBy("at")
+    spread = F.when(F.col("sig").isNull(), F.xxhash64("k1", "lead")).otherwise(F.col("sig"))
+    candidates = (buckets.select(spread.alias("at"), "k1", F.when(F.col("sig").isNull(), F.col("lead")).alias("known"))
+                  .repartition("at").withColumn("lead", F.coalesce("known", F.min("k1").over(same)))
+                  .filter("k1 <> lead").select("k1", "lead"))
+    groups = staged(components(candidates, "k1", "lead"), "jaccard-groups")
+    maps = profile.filter("bits is not null").select(*key, "bits").join(groups.withColumnRenamed("node", "k1"), "k1")
+    members = staged(classes.join(maps.groupBy(*key).agg(F.first("comp").alias("grp"), F.first("bits").alias("bits")), key)
+                     .select("class", "rep", *key, "grp", "bits"), "jaccard-members")
+    admitted = staged(_tiled(members, percent).groupBy(*COMPARISON).applyInArrow(
+        lambda rows: _tile_admitted(rows, percent), "grp long, band int, i int, up int, j int, left boolean, class long"),
+        "jaccard-admitted")
+    # Few documents are left: a filter of bounded size keeps most of the others from being hashed and moved.
+    needed = staged(members.join(admitted.select("class").distinct(), "class")
+                    .select("class", F.col("rep").alias("doc_id"), *key), "jaccard-needed")
+    likely = maybe_in(docs, id_filter(needed)).filter("maybe").select("doc_id", "text")
     sets = likely.mapInArrow(lambda bs: _sets(bs, n), "doc_id long, n long, k1 long, k2 long, hashes array<long>")
-    # An id that is repeated with other texts has other sets too: the key tells which one is meant. It is
-    # also what the join deals by, so that the sets move once for both.
-    located = staged(sets.join(members, ["doc_id", *key]).dropDuplicates(["doc_id", *key])
-                     .select("grp", F.col("class").alias("doc_id"), "n", "hashes"), "jaccard-sets")
-    links = (_tiled(located, percent).groupBy("grp", "band", "i", "up", "j")
+    # An id that is repeated with other texts has other sets too: the key tells which one is meant.
+    located = (sets.join(needed, ["doc_id", *key]).dropDuplicates(["doc_id", *key])
+               .select("class", "hashes"))
+    links = (admitted.join(located, "class").groupBy(*COMPARISON)
              .applyInPandas(lambda pdf: _tile_links(pdf, percent), "a long, b long"))
     linked = (components(staged(links, "jaccard-links"), "a", "b").withColumnRenamed("node", "class")
               .join(classes.select("class", "rep"), "class"))
@@ -301,7 +391,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, carr
     # Equal sets meet in their class, near ones through links between classes.
     reach = staged(classes.join(linked, "class", "left")
                    .select(*key, F.coalesce("least", "rep").alias("component_id")), "jaccard-reach")
-    return (profile.drop("sigs").join(reach, key, "left")
+    return (profile.drop("sigs", "bits").join(reach, key, "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
                     *carry))
