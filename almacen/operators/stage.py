@@ -23,7 +23,7 @@ def _number(name: str) -> Column:
     return F.when(F.abs(n) < F.lit(float("inf")), n)
 
 
-def _wall_clock(name: str, ts_format: str) -> Column:
+def wall_clock(name: str, ts_format: str) -> Column:
     """The written date and time without a zone, or NULL: the same under every session clock."""
     c, fmt = F.col(name), F.lit(ts_format)
     return F.when(F.try_to_timestamp(c, fmt).isNotNull(), F.to_timestamp_ntz(c, fmt))
@@ -44,7 +44,7 @@ def stage(raw: DataFrame, ts_format: str = fixed.INVOICE_TS_FORMAT) -> DataFrame
         F.col("stock_code"),
         norm_description(F.col("description")).alias("description"),      # T7
         _number("quantity").alias("quantity"),                            # T4
-        _wall_clock("invoice_date", ts_format).alias("invoice_date"),     # T2
+        wall_clock("invoice_date", ts_format).alias("invoice_date"),     # T2
         _number("price").alias("price"),                                  # T3
         norm_customer(F.col("customer_id")).alias("customer_id"),         # T5
         F.col("country"),

@@ -233,6 +233,45 @@ def _typed_as_read(c: str) -> str:
 _RFM_CASE = "CASE " + " ".join(f"WHEN s >= {t} THEN {_q(n)}" for t, n in fixed.RFM_LABELS) + \
     f" ELSE {_q(fixed.RFM_LABEL_REST)} END"
 
+_MATCH = """, m_lines AS MATERIALIZED (
+  SELECT *, sum(CASE WHEN is_cancelled = 0 THEN units ELSE 0 END) OVER w AS sold,
+         sum(CASE WHEN is_cancelled = 1 THEN units ELSE 0 END) OVER w AS cancelled FROM (
+    SELECT ventas_id, producto_id, cliente_id, fecha_id, fecha_completa, hora_venta, is_cancelled, stock_code, precio_unitario,
+           greatest(CASE WHEN is_cancelled = 1 THEN -cantidad ELSE cantidad END, 0)::BIGINT AS units FROM sales)
+  WINDOW w AS (PARTITION BY cliente_id, producto_id ORDER BY fecha_id, hora_venta, is_cancelled, ventas_id
+               ROWS UNBOUNDED PRECEDING)),
+m_taken AS MATERIALIZED (
+  SELECT *, cancelled + least(0, min(sold - cancelled) OVER (PARTITION BY cliente_id, producto_id
+    ORDER BY fecha_id, hora_venta, ventas_id ROWS UNBOUNDED PRECEDING)) AS upto FROM m_lines WHERE is_cancelled = 1),
+m_from AS MATERIALIZED (
+  SELECT *, coalesce(lag(upto) OVER (PARTITION BY cliente_id, producto_id
+    ORDER BY fecha_id, hora_venta, ventas_id), 0) AS since FROM m_taken),
+pairs AS MATERIALIZED (
+  SELECT c.ventas_id AS cancel_line, s.ventas_id AS sale_line,
+         (least(c.upto, s.sold) - greatest(c.since, s.sold - s.units))::BIGINT AS units,
+         s.precio_unitario AS price, date_diff('day', s.fecha_completa, c.fecha_completa) AS days, s.producto_id
+  FROM m_from c JOIN m_lines s ON s.is_cancelled = 0 AND c.cliente_id = s.cliente_id AND c.producto_id = s.producto_id
+    AND c.since < s.sold AND s.sold - s.units < c.upto AND c.upto > c.since AND s.units > 0)
+"""
+
+
+def _access() -> str:
+    def middle(dim: str, key: str) -> str:
+        return f"(SELECT max({key}) // 2 + 1 FROM {dim})"
+    body = []
+    for dim, key, few in (("dim_fecha", "fecha_id", "NULL"), ("dim_cliente", "cliente_id", "true"),
+                          ("dim_producto", "producto_id", "true"), ("dim_geografia", "geografia_id", "true")):
+        body.append(f"SELECT {_q(key)} AS path, CAST({middle(dim, key)} AS VARCHAR) AS wanted, count(*) AS rows, "
+                    f"CAST({few} AS BOOLEAN) AS under_a_fifth FROM fact_ventas WHERE {key} = {middle(dim, key)}")
+    body.append("SELECT 'is_cancelled', '1', count(*), NULL FROM fact_ventas WHERE is_cancelled = 1")
+    body.append("SELECT 'segmento', 'VIP', count(*), NULL FROM dim_cliente WHERE segmento = 'VIP'")
+    body.append(f"SELECT 'anio,mes', any_value(m.anio || ',' || m.mes), count(*), NULL FROM dim_fecha d JOIN (SELECT anio, mes "
+                f"FROM dim_fecha WHERE fecha_id = {middle('dim_fecha', 'fecha_id')}) m ON d.anio = m.anio AND d.mes = m.mes")
+    body.append(f"SELECT 'region', any_value(m.region), count(*), NULL FROM dim_geografia g JOIN (SELECT region FROM "
+                f"dim_geografia WHERE geografia_id = {middle('dim_geografia', 'geografia_id')}) m ON g.region = m.region")
+    return " UNION ALL ".join(body)
+
+
 BODIES: dict[str, str] = {
     # --- sources and profile -------------------------------------------------
     "csv_scan": "SELECT * FROM raw",
@@ -287,6 +326,19 @@ BODIES: dict[str, str] = {
                    "FROM fact_ventas",
     "layout": "SELECT CAST(year(fecha_completa) AS INTEGER) AS anio, count(*) AS lines "
               "FROM fact_ventas JOIN dim_fecha USING (fecha_id) GROUP BY 1",
+    "access_paths": _access(),
+    "refresh_years": (
+        "SELECT CAST(anio AS INTEGER) AS anio, count(*) AS lines, "
+        f"CAST(sum(CASE WHEN {NONC} THEN total_linea END) AS DOUBLE) AS revenue, "
+        "anio = min(anio) OVER () OR anio = max(anio) OVER () AS rewritten FROM sales GROUP BY anio"),
+    "refresh_members": (
+        "SELECT 'cliente' AS dimension, customer_id AS member, concat_ws('|', country, segmento, num_facturas) AS attributes "
+        "FROM dim_cliente UNION ALL SELECT 'producto', stock_code, concat_ws('|', descripcion, precio_referencia) "
+        "FROM dim_producto UNION ALL SELECT 'geografia', country, region FROM dim_geografia"),
+    "refresh_fact": (
+        "SELECT invoice_number, strftime(fecha_completa, '%Y-%m-%d') AS fecha, hora_venta, customer_id, stock_code, country, "
+        "cantidad, CAST(precio_unitario AS DOUBLE) AS precio_unitario, CAST(total_linea AS DOUBLE) AS total_linea, "
+        "is_cancelled FROM sales"),
     "warehouse_summary": " UNION ALL ".join(
         f"SELECT {_q(t)} AS metric, CAST(count(*) AS DOUBLE) AS value FROM {t}"
         for t in ["dim_fecha", "dim_cliente", "dim_producto", "dim_geografia", "fact_ventas"])
@@ -352,6 +404,21 @@ BODIES: dict[str, str] = {
         "count(DISTINCT CASE WHEN is_cancelled = 1 THEN invoice_number END) AS invoices, "
         "-sum(CASE WHEN is_cancelled = 1 THEN total_linea END) AS val, "
         f"sum(CASE WHEN {NONC} THEN total_linea END) AS rev FROM sales)"),
+    "q07_cancel_matches": _MATCH + "SELECT cancel_line, sale_line, units FROM pairs",
+    "q07_cancel_lines": _MATCH + (
+        "SELECT ventas_id, is_cancelled, units, matched_units, CASE WHEN matched_units = 0 THEN 'unmatched' "
+        "WHEN matched_units = units THEN 'matched' ELSE 'partial' END AS status FROM ("
+        "SELECT l.ventas_id, l.is_cancelled, l.units, CAST(coalesce(CASE WHEN l.is_cancelled = 1 THEN c.n ELSE s.n END, 0) "
+        "AS BIGINT) AS matched_units FROM m_lines l "
+        "LEFT JOIN (SELECT cancel_line, sum(units) AS n FROM pairs GROUP BY 1) c ON c.cancel_line = l.ventas_id "
+        "LEFT JOIN (SELECT sale_line, sum(units) AS n FROM pairs GROUP BY 1) s ON s.sale_line = l.ventas_id)"),
+    "q14_matched_returns": _MATCH + (
+        "SELECT stock_code, CAST(returned AS BIGINT) AS returned_units, CAST(coalesce(n, 0) AS BIGINT) AS matched_units, "
+        + pct("coalesce(n, 0)", "returned") + " AS matched_pct, CAST(worth AS DOUBLE) AS matched_value, "
+        + r2(ratio("days", "n")) + " AS avg_days_to_return FROM ("
+        "SELECT producto_id, stock_code, sum(units) AS returned FROM m_lines WHERE is_cancelled = 1 GROUP BY ALL "
+        "HAVING sum(units) > 0) LEFT JOIN (SELECT producto_id, sum(units) AS n, sum(units * price) AS worth, "
+        "sum(units * days) AS days FROM pairs GROUP BY 1) USING (producto_id)"),
     "q08_hours": (
         "SELECT CAST(hora_venta AS INTEGER) AS hora_venta, CAST(orders AS BIGINT) AS orders, "
         + pct("orders", "sum(orders) OVER ()") + " AS share_pct FROM ("
@@ -410,6 +477,17 @@ BODIES: dict[str, str] = {
         + pct("s - precio_referencia * n", "precio_referencia * n") + " AS gap_pct FROM ("
         "SELECT producto_id, stock_code, precio_referencia, sum(precio_unitario) AS s, count(*) AS n "
         f"FROM sales WHERE {NONC} GROUP BY producto_id, stock_code, precio_referencia)"),
+    "q16_price_asof": (
+        "SELECT stock_code, CAST(count(*) AS BIGINT) AS lines, CAST(count(p) AS BIGINT) AS priced_lines, "
+        "CAST(count(*) FILTER (WHERE precio_unitario > p) AS BIGINT) AS above_lines, "
+        "CAST(count(*) FILTER (WHERE precio_unitario < p) AS BIGINT) AS below_lines, "
+        + r2(ratio("sum(precio_unitario) FILTER (WHERE p IS NOT NULL)", "count(p)")) + " AS avg_price, "
+        + r2(ratio("sum(p)", "count(p)")) + " AS avg_asof_price, "
+        + pct("sum(precio_unitario) FILTER (WHERE p IS NOT NULL) - sum(p)", "sum(p)") + " AS gap_pct FROM ("
+        f"SELECT s.stock_code, s.producto_id, s.precio_unitario, l.p FROM (SELECT * FROM sales WHERE {NONC}) s "
+        "ASOF LEFT JOIN (SELECT producto_id, fecha_id, max(precio_unitario) AS p FROM sales "
+        f"WHERE {NONC} GROUP BY ALL) l ON s.producto_id = l.producto_id AND s.fecha_id > l.fecha_id) "
+        "GROUP BY producto_id, stock_code"),
     "q17_geo_share": (
         "SELECT country, region, CAST(rev AS DOUBLE) AS revenue, "
         + pct("rev", "sum(rev) OVER ()") + " AS share_total_pct, "

@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import money, pct, ratio, round2
+from ..operators import returns
 from ..operators.scale import ntile_cuts, with_running_sum
+from ..operators.segments import asof_join
 from ..session import scratch_path, write_table
 from .warehouse import Star
 
@@ -196,6 +198,48 @@ def q07_cancel_impact(star: Star) -> DataFrame:
         pct(F.col("value"), F.col("rev")).alias("pct_of_revenue"))
 
 
+def _returns(star: Star) -> tuple[DataFrame, DataFrame]:
+    """Lines with the units they hold or take, and the pairs; found once per opened star."""
+    if "returns" not in star._cache:
+        lines = returns.consumption(star.fact)
+        star._cache["returns"] = lines, write_table(returns.matches(lines), scratch_path(star.fact.sparkSession, "returns"))
+    return star._cache["returns"]
+
+
+def q07_cancel_matches(star: Star) -> DataFrame:
+    """Which sale each cancellation takes back, and how many units (first in, first out)."""
+    return _returns(star)[1]
+
+
+def q07_cancel_lines(star: Star) -> DataFrame:
+    """Every fact line with its units that were taken back, or that it takes back, and whether that is all."""
+    return returns.line_status(*_returns(star))
+
+
+def q14_matched_returns(star: Star) -> DataFrame:
+    """Per product: returned units, those that an earlier sale explains, their value at the price
+    then paid, and the days between sale and return."""
+    lines, pairs = _returns(star)
+    line = star.fact.select("ventas_id", "producto_id", "precio_unitario", "fecha_id")
+    days = _dim(star, "dim_fecha", "fecha_id", "fecha_completa")       # one row a day
+    day = line.join(days, "fecha_id")
+    sold = day.select(F.col("ventas_id").alias("sale_line"), "producto_id", "precio_unitario",
+                      F.col("fecha_completa").alias("sold_on"))
+    back = day.select(F.col("ventas_id").alias("cancel_line"), F.col("fecha_completa").alias("back_on"))
+    pair = pairs.join(sold, "sale_line").join(back, "cancel_line")
+    found = pair.groupBy("producto_id").agg(
+        F.sum("units").alias("matched"), F.sum(F.col("units") * F.col("precio_unitario")).alias("value"),
+        F.sum(F.col("units") * F.datediff("back_on", "sold_on")).alias("days"))
+    per = lines.filter("is_cancelled = 1").groupBy("producto_id").agg(F.sum("units").alias("returned"))
+    per = per.filter("returned > 0").join(found, "producto_id", "left")
+    per = _join_dim(star, per, "dim_producto", "producto_id", "stock_code")
+    matched = F.coalesce("matched", F.lit(0))
+    return per.select(
+        "stock_code", F.col("returned").cast("bigint").alias("returned_units"), matched.cast("bigint").alias("matched_units"),
+        pct(matched, F.col("returned")).alias("matched_pct"), money(F.col("value")).alias("matched_value"),
+        round2(ratio(F.col("days"), F.col("matched"))).alias("avg_days_to_return"))
+
+
 def q08_hours(star: Star) -> DataFrame:
     """Orders per hour of day and share of all (% OVER)."""
     h = star.fact.groupBy("hora_venta").agg(F.count_distinct(_invoice_nonc()).alias("orders"))
@@ -281,9 +325,11 @@ def q13_top_products(star: Star) -> DataFrame:
     counts = sales.groupBy(F.col("units").alias("u")).agg(F.count(F.lit(1)).alias("n"))
     # NULL units rank last, behind every number.
     above = (F.col("u") > F.col("units")) | (F.col("u").isNotNull() & F.col("units").isNull())
-    top = (top.join(counts, above, "left")
-           .groupBy("producto_id", "rev", "units", "revenue_rank")
-           .agg((F.coalesce(F.sum("n"), F.lit(0)) + 1).alias("units_rank")))
+    # Ten rows (and their ties) go to the counts, not the counts to them.
+    rank = (counts.join(F.broadcast(top.select("producto_id", "units")), above)
+            .groupBy("producto_id").agg(F.sum("n").alias("ahead")))
+    top = (top.join(rank, "producto_id", "left")
+           .withColumn("units_rank", F.coalesce("ahead", F.lit(0)) + 1))
     top = _join_dim(star, top, "dim_producto", "producto_id", "stock_code", "descripcion")
     return top.select(
         "stock_code", "descripcion", money(F.col("rev")).alias("revenue"),
@@ -339,6 +385,36 @@ def q16_price_vs_ref(star: Star) -> DataFrame:
         pct(F.col("s") - ref_total, ref_total).alias("gap_pct"))
 
 
+def _list_prices(star: Star) -> DataFrame:
+    """The price list: per product and day the highest unit price asked."""
+    return (star.fact.filter(_nonc()).groupBy("producto_id", "fecha_id").agg(F.max("precio_unitario").alias("list_price")))
+
+
+def q16_price_asof(star: Star) -> DataFrame:
+    """Selling prices against the list price that stood when the line was sold.
+
+    The list price of a product changes with every day it sells; a line is
+    compared with the last one of an earlier day (as-of join), lines of a product's
+    first day with none.
+    """
+    sold = star.fact.filter(_nonc()).select("ventas_id", "producto_id", "fecha_id", "precio_unitario")
+    lines = asof_join(sold, _list_prices(star), ["producto_id"], "fecha_id", F.col("list_price"), "asof_price",
+                      ["ventas_id"], strict=True, name="price")
+    has = F.col("asof_price").isNotNull()
+    p = lines.groupBy("producto_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(has).alias("priced"),
+        F.sum(F.when(has, F.col("precio_unitario"))).alias("s"), F.sum("asof_price").alias("ref"),
+        F.count_if(F.col("precio_unitario") > F.col("asof_price")).alias("above"),
+        F.count_if(F.col("precio_unitario") < F.col("asof_price")).alias("below"))
+    p = _join_dim(star, p, "dim_producto", "producto_id", "stock_code")
+    return p.select(
+        "stock_code", F.col("n").cast("bigint").alias("lines"), F.col("priced").cast("bigint").alias("priced_lines"),
+        F.col("above").cast("bigint").alias("above_lines"), F.col("below").cast("bigint").alias("below_lines"),
+        round2(ratio(F.col("s"), F.col("priced"))).alias("avg_price"),
+        round2(ratio(F.col("ref"), F.col("priced"))).alias("avg_asof_price"),
+        pct(F.col("s") - F.col("ref"), F.col("ref")).alias("gap_pct"))
+
+
 # --- Group 5: geography and trends --------------------------------------------
 
 def q17_geo_share(star: Star) -> DataFrame:
@@ -501,12 +577,15 @@ def k4_business_hours(star: Star) -> DataFrame:
 ANALYTIC = {
     "q01_kpis": q01_kpis, "q02_yoy": q02_yoy, "q03_running_month": q03_running_month,
     "q04_weekend": q04_weekend, "q05_month_rank": q05_month_rank,
+    "q05_month_rank_by_year": q05_month_rank_by_year,
     "q06_ticket_quarter": q06_ticket_quarter, "q07_cancel_impact": q07_cancel_impact,
+    "q07_cancel_matches": q07_cancel_matches, "q07_cancel_lines": q07_cancel_lines,
     "q08_hours": q08_hours, "q09_segment_share": q09_segment_share,
     "q10_top_customers": q10_top_customers, "q11_new_customers": q11_new_customers,
     "q12_recurrent": q12_recurrent, "q13_top_products": q13_top_products,
-    "q14_return_rate": q14_return_rate, "q15_pareto": q15_pareto,
-    "q16_price_vs_ref": q16_price_vs_ref, "q17_geo_share": q17_geo_share,
+    "q14_return_rate": q14_return_rate, "q14_matched_returns": q14_matched_returns,
+    "q15_pareto": q15_pareto, "q16_price_vs_ref": q16_price_vs_ref, "q16_price_asof": q16_price_asof,
+    "q17_geo_share": q17_geo_share,
     "q18_top3_country": q18_top3_country, "q19_region_yoy": q19_region_yoy,
     "q20_rfm": q20_rfm,
     "k1_vip_concentration": k1_vip_concentration, "k2_market_gap": k2_market_gap,

@@ -26,7 +26,7 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -36,7 +36,7 @@ from ..operators import fact as fact_ops
 from ..operators.scale import measured_bytes
 from ..operators.stage import stage, unparsed_dates
 from ..session import app_id, file_stamps, path_exists, remove_path, shared_dir, write_table
-from ..sources import sinks
+from ..sources import access, sinks
 from ..sources.csv import parsed, read_lines, rejected, write_csv
 from ..sources.feed import SOURCE_TABLES, derived_feed
 
@@ -47,6 +47,12 @@ TABLES = ["dim_fecha", "dim_cliente", "dim_producto", "dim_geografia", "fact_ven
 
 
 DIMENSIONS = TABLES[:4]
+#: Stands for the year of lines without a date.
+NO_YEAR = -1
+
+
+def year_of(date: Column) -> Column:
+    return F.coalesce(F.year(date), F.lit(NO_YEAR))
 
 
 @dataclass
@@ -61,6 +67,7 @@ class Star:
     rejected: dict[str, DataFrame] = field(default_factory=dict)   # members and CSV lines held back
     quarantine: DataFrame | None = None
     rows: dict[str, int] = field(default_factory=dict)
+    parts: dict[str, dict[int, str]] = field(default_factory=dict)  # per table: the build that holds each year
     _cache: dict = field(default_factory=dict, repr=False)
 
     @property
@@ -84,6 +91,13 @@ class Star:
             self._cache["unknown"] = row[0]
         return self._cache["unknown"]
 
+    @property
+    def access(self) -> dict[str, access.Clustered]:
+        """Clustered copies and file indexes of this star (S4), made once per opened star."""
+        if "access" not in self._cache:
+            self._cache["access"] = access.cluster_star(self.tables, self.rows)
+        return self._cache["access"]
+
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
 
@@ -218,13 +232,40 @@ def published(spark: SparkSession, base: str) -> list[str]:
 
 
 def retire(spark: SparkSession, base: str, keep: int = 2) -> list[str]:
-    """Delete all but the ``keep`` newest published builds; readers of those are not disturbed."""
-    old = [b for b in published(spark, base)[keep:] if path_exists(spark, f"{base}/builds/{b}")]
+    """Delete all but the ``keep`` newest published builds and those that hold years of them."""
+    builds = published(spark, base)
+    needed = {x for b in builds[:keep] for years in _parts(spark, base, b).values() for x in years.values()}
+    old = [b for b in builds[keep:] if b not in needed and path_exists(spark, f"{base}/builds/{b}")]
     for b in old:
         remove_path(spark, f"{base}/builds/{b}")
     return old
 
 
+def _parts(spark: SparkSession, base: str, build_id: str) -> dict[str, dict[int, str]]:
+    """Per table the build that holds each year: of a full build, itself (and then only the years of the fact)."""
+    root = f"{base}/builds/{build_id}"
+    out: dict[str, dict[int, str]] = {"staged_lines": {}, "fact_ventas": {}}
+    if path_exists(spark, f"{root}/parts"):
+        for r in spark.read.parquet(f"{root}/parts").collect():            # one row per table and year
+            out[r["table_name"]][r["anio"]] = r["build"]
+    return out
+
+
+def compose(spark: SparkSession, base: str, build_id: str) -> dict[str, DataFrame]:
+    """The lines and the fact of a refreshed build: each year from the build that holds it."""
+    out = {}
+    for table, years in _parts(spark, base, build_id).items():
+        for build in sorted(set(years.values()) | {build_id}):
+            own = sorted(y for y, b in years.items() if b == build)
+            df = spark.read.parquet(f"{base}/builds/{build}/{table}")
+            if table == "fact_ventas":
+                part = df.select(*fact_ops.FACT_COLUMNS, "anio").filter(F.col("anio").isin(own) if own else F.lit(False))
+            else:
+                part = df.filter(year_of(F.col("invoice_date")).isin(own) if own else F.lit(False))
+            out[table] = out[table].unionByName(part) if table in out else part
+    return out
+
+
 def _open(spark: SparkSession, base: str, build_id: str) -> Star:
     root = f"{base}/builds/{build_id}"
     p = _paths(root)
@@ -232,15 +273,39 @@ def _open(spark: SparkSession, base: str, build_id: str) -> Star:
     rows = {r["table_name"]: int(r["row_count"]) for r in manifest}
     tables = {t: spark.read.parquet(p[t]) for t in TABLES}
     tables["fact_ventas"] = tables["fact_ventas"].select(*fact_ops.FACT_COLUMNS, "anio")
+    tagged, parts = spark.read.parquet(p["tagged"]), _parts(spark, base, build_id)
+    if any(parts.values()):
+        whole = compose(spark, base, build_id)
+        tables["fact_ventas"], tagged = whole["fact_ventas"], whole["staged_lines"]
     wrong = {t: n for t, n in rows.items() if t in tables and tables[t].count() != n}
     if wrong:
         raise ValueError(f"build {root} is damaged: the rows of {', '.join(wrong)} differ from its manifest")
     first = manifest[0]
-    return Star(base=root, landing=parsed(spark.read.parquet(p["raw"])), tagged=spark.read.parquet(p["tagged"]),
+    return Star(base=root, landing=parsed(spark.read.parquet(p["raw"])), tagged=tagged,
                 landing_path=first["landing"], ts_format=first["ts_format"], multi_line=first["multi_line"],
                 tables=tables,
                 rejected={t: spark.read.parquet(p[f"rejected_{t}"]) for t in [*DIMENSIONS, "lines"]},
-                quarantine=spark.read.parquet(p["quarantine"]), rows=rows)
+                quarantine=spark.read.parquet(p["quarantine"]), rows=rows,
+                parts=parts if any(parts.values()) else _whole_parts(tables, tagged, build_id))
+
+
+def _whole_parts(tables: dict[str, DataFrame], tagged: DataFrame, build_id: str) -> dict[str, dict[int, str]]:
+    """The parts of a full build: it holds every year itself."""
+    return _Years({"fact_ventas": lambda: tables["fact_ventas"].select("anio"),
+                   "staged_lines": lambda: tagged.select(year_of(F.col("invoice_date")).alias("anio"))}, build_id)
+
+
+class _Years(dict):
+    """Years per table, looked up when first asked for: only a refresh needs them."""
+
+    def __init__(self, tables: dict, build_id: str):
+        super().__init__()
+        self.tables, self.build_id = tables, build_id
+
+    def __missing__(self, table: str) -> dict[int, str]:
+        years = self.tables[table]().distinct().collect()          # one row a year
+        self[table] = {r["anio"]: self.build_id for r in years}
+        return self[table]
 
 
 def load(spark: SparkSession, base: str) -> Star | None:

@@ -41,7 +41,7 @@ def test_a_damaged_build_is_refused(spark, star, scratch):
 
 def test_changed_input_is_built_anew(spark, tmp_path):
     for t in SOURCE_TABLES:
-        shutil.copy(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+        shutil.copyfile(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
     before = warehouse.star_dir(spark, str(tmp_path))
     assert before == warehouse.star_dir(spark, str(tmp_path))
     n = warehouse.star(spark, str(tmp_path)).rows["fact_ventas"]
