@@ -2,20 +2,25 @@
 
 A page is read into its text nodes, each with the path of tags from the root.
 Per path, the text length and punctuation per node are aggregated; the two
-ratios are smoothed over the nodes in page order and fused into one score per
-path; paths that reach a share of the page's deviation are content paths. An
-article or main element around most of their text is the article, with any
-other that holds some; else all parts with content-path text are, from the
-smallest element around all of them, with the headings between. Their blocks
-in page order are the text. Elements that name themselves as menus, headers,
-footers, sidebars, notices, adverts, forms or comments neither vote nor appear;
-a class or id does not count where it only describes a layout, nor on an element
-around the only article or main elements or, without any, half of the text.
-
-Defined cases: null or empty html and pages without a content path give an
-empty text; unclosed and stray tags are repaired as browsers do for blocks;
-very long pages are read whole; an empty table gives an empty result; other
-columns are ignored.
+ratios are smoothed over the nodes in page order, fused into one score per path
+and weighted: paths through elements that announce something else (menus, footers,
+forms; names such as ``sidebar``) count less, those through article or main
+elements more. A path of at least half of the best score is a content path, one above a share of
+the page's deviation a secondary one. Weights are relative: a name on an element around everything
+changes nothing.
+
+The smallest block around all text on content paths is the article, widened to
+the article or main element around it, or else while all that is added is a
+heading or on secondary paths. In a block that holds content itself everything
+stays but elements of navigation, forms and the like without content; where content lies in
+several parts, the parts stay. Nothing is removed by a class or an id inside the
+article. The blocks that remain, in page order, are the text.
+
+Defined cases: null or empty html and pages without text give an empty text;
+unclosed and stray tags are repaired as browsers do for blocks; an attribute's quotes open only after
+its equals sign; character references are decoded per text node; very long and
+very deep pages take time in proportion to their length; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-                   r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-ATTRS = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(hidden)\b")
+                   r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)"
+                   r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?)*+)>|[^<]+|<", re.S)
+LOOSE = re.compile("<(?:(/)(x))??")
+ATTRS = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*))|(?<=\s)(hidden)(?=[\s/]|\Z)")
 SPACE = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؛؟।]")
 # Fixed values of the HTML standard: raw-text, void and block elements, and what an opening tag closes.
@@ -43,10 +50,15 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "br", "caption", "
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
              "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"table", "ul", "ol", "dl", "select", "body", "html", "article", "main", "section", "div", "aside", "nav"}
+PARAGRAPH_SCOPE = SCOPE | {"td", "th", "li", "blockquote"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
+#: Blocks that hold a run of text rather than an article.
+RUNS = {"p", "li", "td", "th", "tr", "tbody", "thead", "table", "pre", "blockquote", "ul", "ol", "dl", "dt", "dd", *HEADINGS}
+# Elements whose content is not shown as text.
+UNSEEN = {"script", "style", "noscript", "template", "svg", "math", "canvas", "object", "audio", "video", "head",
+          "title", "iframe", "noembed", "noframes", "xmp", "select", "textarea", "button"}
 # Elements, roles and name parts that announce something other than the article.
-ASIDE_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "textarea", "noscript",
-              "template", "svg", "math", "canvas", "object", "audio", "video", "script", "style", "head", "title",
-              "iframe", "noembed", "noframes", "xmp"}
+ASIDE_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog"}
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert",
                "menu", "menubar", "form"}
 ASIDE_NAMES = re.compile(
@@ -55,113 +67,97 @@ ASIDE_NAMES = re.compile(
     r"|comments?|commentlist|disqus|replies|responses|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay"
     r"|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|pagination|pager"
     r"|copyright|legal|disclaimer|toolbar|skip)(?:$|[\s_-])", re.I)
-LAYOUT_NAMES = re.compile(r"(?:^|(?<=\s))(?:(?:has|have|with|without|no|not)[-_]\S*|\S*side-by-side\S*)", re.I)
-RADIUS, SHARE, HOLD = 2, 0.25, 0.7
-HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
-
-
-class Node:
-    __slots__ = ("tag", "parent", "path", "aside", "named", "block", "depth")
-
-    def __init__(self, tag, parent, path, aside, block, named=False):
-        self.tag, self.parent, self.path, self.aside, self.block = tag, parent, path, aside, block
-        self.named = named
-        self.depth = parent.depth + 1 if parent else 0
-
-
-def _is_aside(tag: str, attrs: str, parent: Node) -> bool:
-    if tag in ASIDE_TAGS or tag == "header" and not _inside(parent, ("article", "main")):
-        return True
-    if tag in ("html", "body", "article", "main") or not attrs:
-        return False
-    for name, a, b, c, hidden in ATTRS.findall(attrs):
-        value = (a or b or c).strip()
-        name = name.lower()
-        if hidden or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ASIDE_ROLES:
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
-
-
-def _is_named_aside(tag: str, attrs: str) -> bool:
-    """A class or id says so; unlike what ``_is_aside`` knows, this can be wrong."""
-    if tag in ("html", "body", "article", "main") or not attrs:
-        return False
-    return any(name.lower() in ("class", "id") and ASIDE_NAMES.search(LAYOUT_NAMES.sub(" ", (a or b or c).strip()))
-               for name, a, b, c, _ in ATTRS.findall(attrs))
-
-
-def _inside(node: Node | None, tags) -> bool:
-    while node:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
-
-
-def text_nodes(page: str) -> list[tuple[Node, str, int]]:
-    """``(element, raw text, block number)`` of every text node, in page order."""
-    root = at = Node("", None, "", False, 0)
-    out, blocks, pos = [], 0, 0
-    while m := TOKEN.match(page, pos):
-        pos = m.end()
-        tag = m[2]
-        if tag is None:
-            if m[0][0] != "<" or m[0] == "<":
-                out.append((at, m[0], blocks))
-            elif m[0].startswith("<![CDATA["):
-                out.append((at, m[0][9:-3], blocks))
-            continue
-        tag = tag.lower()
-        if tag in BLOCK:
-            blocks += 1
-        if m[1]:
-            node = at
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                at = node.parent
-            continue
-        if tag in VOID:
-            continue
-        if tag in BLOCK and _open_paragraph(at):
-            at = _open_paragraph(at).parent
-        if tag in CLOSED_BY:
-            node = at
-            while node.parent and node.tag not in CLOSED_BY[tag] and node.tag not in SCOPE:
-                node = node.parent
-            if node.tag in CLOSED_BY[tag]:
-                at = node.parent
-        if tag == "body":
-            at = _closed_head(at, root)
-        aside = at.aside or _is_aside(tag, m[3], at)
-        if m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
-            continue
-        node = Node(tag, at, f"{at.path}/{tag}", aside, blocks, _is_named_aside(tag, m[3]))
-        if tag in RAW:
-            end = re.compile(f"</{tag}[^>]*>", re.I).search(page, pos)
-            pos = end.end() if end else len(page)
-            continue
-        at = node
-    return out
-
-
-def _open_paragraph(node: Node) -> Node | None:
-    while node.parent and node.tag not in SCOPE and node.tag not in ("td", "th", "li", "blockquote"):
-        if node.tag == "p":
-            return node
-        node = node.parent
-    return None
-
-
-def _closed_head(node: Node, root: Node) -> Node:
-    up = node
-    while up.parent:
-        if up.tag == "head":
-            return up.parent
-        up = up.parent
-    return node
+#: What such an element, such a name, and an article or main element weigh.
+ASIDE_WEIGHT, NAME_WEIGHT, ARTICLE_WEIGHT = 0.1, 0.3, 2.0
+RADIUS, SHARE, STRONG = 2, 0.25, 0.5
+
+
+class Page:
+    """Elements as parallel lists (a parent comes before its children) and text nodes ``(element, text, block)``."""
+
+    def __init__(self, page: str):
+        self.tag, self.parent, self.path, self.weight, self.aside, self.unseen = [""], [-1], [0], [1.0], [False], [False]
+        self.in_article = [False]
+        self.texts: list[tuple[int, str, int]] = []
+        self.paths: dict[tuple[int, str, float], int] = {}
+        self._read(page)
+
+    def _open(self, tag: str, attrs: str, at: int) -> int:
+        aside, named, unseen = tag in ASIDE_TAGS or tag == "header" and not self.in_article[at], False, tag in UNSEEN
+        for name, a, b, c, hidden in ATTRS.findall(attrs) if attrs and tag not in ("html", "body") else ():
+            value, name = (a or b or c).strip(), name.lower()
+            if hidden or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+                unseen = True
+            elif name == "role" and value.lower() in ASIDE_ROLES:
+                aside = True
+            elif name in ("class", "id") and ASIDE_NAMES.search(value):
+                named = True
+        article = tag in ("article", "main")
+        factor = (ASIDE_WEIGHT if aside else 1.0) * (NAME_WEIGHT if named else 1.0)
+        if article and not self.in_article[at]:
+            factor *= ARTICLE_WEIGHT
+        key = (self.path[at], tag, factor)
+        self.path.append(self.paths.setdefault(key, len(self.paths) + 1))
+        self.tag.append(tag)
+        self.parent.append(at)
+        self.weight.append(self.weight[at] * factor)
+        self.aside.append(aside)
+        self.unseen.append(unseen or self.unseen[at])
+        self.in_article.append(article or self.in_article[at])
+        return len(self.tag) - 1
+
+    def _read(self, page: str) -> None:
+        stack, opened = [0], defaultdict(int)
+        blocks = pos = 0
+
+        def close(tags, stop=frozenset()) -> None:
+            """Close the nearest open element of ``tags`` and all in it, unless one of ``stop`` is nearer."""
+            if not any(opened[t] for t in tags):
+                return
+            i = len(stack) - 1
+            while self.tag[stack[i]] not in tags:
+                if self.tag[stack[i]] in stop:
+                    return
+                i -= 1
+            for e in stack[i:]:
+                opened[self.tag[e]] -= 1
+            del stack[i:]
+
+        last = page.rfind(">")
+        while pos < len(page):
+            # After the last ">" no tag ends, so none is looked for.
+            m = TOKEN.match(page, pos) if pos < last or page[pos] != "<" or page.startswith("<!", pos) else LOOSE.match(page, pos)
+            pos = m.end()
+            tag = m[2]
+            if tag is None:
+                if m[0][0] != "<" or m[0] == "<":
+                    self.texts.append((stack[-1], m[0], blocks))
+                elif m[0].startswith("<![CDATA["):
+                    self.texts.append((stack[-1], entities.escape(m[0][9:-3]), blocks))
+                continue
+            tag = tag.lower()
+            if tag in BLOCK:
+                blocks += 1
+            if m[1]:
+                close({tag})
+                continue
+            if tag in VOID:
+                continue
+            if tag in BLOCK:
+                close({"p"}, PARAGRAPH_SCOPE)
+            if tag in CLOSED_BY:
+                close(CLOSED_BY[tag], SCOPE)
+            if tag == "body":
+                close({"head"})
+            if m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
+                continue
+            e = self._open(tag, m[3], stack[-1])
+            if tag in RAW:
+                end = re.compile(f"</{tag}[^>]*>", re.I).search(page, pos)
+                pos = end.end() if end else len(page)
+                continue
+            stack.append(e)
+            opened[tag] += 1
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -170,117 +166,88 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(x, k)[RADIUS:-RADIUS] / np.convolve(np.ones(len(x)), k)[RADIUS:-RADIUS]
 
 
-def content_paths(paths: list[str], lengths: np.ndarray, marks: np.ndarray) -> set[str]:
-    """Paths whose smoothed, fused text and punctuation ratios reach the threshold."""
+def path_scores(paths: list[int], lengths: list[int], marks: list[int], weights: list[float]) -> tuple[dict[int, float], float]:
+    """Per path its smoothed, fused and weighted text and punctuation ratio, and the least score of a secondary path."""
     text, punct, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for p, n, c in zip(paths, lengths.tolist(), marks.tolist()):
+    for p, n, c in zip(paths, lengths, marks):
         text[p] += n
         punct[p] += c
         count[p] += 1
     tpr = _smooth(np.array([text[p] / count[p] for p in paths]))
     ppr = _smooth(np.array([punct[p] / count[p] for p in paths]))
-    fused = tpr / max(tpr.max(), 1e-9) * (0.5 + ppr / max(ppr.max(), 1e-9))
+    fused = tpr / max(tpr.max(), 1e-9) * (0.5 + ppr / max(ppr.max(), 1e-9)) * np.array(weights)
     score = defaultdict(float)
     for p, f in zip(paths, fused.tolist()):
         score[p] += f / count[p]
-    limit = min(SHARE * fused.std() + 0.1 * fused.max(), fused.max())
-    return {p for p in score if score[p] >= limit}
-
-
-def _without_asides(nodes: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
-    """The nodes outside asides. Names of elements around all article or main elements (or, if
-    the page has none, around half of its text) do not count, from the outermost on."""
-    nodes = [x for x in nodes if not x[0].aside]
-    memo: dict[int, tuple[list[Node], bool]] = {}
+    return score, SHARE * float(fused.std()) + 0.1 * max(score.values())
 
-    def around(n: Node | None) -> tuple[list[Node], bool]:
-        chain = []
-        while n is not None and id(n) not in memo:
-            chain.append(n)
-            n = n.parent
-        for x in reversed(chain):
-            named, inside = memo[id(x.parent)] if x.parent else ([], False)
-            memo[id(x)] = ([*named, x] if x.named else named, inside or x.tag in ("article", "main"))
-            n = x
-        return memo[id(n)]
-    found = [(*around(n), len(t.strip())) for n, t, _ in nodes]
-    marked = any(inside and size for _, inside, size in found)
-    votes = [(named, size) for named, inside, size in found if size and (inside or not marked)]
-    total, excused = sum(size for _, size in votes), set()
-    while votes:
-        held: dict[int, int] = defaultdict(int)
-        free = 0
-        for named, size in votes:
-            outer = next((id(x) for x in named if id(x) not in excused), None)
-            if outer is None:
-                free += size
-            else:
-                held[outer] += size
-        if not held or marked and free:
-            break
-        outer = max(held, key=held.get)
-        if not marked and 2 * held[outer] < total:
-            break
-        excused.add(outer)
-    return [x for x, (named, _, _) in zip(nodes, found) if all(id(n) in excused for n in named)]
 
-
-def _up(node: Node | None, tags) -> Node | None:
-    while node and node.tag not in tags:
-        node = node.parent
-    return node
+def content_paths(paths: list[int], lengths: list[int], marks: list[int], weights: list[float]) -> tuple[set[int], set[int]]:
+    """Content paths, and these with the secondary ones."""
+    score, limit = path_scores(paths, lengths, marks, weights)
+    best = max(score.values())
+    strong = {p for p, s in score.items() if s >= STRONG * best}
+    return strong, strong | {p for p, s in score.items() if s >= limit}
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    nodes = _without_asides(text_nodes(page))
-    seen = [(n, len(s), len(PUNCTUATION.findall(s))) for n, t, _ in nodes if (s := t.strip())]
+    doc = Page(page)
+    texts = [(e, entities.unescape(t), b) for e, t, b in doc.texts if not doc.unseen[e]]
+    seen = [(e, s) for e, t, _ in texts if (s := t.strip())]
     if not seen:
         return ""
-    keep = content_paths([n.path for n, _, _ in seen], np.array([x for _, x, _ in seen], float),
-                         np.array([x for _, _, x in seen], float))
-    held: dict[int, list] = {}
-    total = 0
-    for n, size, _ in seen:
-        if n.path in keep:
-            total += size
-            while n:
-                held.setdefault(id(n), [n, 0])[1] += size
-                n = n.parent
-
-    def smallest(share: float) -> Node:
-        node = max((x for x in held.values() if x[1] >= share * total), key=lambda x: (x[0].depth, x[1]))[0]
-        while node.parent and node.tag not in BLOCK:
-            node = node.parent
-        return node
-    whole, most = smallest(1), smallest(HOLD)
-    marks = ("article", "main")
-    parts = set()
-    if around := _up(whole, marks):
-        parts.add(id(around))
-    elif _up(most, marks):
-        parts = {id(mark) for n, _ in held.values() if (mark := _up(n, marks))}
+    strong, weak = content_paths([doc.path[e] for e, _ in seen], [len(s) for _, s in seen],
+                                 [len(PUNCTUATION.findall(s)) for _, s in seen], [doc.weight[e] for e, _ in seen])
+    n = len(doc.tag)
+    top = [t in ("", "html", "body") for t in doc.tag]
+    # Per element: whether a heading is around it, the block that is no mere run of text around it, the text in it on
+    # content paths, and the text nodes in it that speak against its being content.
+    heading, holder, content, against = [False] * n, [0] * n, [0] * n, [0] * n
+    direct = [False] * n
+    for e in range(1, n):
+        heading[e] = doc.tag[e] in HEADINGS or heading[doc.parent[e]]
+        holder[e] = e if doc.tag[e] in BLOCK and doc.tag[e] not in RUNS else holder[doc.parent[e]]
+    weight = max(doc.weight[e] for e, _ in seen if doc.path[e] in strong)
+    for e, s in seen:
+        if doc.path[e] in strong:
+            content[e] += len(s)
+            direct[holder[e]] = True
+        elif doc.weight[e] < weight / 2 or doc.path[e] not in weak and not heading[e]:
+            against[e] += 1
+    for e in range(n - 1, 0, -1):
+        content[doc.parent[e]] += content[e]
+        against[doc.parent[e]] += against[e]
+
+    # The smallest block around all content; then the article or main element around it, or wider while nothing speaks against it.
+    whole = holder[max(e for e in range(n) if content[e] == content[0])]
+    up = whole
+    while up and doc.tag[up] not in ("article", "main"):
+        up = doc.parent[up]
+    if up:
+        whole = up
     else:
-        if most.tag in ("p", "li", "td", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote") and most.parent:
-            most = most.parent
-        if most.depth <= whole.depth:
-            parts.add(id(most))
-        else:
-            parts.add(id(most))
-            for n, _, _ in nodes:
-                while n.parent and n.parent is not whole:
-                    n = n.parent
-                if n.parent is whole and (id(n) in held or n.tag in HEADINGS):
-                    parts.add(id(n))
+        while not top[whole] and not top[up := doc.parent[whole]] and against[up] == against[whole]:
+            whole = up
+
+    # In a block that holds content itself, or an article, all stays but navigation and the like. Where the content lies
+    # in several parts, the parts stay, and what is between them if nothing speaks against it.
+    kept, free = [False] * n, [False] * n
+    kept[whole] = True
+    for e in range(whole, n):
+        up = doc.parent[e]
+        if e > whole:
+            if not kept[up]:
+                continue
+            away = doc.aside[e] or not free[up] and against[e] and not heading[e]
+            kept[e] = bool(content[e] or not away)
+        free[e] = e > whole and free[up] or not top[e] and direct[e] or doc.tag[e] in ("article", "main")
     blocks: dict[int, list[str]] = {}
-    for n, t, b in nodes:
-        own, up = n, n
-        while up is not None and id(up) not in parts:
-            up = up.parent
-        if up is not None or own is whole and own.path in keep and not _up(own, marks) and not _up(most, marks):
+    for e, t, b in texts:
+        if kept[e] and (free[e] or heading[e] or doc.path[e] in weak or not t.strip()):
             blocks.setdefault(b, []).append(t)
-    clean = (SPACE.sub(" ", entities.unescape("".join(parts))).strip() for parts in blocks.values())
+    clean = (SPACE.sub(" ", "".join(parts)).strip() for parts in blocks.values())
     return " ".join(c for c in clean if c)
 
 

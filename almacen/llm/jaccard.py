@@ -51,12 +51,12 @@ from pyspark.sql import functions as F
 from .common import components, id_filter, maybe_in, staged
 
 N, PERCENT = 3, 90
-SEEN = 1 << 18
+SEEN = 1 << 15
 TILE_DOCS, TILE_HASHES = 512, 1 << 20
 #: The least bitmap has two to this power of bits.
 BITS = 10
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-MEMO = 400_000
+MEMO = 100_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:

@@ -71,3 +71,78 @@ def test_layout_names_and_wrappers_do_not_remove_the_article():
             if inner == "div":
                 page = page.replace("<article>", "").replace("</article>", "")
             assert html_text.main_text(page) == f"{squeezed} Two, {squeezed}", (attrs, inner)
+
+
+def _neutral(page):
+    """The page without a tag, class or id that tells what is what."""
+    page = re.sub(r"<(/?)(?:article|nav|footer|main|aside|header|form)\b", r"<\1div", page)
+    return re.sub(r'(<div[^>]*?) (?:class|id)="[^"]*"', r"\1", page)
+
+
+def _article(page):
+    import html as entities
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    return " ".join(entities.unescape(re.sub(r"<[^>]*>", "\n", inner)).split())
+
+
+def test_ratios_decide_without_tags_or_names(spark, monkeypatch):
+    pages = [r["html"] for r in table(spark, SF01, "pages").collect()]
+    renamed = [re.sub(r"<(/?)article\b", r"<\1div", p) for p in pages]
+    assert all(html_text.main_text(p) == _article(q) for p, q in zip(renamed, pages))
+    # All alike divs: pages whose article is one short run of text cannot be told from their advert.
+    right = sum(html_text.main_text(_neutral(p)) == _article(p) for p in pages)
+    assert right >= 0.85 * len(pages)
+    monkeypatch.setattr(html_text, "content_paths", lambda paths, *a: (set(paths), set(paths)))
+    assert not any(html_text.main_text(_neutral(p)) == _article(p) for p in pages)
+    assert not any(html_text.main_text(p) == _article(p) for p in pages)
+
+
+def test_path_scores_equal_a_plain_version():
+    import math
+    import random
+    rnd = random.Random(4)
+    for n in (1, 2, 5, 60):
+        paths = [rnd.randrange(6) for _ in range(n)]
+        lengths, marks = [rnd.randrange(1, 400) for _ in paths], [rnd.randrange(9) for _ in paths]
+        weight = {p: rnd.choice([0.1, 0.3, 1.0, 2.0]) for p in paths}
+
+        def ratio(values):
+            mean = {p: sum(v for q, v in zip(paths, values) if q == p) / paths.count(p) for p in paths}
+            out = []
+            for i in range(n):
+                near = [(math.exp(-0.5 * k * k), mean[paths[i + k]]) for k in range(-2, 3) if 0 <= i + k < n]
+                out.append(sum(w * x for w, x in near) / sum(w for w, _ in near))
+            return out
+        t, p = ratio(lengths), ratio(marks)
+        fused = [a / max(t) * (0.5 + b / max(max(p), 1e-9)) * weight[q] for a, b, q in zip(t, p, paths)]
+        want = {q: sum(f for f, r in zip(fused, paths) if r == q) / paths.count(q) for q in paths}
+        mean = sum(fused) / n
+        limit = 0.25 * math.sqrt(sum((f - mean) ** 2 for f in fused) / n) + 0.1 * max(want.values())
+        score, least = html_text.path_scores(paths, lengths, marks, [weight[q] for q in paths])
+        assert all(abs(score[q] - want[q]) < 1e-9 for q in want) and abs(least - limit) < 1e-9
+
+
+def test_names_inside_the_article_remove_nothing():
+    squeezed = " ".join(PARA.split())
+    for mark in ("class='side-effects'", "class='social-history'", "id='legal'", "id='menus'", "title=it's", "class=comments"):
+        for tag in ("p", "section"):
+            page = f"<body><nav><a>m</a></nav><article><h1>H</h1><p>{PARA}</p><{tag} {mark}>First {PARA} isn't lost.</{tag}>" \
+                   f"<p>Last, {PARA}</p></article><footer>f</footer>"
+            assert html_text.main_text(page) == f"H {squeezed} First {squeezed} isn't lost. Last, {squeezed}", (mark, tag)
+
+
+def test_references_and_attributes():
+    page = f"<article><p>{PARA} &<b>lt;</b> a &lt; b &amp;lt; <img alt='a > b'> x<a href=a'b>y</a> <i title=\"it's > it\">z</i></p></article>"
+    assert html_text.main_text(page) == " ".join(f"{PARA} &lt; a < b &lt; xy z".split())
+    page = f"<body><div hidden>no, {PARA}</div><div style='display: none'>no, {PARA}</div><p>yes, {PARA}</p></body>"
+    assert html_text.main_text(page) == " ".join(f"yes, {PARA}".split())
+
+
+def test_long_and_deep_pages_take_time_in_proportion():
+    import time
+    pages = ["<div class=ad>" * 60_000 + f"<p>{PARA}</p>", "<b>" * 60_000 + "<p>x</i>" * 60_000, "<p a='" * 60_000,
+             "<ul><li>" + "<b>" * 30_000 + "t, " + "<li>" * 30_000, "<div><p>word, word.</div>" * 30_000, "<a =\"" * 60_000]
+    for page in pages:
+        began = time.time()
+        html_text.main_text(page)
+        assert time.time() - began < 10, page[:20]
