@@ -51,6 +51,44 @@ def test_seed_decides_and_buckets_are_shuffled(spark):
     assert 0.42 < rising / len(order) < 0.58
 
 
+def test_the_permutation_is_spark_shuffle_of_sorted_buckets(spark):
+    """Recomputed on the driver: buckets by hash, in key order, permuted by Spark's seeded shuffle, one after another."""
+    from pyspark.sql import functions as F
+    docs = spark.range(500).selectExpr("id as doc_id", "concat('t', id % 90) as text")
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.external_shuffle(docs, seed=5, bucket_rows=60).collect()}
+    n = -(-500 // 60)
+    at = docs.select("doc_id", F.pmod(F.xxhash64(F.lit(5), "doc_id", F.xxhash64("text"), F.lit(-1).cast("long")), F.lit(n)).alias("b"))
+    buckets = defaultdict(list)
+    for r in at.collect():
+        buckets[r["b"]].append(r["doc_id"])
+    order = [x for b in sorted(buckets) for x in sorted(buckets[b])]
+    assert sorted(order) == list(range(500))
+    places = {d: 16 * slot + shard for d, (shard, slot) in got.items()}
+    done = 0
+    for b in sorted(buckets):
+        size = len(buckets[b])
+        assert {places[d] for d in buckets[b]} == set(range(done, done + size))
+        done += size
+
+
+def test_a_hot_key_is_parted(spark):
+    from pyspark.sql import functions as F
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"),
+                                    F.when(F.col("id") % 3 == 1, F.lit("same")).otherwise(F.lit(None)).alias("text"))
+    out = sharding.external_shuffle(docs, bucket_rows=100)
+    _places(out)
+    assert Counter(tuple(r) for r in out.select("doc_id", "text").collect()) == Counter(tuple(r) for r in docs.collect())
+    # The two null-keyed thousands do not stand together: the shuffled sequence mixes them with the others.
+    order = [r["doc_id"] is None for r in out.orderBy("slot", "shard").collect()]
+    runs = sum(a != b for a, b in zip(order, order[1:]))
+    assert runs > 800
+
+
+def test_partitions_at_scale():
+    assert sharding.partitions(100 * 10**12 // sharding.BUCKET_BYTES, 100 * 10**12, 100_000) < 500_000
+    assert sharding.partitions(126, 500 << 20, 51) == 32 and sharding.partitions(1, 0, 8) == 1
+
+
 def test_write_shards(spark, tmp_path):
     docs = table(spark, SF01, "documents")
     sharding.write_shards(docs, str(tmp_path / "shards"))
