@@ -25,15 +25,17 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 DIM = 1 << 15
-PER_LANGUAGE = 1500
+#: Documents of the sample: of one language, and in all, however many languages there are.
+PER_LANGUAGE, IN_ALL = 1500, 60_000
 ALPHA, BETA, L1, L2, EPOCHS = 0.8, 1.0, 0.02, 0.02, 3
 OTHER = re.compile(r"[\W\d_]+")
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -134,6 +136,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
+    per_language = min(per_language, max(1, IN_ALL // len(counts)))
     keep = F.lit(False)
     for lang, n in counts.items():
         keep = keep | ((F.col("lang") == lang) & (F.col("draw") < int(min(1.0, per_language / n) * (1 << 30))))

@@ -54,3 +54,9 @@ def test_rejecting_without_labels_keeps_every_text_with_a_letter(odd):
     kept = [tuple(r) for r in language.reject_unknown(unlabelled).select("doc_id", "text").collect()]
     want = [tuple(r) for r in odd.select("doc_id", "text").collect() if any(c.isalpha() for c in r["text"] or "")]
     assert sorted(kept, key=repr) == sorted(want, key=repr) and len(want) > 10
+
+
+def test_letterless_signs_are_no_language():
+    model = {"names": ["xx"], "idf": None, "w": None, "b": None, "t": 1.0}
+    for text in ("½ ²", "① Ⅷ", "12 + 3", "", None, "_ - ."):
+        assert language.predict(model, text) == ("und", 0.0)
