@@ -6,13 +6,20 @@ into new layers until nothing new appears; a digest per layer stops cycles.
 A base64 run is read at its four phases, so that what is written before the
 blob does not matter, and over line breaks; compressed contents are found at
 any place of the decoded bytes, member after member, and read up to a damage;
-bytes that are not UTF-8 are read one character each.
+bytes that are not UTF-8 are read one character each, and as UTF-16 where every
+second byte is null.
 Every character of a layer knows the span of the original text it comes
-from, so a secret found in any layer is reported by its place in the text.
+from, so a secret found in any layer is reported by its place in the text; all
+of a blob's content has the blob's span, which is kept once.
 
-Defined cases: a null text is empty and has no span; whole texts are scanned;
-a layer that would unwrap to more than ``max_layer_bytes`` is not unwrapped
-but its blob is reported as an ``opaque`` span, never passed over silently;
+Layers are unwrapped one inside another, the next one only when the last is
+done, and compressed contents come as a stream in windows of ``WINDOW`` bytes that
+overlap by ``OVERLAP``, so memory does not depend on how much a blob unwraps to.
+
+Defined cases: a null text is empty and has no span; whole texts are scanned,
+and whole contents. What is compressed inside a compressed content is read from a window; if
+one that takes more than ``OVERLAP`` bytes runs over a window's end, the rest of it is
+not read and its blob is reported as an ``opaque`` span, never passed over silently;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -24,7 +31,7 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,7 +55,7 @@ MAGIC = r"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7
 MAGIC, MAGIC_BYTES = re.compile(MAGIC), re.compile(MAGIC.encode("latin-1"))
 BYTES = re.compile(r"[\x00-\xff]+")
 CHUNK = 256
-MAX_LAYER_BYTES = 64 << 20
+WINDOW, OVERLAP, PIECE = 8 << 20, 1 << 20, 1 << 20
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -64,40 +71,48 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A text and, per character, the span of the original it stems from (None: itself)."""
+    """A text and the span of the original it stems from: per character, one for all of it, or (None) itself."""
 
     def __init__(self, text: str, starts=None, ends=None):
         self.text, self.starts, self.ends = text, starts, ends
 
     def span(self, start: int, end: int) -> tuple[int, int]:
-        return (start, end) if self.starts is None else (self.starts[start], max(self.ends[start:end]))
+        if self.starts is None:
+            return start, end
+        if isinstance(self.starts, int):
+            return self.starts, self.ends
+        return self.starts[start], max(self.ends[start:end])
 
     def replaced(self, pattern: re.Pattern, decode) -> "Layer | None":
         """This layer with each match decoded; None if nothing was."""
-        pieces, starts, ends, at = [], [], [], 0
+        whole = isinstance(self.starts, int)
+        pieces, starts, ends, at = [], array("q"), array("q"), 0
 
         def keep(a, b):
             pieces.append(self.text[a:b])
-            starts.extend(range(a, b) if self.starts is None else self.starts[a:b])
-            ends.extend(range(a + 1, b + 1) if self.ends is None else self.ends[a:b])
+            if not whole:
+                starts.extend(range(a, b) if self.starts is None else self.starts[a:b])
+                ends.extend(range(a + 1, b + 1) if self.ends is None else self.ends[a:b])
         for m in pattern.finditer(self.text):
             plain = decode(m)
             if plain is None:
                 continue
             keep(at, m.start())
+            pieces.append(plain)
+            at = m.end()
+            if whole:
+                continue
             s, e = self.span(m.start(), m.end())
             if len(plain) * 3 == m.end() - m.start() and self.starts is None and plain.isascii():
                 starts.extend(range(s, e, 3))
                 ends.extend(range(s + 3, e + 1, 3))
             else:
-                starts.extend([s] * len(plain))
-                ends.extend([e] * len(plain))
-            pieces.append(plain)
-            at = m.end()
+                starts.extend(array("q", [s]) * len(plain))
+                ends.extend(array("q", [e]) * len(plain))
         if not pieces:
             return None
         keep(at, len(self.text))
-        return Layer("".join(pieces), starts, ends)
+        return Layer("".join(pieces), self.starts, self.ends) if whole else Layer("".join(pieces), starts, ends)
 
 
 def _percent(m: re.Match) -> str:
@@ -119,10 +134,28 @@ def _byte(m: re.Match) -> str | None:
 def _text(data: bytes) -> str:
     try:
         return data.decode("utf-8")
-    except UnicodeDecodeError:
+    except UnicodeDecodeError as e:
+        # A window may begin or end within a character.
+        cut = data[next((i for i in range(min(4, len(data))) if data[i] & 0xC0 != 0x80), 0):]
+        if e.reason == "unexpected end of data" or len(cut) < len(data):
+            for end in range(len(cut), max(len(cut) - 4, 0), -1):
+                try:
+                    return cut[:end].decode("utf-8")
+                except UnicodeDecodeError:
+                    pass
         return data.decode("latin-1")
 
 
+def _texts(data: bytes):
+    """``data`` as text, and as UTF-16 if a quarter or more of every second byte is null or a mark says so."""
+    yield _text(data)
+    half = max(1, len(data) // 2)
+    if data[:2] == b"\xff\xfe" or 4 * data[1::2].count(0) >= half:
+        yield data[:len(data) // 2 * 2].decode("utf-16-le", "replace")
+    if data[:2] == b"\xfe\xff" or 4 * data[::2].count(0) >= half:
+        yield data[:len(data) // 2 * 2].decode("utf-16-be", "replace")
+
+
 def _tool(data):
     if data[:2] == b"\x1f\x8b":
         return zlib.decompressobj(31)
@@ -135,73 +168,80 @@ def _tool(data):
     return None
 
 
-def _inflate(data, limit: int) -> tuple[bytes, int]:
-    """The contents of the compressed members at the start of ``data``, up to its end or a damage,
-    and how many bytes they take; OverflowError if too large."""
+def _pieces(data):
+    """The contents of the compressed members at the start of ``data`` in pieces, up to its end or a damage.
+    Returns how many bytes they take, and whether ``data`` ended within a member."""
     import zstandard
-    data, out, size, at = memoryview(data), [], 0, 0
-    while at < len(data):
-        start, grown, room = at, size, True
-        if data[at:at + 4] == b"\x28\xb5\x2f\xfd":
-            tool, room = _bounded_zstd(data[at:], limit - size), False
-        elif not (tool := _tool(bytes(data[at:at + 8]))):
+    view, at = memoryview(data), 0
+    while at < len(view):
+        if bytes(view[at:at + 4]) == b"\x28\xb5\x2f\xfd":
+            tool, bounded = zstandard.ZstdDecompressor().decompressobj(), False     # a few MB for ``CHUNK`` bytes at most
+        elif tool := _tool(bytes(view[at:at + 8])):
+            bounded = True
+        else:
             break
+        start, some = at, False
         try:
-            while at < len(data) and not tool.eof:
-                part, at = data[at:at + CHUNK], min(at + CHUNK, len(data))
+            while at < len(view) and not tool.eof:
+                part, at = view[at:at + CHUNK], min(at + CHUNK, len(view))
                 while True:
-                    piece = tool.decompress(part, limit + 1 - size) if room else tool.decompress(part)
-                    out.append(piece)
-                    size += len(piece)
-                    if size > limit:
-                        raise OverflowError
+                    piece = tool.decompress(part, PIECE) if bounded else tool.decompress(part)
+                    if piece:
+                        some = True
+                        yield piece
                     part = getattr(tool, "unconsumed_tail", b"")
                     if tool.eof or not (part or piece and not getattr(tool, "needs_input", True)):
                         break
         except (zlib.error, zstandard.ZstdError, OSError, lzma.LZMAError, EOFError, ValueError):
-            return b"".join(out), at if size > grown else start
-        if tool.eof:
-            at -= len(tool.unused_data)
-    return b"".join(out), at
-
-
-def _bounded_zstd(data, limit: int):
-    """An object for the frame at the start of ``data``, once it is known to stay below the limit: it has no bound itself."""
-    import zstandard
-    size = 0
-    try:
-        with zstandard.ZstdDecompressor().stream_reader(data) as r:
-            while piece := r.read(CHUNK << 8):
-                size += len(piece)
-                if size > limit:
-                    raise OverflowError
-    except zstandard.ZstdError:
-        pass
-    return zstandard.ZstdDecompressor().decompressobj()
-
-
-def _contents(data: bytes, limit: int):
-    """The text of ``data`` and of all that is compressed in it, at any place and depth; None for what is too large."""
-    work, seen = [data], set()
-    while work:
-        data = work.pop()
-        known = hashlib.sha256(data).digest()
-        if not data or known in seen:
+            return at if some else start, False
+        if not tool.eof:
+            return at, some
+        at -= len(tool.unused_data)
+    return at, False
+
+
+def _members(data: bytes, last: bool, base: int = 0):
+    """``(window, whether it is the last)`` of all that is compressed in ``data``; None if a member runs over its end,
+    ``data`` is not the last window and the next one does not hold the member whole. Returns where the members end."""
+    done, view = 0, memoryview(data)
+    for m in MAGIC_BYTES.finditer(data, base):
+        if m.start() < done:
             continue
-        seen.add(known)
-        yield _text(data)
-        done, view = 0, memoryview(data)
-        for m in MAGIC_BYTES.finditer(data):
-            if m.start() < done:
-                continue
+        pieces, window, any_ = _pieces(view[m.start():]), bytearray(), False
+        while True:
             try:
-                inner, used = _inflate(view[m.start():], limit)
-            except OverflowError:
-                yield None
-                continue
-            if inner:
-                work.append(inner)
-                done = m.start() + used
+                window += next(pieces)
+            except StopIteration as end:
+                used, cut = end.value
+                break
+            any_ = True
+            while len(window) > WINDOW:
+                yield bytes(window[:WINDOW]), False
+                del window[:WINDOW - OVERLAP]
+        if any_:
+            yield bytes(window), True
+            done = m.start() + used
+        if cut and not last and m.start() < len(data) - OVERLAP:
+            yield None
+
+
+def _contents(data: bytes):
+    """The texts of ``data`` and of all that is compressed in it, at any place and depth; None for what is cut."""
+    seen, open_ = set(), [iter([(data, True)])]
+    while open_:
+        one = next(open_[-1], StopIteration)
+        if one is StopIteration:
+            open_.pop()
+            continue
+        if one is None:
+            yield None
+            continue
+        known = hashlib.sha256(one[0]).digest()
+        if not one[0] or known in seen:
+            continue
+        seen.add(known)
+        yield from _texts(one[0])
+        open_.append(_members(*one))
 
 
 def _phases(run: str):
@@ -214,61 +254,82 @@ def _phases(run: str):
             yield base64.b64decode(part + "=" * (-len(part) % 4))
 
 
-def unwrap(layer: Layer, limit: int):
-    """The layers directly inside ``layer``; an int pair marks a blob too large to unwrap."""
+def unwrap(layer: Layer):
+    """The layers directly inside ``layer``; an int pair marks a blob that could not be read to its end."""
     text = layer.text
-    spelled_bytes = []
-    if "%" in text and (inner := layer.replaced(PERCENT, _percent)):
-        yield inner
-        spelled_bytes.append(layer.replaced(PERCENT, lambda m: bytes.fromhex(m[0].replace("%", "")).decode("latin-1")))
-    if ("\\" in text or "&#" in text) and (inner := layer.replaced(ESCAPE, _escape)):
-        yield inner
-        spelled_bytes.append(layer.replaced(BACKSLASH, _byte))
-    blobs = []
-    for raw in spelled_bytes:
+
+    def inside(s: int, e: int, contents):
+        for plain in contents:
+            yield (s, e) if plain is None else Layer(plain, s, e)
+
+    def inflated(raw: Layer):
+        """What is compressed in bytes that are spelled one character each; every run of them is encoded once."""
+        run, start, end = b"", 0, 0
         done = 0
         for m in MAGIC.finditer(raw.text):
             if m.start() < done:
                 continue
-            data = BYTES.match(raw.text, m.start())[0].encode("latin-1")
+            if m.start() >= end:
+                start, end = BYTES.match(raw.text, m.start()).span()
+                run = raw.text[start:end].encode("latin-1")
+            at = m.start() - start
+            # The span of the members is known when they are read, that of their run before.
+            probe = _pieces(memoryview(run)[at:])
             try:
-                plain, used = _inflate(data, limit)
-            except OverflowError:
-                yield raw.span(m.start(), m.start() + len(data))
+                while not next(probe):
+                    pass
+            except StopIteration:
                 continue
-            if plain:
-                done = m.start() + used
-                blobs.append((*raw.span(m.start(), done), plain))
-    runs = [(m.span(), m[0]) for m in BASE64.finditer(text)]
+            used = _used(probe)
+            done = m.start() + used
+            yield from inside(*raw.span(m.start(), done), _contents(run[at:at + used]))
+    if "%" in text and (inner := layer.replaced(PERCENT, _percent)):
+        yield inner
+        yield from inflated(layer.replaced(PERCENT, lambda m: bytes.fromhex(m[0].replace("%", "")).decode("latin-1")))
+    if ("\\" in text or "&#" in text) and (inner := layer.replaced(ESCAPE, _escape)):
+        yield inner
+        yield from inflated(layer.replaced(BACKSLASH, _byte))
+    for m in BASE64.finditer(text):
+        for data in _phases(m[0]):
+            yield from inside(*layer.span(*m.span()), _contents(data))
     if "\n" in text or "\r" in text or "\\n" in text:
-        runs += [(m.span(), run) for m in WRAPPED.finditer(text) if len(run := BREAK.sub("", m[0])) >= 16]
-    for at, run in runs:
-        blobs += [(*layer.span(*at), data) for data in _phases(run)]
-    for s, e, data in blobs:
-        for plain in _contents(data, limit):
-            yield (s, e) if plain is None else Layer(plain, [s] * len(plain), [e] * len(plain))
+        for m in WRAPPED.finditer(text):
+            if len(run := BREAK.sub("", m[0])) >= 16:
+                for data in _phases(run):
+                    yield from inside(*layer.span(*m.span()), _contents(data))
 
 
-def find_secrets(text: str, limit: int = MAX_LAYER_BYTES) -> tuple[list, list]:
+def _used(pieces) -> int:
+    """Read on to the end of the members: how many bytes they take."""
+    while True:
+        try:
+            next(pieces)
+        except StopIteration as end:
+            return end.value[0]
+
+
+def find_secrets(text: str) -> tuple[list, list]:
     """``(base spans, all spans)``, each sorted by start, kind and end."""
     base = sorted(scan(text))
     spans = set(base)
     # A layer is known by its content and place: equal blobs elsewhere are unwrapped again, a cycle is not.
-    seen, work = {(hashlib.sha256(text.encode()).digest(), 0, len(text))}, deque([Layer(text)])
-    while work:
-        layer = work.popleft()
-        for inner in unwrap(layer, limit):
-            if isinstance(inner, tuple):
-                spans.add((inner[0], 3, inner[1]))
-                continue
-            known = (hashlib.sha256(inner.text.encode()).digest(), *inner.span(0, len(inner.text)))
-            if known in seen:
-                continue
-            seen.add(known)
-            work.append(inner)
-            for start, kind, end in scan(inner.text):
-                s, e = inner.span(start, end)
-                spans.add((s, kind, e))
+    seen, open_ = {(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), 0, len(text))}, [unwrap(Layer(text))]
+    while open_:
+        inner = next(open_[-1], None)
+        if inner is None:
+            open_.pop()
+            continue
+        if isinstance(inner, tuple):
+            spans.add((inner[0], 3, inner[1]))
+            continue
+        known = (hashlib.sha256(inner.text.encode("utf-8", "surrogatepass")).digest(), *inner.span(0, len(inner.text)))
+        if known in seen or not inner.text:
+            continue
+        seen.add(known)
+        for start, kind, end in scan(inner.text):
+            s, e = inner.span(start, end)
+            spans.add((s, kind, e))
+        open_.append(unwrap(inner))
     return base, sorted(spans)
 
 
@@ -276,11 +337,11 @@ def spelled(spans: list) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def _scanned(batches, limit: int):
+def _scanned(batches):
     for b in batches:
         rows = []
         for text in b.column(1):
-            base, every = find_secrets(text.as_py() or "", limit)
+            base, every = find_secrets(text.as_py() or "")
             rows.append((*(sum(k == i for _, k, _ in base) for i in range(3)),
                          hashlib.sha256(spelled(base).encode()).hexdigest(), spelled(every)))
         cols = list(zip(*rows)) or [[]] * 5
@@ -290,12 +351,12 @@ def _scanned(batches, limit: int):
             names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
 
-def secret_scan(docs: DataFrame, max_layer_bytes: int = MAX_LAYER_BYTES) -> DataFrame:
+def secret_scan(docs: DataFrame) -> DataFrame:
     """Counts and spans for every row of ``docs(doc_id, text)``."""
-    return docs.select("doc_id", "text").mapInArrow(lambda bs: _scanned(bs, max_layer_bytes), SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(_scanned, SCHEMA)
 
 
-def _redacted(batches, names: list[str], mark: str, limit: int):
+def _redacted(batches, names: list[str], mark: str):
     at = names.index("text")
     for b in batches:
         texts = []
@@ -303,7 +364,7 @@ def _redacted(batches, names: list[str], mark: str, limit: int):
             text = value.as_py()
             if text is not None:
                 out, done = [], 0
-                for s, _, e in find_secrets(text, limit)[1]:
+                for s, _, e in find_secrets(text)[1]:
                     if e > done:
                         out += [text[done:max(s, done)], mark if s >= done else ""]
                         done = e
@@ -313,7 +374,7 @@ def _redacted(batches, names: list[str], mark: str, limit: int):
             [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names))], names=names)
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", max_layer_bytes: int = MAX_LAYER_BYTES) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every found span, merged where they overlap, replaced by ``mark``."""
     names = docs.columns
-    return docs.mapInArrow(lambda bs: _redacted(bs, names, mark, max_layer_bytes), docs.schema)
+    return docs.mapInArrow(lambda bs: _redacted(bs, names, mark), docs.schema)

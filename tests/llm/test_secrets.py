@@ -71,10 +71,68 @@ def test_base_spans_stay_and_repeats_are_found_again():
     assert {(13, 0, 13 + len(blob)), (14 + len(blob), 0, 14 + 2 * len(blob))} <= set(every)
 
 
-def test_cycles_and_large_layers_end():
+def test_cycles_end():
     assert _spans("%2525252525 " * 50 + "%25") == []
-    bomb = B64(zlib.compress(b"a" * 100_000))
-    assert secrets.find_secrets(bomb, limit=1000)[1] == [(0, 3, len(bomb.rstrip("=")) + bomb.count("="))]
+    nested = PLAIN.encode()
+    for _ in range(400):
+        nested = gzip.compress(nested)
+    assert _covers(f"({B64(nested)})", B64(nested))
+
+
+def test_contents_are_read_in_windows(monkeypatch):
+    import random
+    import zstandard
+    monkeypatch.setattr(secrets, "WINDOW", 4000)
+    monkeypatch.setattr(secrets, "OVERLAP", 1000)
+    monkeypatch.setattr(secrets, "PIECE", 700)
+    rnd = random.Random(5)
+    filler = "".join(rnd.choices("abc é ", k=30_000))
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
+        for at in (0, 3_990, 4_000, 17_003, 30_000):
+            blob = B64(pack((filler[:at] + PLAIN + filler[at:]).encode()))
+            assert _covers(f"x ({blob}) y", blob), (pack, at)
+        # A member inside the content that fits the overlap is read; a longer one that a window cuts is told.
+        small = filler[:3_500].encode() + b" " + pack(PLAIN.encode()) + filler.encode()
+        assert _covers(B64(pack(small)), B64(pack(small))), pack
+    noise = bytes(rnd.choices(range(256), k=9_000))
+    large = B64(gzip.compress(b"." * 1_000 + gzip.compress(noise + PLAIN.encode())))
+    assert (0, 3, len(large)) in [(s, k, e + large.count("=") if e < len(large) else e) for s, k, e in _spans(large)]
+
+
+def test_a_bomb_takes_little_memory():
+    import subprocess
+    import sys
+    code = ("import base64, resource, sys, zlib; sys.path.insert(0, %r)\n"
+            "from almacen.llm import secrets\n"
+            "c = zlib.compressobj(); d = b''.join(c.compress(b'a ' * (1 << 19)) for _ in range(64)) + c.compress(%r) + c.flush()\n"
+            "blob = base64.b64encode(d).decode()\n"
+            "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+            "spans = secrets.find_secrets(blob)[1]\n"
+            "print(any(k == 0 for _, k, _ in spans), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)")
+    import almacen
+    root = __import__("os").path.dirname(__import__("os").path.dirname(almacen.__file__))
+    out = subprocess.run([sys.executable, "-c", code % (root, b" " + PLAIN.encode())], capture_output=True, text=True, timeout=300)
+    found, mb = out.stdout.split()
+    assert found == "True" and int(mb) < 300, out
+
+
+def test_many_would_be_headers_take_time_in_proportion():
+    import time
+    text = "x^2 and " * 130_000 + "%20"
+    began = time.time()
+    assert _spans(text) == []
+    assert time.time() - began < 5
+    long = "word %41%42 \\u0041 " * 100_000
+    began = time.time()
+    _spans(long)
+    assert time.time() - began < 30
+
+
+def test_utf16_layers_are_read():
+    for code in ("utf-16-le", "utf-16-be", "utf-16"):
+        for inner in (PLAIN.encode(code), gzip.compress(PLAIN.encode(code))):
+            blob = B64(inner)
+            assert _covers(f"see ({blob}) ok", blob), (code, inner)
 
 
 def test_redact(spark):
