@@ -101,3 +101,9 @@ RFM_BUCKETS = 5
 
 # Office hours window used by the dashboard metric (hours 10..14 inclusive).
 BUSINESS_HOURS = (10, 15)
+
+# Days an order keeps a customer active (our choice).
+ACTIVE_DAYS = 30
+
+# Days without an order that end a purchase session (our choice).
+SESSION_GAP_DAYS = 30

@@ -255,6 +255,15 @@ pairs AS MATERIALIZED (
 """
 
 
+_HISTORY = """, day_country AS (
+  SELECT customer_id, fecha_completa, first(country ORDER BY hora_venta, ventas_id) AS country FROM sales GROUP BY ALL),
+spans AS MATERIALIZED (
+  SELECT *, row_number() OVER w AS version, fecha_completa AS valid_from, lead(fecha_completa) OVER w AS valid_to FROM (
+    SELECT *, lag(country) OVER (PARTITION BY customer_id ORDER BY fecha_completa) AS before FROM day_country)
+  WHERE country IS DISTINCT FROM before WINDOW w AS (PARTITION BY customer_id ORDER BY fecha_completa))
+"""
+
+
 def _access() -> str:
     def middle(dim: str, key: str) -> str:
         return f"(SELECT max({key}) // 2 + 1 FROM {dim})"
@@ -368,6 +377,22 @@ BODIES: dict[str, str] = {
         "sum(is_cancelled) AS canc, count(*) AS lines, "
         f"count(DISTINCT CASE WHEN {KNOWN} THEN cliente_id END) AS customers, "
         "count(DISTINCT producto_id) AS products, count(DISTINCT geografia_id) AS countries FROM sales)"),
+    "q01_sketch_ranges": (
+        "SELECT CAST(anio AS INTEGER) AS anio, count(*) AS lines, "
+        f"count(DISTINCT CASE WHEN {NONC} AND {KNOWN} THEN cliente_id END) AS customers, true AS customers_ok, "
+        f"count(DISTINCT CASE WHEN {NONC} THEN invoice_number END) AS orders, true AS orders_ok, true AS median_ok "
+        "FROM sales GROUP BY anio"),
+    "removed_duplicates": (
+        "SELECT 'a' AS side, count(*) - 1 AS copies, * FROM (SELECT " + _STAGED_VIEW + " FROM staged) GROUP BY ALL "
+        "HAVING count(*) > 1"),
+    "q08_sessions": (
+        "SELECT k AS orders, count(*) AS sessions, " + r2(ratio("sum(last_at - first_at)", "count(*) * 24")) + " AS avg_days "
+        "FROM (SELECT customer_id, s, count(*) AS k, min(hr) AS first_at, max(hr) AS last_at FROM ("
+        "SELECT *, sum(CASE WHEN hr - before <= " + str(24 * fixed.SESSION_GAP_DAYS) + " THEN 0 ELSE 1 END) OVER ("
+        "PARTITION BY customer_id ORDER BY hr, invoice_number) AS s FROM ("
+        "SELECT *, lag(hr) OVER (PARTITION BY customer_id ORDER BY hr, invoice_number) AS before FROM ("
+        "SELECT customer_id, invoice_number, min(date_diff('day', DATE '1970-01-01', fecha_completa) * 24 + hora_venta) AS hr "
+        f"FROM sales WHERE {NONC} AND {KNOWN} GROUP BY ALL))) GROUP BY ALL) GROUP BY k"),
     "q02_yoy": (
         "SELECT CAST(anio AS INTEGER) AS anio, CAST(rev AS DOUBLE) AS revenue, "
         "CAST(prev AS DOUBLE) AS prev_revenue, " + pct("rev - prev", "prev") + " AS growth_pct FROM ("
@@ -444,6 +469,34 @@ BODIES: dict[str, str] = {
         "SELECT year(first_date) AS anio, month(first_date) AS mes, count(*) AS n FROM ("
         f"SELECT customer_id, min(fecha_completa) AS first_date FROM sales WHERE {NONC} AND {KNOWN} "
         "GROUP BY customer_id) GROUP BY 1, 2)"),
+    "q11_cohorts": (
+        "SELECT CAST(year(f) AS INTEGER) AS anio, CAST(month(f) AS INTEGER) AS mes, CAST(k AS INTEGER) AS months_later, "
+        "CAST(n AS BIGINT) AS customers, " + pct("n", "max(n) FILTER (WHERE k = 0) OVER (PARTITION BY f)") + " AS retention_pct "
+        "FROM (SELECT f, date_diff('month', f, m) AS k, count(*) AS n FROM ("
+        "SELECT DISTINCT customer_id, date_trunc('month', fecha_completa) AS m, "
+        "min(date_trunc('month', fecha_completa)) OVER (PARTITION BY customer_id) AS f FROM sales "
+        f"WHERE {NONC} AND {KNOWN}) GROUP BY ALL)"),
+    "q12_active_months": (
+        "SELECT CAST(k AS INTEGER) AS active_months, count(*) AS customers FROM ("
+        "SELECT customer_id, count(DISTINCT date_trunc('month', fecha_completa)) AS k FROM sales "
+        f"WHERE {NONC} AND {KNOWN} GROUP BY 1) GROUP BY k"),
+    "q12_rolling_active": (
+        "SELECT strftime(d.fecha_completa, '%Y-%m-%d') AS fecha, count(DISTINCT o.customer_id) AS active_customers "
+        "FROM dim_fecha d LEFT JOIN (SELECT DISTINCT customer_id, fecha_completa FROM sales "
+        f"WHERE {NONC} AND {KNOWN}) o ON o.fecha_completa BETWEEN d.fecha_completa - {fixed.ACTIVE_DAYS - 1} "
+        "AND d.fecha_completa GROUP BY d.fecha_completa"),
+    "customer_history": _HISTORY + (
+        "SELECT customer_id, CAST(version AS INTEGER) AS version, country, strftime(valid_from, '%Y-%m-%d') AS valid_from, "
+        "strftime(valid_to, '%Y-%m-%d') AS valid_to FROM spans"),
+    "sales_by_valid_country": _HISTORY + (
+        "SELECT v.country, count(*) AS lines, CAST(sum(CASE WHEN is_cancelled = 0 THEN total_linea END) AS DOUBLE) AS revenue, "
+        "CAST(count(*) FILTER (WHERE s.country <> v.country) AS BIGINT) AS lines_elsewhere FROM sales s JOIN spans v "
+        "ON s.customer_id = v.customer_id AND s.fecha_completa >= v.valid_from "
+        "AND (v.valid_to IS NULL OR s.fecha_completa < v.valid_to) GROUP BY v.country"),
+    "q17_subtotals": (
+        "SELECT CAST(grouping(region, country, anio) AS INTEGER) AS level, region, country, CAST(anio AS INTEGER) AS anio, "
+        f"CAST(sum(CASE WHEN {NONC} THEN total_linea END) AS DOUBLE) AS revenue, count(*) AS lines FROM sales "
+        "GROUP BY GROUPING SETS ((region, country, anio), (region, country), (region, anio), (region), (anio), ())"),
     "q12_recurrent": (
         "SELECT CAST(buyers AS BIGINT) AS customers_with_orders, CAST(rec AS BIGINT) AS recurrent_customers, "
         + pct("rec", "buyers") + " AS recurrent_pct FROM ("

@@ -22,12 +22,14 @@ warehouse, which queries only read.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import money, pct, ratio, round2
-from ..operators import returns
+from ..operators import history, reconcile, retention, returns, sessions, sketches
 from ..operators.scale import ntile_cuts, with_running_sum
 from ..operators.segments import asof_join
 from ..session import scratch_path, write_table
@@ -104,6 +106,60 @@ def q01_kpis(star: Star) -> DataFrame:
         F.col("countries").cast("bigint").alias("countries"))
 
 
+def daily_sketches(star: Star) -> DataFrame:
+    """The stored daily sketches of this star, made once per opened star."""
+    if "sketches" not in star._cache:
+        star._cache["sketches"] = write_table(sketches.daily(star.fact, known(star)),
+                                              scratch_path(star.fact.sparkSession, "daily-sketches"))
+    return star._cache["sketches"]
+
+
+def q01_sketch_ranges(star: Star) -> DataFrame:
+    """Distinct customers and orders and the median price of any range of dates (here: each year) from
+    merged daily sketches, and whether they lie within 5 % of the exact answer (of the rank, for the median)."""
+    days = _with_dates(star, daily_sketches(star), "anio")
+    about = sketches.merged(days, "anio").select("anio", "lines", F.col("customers").alias("c"), F.col("orders").alias("o"),
+                                                 F.col("median_price").alias("m"))
+    sold = star.fact.filter(_nonc())
+    customers = sold.filter(known(star)).groupBy("anio").agg(F.count_distinct("cliente_id").alias("customers"))
+    orders = sold.groupBy("anio").agg(F.count_distinct("invoice_number").alias("orders"))
+    price = F.col("precio_unitario").cast("double")
+    # A row a year on the right.
+    ranks = sold.join(F.broadcast(about.select("anio", "m")), "anio").groupBy("anio").agg(
+        ((F.count_if(price < F.col("m")) <= 0.55 * F.count(F.lit(1)))
+         & (F.count_if(price <= F.col("m")) >= 0.45 * F.count(F.lit(1)))).alias("median_ok"))
+    every = about.join(customers, "anio", "left").join(orders, "anio", "left").join(ranks, "anio", "left")
+
+    def near(estimate: str, exact: Column) -> Column:
+        return F.abs(F.coalesce(estimate, F.lit(0)) - exact) <= 0.05 * exact
+    n, k = F.coalesce("customers", F.lit(0)), F.coalesce("orders", F.lit(0))
+    return every.select(F.col("anio").cast("int").alias("anio"), F.col("lines").cast("bigint").alias("lines"),
+                        n.cast("bigint").alias("customers"), near("c", n).alias("customers_ok"),
+                        k.cast("bigint").alias("orders"), near("o", k).alias("orders_ok"),
+                        F.coalesce("median_ok", F.lit(True)).alias("median_ok"))
+
+
+def removed_duplicates(star: Star) -> DataFrame:
+    """The lines that de-duplication removed, and how often: the multiset difference of the staged lines
+    and those that were kept, found by comparing buckets of digests."""
+    staged, kept = star.staged, star.tagged.drop("rule")
+    found, _ = reconcile.difference(staged, kept)
+    return found.withColumn("invoice_date", F.col("invoice_date").cast("string"))
+
+
+def q08_sessions(star: Star) -> DataFrame:
+    """Purchase sessions of known customers (no gap of over 30 days): how many have so many orders, and their days."""
+    orders = star.fact.filter(_nonc() & known(star)).groupBy(F.col("cliente_id").alias("customer"), F.col("invoice_number")
+                                                             .alias("invoice"), "fecha_id").agg(F.min("hora_venta").alias("hora"))
+    orders = _with_dates(star, orders, "fecha_completa").groupBy("customer", "invoice").agg(
+        F.min(F.datediff("fecha_completa", F.lit(datetime.date(1970, 1, 1))) * 24 + F.col("hora")).cast("long").alias("at"))
+    s = sessions.sessions(orders, 24 * fixed.SESSION_GAP_DAYS)
+    hours = F.col("last_at") - F.col("first_at")
+    return s.groupBy("orders").agg(F.count(F.lit(1)).alias("n"), F.sum(hours).alias("hours")).select(
+        F.col("orders").cast("bigint").alias("orders"), F.col("n").cast("bigint").alias("sessions"),
+        round2(ratio(F.col("hours"), F.col("n") * 24)).alias("avg_days"))
+
+
 def _yearly(star: Star) -> DataFrame:
     # ``anio`` is the fact's partition column: no join with the date dimension.
     return star.fact.groupBy("anio").agg(F.sum(_rev()).alias("rev"))
@@ -295,6 +351,76 @@ def q11_new_customers(star: Star) -> DataFrame:
         F.sum("n").over(w).cast("bigint").alias("cumulative_customers"))
 
 
+def _order_days(star: Star) -> DataFrame:
+    """One row per known customer and day with an order."""
+    days = star.fact.filter(_nonc() & known(star)).select(F.col("cliente_id").alias("customer"), "fecha_id").distinct()
+    return _with_dates(star, days, "fecha_completa").select("customer", F.col("fecha_completa").alias("day"))
+
+
+def _months(star: Star) -> tuple[DataFrame, DataFrame, int]:
+    """Month bitmaps of the known customers, the calendar's first month, and how many months it has."""
+    first, last = star["dim_fecha"].agg(F.min("fecha_completa"), F.max("fecha_completa")).first()
+    if first is None:
+        first = last = datetime.date(1970, 1, 1)
+    number = (F.year("day") - first.year) * 12 + F.month("day") - first.month
+    months = (last.year - first.year) * 12 + last.month - first.month + 1
+    return retention.month_bitmaps(_order_days(star).withColumn("month", number), months), first, months
+
+
+def _month_start(first, number: Column) -> tuple[Column, Column]:
+    at = number + F.lit(first.year * 12 + first.month - 1)
+    return F.floor(at / 12).cast("int"), (at % 12 + 1).cast("int")
+
+
+def q11_cohorts(star: Star) -> DataFrame:
+    """Cohort matrix: of the customers who first bought in a month, how many buy again k months later."""
+    bitmaps, first, months = _months(star)
+    c = retention.cohorts(bitmaps, months)
+    size = Window.partitionBy("first")                              # one row per cohort and month
+    year, month = _month_start(first, F.col("first"))
+    return c.withColumn("cohort", F.max(F.when(F.col("later") == 0, F.col("customers"))).over(size)).select(
+        year.alias("anio"), month.alias("mes"), F.col("later").cast("int").alias("months_later"),
+        F.col("customers").cast("bigint").alias("customers"), pct(F.col("customers"), F.col("cohort")).alias("retention_pct"))
+
+
+def q12_active_months(star: Star) -> DataFrame:
+    """In how many different months customers buy."""
+    return retention.active_months(_months(star)[0]).select(
+        F.col("active_months").cast("int").alias("active_months"), F.col("customers").cast("bigint").alias("customers"))
+
+
+def q12_rolling_active(star: Star) -> DataFrame:
+    """For every day of the calendar the known customers with an order in the 30 days up to it."""
+    calendar = star["dim_fecha"].select(F.col("fecha_completa").alias("day"))
+    return retention.rolling_active(_order_days(star), calendar, fixed.ACTIVE_DAYS).select(
+        F.date_format("day", "yyyy-MM-dd").alias("fecha"), F.col("active").cast("bigint").alias("active_customers"))
+
+
+def customer_history(star: Star) -> DataFrame:
+    """Customers' countries over time, as intervals of validity."""
+    found = history.country_intervals(star.fact, star["dim_fecha"])
+    found = _join_dim(star, found, "dim_geografia", "geografia_id", "country")
+    found = found.join(star["dim_cliente"].select("cliente_id", "customer_id"), "cliente_id")
+    return found.select("customer_id", F.col("version").cast("int").alias("version"), "country",
+                        F.date_format("valid_from", "yyyy-MM-dd").alias("valid_from"),
+                        F.date_format("valid_to", "yyyy-MM-dd").alias("valid_to"))
+
+
+def sales_by_valid_country(star: Star) -> DataFrame:
+    """Lines and revenue by the country that was valid for their customer on the day, and how many lines name another one."""
+    intervals = write_table(history.country_intervals(star.fact, star["dim_fecha"]),
+                            scratch_path(star.fact.sparkSession, "country-intervals"))
+    lines = _with_dates(star, star.fact.select("cliente_id", "fecha_id", "geografia_id", "total_linea", "is_cancelled"),
+                        "fecha_completa")
+    last = star["dim_fecha"].agg(F.max("fecha_completa"))
+    found = history.valid_at(lines, intervals, "fecha_completa", last).groupBy("valid_geografia").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(_rev()).alias("rev"),
+        F.count_if(F.col("geografia_id") != F.col("valid_geografia")).alias("elsewhere"))
+    found = _join_dim(star, found.withColumnRenamed("valid_geografia", "geografia_id"), "dim_geografia", "geografia_id", "country")
+    return found.select("country", F.col("lines").cast("bigint").alias("lines"), money(F.col("rev")).alias("revenue"),
+                        F.col("elsewhere").cast("bigint").alias("lines_elsewhere"))
+
+
 def q12_recurrent(star: Star) -> DataFrame:
     """Share of known buying customers with two or more orders."""
     per = _customer_revenue(star).filter(known(star))
@@ -464,6 +590,21 @@ def q19_region_yoy(star: Star) -> DataFrame:
         pct(F.col("rev") - F.col("prev"), F.col("prev")).alias("growth_pct"))
 
 
+def q17_subtotals(star: Star) -> DataFrame:
+    """Revenue and lines by country, region and year with all subtotals, in one pass (GROUPING SETS).
+
+    The fact is reduced to a row per country and year before the sets multiply it.
+    """
+    per = star.fact.groupBy("geografia_id", "anio").agg(F.sum(_rev()).alias("rev"), F.count(F.lit(1)).alias("n"))
+    per = _join_dim(star, per, "dim_geografia", "geografia_id", "country", "region")
+    region, country, year = F.col("region"), F.col("country"), F.col("anio")
+    sets = [[region, country, year], [region, country], [region, year], [region], [year], []]
+    g = per.groupingSets(sets, region, country, year).agg(
+        F.grouping_id().alias("level"), F.sum("rev").alias("rev"), F.sum("n").alias("n"))
+    return g.select(F.col("level").cast("int").alias("level"), "region", "country", F.col("anio").cast("int").alias("anio"),
+                    money(F.col("rev")).alias("revenue"), F.col("n").cast("bigint").alias("lines"))
+
+
 def q20_rfm(star: Star) -> DataFrame:
     """RFM profile of known buying customers: NTILE(5) per measure + label.
 
@@ -575,13 +716,17 @@ def k4_business_hours(star: Star) -> DataFrame:
 
 
 ANALYTIC = {
-    "q01_kpis": q01_kpis, "q02_yoy": q02_yoy, "q03_running_month": q03_running_month,
+    "q01_kpis": q01_kpis, "q01_sketch_ranges": q01_sketch_ranges, "removed_duplicates": removed_duplicates,
+    "q08_sessions": q08_sessions, "q02_yoy": q02_yoy, "q03_running_month": q03_running_month,
     "q04_weekend": q04_weekend, "q05_month_rank": q05_month_rank,
     "q05_month_rank_by_year": q05_month_rank_by_year,
     "q06_ticket_quarter": q06_ticket_quarter, "q07_cancel_impact": q07_cancel_impact,
     "q07_cancel_matches": q07_cancel_matches, "q07_cancel_lines": q07_cancel_lines,
     "q08_hours": q08_hours, "q09_segment_share": q09_segment_share,
     "q10_top_customers": q10_top_customers, "q11_new_customers": q11_new_customers,
+    "q11_cohorts": q11_cohorts, "q12_active_months": q12_active_months,
+    "q12_rolling_active": q12_rolling_active, "customer_history": customer_history,
+    "sales_by_valid_country": sales_by_valid_country, "q17_subtotals": q17_subtotals,
     "q12_recurrent": q12_recurrent, "q13_top_products": q13_top_products,
     "q14_return_rate": q14_return_rate, "q14_matched_returns": q14_matched_returns,
     "q15_pareto": q15_pareto, "q16_price_vs_ref": q16_price_vs_ref, "q16_price_asof": q16_price_asof,
