@@ -82,3 +82,40 @@ def test_rejects_at_most_the_promised_share(spark):
     r = {x["quality"]: (x["n"], x["k"]) for x in out.groupBy("quality").agg(
         F.count("*").alias("n"), F.sum((~F.col("kept")).cast("int")).alias("k")).collect()}
     assert r[1][1] <= 0.04 * r[1][0]
+
+
+def test_certified_cutoffs_equal_the_sql(spark):
+    """Labels enough for one language to certify a cutoff: there the verdict is more than the base rules."""
+    import random
+    from collections import Counter
+
+    import duckdb
+
+    from almacen.llm import oracle
+    rnd = random.Random(8)
+    words = [f"word{i}" for i in range(400)]
+    docs, labels = [], []
+    for i in range(1300):
+        good = i % 5 != 0
+        text = rnd.sample(words, rnd.randint(15, 40))
+        if not good and rnd.random() < 0.8:
+            text = [w + "#$" * rnd.randint(0, 3) for w in text]
+        docs.append((i, " ".join(text), "aa" if i < 1100 else "bb"))
+        if i % 13:
+            labels.append((i, int(good)))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR)")
+    con.execute("CREATE TABLE labels (doc_id BIGINT, quality INTEGER)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", docs)
+    con.executemany("INSERT INTO labels VALUES (?, ?)", labels)
+    cur = con.execute(oracle.oracle_sql()["op3_quality_rules"])
+    names = [c[0] for c in cur.description]
+    want = Counter(tuple(r) for r in cur.fetchall())
+    out = quality.quality_rules(spark.createDataFrame(docs, "doc_id long, text string, lang string"),
+                                spark.createDataFrame(labels, "doc_id long, quality int")).select(*names)
+    got = out.collect()
+    assert Counter(tuple(r) for r in got) == want
+    dropped = {r["doc_id"] for r in got if not r["kept"] and not r["base_failed"]}
+    assert len(dropped) > 100 and all(docs[i][2] == "aa" for i in dropped)
+    lost = sum(i % 5 != 0 for i in dropped)
+    assert lost <= 0.04 * 1100
