@@ -66,7 +66,7 @@ def access_paths(s: Star) -> DataFrame:
 def _refreshed(s: Star) -> Star:
     """A star of an earlier feed, brought up to the present one: then, the lines of the last year
     were still missing, and those of the first year had another price."""
-    if "refreshed" not in s._cache:
+    def make() -> Star:
         spark = s.fact.sparkSession
         first, last = s["dim_fecha"].agg(F.min("anio"), F.max("anio")).first()
         year = F.coalesce(F.year(wall_clock("InvoiceDate", s.ts_format)), F.lit(warehouse.NO_YEAR))
@@ -74,8 +74,8 @@ def _refreshed(s: Star) -> Star:
             "Price", F.when(year == F.lit(first), F.lit("9.99")).otherwise(F.col("Price")))
         base = scratch_path(spark, "refresh")
         warehouse.build(spark, None, base=base, raw=earlier, ts_format=s.ts_format)
-        s._cache["refreshed"] = refresh.refresh(spark, base, raw=s.landing, ts_format=s.ts_format)
-    return s._cache["refreshed"]
+        return refresh.refresh(spark, base, raw=s.landing, ts_format=s.ts_format)
+    return s.once("refreshed", make)
 
 
 def refresh_years(s: Star) -> DataFrame:

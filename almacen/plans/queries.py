@@ -108,10 +108,8 @@ def q01_kpis(star: Star) -> DataFrame:
 
 def daily_sketches(star: Star) -> DataFrame:
     """The stored daily sketches of this star, made once per opened star."""
-    if "sketches" not in star._cache:
-        star._cache["sketches"] = write_table(sketches.daily(star.fact, known(star)),
-                                              scratch_path(star.fact.sparkSession, "daily-sketches"))
-    return star._cache["sketches"]
+    return star.once("sketches", lambda: write_table(sketches.daily(star.fact, known(star)),
+                                                     scratch_path(star.fact.sparkSession, "daily-sketches")))
 
 
 def q01_sketch_ranges(star: Star) -> DataFrame:
@@ -256,10 +254,10 @@ def q07_cancel_impact(star: Star) -> DataFrame:
 
 def _returns(star: Star) -> tuple[DataFrame, DataFrame]:
     """Lines with the units they hold or take, and the pairs; found once per opened star."""
-    if "returns" not in star._cache:
+    def make():
         lines = returns.consumption(star.fact)
-        star._cache["returns"] = lines, write_table(returns.matches(lines), scratch_path(star.fact.sparkSession, "returns"))
-    return star._cache["returns"]
+        return lines, write_table(returns.matches(lines), scratch_path(star.fact.sparkSession, "returns"))
+    return star.once("returns", make)
 
 
 def q07_cancel_matches(star: Star) -> DataFrame:

@@ -35,7 +35,7 @@ from ..operators import dims as dim_ops
 from ..operators import fact as fact_ops
 from ..operators.scale import measured_bytes
 from ..operators.stage import stage, unparsed_dates
-from ..session import app_id, file_stamps, path_exists, remove_path, shared_dir, write_table
+from ..session import app_id, file_stamps, path_exists, remove_path, scratch_epoch, shared_dir, write_table
 from ..sources import access, sinks
 from ..sources.csv import parsed, read_lines, rejected, write_csv
 from ..sources.feed import SOURCE_TABLES, derived_feed
@@ -91,12 +91,17 @@ class Star:
             self._cache["unknown"] = row[0]
         return self._cache["unknown"]
 
+    def once(self, name: str, make):
+        """What ``make()`` gives, kept for this opened star until scratch is released (it may lie there)."""
+        key = (name, scratch_epoch(self.fact.sparkSession))
+        if key not in self._cache:
+            self._cache[key] = make()
+        return self._cache[key]
+
     @property
     def access(self) -> dict[str, access.Clustered]:
         """Clustered copies and file indexes of this star (S4), made once per opened star."""
-        if "access" not in self._cache:
-            self._cache["access"] = access.cluster_star(self.tables, self.rows)
-        return self._cache["access"]
+        return self.once("access", lambda: access.cluster_star(self.tables, self.rows))
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FALLBACK: dict[str, str] = {}
 _SCRATCH: dict[str, list[str]] = {}
+_RELEASED: dict[str, int] = {}
 LOCAL_DRIVER_MEMORY = "8g"
 
 
@@ -102,10 +103,16 @@ def release_scratch(spark: SparkSession) -> None:
 
     Results that are still lazy read them, so call it after the last action.
     """
+    _RELEASED[app_id(spark)] = scratch_epoch(spark) + 1
     for path in _SCRATCH.pop(app_id(spark), []):
         remove_path(spark, path)
 
 
+def scratch_epoch(spark: SparkSession) -> int:
+    """How often scratch was released: what was kept there before is gone."""
+    return _RELEASED.get(app_id(spark), 0)
+
+
 def scratch_path(spark: SparkSession, name: str, workdir: str | None = None) -> str:
     """A fresh, unique path for one written intermediate table.
 
