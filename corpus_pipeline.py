@@ -7,9 +7,9 @@ last return the columns of ``documents``, whatever further ones there are.
 Defined cases, stage by stage. A null text: goes in language ID (as do empty ones and
 all without a letter), is empty everywhere else. Null or repeated ids: every stage decides about an
 id and its text, so other texts of the same id stay; of equal texts in exact
-dedup the largest id stays, and rows that share it stay together; in near dedup the
-smallest id of a group stays, rows without an id stay with it if their set equals
-that of the row that stays. Very long texts are read whole in every stage. Without any language
+dedup the largest id stays, and rows that share it stay together (so do rows without an id
+where no equal text has one); in near dedup the smallest id of a group stays, and rows without
+an id always. Very long texts are read whole in every stage. Without any language
 label only letterless texts go. An empty table passes every stage and packs into no piece.
 """
 
