@@ -22,6 +22,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return write_table(df, scratch_path(df.sparkSession, f"llm-{name}"))
 
 
+#: Rows that a task turns into Python objects at a time; the batches that Spark sends have ten times as many.
+SLICE = 1_000
+
+
+def sliced(batches, rows: int = SLICE):
+    """Arrow batches in slices of ``rows``, so that what a task makes of them at a time stays small."""
+    for b in batches:
+        for start in range(0, max(1, b.num_rows), rows):
+            yield b.slice(start, rows)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. ``lower`` does that for pure ASCII, much faster than ``translate``."""
     return (F.when(F.octet_length(text) == F.char_length(text), F.lower(text))

@@ -48,7 +48,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, id_filter, maybe_in, staged
+from .common import SLICE, components, id_filter, maybe_in, sliced, staged
 
 N, PERCENT = 3, 90
 SEEN = 1 << 15
@@ -152,7 +152,7 @@ def _key(hashes: np.ndarray) -> list[int]:
 def _profiles(batches, n: int, percent: int):
     shingles, signatures = Shingler(n), Signatures(percent)
     none, seen = np.empty(0, np.int64), set()
-    for b in batches:
+    for b in sliced(batches):
         rows = []
         for text in b.column(1):
             h = shingles(text.as_py())
@@ -176,7 +176,7 @@ def _profiles(batches, n: int, percent: int):
 def _shared_buckets(batches):
     """Rows ``(k1, sigs)`` as ``(sig, k1, lead)``: of a batch's rows with a signature the least ``k1``, and the
     others linked to it (``sig`` null)."""
-    for b in batches:
+    for b in sliced(batches, 2 * SLICE):
         k1 = b.column(0).to_numpy(zero_copy_only=False)
         lists = b.column(1)
         sig = lists.flatten().to_numpy(zero_copy_only=False)
@@ -197,7 +197,7 @@ def _shared_buckets(batches):
 
 def _sets(batches, n: int):
     shingles = Shingler(n)
-    for b in batches:
+    for b in sliced(batches):
         sets = [shingles(t.as_py()) for t in b.column(1)]
         k1, k2 = zip(*map(_key, sets)) if sets else ([], [])
         yield pa.RecordBatch.from_arrays(

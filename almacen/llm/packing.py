@@ -33,6 +33,8 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import sliced
+
 CAPACITY, END_ID, BUFFER_DOCS, SLACK = 2048, 1, 256, 0.02
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
@@ -204,7 +206,7 @@ def _packed(batches, path: str, capacity: int, end_id: int, buffer_docs: int):
             [pa.array(c, pa.int64()) for c in cols],
             names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    for b in batches:
+    for b in sliced(batches):
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             ids = encoder.encode(text or "") + end
             total = len(ids) // 4

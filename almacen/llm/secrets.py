@@ -36,6 +36,8 @@ from array import array
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import sliced
+
 KINDS = ("assign", "access", "hex", "opaque")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                     re.ASCII | re.IGNORECASE)
@@ -338,7 +340,7 @@ def spelled(spans: list) -> str:
 
 
 def _scanned(batches):
-    for b in batches:
+    for b in sliced(batches):
         rows = []
         for text in b.column(1):
             base, every = find_secrets(text.as_py() or "")
@@ -358,7 +360,7 @@ def secret_scan(docs: DataFrame) -> DataFrame:
 
 def _redacted(batches, names: list[str], mark: str):
     at = names.index("text")
-    for b in batches:
+    for b in sliced(batches):
         texts = []
         for value in b.column(at):
             text = value.as_py()
