@@ -42,7 +42,6 @@ import bisect
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -297,10 +296,11 @@ def _tile_admitted(rows: pa.Table, percent: int) -> pa.Table:
     return rows.select([*COMPARISON, "left", "class"]).take(at)
 
 
-def _tile_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    sets = [np.asarray(h, np.int64).view(np.uint64) for h in pdf["hashes"]]
-    links = spanning_links(pdf["class"].tolist(), sets, _side(pdf["left"].tolist()), percent)
-    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+def _tile_links(rows: pa.Table, percent: int) -> pa.Table:
+    sets = [h.values.to_numpy().view(np.uint64) for h in rows["hashes"]]
+    links = spanning_links(rows["class"].to_pylist(), sets, _side(rows["left"].to_pylist()), percent)
+    a, b = zip(*links) if links else ([], [])
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _band_of(n: Column, percent: int) -> Column:
@@ -383,7 +383,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, carr
     located = (sets.join(needed, ["doc_id", *key]).dropDuplicates(["doc_id", *key])
                .select("class", "hashes"))
     links = (admitted.join(located, "class").groupBy(*COMPARISON)
-             .applyInPandas(lambda pdf: _tile_links(pdf, percent), "a long, b long"))
+             .applyInArrow(lambda rows: _tile_links(rows, percent), "a long, b long"))
     linked = (components(staged(links, "jaccard-links"), "a", "b").withColumnRenamed("node", "class")
               .join(classes.select("class", "rep"), "class"))
     least = linked.groupBy("comp").agg(F.min("rep").alias("least"))

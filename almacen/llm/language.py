@@ -23,7 +23,6 @@ import pickle
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -123,10 +122,11 @@ def _features(batches):
             names=["draw", "lang", "idx", "tf"])
 
 
-def _fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["draw", "lang"], kind="stable")
-    model = fit(pdf["lang"].tolist(), [(np.asarray(i), np.asarray(t, float)) for i, t in zip(pdf["idx"], pdf["tf"])])
-    return pd.DataFrame({"model": [pickle.dumps(model)]})
+def _fit_group(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by([("draw", "ascending"), ("lang", "ascending")])
+    model = fit(rows["lang"].to_pylist(), [(i.values.to_numpy(), t.values.to_numpy().astype(float))
+                                           for i, t in zip(rows["idx"], rows["tf"])])
+    return pa.table([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
@@ -142,7 +142,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
         keep = keep | ((F.col("lang") == lang) & (F.col("draw") < int(min(1.0, per_language / n) * (1 << 30))))
     sample = (usable.filter(F.col("text").rlike(r"\p{L}")).select(draw.alias("draw"), "lang", "text").filter(keep)
               .mapInArrow(_features, "draw long, lang string, idx array<int>, tf array<float>"))
-    rows = sample.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_fit_group, "model binary").collect()
+    rows = sample.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(_fit_group, "model binary").collect()
     return pickle.loads(rows[0]["model"]) if rows else None
 
 
