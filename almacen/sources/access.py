@@ -11,7 +11,8 @@ layout. For the other keys the fact is copied once in the order of a Z curve:
    point of the curve are parted by line, so a hot combination fills as many
    files as it needs;
 4. Parquet Bloom filters on the keys let a scan skip row groups whose range
-   holds a key that does not occur in them.
+   holds a key that does not occur in them (where a row group's keys fit a
+   dictionary, Parquet writes that instead, and the scan uses it alike).
 
 The index has one row a file: its lines, the least and greatest of each key, and
 a bitmap of ``MARKS`` bits that its keys are hashed to. A look-up filters the
@@ -167,7 +168,7 @@ def cluster(df: DataFrame, path: Path, lines: int, out: str) -> Clustered:
     writer = df.repartitionByRange(files, *order).sortWithinPartitions(*order).select(*columns).write.mode("overwrite")
     for k in path.keys:
         writer = (writer.option(f"parquet.bloom.filter.enabled#{k}", "true")
-                  .option(f"parquet.bloom.filter.expected.ndv#{k}", str(min(1_000_000, -(-lines // files)))))
+                  .option(f"parquet.bloom.filter.expected.ndv#{k}", str(max(1, min(1_000_000, -(-lines // files))))))
     writer.parquet(f"{out}/data")
     table = spark.read.parquet(f"{out}/data")
     return Clustered(spark, table, write_table(file_index(table, [*path.lead, *path.keys], list(path.keys)), f"{out}/index"))
