@@ -56,7 +56,7 @@ class WordEncoder:
     #: A word of letters that lower-case one by one, and punctuation: two pieces at most.
     WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\\[-`{-~]*)")
     ODD = re.compile("[\x1c-\x1f]")
-    MEMO = 50_000
+    MEMO = 300_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
