@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return write_table(df, scratch_path(df.sparkSession, f"llm-{name}"))
 
 
-#: Rows that a task turns into Python objects at a time; the batches that Spark sends have ten times as many.
+#: Bytes of an Arrow batch between Spark and a Python worker. Spark's 64 MB are held twice in its native memory
+#: and once or twice in the worker, by every running task.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, with its session's Arrow batches bounded by ``BATCH_BYTES``: the setting is lowered, never raised.
+
+    It is read when a plan runs, so it stays lowered. Results do not depend on it.
+    """
+    conf = df.sparkSession.conf
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", conf.get(BATCH_SETTING).strip().lower()).groups()
+    if int(number) << 10 * " kmgtp".find(unit or " ") > BATCH_BYTES:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
+#: Rows that a task turns into Python objects at a time, however short they are.
 SLICE = 1_000
 
 

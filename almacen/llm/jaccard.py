@@ -47,7 +47,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE, components, id_filter, maybe_in, sliced, staged
+from .common import SLICE, components, id_filter, lean, maybe_in, sliced, staged
 
 N, PERCENT = 3, 90
 SEEN = 1 << 15
@@ -351,7 +351,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, carr
     carry = carry or []
     schema = ("doc_id long, n long, k1 long, k2 long, bits binary, sigs array<long>"
               + "".join(f", {c} string" for c in carry))
-    profile = staged(docs.select("doc_id", "text", *carry)
+    profile = staged(lean(docs).select("doc_id", "text", *carry)
                      .mapInArrow(lambda bs: _profiles(bs, n, percent), schema), "jaccard-profiles")
     docs = docs.select("doc_id", "text")
     key = ["n", "k1", "k2"]

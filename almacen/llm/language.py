@@ -24,10 +24,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 
 DIM = 1 << 15
 #: Documents of the sample: of one language, and in all, however many languages there are.
@@ -71,7 +73,6 @@ def fit(labels: list[str], docs: list[tuple[np.ndarray, np.ndarray]], seed: int
     for idx, _ in docs:
         df[idx] += 1
     idf = np.log((1 + len(docs)) / (1 + df)) + 1
-    vecs = [_weighted(i, t, idf) for i, t in docs]
     held = np.arange(len(docs)) % 5 == 4 if len(docs) >= 50 else np.zeros(len(docs), bool)
     z, n = np.zeros((DIM, len(names))), np.zeros((DIM, len(names)))
     zb, nb = np.zeros(len(names)), np.zeros(len(names))
@@ -81,7 +82,7 @@ def fit(labels: list[str], docs: list[tuple[np.ndarray, np.ndarray]], seed: int
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(np.flatnonzero(~held)):
-            idx, v = docs[i][0], vecs[i]
+            idx, v = docs[i][0], _weighted(*docs[i], idf)
             zi, ni = z[idx], n[idx]
             w, wb = weights(zi, ni), weights(zb, nb)
             err = _softmax(v @ w + wb)
@@ -94,7 +95,7 @@ def fit(labels: list[str], docs: list[tuple[np.ndarray, np.ndarray]], seed: int
     w, wb = weights(z, n), weights(zb, nb)
     temperature = 1.0
     if held.any():
-        logits = np.array([vecs[i] @ w[docs[i][0]] + wb for i in np.flatnonzero(held)])
+        logits = np.array([_weighted(*docs[i], idf) @ w[docs[i][0]] + wb for i in np.flatnonzero(held)])
 
         def loss(t):
             p = _softmax(logits / t)[np.arange(len(logits)), y[held]]
@@ -123,15 +124,15 @@ def _features(batches):
 
 
 def _fit_group(rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by([("draw", "ascending"), ("lang", "ascending")])
-    model = fit(rows["lang"].to_pylist(), [(i.values.to_numpy(), t.values.to_numpy().astype(float))
-                                           for i, t in zip(rows["idx"], rows["tf"])])
+    order = pc.sort_indices(rows, sort_keys=[("draw", "ascending"), ("lang", "ascending")]).to_pylist()
+    lang, idx, tf = rows["lang"].to_pylist(), list(rows["idx"]), list(rows["tf"])      # views of the one copy of the sample
+    model = fit([lang[i] for i in order], [(idx[i].values.to_numpy(), tf[i].values.to_numpy()) for i in order])
     return pa.table([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
     """The model of ``labelled(doc_id, text, lang)``; only its weights reach the driver (under 1 MB a language)."""
-    usable = labelled.filter("lang is not null and text is not null")
+    usable = lean(labelled).filter("lang is not null and text is not null")
     draw = F.pmod(F.xxhash64(F.lit(7), "doc_id", F.octet_length("text")), F.lit(1 << 30))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
@@ -166,7 +167,7 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """
     model = train(docs.filter(~held_out()), per_language)
     shared = docs.sparkSession.sparkContext.broadcast(model)     # DIM x languages floats
-    return (docs.select("doc_id", held_out().alias("held_out"), "text")
+    return (lean(docs).select("doc_id", held_out().alias("held_out"), "text")
             .mapInArrow(lambda bs: _predicted(bs, shared.value), SCHEMA))
 
 
@@ -192,4 +193,4 @@ def reject_unknown(docs: DataFrame, min_score: float = 0.3, per_language: int =
                 lang, score = predict(shared.value, text)
                 ok.append(lang != "und" and score >= min_score)
             yield b.filter(pa.array(ok, pa.bool_()))
-    return docs.mapInArrow(kept, docs.schema)
+    return lean(docs).mapInArrow(kept, docs.schema)

@@ -33,7 +33,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import sliced
+from .common import lean, sliced
 
 CAPACITY, END_ID, BUFFER_DOCS, SLACK = 2048, 1, 256, 0.02
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -228,5 +228,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
                    buffer_docs: int = BUFFER_DOCS) -> DataFrame:
     """Pieces ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` of
     ``docs(doc_id, text)`` under the tokenizers file ``tokenizer``."""
-    return docs.select("doc_id", "text").mapInArrow(
+    return lean(docs).select("doc_id", "text").mapInArrow(
         lambda batches: _packed(batches, tokenizer, capacity, end_id, buffer_docs), SCHEMA)

@@ -36,7 +36,7 @@ from array import array
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import sliced
+from .common import lean, sliced
 
 KINDS = ("assign", "access", "hex", "opaque")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -355,7 +355,7 @@ def _scanned(batches):
 
 def secret_scan(docs: DataFrame) -> DataFrame:
     """Counts and spans for every row of ``docs(doc_id, text)``."""
-    return docs.select("doc_id", "text").mapInArrow(_scanned, SCHEMA)
+    return lean(docs).select("doc_id", "text").mapInArrow(_scanned, SCHEMA)
 
 
 def _redacted(batches, names: list[str], mark: str):
@@ -379,4 +379,4 @@ def _redacted(batches, names: list[str], mark: str):
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every found span, merged where they overlap, replaced by ``mark``."""
     names = docs.columns
-    return docs.mapInArrow(lambda bs: _redacted(bs, names, mark), docs.schema)
+    return lean(docs).mapInArrow(lambda bs: _redacted(bs, names, mark), docs.schema)
