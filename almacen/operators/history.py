@@ -7,9 +7,10 @@ differs from the one before until the next such day.
 
 Lines are reduced to one row per customer and day before anything is ordered, so
 a customer has at most as many rows as the calendar has days, however many
-lines. The join looks up intervals by time bucket: an interval is entered in
-each month it covers, and a line meets the intervals of its customer and month,
-which are 31 at most, not all of the customer's.
+lines. A line finds its interval by an as-of join: intervals and lines lie in one
+sorted sequence, dealt by range, and a line takes the last interval begun before
+it. No interval is repeated, none is sent to all tasks, and neither a customer's
+lines nor the intervals are gathered.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .segments import asof_join
+
 
 def daily_country(fact: DataFrame) -> DataFrame:
     """``cliente_id, fecha_id, geografia_id``: the country of the first line of each customer and day."""
@@ -35,16 +38,17 @@ def country_intervals(fact: DataFrame, dates: DataFrame) -> DataFrame:
                           F.col("day").alias("valid_from"), F.lead("day").over(order).alias("valid_to"))
 
 
-def valid_at(lines: DataFrame, intervals: DataFrame, day: str, last: DataFrame) -> DataFrame:
+def valid_at(lines: DataFrame, intervals: DataFrame, day: str, last: DataFrame, workdir: str | None = None) -> DataFrame:
     """``lines`` with ``version`` and ``valid_geografia`` of the interval of their customer that holds ``day``.
 
-    ``last`` is one value, the last day of the calendar: an open interval is entered up to it.
+    A customer's intervals do not overlap, so the last one that began by ``day`` is the only one that may hold it.
+    ``last`` is one value, the last day of the calendar: an open interval lasts to the end of its month.
     """
-    month = F.trunc("valid_from", "month")
-    end = F.greatest(F.coalesce(F.date_sub("valid_to", 1), last.scalar()), F.col("valid_from"))
-    entered = intervals.withColumn("bucket", F.explode(F.sequence(month, F.trunc(end, "month"), F.expr("interval 1 month"))))
-    entered = entered.select(F.col("cliente_id").alias("__c"), F.col("bucket").alias("__b"), "version",
-                             F.col("geografia_id").alias("valid_geografia"), "valid_from", "valid_to")
-    held = ((F.col("cliente_id") == F.col("__c")) & (F.trunc(day, "month") == F.col("__b"))
-            & (F.col(day) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(day) < F.col("valid_to"))))
-    return lines.join(entered, held, "left").drop("__c", "__b", "valid_from", "valid_to")
+    began = intervals.withColumn(day, F.col("valid_from"))
+    found = F.struct("version", F.col("geografia_id").alias("valid_geografia"), "valid_from", "valid_to")
+    out = asof_join(lines, began, ["cliente_id"], day, found, "__found",
+                    [c for c in lines.columns if c not in ("cliente_id", day)], name="valid-at", workdir=workdir)
+    month = F.trunc(F.greatest(last.scalar(), F.col("__found.valid_from")), "month")
+    held = F.when(F.col("__found.valid_to").isNull(), F.trunc(day, "month") <= month).otherwise(F.col(day) < F.col("__found.valid_to"))
+    return out.select(*lines.columns, F.when(held, F.col("__found.version")).alias("version"),
+                      F.when(held, F.col("__found.valid_geografia")).alias("valid_geografia"))

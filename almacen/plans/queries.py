@@ -408,12 +408,13 @@ def sales_by_valid_country(star: Star) -> DataFrame:
     """Lines and revenue by the country that was valid for their customer on the day, and how many lines name another one."""
     intervals = write_table(history.country_intervals(star.fact, star["dim_fecha"]),
                             scratch_path(star.fact.sparkSession, "country-intervals"))
-    lines = _with_dates(star, star.fact.select("cliente_id", "fecha_id", "geografia_id", "total_linea", "is_cancelled"),
-                        "fecha_completa")
+    # Lines of one customer, day and country find the same interval: they are summed up first.
+    per = star.fact.groupBy("cliente_id", "fecha_id", "geografia_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(_rev()).alias("rev"))
+    per = _with_dates(star, per, "fecha_completa")
     last = star["dim_fecha"].agg(F.max("fecha_completa"))
-    found = history.valid_at(lines, intervals, "fecha_completa", last).groupBy("valid_geografia").agg(
-        F.count(F.lit(1)).alias("lines"), F.sum(_rev()).alias("rev"),
-        F.count_if(F.col("geografia_id") != F.col("valid_geografia")).alias("elsewhere"))
+    elsewhere = F.when(F.col("geografia_id") != F.col("valid_geografia"), F.col("lines")).otherwise(F.lit(0))
+    found = history.valid_at(per, intervals, "fecha_completa", last).groupBy("valid_geografia").agg(
+        F.sum("lines").alias("lines"), F.sum("rev").alias("rev"), F.sum(elsewhere).alias("elsewhere"))
     found = _join_dim(star, found.withColumnRenamed("valid_geografia", "geografia_id"), "dim_geografia", "geografia_id", "country")
     return found.select("country", F.col("lines").cast("bigint").alias("lines"), money(F.col("rev")).alias("revenue"),
                         F.col("elsewhere").cast("bigint").alias("lines_elsewhere"))
