@@ -106,6 +106,16 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return split.filter("not maybe").drop("maybe").unionByName(doubtful.drop("maybe"))
 
 
+#: Rows of two ids in a task of a written table of a graph: a few MB.
+ROWS_A_TASK = 1 << 18
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of ``rows`` narrow rows at most, in no more tasks than these fill. A small table
+    would else take a task and a file per shuffle partition, however many a cluster has."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an undirected graph as ``(node, comp)``, ``comp``
     being the smallest node; only nodes with an edge appear.
@@ -114,34 +124,35 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     to a root (pointer jumping), and keeps the edges between different roots.
     Every root left with an edge merges with another one, so the number of
     roots at least halves per round. Everything is joins and partial
-    aggregates on written tables; only row counts reach the driver.
+    aggregates on written tables, in tasks by the number of edges left; only row counts reach the driver.
     """
     e = staged(edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
                .filter("a <> b").distinct(), "cc-edges")
     labels = None
-    while not e.isEmpty():
+    while rows := e.count():
+        nodes = 2 * rows
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = staged(both.groupBy(F.col("a").alias("node"))
-                      .agg(F.least(F.min("b"), F.col("node")).alias("up")), "cc-hook")
+        hook = staged(packed(both.groupBy(F.col("a").alias("node"))
+                             .agg(F.least(F.min("b"), F.col("node")).alias("up")), nodes), "cc-hook")
         while True:
             # up(up(x)): hooks always point to smaller nodes, so this ends at a root
-            jumped = staged(hook.alias("h").join(
+            jumped = staged(packed(hook.alias("h").join(
                 hook.select(F.col("node").alias("n2"), F.col("up").alias("u2")).alias("g"),
                 F.col("h.up") == F.col("g.n2")).select("node", F.col("u2").alias("up"),
-                                                       (F.col("u2") != F.col("up")).alias("moved")),
+                                                       (F.col("u2") != F.col("up")).alias("moved")), nodes),
                 "cc-jump")
             hook = jumped.select("node", "up")
             if jumped.filter("moved").isEmpty():
                 break
         if labels is None:
-            labels = hook.select("node", F.col("up").alias("comp"))
+            labels, labelled = hook.select("node", F.col("up").alias("comp")), nodes
         else:
-            labels = staged(labels.join(hook.select(F.col("node").alias("comp"), "up"), "comp", "left")
-                            .select("node", F.coalesce("up", "comp").alias("comp")), "cc-labels")
+            labels = staged(packed(labels.join(hook.select(F.col("node").alias("comp"), "up"), "comp", "left")
+                                   .select("node", F.coalesce("up", "comp").alias("comp")), labelled), "cc-labels")
         ha = hook.select(F.col("node").alias("a"), F.col("up").alias("ra"))
         hb = hook.select(F.col("node").alias("b"), F.col("up").alias("rb"))
-        e = staged(e.join(ha, "a").join(hb, "b").filter("ra <> rb")
-                   .select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "cc-edges")
+        e = staged(packed(e.join(ha, "a").join(hb, "b").filter("ra <> rb")
+                          .select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), rows), "cc-edges")
     if labels is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     return labels

@@ -55,7 +55,7 @@ TILE_DOCS, TILE_HASHES = 512, 1 << 20
 #: The least bitmap has two to this power of bits.
 BITS = 10
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-MEMO = 100_000
+MEMO = 1 << 15
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
