@@ -44,7 +44,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE, components, id_filter, lean, maybe_in, sliced, staged
@@ -194,6 +194,30 @@ def _shared_buckets(batches):
              pa.array(np.concatenate([own[first], links[1]]))], names=["sig", "k1", "lead"])
 
 
+def _bucket_links(batches):
+    """Rows ``(at, k1, known)`` in order of ``at`` as links ``(k1, lead)``: the known ones as they are, the others
+    to the first of their bucket, which may have come batches before."""
+    last, lead = None, None
+    for b in batches:
+        known = b.column(2)
+        linked = b.filter(known.is_valid())
+        own = b.filter(known.is_null())
+        at, k1 = (own.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        first = np.ones(len(at), bool)
+        first[1:] = at[1:] != at[:-1]
+        leads = k1[first]
+        if len(at):
+            if last is not None and at[0] == last:
+                leads[0] = lead
+            leads = leads[np.cumsum(first) - 1]
+            last, lead = at[-1], leads[-1]
+        apart = k1 != leads
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([linked.column(1).to_numpy(zero_copy_only=False), k1[apart]])),
+             pa.array(np.concatenate([linked.column(2).to_numpy(zero_copy_only=False), leads[apart]]))],
+            names=["k1", "lead"])
+
+
 def _sets(batches, n: int):
     shingles = Shingler(n)
     for b in sliced(batches):
@@ -362,11 +386,9 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, carr
                .mapInArrow(_shared_buckets, "sig long, k1 long, lead long"))
     # One row per batch and bucket, compared where it lands, and the links found within batches, which need not move
     # together: a random place stands in for the bucket they do not have.
-    same = Window.partitionBy("at")
     spread = F.when(F.col("sig").isNull(), F.xxhash64("k1", "lead")).otherwise(F.col("sig"))
     candidates = (buckets.select(spread.alias("at"), "k1", F.when(F.col("sig").isNull(), F.col("lead")).alias("known"))
-                  .repartition("at").withColumn("lead", F.coalesce("known", F.min("k1").over(same)))
-                  .filter("k1 <> lead").select("k1", "lead"))
+                  .repartition("at").sortWithinPartitions("at").mapInArrow(_bucket_links, "k1 long, lead long"))
     groups = staged(components(candidates, "k1", "lead"), "jaccard-groups")
     maps = profile.filter("bits is not null").select(*key, "bits").join(groups.withColumnRenamed("node", "k1"), "k1")
     members = staged(classes.join(maps.groupBy(*key).agg(F.first("comp").alias("grp"), F.first("bits").alias("bits")), key)

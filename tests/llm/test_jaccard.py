@@ -2,6 +2,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from samples import SF, SF01
 
@@ -71,3 +72,14 @@ def test_bands_and_buckets_cover_every_linked_pair(percent):
             shared = len(np.intersect1d(a, b))
             if 100 * shared >= percent * (len(a) + len(b) - shared) and not np.array_equal(a, b):
                 assert len(np.intersect1d(sig(a), sig(b))), (size, d, drop)
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 100])
+def test_a_bucket_is_linked_over_batches(rows):
+    at, k1, known = [1, 1, 2, 3, 3, 3, 4, 4], [9, 8, 7, 6, 6, 5, 3, 2], [None, None, None, None, None, None, 1, None]
+    table = pa.table({"at": pa.array(at, pa.int64()), "k1": pa.array(k1, pa.int64()), "known": pa.array(known, pa.int64())})
+    empty = table.schema.empty_table().to_batches() or [pa.RecordBatch.from_pylist([], table.schema)]
+    out = list(jaccard._bucket_links(empty + table.to_batches(max_chunksize=rows)))
+    got = sorted((r["k1"], r["lead"]) for b in out for r in b.to_pylist())
+    assert got == [(3, 1), (5, 6), (8, 9)]
+    assert all(b.schema.types == [pa.int64(), pa.int64()] for b in out)
