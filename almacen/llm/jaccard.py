@@ -15,8 +15,10 @@ at most ``(1 - t) / (1 + t) (a + b)``.
    into a few more than ``d`` buckets by hash, of which all but ``d`` must be
    equal in both sets, and one of these is not empty. Classes that agree in a bucket are candidates; their connected
    components hold every link, so the pairs of other classes are never looked at.
-   Each batch of rows keeps one class per bucket and links the others to it, so
-   a bucket that many classes share sends one row a batch.
+   Some thousand rows at a time are packed, in the pass of step 1: by the first bits of a signature, with 4 bytes for
+   the bits that follow and 2 for the row. (Signatures that differ only after these bits make a candidate more, never one
+   less.) One class per bucket is given and the others linked to it, so a bucket that many classes share is
+   sent once. A task unpacks and sorts a place, that is a range of signatures, at a time.
 3. Within a component, size-banded tiles are compared pairwise by bitmap: a
    differing bit is an element of one set only, which bounds the overlap from
    above. Sets, with 8 bytes an element, do not move here. A set that the bound
@@ -40,14 +42,17 @@ from __future__ import annotations
 
 import bisect
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, components, id_filter, lean, maybe_in, sliced, staged
+from ..session import parallelism
+from .common import components, id_filter, lean, maybe_in, sliced, staged
 
 N, PERCENT = 3, 90
 SEEN = 1 << 15
@@ -56,6 +61,8 @@ TILE_DOCS, TILE_HASHES = 512, 1 << 20
 BITS = 10
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 MEMO = 1 << 15
+#: Signatures are packed by their first bits, so many or more (a place, compared by one task), and so many a place at a time.
+PLACE_BITS, PACK = 12, 64
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -148,15 +155,49 @@ def _key(hashes: np.ndarray) -> list[int]:
     return np.array(sums, np.uint64).view(np.int64).tolist()
 
 
-def _profiles(batches, n: int, percent: int):
+def _packed_buckets(base: int, sigs: list[np.ndarray], bits: int) -> tuple[np.ndarray, list, list]:
+    """The signatures of rows ``base``, ``base + 1``, ... as ``place, at, own``, packed by place: the first ``bits``
+    bits of a signature. ``at`` has the 32 bits that follow, ``own`` the rows, counted from ``base``. Of rows with
+    one signature the first is given; in a last line (``place`` negative) the others as ``own``, and as ``at`` that first one.
+    """
+    own = np.repeat(np.arange(len(sigs), dtype=np.uint64), [len(x) for x in sigs])
+    key = np.sort(np.concatenate(sigs).view(np.uint64) >> np.uint64(32 - bits) << np.uint64(16) | own)
+    sig, own = key >> np.uint64(16), key & np.uint64(0xFFFF)
+    first = np.ones(len(key), bool)
+    first[1:] = sig[1:] != sig[:-1]
+    lead = own[first][np.cumsum(first) - 1]
+    links = np.unique((own << np.uint64(16) | lead)[own != lead])
+    sig, own = sig[first], own[first]
+    place = (sig >> np.uint64(32)).astype(np.int32)
+    start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(sig) else np.empty(0, np.int64)
+    ends = np.r_[start, len(sig)]
+    at = np.r_[sig & np.uint64(0xFFFFFFFF), links & np.uint64(0xFFFF)].astype("<u4")
+    own = np.r_[own, links >> np.uint64(16)].astype("<u2")
+    place = place[start]
+    if len(links):
+        place, ends = np.r_[place, -1 - base % 4093].astype(np.int32), np.r_[ends, len(at)]
+    return place, *(pa.Array.from_buffers(pa.binary(), len(place), [
+        None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in (at, own))
+
+
+def _profiles(batches, n: int, percent: int, bits: int, task: Callable[[], int]):
+    """Rows ``(doc_id, text, ...)`` with size, key, bitmap and a number ``node``, and among them, where ``place`` is
+    not null, the packed buckets of the rows before."""
     shingles, signatures = Shingler(n), Signatures(percent)
-    none, seen = np.empty(0, np.int64), set()
+    none, seen, node = np.empty(0, np.int64), set(), task() << 33
+    schema, base, waiting, held = None, node, [], 0
+
+    def packed() -> pa.RecordBatch:
+        place, at, own = _packed_buckets(base, waiting, bits)
+        own_columns = {"node": pa.array(np.full(len(place), base, np.int64)), "place": pa.array(place), "at": at, "own": own}
+        return pa.RecordBatch.from_arrays([own_columns.get(f.name, pa.nulls(len(place), f.type)) for f in schema], schema=schema)
     for b in sliced(batches):
         rows = []
         for text in b.column(1):
             h = shingles(text.as_py())
             if not len(h):
-                rows.append((0, 0, 0, None, none))
+                rows.append((0, 0, 0, None))
+                waiting.append(none)
                 continue
             k1, k2 = _key(h)
             first = (len(h), k1, k2) not in seen
@@ -164,34 +205,54 @@ def _profiles(batches, n: int, percent: int):
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add((len(h), k1, k2))
-            rows.append((len(h), k1, k2, _bitmap(h), signatures(h)) if first else (len(h), k1, k2, None, none))
-        size, k1, k2, bits, sigs = zip(*rows) if rows else ([], [], [], [], [])
-        yield pa.RecordBatch.from_arrays(
+            rows.append((len(h), k1, k2, _bitmap(h) if first else None))
+            waiting.append(signatures(h) if first else none)
+            held += len(waiting[-1])
+        size, k1, k2, maps = zip(*rows) if rows else ([], [], [], [])
+        out = pa.RecordBatch.from_arrays(
             [b.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(k1, pa.int64()),
-             pa.array(k2, pa.int64()), pa.array(bits, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), *b.columns[2:]],
-            names=["doc_id", "n", "k1", "k2", "bits", "sigs", *b.schema.names[2:]])
-
-
-def _shared_buckets(batches):
-    """Rows ``(k1, sigs)`` as ``(sig, k1, lead)``: of a batch's rows with a signature the least ``k1``, and the
-    others linked to it (``sig`` null)."""
-    for b in sliced(batches, 2 * SLICE):
-        k1 = b.column(0).to_numpy(zero_copy_only=False)
-        lists = b.column(1)
-        sig = lists.flatten().to_numpy(zero_copy_only=False)
-        own = np.repeat(k1, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        order = np.lexsort((own, sig))
-        sig, own = sig[order], own[order]
-        first = np.ones(len(sig), bool)
-        first[1:] = sig[1:] != sig[:-1]
-        lead = own[first][np.cumsum(first) - 1]
-        links = np.unique(np.stack([own, lead])[:, own != lead], axis=1)
-        keep = int(first.sum())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([sig[first], np.zeros(links.shape[1], np.int64)]),
-                      mask=np.arange(keep + links.shape[1]) >= keep),
-             pa.array(np.concatenate([own[first], links[0]])),
-             pa.array(np.concatenate([own[first], links[1]]))], names=["sig", "k1", "lead"])
+             pa.array(k2, pa.int64()), pa.array(maps, pa.binary()), pa.array(np.arange(node, node + len(rows))),
+             pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.binary()), *b.columns[2:]],
+            names=["doc_id", "n", "k1", "k2", "bits", "node", "place", "at", "own", *b.schema.names[2:]])
+        yield out
+        schema, node = out.schema, node + len(rows)
+        if held >= PACK << bits or len(waiting) >= 1 << 15:
+            if held:
+                yield packed()
+            base, waiting, held = node, [], 0
+    if held:
+        yield packed()
+
+
+def _task() -> int:
+    return TaskContext.get().partitionId()
+
+
+def _unpacked(batches):
+    """Packed buckets ``(place, node, at, own)`` in order of ``place`` as rows ``(at, k1, known)`` in order of ``at``:
+    a row's number with the signature it has, or with the row ``known`` to share one with it."""
+    def ordered(at, node):
+        order = np.argsort(at, kind="stable")
+        return pa.RecordBatch.from_arrays([pa.array(at[order]), pa.array(node[order]), pa.nulls(len(at), pa.int64())],
+                                          names=["at", "k1", "known"])
+    at, node = np.empty(0, np.int64), np.empty(0, np.int64)
+    for b in batches:
+        count = pc.binary_length(b.column(3)).to_numpy(zero_copy_only=False) // 2
+        place, base = (np.repeat(b.column(i).to_numpy(zero_copy_only=False).astype(np.int64), count) for i in (0, 1))
+        low, own = (np.frombuffer(b"".join(b.column(i).to_pylist()), kind).astype(np.int64) for i, kind in ((2, "<u4"), (3, "<u2")))
+        linked = place < 0
+        if linked.any():
+            k1 = (base + own)[linked]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(k1), np.int64)), pa.array(k1), pa.array((base + low)[linked])],
+                                             names=["at", "k1", "known"])
+        at = np.concatenate([at, (place << 32 | low)[~linked]])
+        node = np.concatenate([node, (base + own)[~linked]])
+        # The last place may go on in the next batch.
+        if len(at):
+            done = int(np.searchsorted(at >> 32, at[-1] >> 32))
+            yield ordered(at[:done], node[:done])
+            at, node = at[done:], node[done:]
+    yield ordered(at, node)
 
 
 def _bucket_links(batches):
@@ -373,24 +434,22 @@ def _tiled(members: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, carry: list[str] | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``, and its string columns ``carry``."""
     carry = carry or []
-    schema = ("doc_id long, n long, k1 long, k2 long, bits binary, sigs array<long>"
+    schema = ("doc_id long, n long, k1 long, k2 long, bits binary, node long, place int, at binary, own binary"
               + "".join(f", {c} string" for c in carry))
-    profile = staged(lean(docs).select("doc_id", "text", *carry)
-                     .mapInArrow(lambda bs: _profiles(bs, n, percent), schema), "jaccard-profiles")
+    place_bits = min(16, max(PLACE_BITS, (2 * parallelism(docs.sparkSession)).bit_length()))
+    written = staged(lean(docs).select("doc_id", "text", *carry)
+                     .mapInArrow(lambda bs: _profiles(bs, n, percent, place_bits, _task), schema), "jaccard-profiles")
+    profile = written.filter("place is null").drop("place", "at", "own")
     docs = docs.select("doc_id", "text")
     key = ["n", "k1", "k2"]
     classes = staged(profile.filter("n > 0 and doc_id is not null").groupBy(*key)
                      .agg(F.min("doc_id").alias("rep"))
                      .withColumn("class", F.monotonically_increasing_id()), "jaccard-classes")
-    buckets = (profile.filter("size(sigs) > 0").select("k1", "sigs")
-               .mapInArrow(_shared_buckets, "sig long, k1 long, lead long"))
-    # One row per batch and bucket, compared where it lands, and the links found within batches, which need not move
-    # together: a random place stands in for the bucket they do not have.
-    spread = F.when(F.col("sig").isNull(), F.xxhash64("k1", "lead")).otherwise(F.col("sig"))
-    candidates = (buckets.select(spread.alias("at"), "k1", F.when(F.col("sig").isNull(), F.col("lead")).alias("known"))
-                  .repartition("at").sortWithinPartitions("at").mapInArrow(_bucket_links, "k1 long, lead long"))
+    candidates = (written.filter("place is not null").select("place", "node", "at", "own")
+                  .repartition("place").sortWithinPartitions("place")
+                  .mapInArrow(lambda bs: _bucket_links(_unpacked(bs)), "k1 long, lead long"))
     groups = staged(components(candidates, "k1", "lead"), "jaccard-groups")
-    maps = profile.filter("bits is not null").select(*key, "bits").join(groups.withColumnRenamed("node", "k1"), "k1")
+    maps = profile.filter("bits is not null").select(*key, "bits", "node").join(groups, "node")
     members = staged(classes.join(maps.groupBy(*key).agg(F.first("comp").alias("grp"), F.first("bits").alias("bits")), key)
                      .select("class", "rep", *key, "grp", "bits"), "jaccard-members")
     admitted = staged(_tiled(members, percent).groupBy(*COMPARISON).applyInArrow(
@@ -413,7 +472,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, carr
     # Equal sets meet in their class, near ones through links between classes.
     reach = staged(classes.join(linked, "class", "left")
                    .select(*key, F.coalesce("least", "rep").alias("component_id")), "jaccard-reach")
-    return (profile.drop("sigs", "bits").join(reach, key, "left")
+    return (profile.drop("bits", "node").join(reach, key, "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
                     *carry))
