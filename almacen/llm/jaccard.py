@@ -13,22 +13,22 @@ at most ``(1 - t) / (1 + t) (a + b)``.
    band. A band and its successor are a family; with ``d`` the largest
    possible difference of a linked pair of the family, its sets are split
    into a few more than ``d`` buckets by hash, of which all but ``d`` must be
-   equal in both sets, and one of these is not empty. Classes that agree in a bucket are candidates; their connected
-   components hold every link, so the pairs of other classes are never looked at.
+   equal in both sets, and one of these is not empty. Classes that agree in a bucket are candidates; the buckets' classes,
+   and their connected components, hold every link, so the pairs of other classes are never looked at.
    Some thousand rows at a time are packed, in the pass of step 1: by the first bits of a signature, with 4 bytes for
    the bits that follow and 2 for the row. (Signatures that differ only after these bits make a candidate more, never one
-   less.) One class per bucket is given and the others linked to it, so a bucket that many classes share is
-   sent once. A task unpacks and sorts a place, that is a range of signatures, at a time.
-3. Within a component, size-banded tiles are compared pairwise by bitmap: a
+   less.) A task unpacks and sorts a place, that is a range of signatures, at a time.
+3. Within a component, or, where it is larger than a tile, among the sets that share
+   a bucket, size-banded tiles are compared pairwise by bitmap: a
    differing bit is an element of one set only, which bounds the overlap from
    above. Sets, with 8 bytes an element, do not move here. A set that the bound
-   admits to no other is done.
-4. For the others the sorted arrays are made again from their texts and go to the comparisons that
-   admitted them, where exact intersection settles the pairs. Pairs that earlier links of the same
+   admits to no other is done; the others form components again, of the pairs admitted.
+4. For these the sorted arrays are made again from their texts and tiled by component,
+   where exact intersection settles the pairs. Pairs that earlier links of the same
    comparison connect are skipped: links are needed only to span a component.
 5. The components of the links give the smallest reachable ``doc_id``.
 
-The tiles of a component hold ``TILE_DOCS`` sets or ``TILE_HASHES`` hashes at
+The tiles of a group hold ``TILE_DOCS`` sets or ``TILE_HASHES`` hashes at
 most, whatever the component's size, and are dealt over tasks.
 
 Defined cases: a null or empty text, or one without words, has no shingle and
@@ -157,26 +157,14 @@ def _key(hashes: np.ndarray) -> list[int]:
 
 def _packed_buckets(base: int, sigs: list[np.ndarray], bits: int) -> tuple[np.ndarray, list, list]:
     """The signatures of rows ``base``, ``base + 1``, ... as ``place, at, own``, packed by place: the first ``bits``
-    bits of a signature. ``at`` has the 32 bits that follow, ``own`` the rows, counted from ``base``. Of rows with
-    one signature the first is given; in a last line (``place`` negative) the others as ``own``, and as ``at`` that first one.
-    """
+    bits of a signature. ``at`` has the 32 bits that follow, ``own`` the rows, counted from ``base``."""
     own = np.repeat(np.arange(len(sigs), dtype=np.uint64), [len(x) for x in sigs])
     key = np.sort(np.concatenate(sigs).view(np.uint64) >> np.uint64(32 - bits) << np.uint64(16) | own)
-    sig, own = key >> np.uint64(16), key & np.uint64(0xFFFF)
-    first = np.ones(len(key), bool)
-    first[1:] = sig[1:] != sig[:-1]
-    lead = own[first][np.cumsum(first) - 1]
-    links = np.unique((own << np.uint64(16) | lead)[own != lead])
-    sig, own = sig[first], own[first]
-    place = (sig >> np.uint64(32)).astype(np.int32)
-    start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(sig) else np.empty(0, np.int64)
-    ends = np.r_[start, len(sig)]
-    at = np.r_[sig & np.uint64(0xFFFFFFFF), links & np.uint64(0xFFFF)].astype("<u4")
-    own = np.r_[own, links >> np.uint64(16)].astype("<u2")
-    place = place[start]
-    if len(links):
-        place, ends = np.r_[place, -1 - base % 4093].astype(np.int32), np.r_[ends, len(at)]
-    return place, *(pa.Array.from_buffers(pa.binary(), len(place), [
+    place = (key >> np.uint64(48)).astype(np.int32)
+    at, own = (key >> np.uint64(16) & np.uint64(0xFFFFFFFF)).astype("<u4"), (key & np.uint64(0xFFFF)).astype("<u2")
+    start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    ends = np.r_[start, len(key)]
+    return place[start], *(pa.Array.from_buffers(pa.binary(), len(start), [
         None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in (at, own))
 
 
@@ -229,10 +217,10 @@ def _task() -> int:
 
 
 def _unpacked(batches):
-    """Packed buckets ``(place, node, at, own)`` in order of ``place`` as rows ``(at, k1, known)`` in order of ``at``:
-    a row's number with the signature it has, or with the row ``known`` to share one with it."""
+    """Packed buckets ``(place, node, at, own)`` in order of ``place`` as rows ``(at, k1, known)`` in order of ``at``
+    and ``k1``, the row's number (``known`` is null)."""
     def ordered(at, node):
-        order = np.argsort(at, kind="stable")
+        order = np.lexsort((node, at))
         return pa.RecordBatch.from_arrays([pa.array(at[order]), pa.array(node[order]), pa.nulls(len(at), pa.int64())],
                                           names=["at", "k1", "known"])
     at, node = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -240,13 +228,7 @@ def _unpacked(batches):
         count = pc.binary_length(b.column(3)).to_numpy(zero_copy_only=False) // 2
         place, base = (np.repeat(b.column(i).to_numpy(zero_copy_only=False).astype(np.int64), count) for i in (0, 1))
         low, own = (np.frombuffer(b"".join(b.column(i).to_pylist()), kind).astype(np.int64) for i, kind in ((2, "<u4"), (3, "<u2")))
-        linked = place < 0
-        if linked.any():
-            k1 = (base + own)[linked]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(k1), np.int64)), pa.array(k1), pa.array((base + low)[linked])],
-                                             names=["at", "k1", "known"])
-        at = np.concatenate([at, (place << 32 | low)[~linked]])
-        node = np.concatenate([node, (base + own)[~linked]])
+        at, node = np.concatenate([at, place << 32 | low]), np.concatenate([node, base + own])
         # The last place may go on in the next batch.
         if len(at):
             done = int(np.searchsorted(at >> 32, at[-1] >> 32))
@@ -369,16 +351,17 @@ def _side(left: list[bool]) -> list[bool] | None:
 
 
 def _tile_admitted(rows: pa.Table, percent: int) -> pa.Table:
-    """The rows of a comparison whose bitmap admits a pair."""
-    left = rows["left"].to_pylist()
-    tile = Tile(rows["class"].to_pylist(), rows["n"].to_pylist(), rows["bits"].to_pylist(), _side(left), percent)
-    found = np.zeros(len(rows), bool)
+    """Pairs that connect all rows of a comparison whose bitmaps admit a link."""
+    ids = rows["class"].to_pylist()
+    tile = Tile(ids, rows["n"].to_pylist(), rows["bits"].to_pylist(), _side(rows["left"].to_pylist()), percent)
+    comp, a, b = np.arange(len(rows)), [], []
     for i in range(len(rows)):
-        js, _ = tile.admitted(i)
-        if len(js):
-            found[i] = found[js] = True
-    at = pa.array(np.array(tile.order, np.int64)[found])
-    return rows.select([*COMPARISON, "left", "class"]).take(at)
+        for j in tile.admitted(i, comp)[0]:
+            if comp[j] != comp[i]:
+                comp[comp == comp[j]] = comp[i]
+                a.append(ids[tile.order[i]])
+                b.append(ids[tile.order[j]])
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _tile_links(rows: pa.Table, percent: int) -> pa.Table:
@@ -394,16 +377,32 @@ def _band_of(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / F.lit(1.0001 * float(np.log(100 / percent)))).cast("int")
 
 
-def _tiled(members: DataFrame, percent: int) -> DataFrame:
-    """``members(grp, class, n, bits)`` copied to each comparison of tiles they take part in.
+def _gathered(edges: DataFrame) -> DataFrame:
+    """``node, grp`` of the sets to compare, out of ``edges(k1, lead)`` that link the sets of a bucket to its first.
+
+    A component that fits a tile is a group. Larger ones are chains of sets that share some bucket with a next one: there the
+    sets of each bucket are a group, together with those of the other buckets that have the same first set. A
+    set is in at most as many groups as it has buckets, however large its component grows.
+    """
+    nodes = staged(components(edges, "k1", "lead"), "jaccard-groups")
+    large = nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > TILE_DOCS).select("comp")
+    whole = nodes.join(large, "comp", "left_anti").select("node", F.col("comp").alias("grp"))
+    of = edges.join(nodes.join(large, "comp", "left_semi").select(F.col("node").alias("lead")), "lead")
+    cut = of.select(F.col("k1").alias("node"), F.col("lead").alias("grp")).unionByName(
+        of.select(F.col("lead").alias("node"), F.col("lead").alias("grp")).distinct())
+    return staged(whole.unionByName(cut), "jaccard-gathered")
+
+
+def _tiled(members: DataFrame, percent: int, *carry: str) -> DataFrame:
+    """``members(grp, class, n)`` and columns to ``carry``, copied to each comparison of tiles they take part in.
 
-    A component that fits a tile is one comparison. A larger one is cut by
+    A group that fits a tile is one comparison. A larger one is cut by
     size band, and each band by a hash of the class; a comparison is a tile with
     itself, with another of its band, or with one of the next band.
     """
     m = members.withColumn("band", _band_of(F.col("n"), percent))
     bands = m.groupBy("grp", "band").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("hashes_all"))
-    # Only sums per component and band are brought together by component.
+    # Only sums per group and band are brought together by group.
     whole = bands.groupBy("grp").agg(F.sum("docs").alias("grp_docs"), F.sum("hashes_all").alias("grp_hashes"))
     large = whole.filter((F.col("grp_docs") > TILE_DOCS) | (F.col("grp_hashes") > 4 * TILE_HASHES)).select("grp")
     cuts = staged(bands.join(large, "grp").select("grp", "band", F.greatest(
@@ -427,8 +426,8 @@ def _tiled(members: DataFrame, percent: int) -> DataFrame:
     down = pairs(F.col("below"), lambda j: place(b - 1, j, 1, t, F.lit(False)))
     alone = F.array(place(F.lit(0), F.lit(0), 0, F.lit(0), F.lit(True)))
     places = F.when(F.col("tiles").isNull(), alone).otherwise(F.concat(own, up, down))
-    return m.select("grp", "class", "n", "bits", F.explode(places).alias("p")).select(
-        "grp", "p.band", "p.i", "p.up", "p.j", "p.left", "class", "n", "bits")
+    return m.select("grp", "class", "n", *carry, F.explode(places).alias("p")).select(
+        "grp", "p.band", "p.i", "p.up", "p.j", "p.left", "class", "n", *carry)
 
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, carry: list[str] | None = None) -> DataFrame:
@@ -448,16 +447,16 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, carr
     candidates = (written.filter("place is not null").select("place", "node", "at", "own")
                   .repartition("place").sortWithinPartitions("place")
                   .mapInArrow(lambda bs: _bucket_links(_unpacked(bs)), "k1 long, lead long"))
-    groups = staged(components(candidates, "k1", "lead"), "jaccard-groups")
+    groups = _gathered(staged(candidates.distinct(), "jaccard-candidates"))
     maps = profile.filter("bits is not null").select(*key, "bits", "node").join(groups, "node")
-    members = staged(classes.join(maps.groupBy(*key).agg(F.first("comp").alias("grp"), F.first("bits").alias("bits")), key)
-                     .select("class", "rep", *key, "grp", "bits"), "jaccard-members")
-    admitted = staged(_tiled(members, percent).groupBy(*COMPARISON).applyInArrow(
-        lambda rows: _tile_admitted(rows, percent), "grp long, band int, i int, up int, j int, left boolean, class long"),
-        "jaccard-admitted")
+    compared = (classes.join(maps.groupBy(*key, "grp").agg(F.first("bits").alias("bits")), key)
+                .select("class", "n", "grp", "bits"))
+    likely_links = (_tiled(staged(compared, "jaccard-compared"), percent, "bits").groupBy(*COMPARISON)
+                    .applyInArrow(lambda rows: _tile_admitted(rows, percent), "a long, b long"))
+    likely_groups = components(likely_links, "a", "b").select(F.col("node").alias("class"), F.col("comp").alias("grp"))
+    needed = staged(classes.join(likely_groups, "class").select("class", F.col("rep").alias("doc_id"), *key, "grp"), "jaccard-needed")
+    admitted = _tiled(needed.select("grp", "class", "n"), percent).drop("n")
     # Few documents are left: a filter of bounded size keeps most of the others from being hashed and moved.
-    needed = staged(members.join(admitted.select("class").distinct(), "class")
-                    .select("class", F.col("rep").alias("doc_id"), *key), "jaccard-needed")
     likely = maybe_in(docs, id_filter(needed)).filter("maybe").select("doc_id", "text")
     sets = likely.mapInArrow(lambda bs: _sets(bs, n), "doc_id long, n long, k1 long, k2 long, hashes array<long>")
     # An id that is repeated with other texts has other sets too: the key tells which one is meant.
